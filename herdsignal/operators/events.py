@@ -29,30 +29,36 @@ def exists_within(
     probes: DataFrame,
     targets: DataFrame,
     keys: Sequence[str],
-    days: tuple[int, int],
+    *ranges: tuple[int, int],
     time: str = "event_ts",
     bucket_days: int = 60,
 ) -> DataFrame:
-    """Distinct probes (keys and time) with a target ``days[0]`` to ``days[1]`` days later, both ends included.
+    """Distinct probes (keys and time) with a target in one of the ``ranges`` of days after them.
 
-    A range semi join that emits no pairs: with probes moved to the start of their range, the first
-    target at or after that point decides. Both sides are made distinct before the shuffle; a group is
-    cut into calendar buckets, and a target is repeated in the bucket before its own when a range that
-    starts there can reach it.
+    Ranges include both ends and may be negative. A range semi join that emits no pairs: with probes
+    moved to the start of their range, the first target at or after that point decides. Both sides are
+    made distinct before the shuffle; a group is cut into calendar buckets, and a target is repeated in
+    the bucket before its own when a range that starts there can reach it.
     """
-    low, high = (days[0] * MICROS_PER_DAY, days[1] * MICROS_PER_DAY)
+    micros = [(low * MICROS_PER_DAY, high * MICROS_PER_DAY) for low, high in ranges]
+    reach = max(high - low for low, high in micros)
     width = bucket_days * MICROS_PER_DAY
-    if high - low >= width:
-        raise ValueError("bucket_days must be longer than the range")
-    bucket = lambda micros: F.floor(micros / width)
-    starts = probes.where(F.col(time).isNotNull()).select(*keys, (to_micros(F.col(time)) + low).alias("_at")).distinct()
-    goals = targets.where(F.col(time).isNotNull()).select(*keys, to_micros(F.col(time)).alias("_at")).distinct()
-    starts = starts.select(*keys, "_at", bucket(F.col("_at")).alias("_b"), F.lit(None).cast("long").alias("_goal"))
+    bucket = lambda at: F.floor(at / width)
+    at = to_micros(F.col(time))
+    begins = F.array(*[F.struct((at + low).alias("at"), F.lit(high - low).alias("within")) for low, high in micros])
+    starts = (
+        probes.where(F.col(time).isNotNull())
+        .select(*keys, time)
+        .distinct()
+        .select(*keys, time, F.explode(begins).alias("_r"))
+        .select(*keys, time, F.col("_r.at").alias("_at"), F.col("_r.within").alias("_within"), bucket(F.col("_r.at")).alias("_b"))
+    )
+    goals = targets.where(F.col(time).isNotNull()).select(*keys, at.alias("_at")).distinct()
     goals = goals.select(
         *keys,
         "_at",
-        F.explode(F.sequence(bucket(F.col("_at") - (high - low)), bucket(F.col("_at")))).alias("_b"),
         F.col("_at").alias("_goal"),
+        F.explode(F.sequence(bucket(F.col("_at") - reach), bucket(F.col("_at")))).alias("_b"),
     )
     # Latest first, so that a running "last" is the nearest target ahead; at equal times targets come first.
     ahead = (
@@ -61,20 +67,19 @@ def exists_within(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     nearest = F.last("_goal", ignorenulls=True).over(ahead)
-    return (
-        starts.unionByName(goals)
+    found = (
+        starts.unionByName(goals, allowMissingColumns=True)
         .withColumn("_nearest", nearest)
-        .where(F.col("_goal").isNull() & (F.col("_nearest") - F.col("_at") <= high - low))
-        .select(*keys, F.timestamp_micros(F.col("_at") - low).cast("timestamp_ntz").alias(time))
+        .where(F.col("_goal").isNull() & (F.col("_nearest") - F.col("_at") <= F.col("_within")))
+        .select(*keys, time)
     )
+    return found.distinct() if len(ranges) > 1 else found
 
 
 def cyclic_events(events: DataFrame, keys: Sequence[str] = CYCLE, days: tuple[int, int] = CYCLE_DAYS) -> DataFrame:
     """Heats and inseminations with another one of the same cycle 18 to 24 days away, on either side."""
     heats = of_type(events, HEAT, INSEMINATION)
-    ahead = exists_within(heats, heats, keys, days)
-    behind = exists_within(heats, heats, keys, (-days[1], -days[0]))
-    return ahead.unionByName(behind).distinct()
+    return exists_within(heats, heats, keys, days, (-days[1], -days[0]))
 
 
 def inseminations(events: DataFrame) -> DataFrame:

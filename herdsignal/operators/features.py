@@ -19,15 +19,6 @@ SPIKE_FACTOR = 0.55
 MIN_GROUP_ANIMALS = 5
 
 
-def rolling_median(column: str, window: WindowSpec):
-    """Median of the non-null values in a row frame, from the sorted values of the frame."""
-    values = F.sort_array(F.collect_list(column).over(window))
-    size = F.size(values)
-    low = F.try_element_at(values, F.floor((size + 1) / 2).cast("int"))
-    high = F.try_element_at(values, (F.floor(size / 2) + 1).cast("int"))
-    return F.when(size > 0, (low + high) / 2)
-
-
 def _temperature_statistics(frame: DataFrame, window: WindowSpec) -> DataFrame:
     return (
         frame.withColumns(
@@ -112,19 +103,26 @@ def heat_feature(df: DataFrame, frame: tuple[int, int] = HEAT_FRAME, **series) -
     return rolling(df, add, before=-frame[0], after=frame[1], **series)
 
 
-def days_in_milk(df: DataFrame, calvings: DataFrame, keys: Sequence[str] = ANIMAL, name: str = "DIM") -> DataFrame:
-    """Days since the last calving on or before the day of each reading; null before the first one.
+def milk_days(days: DataFrame, calvings: DataFrame, keys: Sequence[str] = ANIMAL, name: str = "DIM") -> DataFrame:
+    """Days since the last calving, for the distinct ``_date`` values of each animal after its first calving.
 
-    ``calvings`` has the keys and ``calved_at``. Both sides are reduced to distinct days first, so the
-    as-of window sees at most one row per calendar day of an animal, and the result goes back to the
-    readings by an equality join on animal and day.
+    Both sides are distinct days, so the as-of window sees at most one row per calendar day of an
+    animal. ``calvings`` has the keys and ``calved_at``.
     """
-    dated = df.withColumn("_day", F.to_date("datetime"))
-    days = dated.select(*keys, "_day", F.lit(None).cast("date").alias("_calved")).distinct()
     calved = F.to_date("calved_at")
-    births = calvings.where(calved.isNotNull()).select(*keys, calved.alias("_day"), calved.alias("_calved")).distinct()
-    timeline = days.unionByName(births).groupBy(*keys, "_day").agg(F.max("_calved").alias("_calved"))
-    so_far = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    births = calvings.where(calved.isNotNull()).select(*keys, calved.alias("_date"), calved.alias("_calved")).distinct()
+    asked = days.select(*keys, "_date", F.lit(None).cast("date").alias("_calved")).distinct()
+    timeline = asked.unionByName(births).groupBy(*keys, "_date").agg(F.max("_calved").alias("_calved"))
+    so_far = Window.partitionBy(*keys).orderBy("_date").rowsBetween(Window.unboundedPreceding, 0)
     last_calving = F.last("_calved", ignorenulls=True).over(so_far)
-    per_day = timeline.select(*keys, "_day", F.datediff("_day", last_calving).alias(name))
-    return dated.join(per_day.where(F.col(name).isNotNull()), [*keys, "_day"], "left").drop("_day")
+    per_day = timeline.select(*keys, "_date", F.datediff("_date", last_calving).alias(name))
+    return per_day.where(F.col(name).isNotNull())
+
+
+def days_in_milk(df: DataFrame, calvings: DataFrame, keys: Sequence[str] = ANIMAL, name: str = "DIM") -> DataFrame:
+    """Days since the last calving on or before the day of each reading; null before the first one.
+
+    Computed per day and joined back on animal and day.
+    """
+    dated = df.withColumn("_date", F.to_date("datetime"))
+    return dated.join(milk_days(dated, calvings, keys, name), [*keys, "_date"], "left").drop("_date")

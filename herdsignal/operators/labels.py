@@ -18,6 +18,9 @@ SPAN_HOURS = (-2, 8)
 HOLD_OFF_ROWS = 720
 LABELS = ("cyclic", "inseminated", "pregnant", "deleted")
 
+DAY = "_day"
+SPANS = "_spans"
+
 _HOUR = 3_600_000_000
 _DAY = 24 * _HOUR
 
@@ -54,29 +57,46 @@ def locate_peaks(
     )
 
 
+def day_spans(peaks: DataFrame, labels: Sequence[str], hours: tuple[int, int] = SPAN_HOURS) -> DataFrame:
+    """The marked spans that touch each calendar day of an animal, as an array.
+
+    Peaks are made distinct first. They are reading times, so on a ten-minute grid a day is touched by
+    at most the 144 peaks of its own and the 60 of the hours around it.
+    """
+    at = to_micros(F.col("peak_ts"))
+    distinct = peaks.groupBy(*ANIMAL, "peak_ts").agg(*[F.bool_or(name).alias(name) for name in labels])
+    first, last = at + hours[0] * _HOUR, at + hours[1] * _HOUR
+    span = F.struct(from_micros(first).alias("first"), from_micros(last).alias("last"), *labels)
+    days = F.explode(F.sequence(F.floor(first / _DAY), F.floor(last / _DAY)))
+    return (
+        distinct.select(*ANIMAL, days.alias(DAY), span.alias("_span"))
+        .groupBy(*ANIMAL, DAY)
+        .agg(F.collect_list("_span").alias(SPANS))
+    )
+
+
+def flag_readings(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Turn the spans of a reading's day into the boolean ``labels``."""
+    time = F.col("datetime")
+    hits = df.withColumn(SPANS, F.filter(SPANS, lambda s: (time >= s["first"]) & (time <= s["last"])))
+    flags = {name: F.coalesce(F.exists(SPANS, lambda s: s[name]), F.lit(False)) for name in labels}  # noqa: B023
+    return hits.withColumns(flags).drop(SPANS)
+
+
+def with_day(df: DataFrame) -> DataFrame:
+    return df.withColumn(DAY, F.floor(to_micros(F.col("datetime")) / _DAY))
+
+
 def mark_spans(
-    readings: DataFrame,
-    peaks: DataFrame,
-    labels: Sequence[str],
-    minutes: int = 10,
-    hours: tuple[int, int] = SPAN_HOURS,
+    readings: DataFrame, peaks: DataFrame, labels: Sequence[str], hours: tuple[int, int] = SPAN_HOURS
 ) -> DataFrame:
     """Set the boolean ``labels`` on the readings from two hours before to eight hours after a peak.
 
-    Readings and peaks lie on the grid, so a span is a fixed number of ticks: spans become ticks, the
-    ticks are merged, and an equality join finds the readings.
+    The interval join is an equality join on animal and calendar day: a span reaches into two days at
+    most, and a long series is spread over its days.
     """
-    step = minutes * 60_000_000
-    before = (-hours[0] * _HOUR // step) * step
-    peak = to_micros(F.col("peak_ts"))
-    tick = F.explode(F.sequence(peak - before, peak + hours[1] * _HOUR, F.lit(step)))
-    marked = (
-        peaks.select(*ANIMAL, *labels, tick.alias("_tick"))
-        .groupBy(*ANIMAL, from_micros(F.col("_tick")).alias("datetime"))
-        .agg(*[F.bool_or(name).alias(name) for name in labels])
-    )
-    joined = readings.join(marked, [*ANIMAL, "datetime"], "left")
-    return joined.withColumns({name: F.coalesce(F.col(name), F.lit(False)) for name in labels})
+    joined = with_day(readings).join(day_spans(peaks, labels, hours), [*ANIMAL, DAY], "left")
+    return flag_readings(joined, labels).drop(DAY)
 
 
 def tagged(sets: dict[str, DataFrame]) -> DataFrame:
@@ -89,11 +109,10 @@ def tagged(sets: dict[str, DataFrame]) -> DataFrame:
     return parts.groupBy(*ANIMAL, "event_ts").agg(*flags)
 
 
-def mark_events(readings: DataFrame, sets: dict[str, DataFrame], minutes: int = 10) -> DataFrame:
+def mark_events(readings: DataFrame, sets: dict[str, DataFrame]) -> DataFrame:
     """Label readings around the events of each set, all sets in one pass."""
     names = list(sets)
-    peaks = locate_peaks(readings, tagged(sets), carry=names)
-    return mark_spans(readings, peaks, names, minutes)
+    return mark_spans(readings, locate_peaks(readings, tagged(sets), carry=names), names)
 
 
 def event_sets(events: DataFrame, detections: DataFrame, cycles: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -111,9 +130,8 @@ def add_labels(
     events: DataFrame,
     detections: DataFrame,
     cycles: DataFrame | None = None,
-    minutes: int = 10,
 ) -> DataFrame:
-    return mark_events(readings, event_sets(events, detections, cycles), minutes)
+    return mark_events(readings, event_sets(events, detections, cycles))
 
 
 def annotate(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Class names, positive weight, number of bins.
 CLASS_NAMES = ("no heat", "heat")
@@ -10,10 +10,18 @@ POSITIVE_WEIGHT = 250.0
 BINS = 50
 
 
-def confusion(df: DataFrame, truth: str = "y", predicted: str = "y_pred") -> DataFrame:
-    """Counts for all four cells, zero where no row falls, and the share within the true class."""
+def _rows(condition: Column, weight: str | None) -> Column:
+    """Number of rows, or sum of their weights, where the condition holds."""
+    return F.coalesce(F.sum(F.when(condition, F.col(weight) if weight else F.lit(1))), F.lit(0)).cast("long")
+
+
+def confusion(df: DataFrame, truth: str = "y", predicted: str = "y_pred", weight: str | None = None) -> DataFrame:
+    """Counts for all four cells, zero where no row falls, and the share within the true class.
+
+    ``weight`` names a count column when ``df`` is already counted.
+    """
     cells = [
-        F.count(F.when((F.col(truth) == y) & (F.col(predicted) == p), 1)).alias(f"n{y}{p}")
+        _rows((F.col(truth) == y) & (F.col(predicted) == p), weight).alias(f"n{y}{p}")
         for y in (0, 1)
         for p in (0, 1)
     ]
@@ -30,7 +38,7 @@ def confusion(df: DataFrame, truth: str = "y", predicted: str = "y_pred") -> Dat
     )
 
 
-def report(df: DataFrame, truth: str = "y", predicted: str = "y_pred") -> DataFrame:
+def report(df: DataFrame, truth: str = "y", predicted: str = "y_pred", weight: str | None = None) -> DataFrame:
     """Precision, recall, F1 and support per class, accuracy, macro and weighted averages; 0/0 is 0."""
 
     def ratio(over, under):
@@ -38,10 +46,10 @@ def report(df: DataFrame, truth: str = "y", predicted: str = "y_pred") -> DataFr
 
     y, p = F.col(truth), F.col(predicted)
     counts = df.agg(
-        *[F.count(F.when((y == k) & (p == k), 1)).alias(f"hit{k}") for k in (0, 1)],
-        *[F.count(F.when(y == k, 1)).alias(f"true{k}") for k in (0, 1)],
-        *[F.count(F.when(p == k, 1)).alias(f"said{k}") for k in (0, 1)],
-        F.count(F.lit(1)).alias("rows"),
+        *[_rows((y == k) & (p == k), weight).alias(f"hit{k}") for k in (0, 1)],
+        *[_rows(y == k, weight).alias(f"true{k}") for k in (0, 1)],
+        *[_rows(p == k, weight).alias(f"said{k}") for k in (0, 1)],
+        _rows(F.lit(True), weight).alias("rows"),
     )
     scores = counts
     for k in (0, 1):

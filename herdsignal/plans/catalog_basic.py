@@ -350,8 +350,7 @@ def _(spark, sf):
 
 
 def _flat_events(spark, sf):
-    animals = schemas.decode(R.animal_documents(spark, sf), "json", "animal").select("document.*")
-    return documents.flatten_events(animals)
+    return documents.flatten_event_documents(R.animal_documents(spark, sf))
 
 
 @query("b15_flatten_events", sql("SELECT organisation_id, animal_id, cycle_no, event_type, event_ts FROM document_events"))
@@ -359,6 +358,12 @@ def _(spark, sf):
     return _flat_events(spark, sf).select(*ANIMAL, "cycle_no", "event_type", "event_ts")
 
 
+@query("b15_flatten_decoded", sql("SELECT organisation_id, animal_id, cycle_no, event_type, event_ts FROM document_events"))
+def _(spark, sf):
+    animals = schemas.decode(R.animal_documents(spark, sf), "json", "animal").select("document.*")
+    return documents.flatten_events(animals).select(*ANIMAL, "cycle_no", "event_type", "event_ts")
+
+
 @query("b16_event_types", sql("SELECT animal_id, event_ts, event_type FROM lifecycle_events WHERE event_type IN ('heat', 'insemination')"))
 def _(spark, sf):
     from herdsignal.operators.events import of_type
@@ -636,8 +641,11 @@ def _(spark, sf):
     WHERE event_type IN ('heat', 'insemination')
       AND substr(animal_id, 2) IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2)"""))
 def _(spark, sf):
-    animals = schemas.decode(R.animal_documents(spark, sf), "json", "animal").select("document.*")
+    json = R.animal_documents(spark, sf)
     items = R.table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("animal_id"))
-    keys = animals.select("organisation_id", F.col("_id").alias("animal_id"))
+    keys = json.select(
+        F.get_json_object("json", "$.organisation_id").alias("organisation_id"),
+        F.get_json_object("json", "$._id").alias("animal_id"),
+    )
     parts = items.join(keys, "animal_id")
-    return documents.events_for_analysis(animals, parts).select(*ANIMAL, "event_type", "event_ts")
+    return documents.events_for_analysis(_flat_events(spark, sf), parts).select(*ANIMAL, "event_type", "event_ts")

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.operators import clean, events as ev, features, labels, scaling, sequences, split
-from herdsignal.operators.series import ANIMAL
+from herdsignal.operators.series import ANIMAL, number_rows
 from herdsignal.session import cut
 
+ROW = "row_no"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -42,20 +44,40 @@ def build_features(
     """The feature table.
 
     The order of the stages matters: labels and the temperature filter see the whole gridded series,
-    the group mean follows, rows are filtered after that, and the heat feature sees what is left. The
-    gridded readings and the filtered rows are each read more than once and are therefore written out.
+    the group mean sees all rows, rows are filtered after that, and the heat feature sees what is left.
+    The gridded readings and the filtered rows are each read more than once and therefore written out.
     """
     grid = cut(gridded(readings, animals, settings))
-    labelled = labels.add_labels(grid, events, detections, cycles, settings.minutes)
-    births = ev.calvings(events, cycles).select(*ANIMAL, "calved_at")
-    dated = features.days_in_milk(labelled, births)
-    filtered = features.filter_temperature(dated)
-    grouped = features.group_mean(filtered, settings.min_animals)
+    filtered = features.filter_temperature(grid)
+    labelled = with_day_sheet(filtered, day_sheet(grid, events, detections, cycles))
+    grouped = features.group_mean(labelled, settings.min_animals)
     kept = cut(clean.plausible(clean.required(grouped), settings.min_temp))
-    long_enough = clean.min_history(kept, settings.min_rows)
+    numbered = number_rows(kept, row=ROW, total=f"{ROW}_total")
+    long_enough = numbered.where(F.col(f"{ROW}_total") >= settings.min_rows)
     if settings.require_heat:
         long_enough = clean.with_any_heat(long_enough)
-    return features.heat_feature(long_enough)
+    return features.heat_feature(long_enough, row=ROW).drop(ROW, f"{ROW}_total")
+
+
+def day_sheet(
+    grid: DataFrame, events: DataFrame, detections: DataFrame, cycles: DataFrame | None = None
+) -> DataFrame:
+    """What holds for a whole day of an animal: its days in milk and the label spans that touch it.
+
+    One row per animal and day, so that the readings are shuffled once for both.
+    """
+    sets = labels.event_sets(events, detections, cycles)
+    peaks = labels.locate_peaks(grid, labels.tagged(sets), carry=list(sets))
+    spans = labels.day_spans(peaks, list(sets))
+    births = ev.calvings(events, cycles).select(*ANIMAL, "calved_at")
+    milk = features.milk_days(grid.select(*ANIMAL, F.to_date("datetime").alias("_date")), births)
+    numbered = milk.select(*ANIMAL, F.unix_date("_date").cast("long").alias(labels.DAY), "DIM")
+    return numbered.join(spans, [*ANIMAL, labels.DAY], "full")
+
+
+def with_day_sheet(readings: DataFrame, sheet: DataFrame) -> DataFrame:
+    joined = labels.with_day(readings).join(sheet, [*ANIMAL, labels.DAY], "left")
+    return labels.flag_readings(joined, labels.LABELS).drop(labels.DAY)
 
 
 def build_training(table: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from herdsignal.functions.time import decode_datetime
 from herdsignal.schemas import decode
 
 # Identifying fields of an organisation, at load time and in the batch pass.
@@ -50,8 +51,34 @@ def flatten_events(animals: DataFrame) -> DataFrame:
     )
 
 
-def events_for_analysis(animals: DataFrame, stored_parts: DataFrame, types=("insemination", "heat")) -> DataFrame:
-    """Events of the animals with at least two stored parts, of the given types, by time.
+def flatten_event_documents(df: DataFrame, json: str = "json") -> DataFrame:
+    """Life-cycle events straight from animal documents in JSON text.
+
+    Only the fields of the result are parsed, and they are typed after the arrays are taken apart, so
+    that no array of whole events is rebuilt. Same rows as ``flatten_events`` on decoded documents.
+    """
+    event = "event_ts STRING, event_type STRING, insemination_date STRING, pregnant STRING"
+    wanted = f"_id STRING, organisation_id STRING, lifecycle STRUCT<cycles: ARRAY<STRUCT<events: ARRAY<STRUCT<{event}>>>>>"
+    parsed = df.select(F.from_json(json, wanted).alias("d"))
+    cycles = parsed.select(
+        F.col("d.organisation_id").alias("organisation_id"),
+        F.col("d._id").alias("animal_id"),
+        F.posexplode("d.lifecycle.cycles").alias("cycle_no", "cycle"),
+    )
+    events = cycles.select("organisation_id", "animal_id", "cycle_no", F.explode("cycle.events").alias("event"))
+    return events.select(
+        "organisation_id",
+        "animal_id",
+        "cycle_no",
+        decode_datetime(F.col("event.event_ts")).alias("event_ts"),
+        F.col("event.event_type").alias("event_type"),
+        decode_datetime(F.col("event.insemination_date")).alias("insemination_date"),
+        F.col("event.pregnant").try_cast("boolean").alias("pregnant"),
+    )
+
+
+def events_for_analysis(events: DataFrame, stored_parts: DataFrame, types=("insemination", "heat")) -> DataFrame:
+    """Flattened events of the animals with at least two stored parts, of the given types, by time.
 
     ``stored_parts`` has a row per animal and stored part (document, events, readings).
     """
@@ -60,5 +87,5 @@ def events_for_analysis(animals: DataFrame, stored_parts: DataFrame, types=("ins
         .agg(F.count(F.lit(1)).alias("_parts"))
         .where(F.col("_parts") >= 2)
     )
-    events = flatten_events(animals).where(F.col("event_type").isin(*types))
-    return events.join(eligible, ["organisation_id", "animal_id"], "left_semi").orderBy("event_ts")
+    chosen = events.where(F.col("event_type").isin(*types))
+    return chosen.join(eligible, ["organisation_id", "animal_id"], "left_semi").orderBy("event_ts")
