@@ -69,7 +69,7 @@ def test_every_schema_round_trips(spark):
     for name in schemas.SCHEMAS:
         frame = decoded(spark, name, {})
         assert frame.collect()[0].errors == []
-        assert schemas.encode(frame, "document", name).select("json").collect()[0].json == "{}" or name
+        assert schemas.encode(frame.drop("errors"), "document", name).collect()[0].json == "{}"
 
 
 def test_encode_uses_document_names(spark):
