@@ -18,30 +18,40 @@ HEAT_FRAME = (-11, 0)
 SPIKE_FACTOR = 0.55
 MIN_GROUP_ANIMALS = 5
 
+USUAL_TEMPERATURE = 38.0
 
-def _temperature_statistics(frame: DataFrame, window: WindowSpec) -> DataFrame:
+
+def trailing_variance(frame: DataFrame, column: str, name: str, window: WindowSpec, rows: int) -> DataFrame:
+    """Sample variance of the last ``rows`` rows; null below two values.
+
+    From running sums within the block and their values ``rows`` rows earlier, which costs the same for
+    any frame length. Values are taken relative to ``USUAL_TEMPERATURE``, so that the sums stay small and
+    the difference keeps its precision.
+    """
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    shifted = F.col(column) - F.lit(USUAL_TEMPERATURE)
+    sums = {"_n": F.count(shifted), "_s": F.sum(shifted), "_q": F.sum(shifted * shifted)}
+    running = frame.withColumns({key: F.coalesce(total.over(so_far), F.lit(0)) for key, total in sums.items()})
+    inside = {key: F.col(key) - F.coalesce(F.lag(key, rows).over(window), F.lit(0)) for key in sums}
+    spread = F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")
     return (
-        frame.withColumns(
-            {
-                "_values": F.sort_array(F.collect_list("temp").over(window.rowsBetween(*MEDIAN_FRAME))),
-                "temp_var": F.var_samp("temp").over(window.rowsBetween(*VARIANCE_FRAME)),
-                "temp_mean": F.avg("temp").over(window.rowsBetween(*MEAN_FRAME)),
-            }
-        )
-        .withColumn("_size", F.size("_values"))
-        .withColumn(
-            "temp_median",
-            F.when(
-                F.col("_size") > 0,
-                (
-                    F.try_element_at("_values", F.floor((F.col("_size") + 1) / 2).cast("int"))
-                    + F.try_element_at("_values", (F.floor(F.col("_size") / 2) + 1).cast("int"))
-                )
-                / 2,
-            ),
-        )
-        .drop("_values", "_size")
+        running.withColumns(inside)
+        .withColumn(name, F.when(F.col("_n") > 1, F.greatest(spread, F.lit(0.0)) / (F.col("_n") - 1)))
+        .drop(*sums)
+    )
+
+
+def _temperature_statistics(frame: DataFrame, window: WindowSpec) -> DataFrame:
+    """Median from the sorted values of its frame; no framed median exists, and percentile is slower."""
+    values = F.sort_array(F.collect_list("temp").over(window.rowsBetween(*MEDIAN_FRAME)))
+    half = F.size("_values") / F.lit(2)
+    low = F.try_element_at("_values", F.ceil(half).cast("int"))
+    high = F.try_element_at("_values", (F.floor(half) + 1).cast("int"))
+    with_values = frame.withColumns(
+        {"_values": values, "temp_mean": F.avg("temp").over(window.rowsBetween(*MEAN_FRAME))}
     )
+    with_median = with_values.withColumn("temp_median", F.when(F.size("_values") > 0, (low + high) / 2))
+    return trailing_variance(with_median.drop("_values"), "temp", "temp_var", window, -VARIANCE_FRAME[0] + 1)
 
 
 def temperature_statistics(df: DataFrame, **series) -> DataFrame:

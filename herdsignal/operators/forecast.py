@@ -1,6 +1,7 @@
 """ARMA(1,1) with constant for every series, by two regressions (Hannan and Rissanen, 1982).
 
-The regressions need only sums of products, which Spark adds up per series before the shuffle. The
+The regressions need only sums of products, which Spark adds up per series before the shuffle; one
+small system per series is solved from them. The
 recursion ``e_t = u_t - theta * e_{t-1}`` forgets its start at the rate ``theta``: kept invertible by
 ``MAX_THETA``, it has lost it to below double precision after ``MEMORY_ROWS`` rows. So blocks of a series
 that begin that many rows early give the residuals of the whole series.
@@ -12,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F, types as T
 
 from herdsignal.operators.series import ANIMAL, BLOCK, number_rows, rolling
 
@@ -21,42 +22,50 @@ MAX_THETA = 0.99
 MEMORY_ROWS = 4096
 
 
-def _gram(inputs: Sequence[str], target: str) -> list:
-    """Sums of products of the inputs (upper triangle, with a constant first) and of inputs and target."""
-    names = [F.lit(1.0), *[F.col(name) for name in inputs]]
-    sums = [F.sum(a * b) for i, a in enumerate(names) for b in names[i:]]
-    return sums + [F.sum(a * F.col(target)) for a in names]
+def _gram(names: Sequence[str], complete: Column) -> Column:
+    """Sums of products over the complete rows: upper triangle for a constant and the named columns."""
+    columns = [F.lit(1.0), *[F.col(name) for name in names]]
+    return F.array(*[F.sum(F.when(complete, a * b)) for i, a in enumerate(columns) for b in columns[i:]])
 
 
-def _solver(size: int):
-    """Least squares for a column of Gram sums; a singular system gives nulls."""
+def _two_regressions(order: int):
+    """Coefficients ``[constant, phi, theta]`` from the Gram sums of ``1, x1 .. x(order+1), x``.
+
+    First the value on ``order`` lags; the residual one step back is then itself a sum of lags, so the
+    second regression, on the last value and that residual, needs no further pass over the rows.
+    """
+    size = order + 3
+    upper = np.triu_indices(size)
+
+    def fit(sums) -> list | None:
+        gram = np.zeros((size, size))
+        gram[upper] = np.asarray(sums, dtype=float)
+        gram = gram + np.triu(gram, 1).T
+        if not np.isfinite(gram).all():
+            return None
+        first = gram[: order + 1, : order + 1]
+        if np.linalg.matrix_rank(first) <= order:
+            return None
+        long = np.linalg.solve(first, gram[: order + 1, -1])
+        pick = np.zeros((3, size))
+        pick[0, 0] = pick[1, 1] = pick[2, 1] = 1.0
+        pick[2, 0] = -long[0]
+        pick[2, 2 : order + 2] = -long[1:]
+        second = pick @ gram @ pick.T
+        if np.linalg.matrix_rank(second) < 3:
+            return None
+        constant, phi, theta = np.linalg.solve(second, pick @ gram[:, -1])
+        return [constant, phi, min(max(theta, -MAX_THETA), MAX_THETA)]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        upper = np.triu_indices(size)
         for sums in batches:
-            found = []
-            for values in sums:
-                values = np.asarray(values, dtype=float)
-                gram = np.zeros((size, size))
-                gram[upper] = values[: len(upper[0])]
-                gram = gram + np.triu(gram, 1).T
-                right = values[len(upper[0]) :]
-                full = np.isfinite(values).all() and np.linalg.matrix_rank(gram) == size
-                found.append(np.linalg.solve(gram, right).tolist() if full else None)
+            found = [fit(values) if all(v is not None for v in values) else None for values in sums]
             yield pd.Series(found, index=sums.index, dtype=object)
 
     return solve
 
 
-def _regress(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], target: str, name: str) -> DataFrame:
-    complete = df.na.drop(subset=[*inputs, target])
-    solve = _solver(len(inputs) + 1)
-    return complete.groupBy(*keys).agg(F.array(*_gram(inputs, target)).alias("_sums")).select(
-        *keys, solve("_sums").alias(name)
-    )
-
-
 def arma11(
     df: DataFrame,
     column: str = "act",
@@ -79,24 +88,21 @@ def arma11(
         return part.withColumns({f"_x{k}": F.lag(column, k).over(window) for k in range(1, long_order + 2)})
 
     lagged = rolling(numbered, add_lags, long_order + 1, 0, keys, time, row="_t", block_rows=block_rows)
-    orders = range(1, long_order + 1)
-    long_fit = _regress(lagged, keys, [f"_x{k}" for k in orders], column, "_long")
-    expected_before = sum((F.col("_long")[k] * F.col(f"_x{k + 1}") for k in orders), F.col("_long")[0])
-    staged = lagged.join(long_fit, list(keys)).withColumn("_r1", F.col("_x1") - expected_before)
-    theta = F.greatest(F.least(F.col("_fit")[2], F.lit(MAX_THETA)), F.lit(-MAX_THETA))
-    fit = _regress(staged, keys, ["_x1", "_r1"], column, "_fit").select(
+    lags = [f"_x{k}" for k in range(1, long_order + 2)]
+    complete = F.col(lags[-1]).isNotNull()
+    sums = lagged.groupBy(*keys).agg(_gram([*lags, column], complete).alias("_sums"), F.avg(column).alias("_mean"))
+    fit = sums.withColumn("_fit", _two_regressions(long_order)("_sums")).select(
         *keys,
+        "_mean",
         F.col("_fit")[0].alias("constant"),
         F.col("_fit")[1].alias("phi"),
-        F.when(F.col("_fit").isNotNull(), theta).alias("theta"),
+        F.col("_fit")[2].alias("theta"),
     )
-    means = known.groupBy(*keys).agg(F.avg(column).alias("_mean"))
     expected = F.when(F.col("_t") == 0, F.col("_mean")).otherwise(F.col("constant") + F.col("phi") * F.col("_x1"))
     shocks = (
-        lagged.join(fit, list(keys), "left")
-        .join(means, list(keys))
+        lagged.join(fit, list(keys))
         .withColumn("_u", F.when(F.col("theta").isNotNull(), F.col(column) - expected))
-        .drop("_mean", *[f"_x{k}" for k in range(1, long_order + 2)])
+        .drop("_mean", *lags)
     )
 
     def predict(part: DataFrame, window: WindowSpec) -> DataFrame:

@@ -178,7 +178,9 @@ def animal_documents(spark: SparkSession, folder: str) -> DataFrame:
         lifecycle.alias("lifecycle"),
         F.col("o_totalprice").alias("unknown_field"),
     )
-    return table(spark, folder, "orders").select("o_orderkey", F.to_json(document).alias("json"))
+    # The table is one file here, and documents take work: spread the rows first.
+    orders = table(spark, folder, "orders").repartition("o_orderkey")
+    return orders.select("o_orderkey", F.to_json(document).alias("json"))
 
 
 # The same relations for the SQL side, in the order of their dependencies.

@@ -10,32 +10,29 @@ from herdsignal.operators.sequences import training_matrix
 from herdsignal.operators.series import ANIMAL, rank_all
 
 
-def write_readings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Compressed Parquet by organisation, sorted by animal and time inside each task's files.
+def _laid_out(df: DataFrame) -> DataFrame:
+    """Ranges of organisation, animal and time, sorted.
 
-    Rows are spread by animal and week, so that neither a big organisation nor a long series is
-    written by one task.
+    A task then writes few organisations, a big organisation or a long series is written by many tasks,
+    and Parquet statistics on animal and time are narrow.
     """
-    week = F.floor(F.unix_seconds(F.col("datetime").cast("timestamp")) / (7 * 86400))
-    (
-        df.withColumn("_week", week)
-        .repartition("organisation_id", "animal_id", "_week")
-        .drop("_week")
-        .sortWithinPartitions("organisation_id", "animal_id", "datetime")
-        .write.mode(mode)
-        .option("compression", "zstd")
-        .partitionBy("organisation_id")
-        .parquet(path)
-    )
+    order = ["organisation_id", "animal_id", "datetime"]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
 
+def write_readings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Compressed Parquet by organisation."""
+    _laid_out(df).write.mode(mode).option("compression", "zstd").partitionBy("organisation_id").parquet(path)
 
-def replace_partitions(df: DataFrame, path: str, by: str = "organisation_id") -> None:
-    """Replace the partitions that occur in ``df`` and leave the others alone."""
+
+def replace_partitions(df: DataFrame, path: str) -> None:
+    """Replace the organisations that occur in ``df`` and leave the others alone."""
     (
-        df.write.mode("overwrite")
+        _laid_out(df)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy(by)
+        .partitionBy("organisation_id")
         .parquet(path)
     )
 
@@ -77,11 +74,12 @@ def export_training(df: DataFrame, path: str, split: DataFrame | None = None) ->
     Rows come in the order of organisation, animal and time; Parquet keeps the range of ``row_id``
     of every row group, so a slice reads only the groups it needs.
     """
-    matrix = rank_all(training_matrix(df), [*ANIMAL, "datetime"], "row_id")
-    if split is None:
-        matrix.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return
-    matrix.join(split, list(ANIMAL)).write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(path)
+    matrix = training_matrix(df)
+    if split is not None:
+        matrix = matrix.join(split, list(ANIMAL))
+    ranked = rank_all(matrix, [*ANIMAL, "datetime"], "row_id")
+    writer = ranked.write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy("split") if split is not None else writer).parquet(path)
 
 
 def row_slice(df: DataFrame, start: int, end: int, row: str = "row_id") -> DataFrame:

@@ -134,11 +134,10 @@ def test_models_learn_and_persist(spark, tmp_path):
 
 def least_squares_arma(x, order=forecast.LONG_ORDER):
     n = len(x)
-    lagged = np.column_stack([np.ones(n - order), *[x[order - k : n - k] for k in range(1, order + 1)]])
-    long = np.linalg.lstsq(lagged, x[order:], rcond=None)[0]
-    r = np.full(n, np.nan)
-    r[order:] = x[order:] - lagged @ long
+    lagged = lambda t: np.array([1, *[x[t - k] for k in range(1, order + 1)]])
     rows = range(order + 1, n)
+    long = np.linalg.lstsq(np.array([lagged(t) for t in rows]), x[order + 1 :], rcond=None)[0]
+    r = np.array([np.nan if t < order else x[t] - lagged(t) @ long for t in range(n)])
     design = np.array([[1, x[t - 1], r[t - 1]] for t in rows])
     c, phi, theta = np.linalg.lstsq(design, x[order + 1 :], rcond=None)[0]
     theta = min(max(theta, -forecast.MAX_THETA), forecast.MAX_THETA)
