@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F, types as T
 
 from herdsignal.operators.clean import NO_GROUP
-from herdsignal.operators.series import ANIMAL, rolling
+from herdsignal.operators.series import ANIMAL, packed, rolling, unpacked
 
 # Frames in rows of ten minutes, and the spike factor.
 MEDIAN_FRAME = (-144, 143)
@@ -41,22 +43,40 @@ def trailing_variance(frame: DataFrame, column: str, name: str, window: WindowSp
     )
 
 
-def _temperature_statistics(frame: DataFrame, window: WindowSpec) -> DataFrame:
-    """Median from the sorted values of its frame; no framed median exists, and percentile is slower."""
-    values = F.sort_array(F.collect_list("temp").over(window.rowsBetween(*MEDIAN_FRAME)))
-    half = F.size("_values") / F.lit(2)
-    low = F.try_element_at("_values", F.ceil(half).cast("int"))
-    high = F.try_element_at("_values", (F.floor(half) + 1).cast("int"))
-    with_values = frame.withColumns(
-        {"_values": values, "temp_mean": F.avg("temp").over(window.rowsBetween(*MEAN_FRAME))}
-    )
-    with_median = with_values.withColumn("temp_median", F.when(F.size("_values") > 0, (low + high) / 2))
-    return trailing_variance(with_median.drop("_values"), "temp", "temp_var", window, -VARIANCE_FRAME[0] + 1)
+def _medians(frame: tuple[int, int]):
+    """For an array of values the median of each row frame; missing values are skipped."""
+    before, after = -frame[0], frame[1]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def medians(blocks: pd.Series) -> pd.Series:
+        results = []
+        for values in blocks:
+            # A trailing window moved forward: the rows ahead of the last one count as missing.
+            padded = np.append(np.asarray(values, dtype=float), np.full(after, np.nan))
+            trailing = pd.Series(padded).rolling(before + 1 + after, min_periods=1).median()
+            found = trailing.to_numpy()[after:]
+            results.append([None if np.isnan(v) else v for v in found.tolist()])
+        return pd.Series(results)
+
+    return medians
+
+
+def _temperature_statistics(part: DataFrame, window: WindowSpec, keys: Sequence[str], row: str) -> DataFrame:
+    """Median, mean and variance of the temperature.
+
+    Spark has no framed median. Sorting the collected values of every frame in SQL took twice to three
+    times as long on 580,000 rows as one Arrow pass over the values of each block.
+    """
+    blocks = packed(part, keys, row)
+    with_median = unpacked(blocks, keys, _medians(MEDIAN_FRAME)(F.col("_rows.temp")), "temp_median")
+    with_mean = with_median.withColumn("temp_mean", F.avg("temp").over(window.rowsBetween(*MEAN_FRAME)))
+    return trailing_variance(with_mean, "temp", "temp_var", window, -VARIANCE_FRAME[0] + 1)
 
 
 def temperature_statistics(df: DataFrame, **series) -> DataFrame:
     """Rolling median, sample variance and mean of the temperature."""
-    return rolling(df, _temperature_statistics, before=287, after=143, **series)
+    keys, row = series.get("keys", ANIMAL), series.get("row") or "_row"
+    return rolling(df, lambda part, w: _temperature_statistics(part, w, keys, row), before=287, after=143, **series)
 
 
 def filter_temperature(
@@ -68,12 +88,13 @@ def filter_temperature(
     then they take the rolling mean of the series repaired that way. Both passes run on the same
     blocks, whose margins cover the two frames together.
     """
+    keys, row = series.get("keys", ANIMAL), series.get("row") or "_row"
 
-    def two_passes(frame: DataFrame, window: WindowSpec) -> DataFrame:
+    def two_passes(part: DataFrame, window: WindowSpec) -> DataFrame:
         bound = F.col("temp_median") - F.col("temp_var") * factor
         filler = F.avg("_repaired").over(window.rowsBetween(*FILLER_FRAME))
         result = (
-            _temperature_statistics(frame, window)
+            _temperature_statistics(part, window, keys, row)
             .withColumn("spike", F.coalesce(F.col("temp") < bound, F.lit(False)))
             .withColumn("_repaired", F.when(F.col("spike"), F.col("temp_mean")).otherwise(F.col("temp")))
             .withColumn("temp_filtered", F.when(F.col("spike"), filler).otherwise(F.col("_repaired")))

@@ -85,6 +85,22 @@ def rolling(
     return result if row else result.drop("_row", "_row_total")
 
 
+def packed(part: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
+    """One row per block inside ``rolling``: its rows in order, as the array ``_rows`` of structs.
+
+    A block is bounded by ``block_rows`` and its margins, so the array is too.
+    """
+    rest = [name for name in part.columns if name not in (*keys, BLOCK, row)]
+    rows = F.array_sort(F.collect_list(F.struct(row, *rest)))
+    return part.groupBy(*keys, BLOCK).agg(rows.alias("_rows"))
+
+
+def unpacked(blocks: DataFrame, keys: Sequence[str], values: Column, name: str) -> DataFrame:
+    """Back to one row per reading, with the matching element of the array ``values`` as ``name``."""
+    paired = blocks.withColumn("_values", values).select(*keys, BLOCK, F.inline(F.arrays_zip("_rows", "_values")))
+    return paired.select(*keys, BLOCK, "_rows.*", F.col("_values").alias(name))
+
+
 def running_last(
     df: DataFrame,
     value: Column,
