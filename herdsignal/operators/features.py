@@ -105,25 +105,35 @@ def filter_temperature(
     return rolling(df, two_passes, before=287 + 18, after=143 + 17, **series)
 
 
-def group_mean(df: DataFrame, min_animals: int = MIN_GROUP_ANIMALS) -> DataFrame:
-    """Mean activity of the animals of a group on each tick, where enough of them have a value.
+GROUP_TICK = ["organisation_id", "group_id", "datetime"]
 
-    Aggregated before the shuffle and joined back on the tick, so that a big group is spread by time
-    and a big tick can still be split by the adaptive skew join.
-    """
-    tick = ["organisation_id", "group_id", "datetime"]
+
+def group_means(df: DataFrame, min_animals: int = MIN_GROUP_ANIMALS) -> DataFrame:
+    """Mean activity of a group on each tick on which enough of its animals have a value."""
     in_group = F.col("act").isNotNull() & (F.col("group_id") != NO_GROUP)
-    means = (
+    return (
         df.where(in_group)
-        .groupBy(*tick)
+        .groupBy(*GROUP_TICK)
         .agg(F.count("act").alias("_animals"), F.avg("act").alias("_mean"))
         .where(F.col("_animals") >= min_animals)
         .drop("_animals")
     )
-    joined = df.join(means, tick, "left")
+
+
+def attach_group_mean(df: DataFrame, means: DataFrame) -> DataFrame:
+    joined = df.join(means, GROUP_TICK, "left")
     return joined.withColumn("act_group_mean", F.when(F.col("act").isNotNull(), F.col("_mean"))).drop("_mean")
 
 
+def group_mean(df: DataFrame, min_animals: int = MIN_GROUP_ANIMALS) -> DataFrame:
+    """The group's mean activity on every row that has a value itself.
+
+    Aggregated before the shuffle and joined back on the tick, so that a big group is spread by time
+    and a big tick can still be split by the adaptive skew join.
+    """
+    return attach_group_mean(df, group_means(df, min_animals))
+
+
 def heat_feature(df: DataFrame, frame: tuple[int, int] = HEAT_FRAME, **series) -> DataFrame:
     """Rolling sum of the activity above the group mean."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 from herdsignal.functions.numbers import any_heat
 from herdsignal.functions.time import from_micros, to_micros
 from herdsignal.operators import events as ev
-from herdsignal.operators.series import ANIMAL, number_rows, rolling
+from herdsignal.operators.series import ANIMAL, rolling, running_sums
 
 # Search span, smoothing frame, marked span, hold-off.
 SEARCH_HOURS = 12
@@ -178,11 +178,11 @@ def difference(df: DataFrame, column: str, name: str, **series) -> DataFrame:
 def label_runs(df: DataFrame, flag: str, keys: Sequence[str] = ANIMAL, time: str = "datetime", **series) -> DataFrame:
     """Contiguous stretches of set flags: first and last time and number of rows.
 
-    Within a stretch the number among all rows and the number among flagged rows grow together, so
-    their difference names the stretch; no row needs to see its neighbour.
+    Within a stretch the running counts of all rows and of flagged rows grow together, so their
+    difference names the stretch; no row needs to see its neighbour.
     """
-    numbered = number_rows(df.select(*keys, time, flag), keys, time, row="_all", **series)
-    flagged = number_rows(numbered.where(F.col(flag)), keys, time, row="_flagged", **series)
+    counts = {"_all": F.lit(1), "_flagged": F.col(flag).cast("int")}
+    flagged = running_sums(df.select(*keys, time, flag), counts, keys, time, **series).where(F.col(flag))
     return (
         flagged.groupBy(*keys, (F.col("_all") - F.col("_flagged")).alias("_run"))
         .agg(F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count(F.lit(1)).alias("rows"))

@@ -127,26 +127,29 @@ def running_last(
     )
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     keys: Sequence[str] = ANIMAL,
     time: str = "datetime",
     ties: Sequence[str] = (),
     bucket_days: int = 7,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` up to and including each row; nulls count as zero."""
-    bucketed = with_buckets(df, time, bucket_days).withColumn("_value", F.coalesce(value, F.lit(0)))
-    sums = bucketed.groupBy(*keys, BUCKET).agg(F.sum("_value").alias("_sum"))
+    """Cumulative sums up to and including each row, one column per entry; nulls count as zero."""
+    valued = {f"_value_{name}": F.coalesce(value, F.lit(0)) for name, value in values.items()}
+    bucketed = with_buckets(df, time, bucket_days).withColumns(valued)
+    sums = bucketed.groupBy(*keys, BUCKET).agg(*[F.sum(f"_value_{name}").alias(f"_sum_{name}") for name in values])
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, BUCKET, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    before = [F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in values]
+    carried = sums.select(*keys, BUCKET, *before)
     so_far = Window.partitionBy(*keys, BUCKET).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        bucketed.join(carried, [*keys, BUCKET])
-        .withColumn(name, F.col("_carried") + F.sum("_value").over(so_far))
-        .drop("_value", "_carried", BUCKET)
-    )
+    totals = {name: F.col(f"_before_{name}") + F.sum(f"_value_{name}").over(so_far) for name in values}
+    done = [BUCKET, *valued, *[f"_before_{name}" for name in values]]
+    return bucketed.join(carried, [*keys, BUCKET]).withColumns(totals).drop(*done)
+
+
+def running_sum(df: DataFrame, value: Column, name: str, **series) -> DataFrame:
+    return running_sums(df, {name: value}, **series)
 
 
 def rank_all(df: DataFrame, order: Sequence[str], rank: str = "rank", total: str | None = None) -> DataFrame:

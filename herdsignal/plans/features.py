@@ -50,7 +50,7 @@ def build_features(
     grid = cut(gridded(readings, animals, settings))
     filtered = features.filter_temperature(grid)
     labelled = with_day_sheet(filtered, day_sheet(grid, events, detections, cycles))
-    grouped = features.group_mean(labelled, settings.min_animals)
+    grouped = features.attach_group_mean(labelled, features.group_means(grid, settings.min_animals))
     kept = cut(clean.plausible(clean.required(grouped), settings.min_temp))
     numbered = number_rows(kept, row=ROW, total=f"{ROW}_total")
     long_enough = numbered.where(F.col(f"{ROW}_total") >= settings.min_rows)
