@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, WindowSpec, functions as F
 
-from herdsignal.operators.series import ANIMAL, number_rows, rank_all, rolling
+from herdsignal.operators.series import ANIMAL, BLOCK, number_rows, packed, rank_all, rolling
 
 # Lags, sequence length, padding, batch size, matrix columns in their order.
 LAGS = 144
@@ -16,25 +16,33 @@ BATCH_SIZE = 10
 MATRIX = ("annotation", "DIM", "act", "act_group_mean", "temp_filtered")
 
 
-def lag_embedding(df: DataFrame, columns: Sequence[str], lags: int = LAGS, **series) -> DataFrame:
+def lag_embedding(
+    df: DataFrame,
+    columns: Sequence[str],
+    lags: int = LAGS,
+    keys: Sequence[str] = ANIMAL,
+    time: str = "datetime",
+    ties: Sequence[str] = (),
+    block_rows: int = 4096,
+    bucket_days: int = 7,
+) -> DataFrame:
     """Columns ``{name}0`` to ``{name}{lags-1}``: the value k rows earlier, null at the start.
 
-    One frame per column instead of one window expression per lag.
+    Lags are looked up in the arrays of a block's values, instead of one window expression per lag.
     """
+    numbered = number_rows(df, keys, time, ties, "_row", "_row_total", bucket_days)
 
-    def add(part: DataFrame, window: WindowSpec) -> DataFrame:
-        frame = window.rowsBetween(-(lags - 1), 0)
-        # Structs keep nulls in their places, which a list of bare values would not.
-        pasts = {f"_past_{name}": F.collect_list(F.struct(F.col(name).alias("v"))).over(frame) for name in columns}
-        part = part.withColumns(pasts)
-        shifted = {
-            f"{name}{k}": F.when(F.size(f"_past_{name}") > k, F.try_element_at(f"_past_{name}", F.lit(-1 - k))["v"])
-            for name in columns
-            for k in range(lags)
-        }
-        return part.withColumns(shifted).drop(*pasts)
+    def look_up(part: DataFrame, window: WindowSpec) -> DataFrame:
+        values = {f"_values_{name}": F.col(f"_rows.{name}") for name in columns}
+        rows = packed(part, keys, "_row").withColumns(values)
+        placed = rows.select(*keys, BLOCK, *values, F.posexplode("_rows").alias("_pos", "_this"))
+        shifted = [
+            F.get(f"_values_{name}", F.col("_pos") - k).alias(f"{name}{k}") for name in columns for k in range(lags)
+        ]
+        return placed.select(*keys, BLOCK, "_this.*", *shifted)
 
-    return rolling(df, add, before=lags - 1, after=0, **series)
+    embedded = rolling(numbered, look_up, lags - 1, 0, keys, time, row="_row", block_rows=block_rows)
+    return embedded.drop("_row", "_row_total")
 
 
 def tree_matrix(df: DataFrame, lags: int = LAGS, **series) -> DataFrame:
@@ -52,33 +60,42 @@ def sequence_windows(
     length: int = SEQUENCE_ROWS,
     stride: int = 1,
     name: str = "sequence",
-    **series,
+    keys: Sequence[str] = ANIMAL,
+    time: str = "datetime",
+    ties: Sequence[str] = (),
+    block_rows: int = 4096,
+    bucket_days: int = 7,
 ) -> DataFrame:
     """For every ``stride``-th row the ``length`` rows from it on, as an array of structs; only full windows.
 
-    The label of a window is that of its first row.
+    The label of a window is that of its first row. Windows are slices of a block's rows, so only the
+    chosen ones are built.
     """
-    keys = series.get("keys", ANIMAL)
-    time = series.get("time", "datetime")
-    options = {k: v for k, v in series.items() if k in ("keys", "time", "ties", "bucket_days")}
-    numbered = number_rows(df, row="seq_no", total="seq_no_total", **options)
-
-    def add(part: DataFrame, window: WindowSpec) -> DataFrame:
-        ahead = F.collect_list(F.struct(*columns)).over(window.rowsBetween(0, length - 1))
-        return part.withColumn(name, ahead)
-
-    windows = rolling(
-        numbered.select(*keys, time, label, *[c for c in columns if c != label], "seq_no", "seq_no_total"),
-        add,
-        before=0,
-        after=length - 1,
-        keys=keys,
-        time=time,
-        row="seq_no",
-        block_rows=series.get("block_rows", 4096),
-    )
-    chosen = windows.where((F.size(name) == length) & (F.col("seq_no") % stride == 0))
-    return chosen.select(*keys, time, "seq_no", label, name)
+    numbered = number_rows(df, keys, time, ties, "seq_no", "seq_no_total", bucket_days)
+    wanted = numbered.select(*keys, time, label, F.struct(*columns).alias("_v"), "seq_no", "seq_no_total")
+
+    def slices(part: DataFrame, window: WindowSpec) -> DataFrame:
+        blocks = packed(part, keys, "seq_no").withColumns(
+            {"_start": F.col("_rows")[0]["seq_no"], "_values": F.col("_rows._v")}
+        )
+        first = F.pmod(-F.col("_start"), F.lit(stride))
+        end = F.least(F.lit(block_rows), F.size("_rows") - length + 1)
+        # An array of starts; empty where the block holds no full window.
+        starts = F.when(first < end, F.sequence(first.cast("int"), (end - 1).cast("int"), F.lit(stride)))
+        placed = blocks.select("*", F.explode(starts).alias("_at"))
+        head = F.get("_rows", F.col("_at"))
+        return placed.select(
+            *keys,
+            BLOCK,
+            head[time].alias(time),
+            head["seq_no"].alias("seq_no"),
+            head["seq_no_total"].alias("seq_no_total"),
+            head[label].alias(label),
+            F.slice("_values", F.col("_at") + 1, F.lit(length)).alias(name),
+        )
+
+    windows = rolling(wanted, slices, 0, length - 1, keys, time, row="seq_no", block_rows=block_rows)
+    return windows.select(*keys, time, "seq_no", label, name)
 
 
 def flat_window(sequence: str, columns: Sequence[str]):

@@ -210,18 +210,18 @@ def _(spark, sf):
 
 def _time_texts(spark, sf):
     """Times as ISO text, as epoch text or as neither."""
-    kind = F.col("event_id") % 3
+    kind = F.col("event_type")
     epoch = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
-    text = F.when(kind == 0, F.col("ts").cast("string")).when(kind == 1, epoch).otherwise(F.col("event_type"))
+    text = F.when(kind == "error", kind).when(kind.isin("click", "signup"), epoch).otherwise(F.col("ts").cast("string"))
     return R.table(spark, sf, "events").select("event_id", text.alias("ts"))
 
 
-@query("b3_repair_time", sql("SELECT event_id, CAST(CASE WHEN event_id % 3 < 2 THEN date_trunc('second', ts) END AS TIMESTAMP) AS datetime FROM events"))
+@query("b3_repair_time", sql("SELECT event_id, CAST(CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS TIMESTAMP) AS datetime FROM events"))
 def _(spark, sf):
     return clean.repair_time(_time_texts(spark, sf)).select("event_id", "datetime")
 
 
-@query("b3_unreadable", sql("SELECT event_id, event_type AS ts FROM events WHERE event_id % 3 = 2"))
+@query("b3_unreadable", sql("SELECT event_id, event_type AS ts FROM events WHERE event_type = 'error'"))
 def _(spark, sf):
     return clean.split_unreadable(clean.repair_time(_time_texts(spark, sf)))[1].select("event_id", "ts")
 
@@ -437,10 +437,10 @@ def _(spark, sf):
 
 @query("b29_file_names", sql(r"""
     SELECT event_id, CAST(user_id AS VARCHAR) AS animal_id, CAST(event_id % 3 AS INTEGER) AS chunk,
-           event_id % 2 = 0 AS is_sensor_file, event_id % 2 = 0 AND user_id = 1 AS is_of_one
+           event_type <> 'view' AS is_sensor_file, event_type <> 'view' AND user_id = 1 AS is_of_one
     FROM events"""))
 def _(spark, sf):
-    suffix = F.when(F.col("event_id") % 2 == 0, ".csv").otherwise(".pkl")
+    suffix = F.when(F.col("event_type") != "view", ".csv").otherwise(".pkl")
     name = F.concat(F.col("user_id").cast("string"), F.lit("|"), (F.col("event_id") % 3).cast("string"))
     events = R.table(spark, sf, "events").select("event_id", name.alias("stem"), F.concat(name, suffix).alias("name"))
     return events.select(
