@@ -15,7 +15,7 @@ ROW = "row_no"
 
 @dataclass(frozen=True)
 class Settings:
-    """Reference defaults; tests and small tables lower the thresholds."""
+    """Thresholds and grid; tests and small tables lower them."""
 
     minutes: int = 10
     min_animals: int = features.MIN_GROUP_ANIMALS
