@@ -1,4 +1,4 @@
-"""Session settings, shared scratch space and lineage cuts."""
+"""Session settings, shared scratch tables and lineage cuts."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
 
 def local_session(app: str = "herdsignal", cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
@@ -26,20 +24,24 @@ def local_session(app: str = "herdsignal", cores: str | int = "*", partitions: i
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    own_folder(spark)
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
+def own_folder(spark: SparkSession) -> None:
+    """On one machine, name a folder for scratch tables where ``spark.checkpoint.dir`` names none."""
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    unset = spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None
+    if unset and context.master.startswith("local[") or unset and context.master == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="herdsignal-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="herdsignal-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    return named
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -47,9 +49,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/herdsignal/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so that later stages neither recompute it nor lose it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a scratch table and read it back: later stages neither recompute nor lose it.
+
+    The table stays in the shared folder, because the returned frame reads it; clear ``herdsignal/`` there
+    when the job's results are written, or hand the frame to ``release`` as soon as nothing reads it any more.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of scratch tables made by ``cut``."""
+    for table in tables:
+        spark = table.sparkSession
+        root = f"{shared_folder(spark).rstrip('/')}/herdsignal/".split(":")[-1].lstrip("/")
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if root not in folder:
+                raise ValueError(f"{folder} is no scratch table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
