@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from herdsignal.session import cut, release
@@ -79,14 +80,10 @@ def components(edges: DataFrame) -> DataFrame:
             size = label.groupBy("component").agg(F.count("*").alias("m"))
             roots = cut(parent.select(F.col("a").alias("component"), F.col("to").alias("root")).join(size, "component"), "roots")
             label = cut(
-                hot_join(label, roots, "component", "m", "left")
-                .unionByName(label.limit(0).withColumns({"root": F.lit(None).cast("long"), "m": F.lit(None).cast("long")}))
-                .select("node", F.coalesce("root", "component").alias("component")),
-                "label",
+                hot_join(label, roots, "component", "m", "left").select("node", F.coalesce("root", "component").alias("component")), "label"
             )
         to = cut(parent.select("a", "to", "n"), "to")
-        one = hot_join(edges, to, "a", "n").select(F.col("to").alias("c"), "b")
-        one = cut(one, "half")
+        one = cut(hot_join(edges, to, "a", "n").select(F.col("to").alias("c"), "b"), "half")
         in_b = one.groupBy("b").agg(F.count("*").alias("n"))
         to_b = cut(to.select(F.col("a").alias("b"), "to").join(in_b, "b"), "to")
         old, edges = edges, cut(
@@ -102,7 +99,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
     """The batches cut so that a step holds about ``most`` bytes of ``text`` (one row at least)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         at = 0
         while at < len(size):
             ends = np.cumsum(size[at:])
@@ -114,7 +111,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column one after the other, and where each row starts (one more than rows)."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = column.cast(pa.large_binary())
     _, offsets, data = wide.buffers()
     starts = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from herdsignal.llm import exact_dedup, ngram_join
+from herdsignal.llm import bpe, exact_dedup, language, ngram_join, packing
 from herdsignal.session import own_folder
 
+#: The vocabulary of the encoding queries.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -51,3 +55,26 @@ def _(spark, sf):
 def _(spark, sf):
     found = exact_dedup.exact_dedup(table(spark, sf, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def remainder(column: str, by: int):
+    """crc32 of a number's text, divided."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+@query("op2_language_id")
+def _(spark, sf):
+    documents = table(spark, sf, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = language.fit(documents.where(~held_out))
+    return language.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_packing")
+def _(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), WORD_BPE)
+
+
+@query("op5_bpe")
+def _(spark, sf):
+    return bpe.digests(table(spark, sf, "documents"), WORD_BPE)
