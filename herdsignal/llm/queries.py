@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from herdsignal.llm import bpe, exact_dedup, language, ngram_join, packing
+from herdsignal.llm import bpe, exact_dedup, language, ngram_join, packing, suffix_dedup
 from herdsignal.session import own_folder
 
 #: The vocabulary of the encoding queries.
@@ -78,3 +79,13 @@ def _(spark, sf):
 @query("op5_bpe")
 def _(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), WORD_BPE)
+
+
+@query("op8_suffix_dedup")
+def _(spark, sf):
+    return suffix_dedup.suffix_dedup(table(spark, sf, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _(spark, sf):
+    return corpus_pipeline.run(spark, sf)
