@@ -41,7 +41,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {max_depth} - depth)"))
     sizes = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("n"))
     fits = sizes.where((F.col("n") <= capacity) | (F.col("depth") == max_depth)).select("depth", "bucket")
-    found = levels.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    found = levels.join(F.broadcast(fits), ["depth", "bucket"])  # fewer than 2 ** (max_depth + 1) rows
+    found = found.groupBy("cell").agg(F.min("depth").alias("depth"))
     return found.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
 
 
