@@ -136,35 +136,58 @@ def _post(buckets: int, length: int):
 
 
 def _tell(out: dict[str, list], who: np.ndarray, key: np.ndarray, buckets: int) -> None:
-    """Rows (label, found) for the anchors that other texts have too."""
-    order = np.argsort(who, kind="stable")
+    """The anchors that other texts have too, a row for each home bucket of texts: labels, counts, and found."""
+    order = np.lexsort((who, who % buckets))
     who, key = who[order], key[order]
-    for at, size in zip(*C.runs(who), strict=True):
-        _put(out, bucket=int(who[at]) % buckets, label=int(who[at]), found=key[at : at + size].tobytes())
+    home = who % buckets
+    for at, size in zip(*C.runs(home), strict=True):
+        first, counts = C.runs(who[at : at + size])
+        _put(out, bucket=int(home[at]), labels=who[at : at + size][first].tobytes(), counts=counts.astype(np.uint32).tobytes(), found=key[at : at + size].tobytes())
+
+
+_FOUND = "bucket int, labels binary, counts binary, found binary"
+
+
+def _shared(buckets: int):
+    """The anchors of a bucket that two texts have, told to the texts' home buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, labels = [], []
+        for batch in batches:
+            out = _empty_columns(_FOUND)
+            for row in batch.to_pylist():
+                if row["found"] is not None:
+                    _put(out, **{name: row[name] for name in out})
+                    continue
+                low, high = np.frombuffer(row["low"], np.uint32), np.frombuffer(row["high"], np.uint16)
+                keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+                labels.append(np.repeat(np.frombuffer(row["labels"], np.int64), np.frombuffer(row["counts"], np.uint32)))
+            yield _batch(out, _FOUND)
+        if keys:
+            key, who = np.concatenate(keys), np.concatenate(labels)
+            order = np.argsort(key)
+            key, who = key[order], who[order]
+            starts, sizes = C.runs(key)
+            shared = np.repeat(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts), sizes)
+            out = _empty_columns(_FOUND)
+            _tell(out, who[shared], key[shared], buckets)
+            yield _batch(out, _FOUND)
 
+    return run
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = "label long, found binary"
-    keys, labels = [], []
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, found): all shared anchors of each text of a home bucket."""
+    keys, labels = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        out = _empty_columns(schema)
         for row in batch.to_pylist():
-            if row["found"] is not None:
-                _put(out, label=row["label"], found=row["found"])
-                continue
-            low, high = np.frombuffer(row["low"], np.uint32), np.frombuffer(row["high"], np.uint16)
-            keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+            keys.append(np.frombuffer(row["found"], np.uint64))
             labels.append(np.repeat(np.frombuffer(row["labels"], np.int64), np.frombuffer(row["counts"], np.uint32)))
-        yield _batch(out, schema)
-    if keys:
-        key, who = np.concatenate(keys), np.concatenate(labels)
-        order = np.argsort(key)
-        key, who = key[order], who[order]
-        starts, sizes = C.runs(key)
-        shared = np.repeat(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts), sizes)
-        out = _empty_columns(schema + ", bucket int")
-        _tell(out, who[shared], key[shared], 1)
-        yield _batch(out, schema)
+    key, who = np.concatenate(keys), np.concatenate(labels)
+    order = np.argsort(who, kind="stable")
+    key, who = key[order], who[order]
+    rows = [(int(who[a]), key[a : a + n].tobytes()) for a, n in zip(*C.runs(who), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["label", "found"])
 
 
 _CONTEXTS = "bucket int, keys binary, sizes binary, context binary, ids binary, at binary, id long, found binary"
@@ -189,7 +212,7 @@ def _contexts(buckets: int, length: int):
             wanted = np.zeros(len(key), bool)
             for i, told in enumerate(batch.column(2).to_pylist()):
                 a, b = np.searchsorted(row, [i, i + 1])
-                wanted[a:b] = np.isin(key[a:b], np.frombuffer(b"".join(told), np.uint64))
+                wanted[a:b] = np.isin(key[a:b], np.frombuffer(told, np.uint64))
             key, row, first, last = key[wanted], row[wanted], first[wanted], last[wanted]
             if not len(key):
                 continue
@@ -238,7 +261,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of keys and their dense ranks from 1."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -280,7 +303,7 @@ def suffix_order(letters: np.ndarray, depth: int) -> np.ndarray:
     wide = n + 9
     by_one = lambda i: _pair(s, rank, i, 1, top, wide)
     by_two = lambda i: _pair(s, rank, i, 2, top, wide)
-    zero = zero[np.argsort(by_one(zero), kind="stable")]
+    zero = zero[np.argsort(by_one(zero))]
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = np.searchsorted(by_one(ones), by_one(zero)) + np.searchsorted(by_two(twos), by_two(zero))
     before = np.maximum.accumulate(before)
@@ -326,6 +349,14 @@ def _owner(length: int):
     """Sorts the suffixes of a bucket's contexts, some hashes at a time, and tells what to remove."""
 
     def settle(out, key, size, context, ids, at) -> None:
+        # Each different context once, with the smallest id that has it.
+        begin = np.cumsum(size) - size
+        same = C.span_hashes(_codes()[context], begin, begin + size)
+        _, first, which = np.unique(same, return_index=True, return_inverse=True)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids)
+        every, whose, place_of = size, ids, at
+        context, size, ids = _gather(context, begin[first], size[first]), size[first], least
         # Letters: bytes from 1 on, 0 behind each context.
         end = np.cumsum(size + 1)
         begin = end - size - 1
@@ -338,11 +369,15 @@ def _owner(length: int):
         many = size - length + 1
         first = np.cumsum(many) - many
         starts = np.arange(many.sum()) + np.repeat(begin - first, many)
-        who = np.repeat(ids, many)
-        gone = smallest_owner(text, starts, who, letters, length) < who
+        least = smallest_owner(text, starts, np.repeat(ids, many), letters, length)
+        # Back to every document that has the context.
+        own = every - length + 1
+        offset = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        who = np.repeat(whose, own)
+        gone = least[np.repeat(first[which], own) + offset] < who
         if gone.any():
-            place = starts + np.repeat(at - begin, many)
-            _ranges(out, who[gone], place[gone], place[gone] + length, 1)
+            place = (np.repeat(place_of, own) + offset)[gone]
+            _ranges(out, who[gone], place, place + length, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = "id long, found binary"
@@ -419,8 +454,8 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     home = posted.where("bucket = -1").select("id", "n_bytes", "sha", "label")
     reps = cut(home.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label")), "reps")
     rows = cut(C.hot_join(home, reps.select("sha", "rep", "n"), "sha", "n").select("id", "n_bytes", "sha", "rep"), "rows")
-    found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared, "label long, found binary")
-    asked = found.groupBy("label").agg(F.collect_list("found").alias("found")).join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
+    found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared(buckets), _FOUND)
+    asked = found.repartition(buckets, "bucket").mapInArrow(_by_text, "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
     texts = cut(texts.join(asked, "id").select("id", "text", "found"), "asked")
     contexts = texts.mapInArrow(_contexts(buckets, length), _CONTEXTS).repartition(buckets, "bucket")
     spans = contexts.mapInArrow(_owner(length), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
