@@ -8,21 +8,21 @@ narrows in three steps, each of them exact:
    else has posted link with nothing. Most documents end here, and nothing but these postings is shuffled.
 2. Leaders. Documents with equal sets are one from here on. Those with a common minimum hash are compared with the
    smallest one that has it. That joins nearly all groups of near copies by stars, without their pairs.
-3. T-occurrence over what is left. A document needs ``T = n - q`` shingles with other components. For those that
-   have so many, inverted lists are built; DivideSkip leaves at most T - 1 of the longest lists of a query aside,
-   merges the short ones by a heap, and probes the long ones by binary search in the sorted sets.
+3. T-occurrence search over what is left. A document needs ``T = n - q`` shingles with other components. Those that
+   have so many form families by their rarest shingles, and in a family the documents outside its largest component
+   are queries. DivideSkip merges the short inverted lists of the queries' shingles, probes the long ones by binary
+   search in the sorted sets, and pairs that reach the required overlap are linked.
 
 Postings travel as packed arrays, one per task step and bucket of hashes.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.llm import common as C
@@ -32,10 +32,10 @@ from herdsignal.session import cut
 SHINGLE, PERCENT = 5, 80
 #: Minimum hashes per document that look for a leader.
 LEADER_KEYS = 8
-#: Lists with more documents than this are long: left aside and probed, as far as T allows.
+#: Lists with more documents than this are long: put aside and probed.
 LONG = 64
-#: Entries of one row of an inverted list; longer lists have several rows.
-LIST_ROWS = 1024
+#: Documents per block of a family.
+BLOCK = 512
 
 _POSTINGS = "bucket int, ids binary, labels binary, counts binary, hashes binary, home binary, home_n binary, sig binary"
 
@@ -104,11 +104,15 @@ def _packed(ids, labels, hashes, sizes, take, buckets: int, home: tuple | None)
         for k in ("home", "home_n", "sig"):
             out[k].append(None)
     if home is not None:
-        out["bucket"].append(int(ids[0]) % buckets if len(ids) else 0)
-        for k in ("ids", "labels", "counts", "hashes"):
-            out[k].append(None)
-        for k, x in zip(("home", "home_n", "sig"), home, strict=True):
-            out[k].append(x.tobytes())
+        where = home[0] % buckets
+        order = np.argsort(where, kind="stable")
+        for at, size in zip(*C.runs(where[order]), strict=True):
+            mine = order[at : at + size]
+            out["bucket"].append(int(where[mine[0]]))
+            for k in ("ids", "labels", "counts", "hashes"):
+                out[k].append(None)
+            for k, x in zip(("home", "home_n", "sig"), home, strict=True):
+                out[k].append(x[mine].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:])], list(out))
 
 
@@ -141,41 +145,76 @@ def _post_sets(buckets: int):
     return run
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, sig, hits): per document the posted shingles that another label has posted, and its home row."""
-    ids, labels, hashes = [], [], []
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("hits", pa.int64())])
+_HITS = "bucket int, ids binary, hits binary, home binary, home_n binary, sig binary"
+
+
+def _hits(buckets: int):
+    """Per document the posted shingles that another label has posted, packed by home bucket; home rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "ids", "hits", "home", "home_n", "sig"]
+        ids, labels, hashes = [], [], []
+        for batch in batches:
+            home = batch.filter(pc.is_valid(batch.column(5)))
+            if home.num_rows:
+                none = pa.nulls(home.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([home.column(0), none, none, *(home.column(i) for i in (5, 6, 7))], names)
+            for row in batch.filter(pc.is_null(batch.column(5))).to_pylist():
+                counts = np.frombuffer(row["counts"], np.uint32)
+                ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
+                labels.append(ids[-1] if row["labels"] is None else np.repeat(np.frombuffer(row["labels"], np.int64), counts))
+                hashes.append(np.frombuffer(row["hashes"], np.uint64))
+        if not ids:
+            return
+        key, who, label = np.concatenate(hashes), np.concatenate(ids), np.concatenate(labels)
+        order = np.argsort(key)
+        key, who, label = key[order], who[order], label[order]
+        starts, sizes = C.runs(key)
+        shared = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
+        key, who = key[shared], who[shared]
+        order = np.lexsort((key, who))
+        key, who = key[order], who[order]
+        new = np.ones(len(who), bool)
+        new[1:] = (who[1:] != who[:-1]) | (key[1:] != key[:-1])  # repeated rows of a document count once
+        found, hits = np.unique(who[new], return_counts=True)
+        home = found % buckets
+        order = np.argsort(home, kind="stable")
+        found, hits, home = found[order], hits[order], home[order]
+        out = [(int(home[a]), found[a : a + n].tobytes(), hits[a : a + n].tobytes()) for a, n in zip(*C.runs(home), strict=True)]
+        none = pa.nulls(len(out), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(C.binary([o[i] for o in out]) for i in (1, 2)), none, none, none], names)
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, sig, hits): one row per document of a home bucket."""
+    ids, hits, home, home_n, sigs = [], [], [], [], []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["home"] is not None:
-                home, n = np.frombuffer(row["home"], np.int64), np.frombuffer(row["home_n"], np.int64)
-                sig = np.frombuffer(row["sig"], np.uint64).reshape(-1, 2)
-                names = [f"{c}:{a:x}:{b:x}" if c else None for (a, b), c in zip(sig.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(n), pa.array(names, pa.string()), pa.array(np.zeros(len(n), np.int64))], schema=schema)
-                continue
-            counts = np.frombuffer(row["counts"], np.uint32)
-            ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
-            labels.append(ids[-1] if row["labels"] is None else np.repeat(np.frombuffer(row["labels"], np.int64), counts))
-            hashes.append(np.frombuffer(row["hashes"], np.uint64))
-    if not ids:
-        return
-    key, who, label = np.concatenate(hashes), np.concatenate(ids), np.concatenate(labels)
-    order = np.argsort(key)
-    key, who, label = key[order], who[order], label[order]
-    starts, sizes = C.runs(key)
-    shared = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
-    key, who = key[shared], who[shared]
-    order = np.lexsort((key, who))
-    key, who = key[order], who[order]
-    new = np.ones(len(who), bool)
-    new[1:] = (who[1:] != who[:-1]) | (key[1:] != key[:-1])  # repeated rows of a document count once
-    found, hits = np.unique(who[new], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.string()), pa.array(hits.astype(np.int64))], schema=schema)
+            if row["home"] is None:
+                ids.append(np.frombuffer(row["ids"], np.int64))
+                hits.append(np.frombuffer(row["hits"], np.int64))
+            else:
+                home.append(np.frombuffer(row["home"], np.int64))
+                home_n.append(np.frombuffer(row["home_n"], np.int64))
+                sigs.append(np.frombuffer(row["sig"], np.uint64).reshape(-1, 2))
+    none = np.zeros(0, np.int64)
+    who, at = np.unique(np.concatenate([none, *ids, *home]), return_inverse=True)
+    counted = len(np.concatenate([none, *ids]))
+    total = np.zeros(len(who), np.int64)
+    np.add.at(total, at[:counted], np.concatenate([none, *hits]))
+    n = np.zeros(len(who), np.int64)
+    sig = np.zeros((len(who), 2), np.uint64)
+    n[at[counted:]] = np.concatenate([none, *home_n])
+    sig[at[counted:]] = np.concatenate([np.zeros((0, 2), np.uint64), *sigs])
+    names = [f"{c}:{a:x}:{b:x}" if c else None for (a, b), c in zip(sig.tolist(), n.tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n), pa.array(names, pa.string()), pa.array(total)], ["id", "n", "sig", "hits"])
 
 
 def _count_hits(postings: DataFrame, buckets: int) -> DataFrame:
-    dealt = postings.repartition(buckets, "bucket").mapInArrow(_hits, "id long, n long, sig string, hits long")
-    return dealt.groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.sum("hits").alias("hits"))
+    found = postings.repartition(buckets, "bucket").mapInArrow(_hits(buckets), _HITS)
+    return found.repartition(buckets, "bucket").mapInArrow(_sums, "id long, n long, sig string, hits long")
 
 
 def _set_rows(size: int, keys: int):
@@ -258,61 +297,122 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     return C.hot_join(keyed, leaders, "key", "n").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
 
 
-def _merge(percent: int):
-    """Heap merge of the short lists of a query: documents that occur on enough of them."""
+def _lists(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all sets in order, and the set of each: inverted lists one after the other."""
+    sizes = [len(x) // 8 for x in sets]
+    key = np.frombuffer(b"".join(sets), np.uint64)
+    whose = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(key, kind="stable")
+    return key[order], whose[order]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        query, n, comp, aside = (int(group[c].iloc[0]) for c in ("a", "n", "comp", "aside"))
-        lists = [sorted(m) for m in ([(x["id"], x["n"], x["comp"]) for x in members] for members in group["members"])]
-        out, last, seen = [], None, 0
 
-        def settle() -> None:
-            if last is None or last[2] == comp or not 100 * min(n, last[1]) >= percent * max(n, last[1]):
-                return
-            if seen >= max(1, -(-percent * max(n, last[1]) // 100) - aside):
-                out.append((query, last[0]))
+def overlaps(queries: list[bytes], others: list[bytes], long: int = LONG) -> np.ndarray:
+    """Sizes of the intersections of all queries and others, by DivideSkip.
 
-        for entry in heapq.merge(*lists):
-            if entry != last:
-                settle()
-                last, seen = entry, 0
-            seen += 1
-        settle()
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    Lists of at most ``long`` sets are merged: their sets, in order, give a count per pair. The long lists are put
+    aside; each set is searched for their shingles by binary probes, and what both sides answer is added up.
+    """
+    key, whose = _lists(others)
+    starts, sizes = C.runs(key)
+    shingles = key[starts]
+    count = np.zeros((len(queries), len(others)), np.float32)
+    probes = shingles[sizes > long]
+    sets = [np.frombuffer(q, np.uint64) for q in queries]
+    heap, owner = [], []
+    for i, mine in enumerate(sets):
+        at = np.searchsorted(shingles, mine)
+        at = at[at < len(shingles)][shingles[at[at < len(shingles)]] == mine[at < len(shingles)]] if len(shingles) else at[:0]
+        at = at[sizes[at] <= long]
+        spans = sizes[at]
+        ends = np.cumsum(spans)
+        heap.append(whose[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - spans), spans)])
+        owner.append(len(heap[-1]))
+    merged = np.repeat(np.arange(len(queries)), owner) * len(others) + np.concatenate([np.zeros(0, np.int64), *heap])
+    pairs, seen = np.unique(merged, return_counts=True)
+    count.reshape(-1)[pairs] = seen
+    other_sets = [np.frombuffer(o, np.uint64) for o in others]
+    for at in range(0, len(probes), 4096):
+        some = probes[at : at + 4096]
+        answers = [np.stack([_probe(x, some) for x in side]) for side in (sets, other_sets)]
+        count += answers[0] @ answers[1].T
+    return count
+
+
+def _probe(mine: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(mine, shingles)
+    return ((at < len(mine)) & (mine[np.minimum(at, len(mine) - 1)] == shingles)).astype(np.float32)
+
+
+def _search(percent: int):
+    """Links between the queries and the others of a pair of blocks, as a forest."""
+
+    def run(key, table):
+        query = np.asarray(table.column("query"))
+        ids, sets = np.asarray(table.column("id")), table.column("hashes").to_pylist()
+        left, right = np.flatnonzero(query), np.flatnonzero(~query)
+        links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        others = [sets[i] for i in right.tolist()]
+        sizes = np.array([len(x) // 8 for x in sets])
+        for at in range(0, len(left), 256):
+            mine = left[at : at + 256]
+            same = overlaps([sets[i] for i in mine.tolist()], others).astype(np.int64)
+            union = sizes[mine][:, None] + sizes[right][None, :] - same
+            a, b = np.nonzero((100 * same >= percent * union) & (ids[mine][:, None] != ids[right][None, :]))
+            links[0].append(mine[a])
+            links[1].append(right[b])
+        a, b = np.concatenate(links[0]), np.concatenate(links[1])
+        names, place = np.unique(ids, return_inverse=True)
+        to = C.forest(len(names), place[a], place[b])
+        linked = to != np.arange(len(to))
+        return pa.table([pa.array(names[linked]), pa.array(names[to[linked]])], ["a", "b"])
 
     return run
 
 
-def occurrence_pairs(sets: DataFrame, label: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """Pairs of documents in different components that may link, found by DivideSkip on inverted lists."""
+def occurrence_links(sets: DataFrame, label: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """Links (a, b) between documents in different components: enough of them to join what any link joins.
+
+    Documents that share T of their shingles with other components are left; of these, the rarest shingles (n - T + 1
+    of each) make families, so that linked documents are in one. In a family all documents outside its largest
+    component are queries against the family, block by block.
+    """
     buckets = buckets or C.tasks(sets)
-    labelled = sets.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "hashes", "n")
-    labelled = cut(labelled, "labelled")
-    hits = _count_hits(labelled.select("id", "comp", "hashes").mapInArrow(_post_sets(buckets), _POSTINGS), buckets)
-    left = labelled.join(hits.select("id", "hits"), "id").where(f"hits >= (n * {percent} + 99) div 100")
-    left = cut(left, "left")
+    comps = sets.select("id").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+    comps = cut(comps.select("id", F.coalesce("component", "id").alias("comp")), "comps")
+    labelled = sets.select("id", "n", "hashes").join(comps, "id")
+    hits = _count_hits(labelled.select("id", "comp", "hashes").mapInArrow(_post_sets(buckets), _POSTINGS), buckets).select("id", "hits")
+    left = cut(labelled.join(hits, "id").where(f"hits >= (n * {percent} + 99) div 100").drop("hits"), "left")
+    links = left.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     if left.isEmpty():
-        return left.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return links
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "hashes"):
             data, offsets = C.raw(batch.column(2))
             sizes = np.diff(offsets) // 8
-            take = [pa.array(np.repeat(np.asarray(batch.column(i), np.int64), sizes)) for i in (0, 1, 3)]
-            yield pa.RecordBatch.from_arrays([*take, pa.array(np.frombuffer(data.tobytes(), np.int64))], ["id", "comp", "n", "h"])
-
-    posts = cut(left.select("id", "comp", "hashes", "n").mapInArrow(entries, "id long, comp long, n long, h long"), "posts")
-    lengths = cut(posts.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h", "df"), "lengths")
-    sized = cut(C.hot_join(posts, lengths, "h", "df"), "sized")
-    lists = sized.groupBy("h", F.expr(f"pmod(xxhash64(id), ceil(df / {LIST_ROWS}))").alias("part")).agg(F.collect_list(F.struct("id", "n", "comp")).alias("members"))
-    ranked = sized.groupBy("id", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
-    # Lists with one component are not among "own"; they can hold no partner and count as short ones without a hit.
-    must = F.expr(f"greatest(0, size(own) - ((n * {percent} + 99) div 100) + 1)")
-    short = ranked.withColumn("must", must).withColumn("merged", F.expr(f"greatest(must, size(filter(own, x -> x.df <= {LONG})))"))
-    short = short.select(F.col("id").alias("a"), "n", "comp", (F.size("own") - F.col("merged")).alias("aside"), F.explode(F.expr("slice(own, 1, merged)")).alias("x"))
-    short = short.select("a", "n", "comp", "aside", F.col("x.h").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"ceil(x.df / {LIST_ROWS}) - 1"))).alias("part"))
-    found = short.join(lists, ["h", "part"]).groupBy("a").applyInPandas(_merge(percent), "a long, b long")
-    return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            take = [pa.array(np.repeat(np.asarray(batch.column(i), np.int64), sizes)) for i in (0, 1)]
+            need = pa.array(np.repeat((percent * sizes + 99) // 100, sizes))
+            yield pa.RecordBatch.from_arrays([*take, need, pa.array(np.frombuffer(data.tobytes(), np.int64))], ["id", "comp", "need", "h"])
+
+    posts = cut(left.select("id", "comp", "hashes").mapInArrow(entries, "id long, comp long, need long, h long"), "posts")
+    lists = posts.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    sized = C.hot_join(posts, cut(lists.select("h", "df"), "lists"), "h", "df")
+    ranked = sized.groupBy("id", "need").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))  # a document's own shingles
+    rare = cut(ranked.where("size(own) >= need").select("id", F.explode(F.expr("slice(own, 1, size(own) - need + 1)")).alias("x")).select("id", F.col("x.h").alias("h")), "rare")
+    firsts = cut(rare.groupBy("h").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    edges = C.hot_join(rare, firsts, "h", "n").select(F.col("id").alias("a"), "b").distinct()
+    family = C.components(edges).withColumnRenamed("component", "family").withColumnRenamed("node", "id")
+    members = cut(comps.join(family, "id"), "members")
+    parts = members.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest")).where("n > largest")
+    blocks = main.select("family", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("asks"), "n")
+    placed = cut(C.hot_join(members, cut(blocks, "blocks"), "family", "n"), "placed")
+    rows = left.select("id", "hashes").join(placed, "id")
+    one, two = F.expr("cast(pmod(xxhash64(id), asks) as int)"), F.expr("cast(pmod(xxhash64(id, 1), blocks) as int)")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    asking = rows.where("comp <> main").select("family", one.alias("ask"), every("blocks").alias("block"), F.lit(True).alias("query"), "id", "hashes")
+    asked = rows.select("family", every("asks").alias("ask"), two.alias("block"), F.lit(False).alias("query"), "id", "hashes")
+    return cut(asking.unionByName(asked).groupBy("family", "ask", "block").applyInArrow(_search(percent), "a long, b long"), "links")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -333,7 +433,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = cut(known.join(asked, "id", "left_semi").mapInArrow(_set_rows(size, LEADER_KEYS), "id long, n long, hashes binary, keys array<long>").dropDuplicates(["id"]), "sets")
     links = links_of(leader_pairs(sets), sets, percent)
     label = C.components(links)
-    more = links_of(occurrence_pairs(sets, label, percent, buckets), sets, percent)
+    more = occurrence_links(sets, label, percent, buckets)
     if not more.isEmpty():
         label = C.components(links.unionByName(more))
     named = cut(groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
