@@ -8,11 +8,23 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from herdsignal.llm import bpe, exact_dedup, language, ngram_join, packing, suffix_dedup
+from herdsignal.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language,
+    ngram_join,
+    packing,
+    recurrent_lm,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 from herdsignal.session import own_folder
 
-#: The vocabulary of the encoding queries.
+#: The vocabularies of the encoding and counting queries.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +101,41 @@ def _(spark, sf):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark, sf):
     return corpus_pipeline.run(spark, sf)
+
+
+@query(
+    "op6_warc",
+    """
+    SELECT page_id, strlen(p) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+    FROM (
+        SELECT page_id, p, (
+            SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       CAST(('0x' || substr(h, 1 + (5 * i) // 4, 2)) AS BIGINT) // [8, 4, 2, 1][1 + i % 4] % 32 + 1, 1), '' ORDER BY i)
+            FROM range(32) AS r(i)) AS digest
+        FROM (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) || '0' AS h FROM pages)
+    )
+    WINDOW same AS (PARTITION BY p)
+    """,
+)
+def _(spark, sf):
+    read = warc.archive(table(spark, sf, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_token_counts")
+def _(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+@query("op9_embedding_dedup")
+def _(spark, sf):
+    return embedding_dedup.embedding_dedup(table(spark, sf, "embeddings"))
+
+
+@query("op10_recurrent_lm")
+def _(spark, sf):
+    documents = table(spark, sf, "documents").withColumn("_train", remainder("doc_id", 10) != 0)
+    scored = recurrent_lm.score(documents, "_train")
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
