@@ -14,7 +14,7 @@ def sensor_name(file_path: Column) -> Column:
     Spark's file metadata is percent encoded; a plus sign is literal there.
     """
     plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_extract(plain, r"([^/=]*\|[^/|]*\.csv)(/|$)", 1)
+    return F.regexp_extract(plain, r"([^/]*\|[^/|]*\.csv)(/|$)", 1)
 
 
 def is_sensor_file(name: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def no_nan(value: Column) -> Column:
-    """NaN becomes null, because Spark's averages do not skip NaN."""
-    return F.nanvl(value, F.lit(None).cast("double"))
+    """NaN and infinite values become null: averages do not skip the one and are spoilt by the other."""
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
 def float32(value: Column) -> Column:

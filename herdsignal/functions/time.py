@@ -1,4 +1,4 @@
-"""Time columns. Times are TIMESTAMP_NTZ and the session time zone is UTC."""
+"""Time columns. Times are TIMESTAMP_NTZ; no function here depends on the session's time zone."""
 
 from __future__ import annotations
 
@@ -14,12 +14,26 @@ ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss"
 MICROS_PER_DAY = 86_400_000_000
 
 
+MICROS_PER_SECOND = 1_000_000
+# The first and last second of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
 def to_micros(time: Column) -> Column:
-    return F.unix_micros(time.cast("timestamp"))
+    """Microseconds of a wall time since 1970, by calendar arithmetic: no time zone takes part."""
+    of_day = (F.hour(time) * 60 + F.minute(time)).cast("long") * (60 * MICROS_PER_SECOND)
+    seconds = F.date_part(F.lit("SECONDS"), time) * MICROS_PER_SECOND
+    return F.unix_date(F.to_date(time)).cast("long") * MICROS_PER_DAY + of_day + seconds.cast("long")
 
 
 def from_micros(micros: Column) -> Column:
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
+    """The wall time of microseconds since 1970."""
+    whole = micros.cast("long")
+    rest = F.pmod(whole, F.lit(MICROS_PER_DAY))
+    days = ((whole - rest) / F.lit(MICROS_PER_DAY)).cast("int")
+    seconds = (rest.cast("decimal(18,0)") / F.lit(MICROS_PER_SECOND)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(days=days, secs=seconds)
 
 
 def day_number(time: Column, days: int = 1) -> Column:
@@ -28,7 +42,9 @@ def day_number(time: Column, days: int = 1) -> Column:
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
+    """The wall time of epoch seconds (whole or not); null outside the years 1 to 9999."""
+    inside = (seconds >= FIRST_SECOND) & (seconds <= LAST_SECOND)
+    return from_micros(F.when(inside, seconds * MICROS_PER_SECOND))
 
 
 def wall_time(time: Column) -> Column:
@@ -53,9 +69,10 @@ def snap(time: Column, minutes: int = 10) -> Column:
 def repaired_time(text: Column) -> Column:
     """A time from text holding either a timestamp or epoch seconds, cut to whole seconds; else null."""
     as_time = text.try_cast("timestamp_ntz")
-    as_epoch = F.timestamp_seconds(text.try_cast("bigint")).cast("timestamp_ntz")
+    as_epoch = from_epoch_seconds(text.try_cast("bigint"))
     is_number = text.rlike(r"^\s*-?\d+\s*$")
-    return F.date_trunc("second", F.when(is_number, as_epoch).otherwise(as_time)).cast("timestamp_ntz")
+    micros = to_micros(F.when(is_number, as_epoch).otherwise(as_time))
+    return from_micros(micros - F.pmod(micros, F.lit(MICROS_PER_SECOND)))
 
 
 def parse_iso(text: Column) -> Column:
@@ -97,7 +114,7 @@ def decode_epoch(value: Column) -> Column:
 
 
 def encode_epoch(time: Column) -> Column:
-    return F.unix_seconds(time.cast("timestamp"))
+    return F.floor(to_micros(time) / MICROS_PER_SECOND)
 
 
 def calendar_day(time: Column) -> Column:

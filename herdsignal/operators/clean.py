@@ -43,13 +43,16 @@ def dedup_first(
     keys: Sequence[str] = ANIMAL,
     time: str = "datetime",
 ) -> DataFrame:
-    """The first row in ``order`` for each key and time.
+    """The first row in ``order`` for each key and time; missing values come last, other columns break ties.
 
     An aggregate and not a ranking window: copies are already reduced before the shuffle, and the
     rows of one animal spread over as many tasks as it has ticks.
     """
     rest = [name for name in df.columns if name not in (*keys, time)]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    kinds = dict(df.dtypes)
+    ties = [name for name in rest if name not in order and not kinds[name].startswith(("map", "struct", "array"))]
+    ranks = [part for name in (*order, *ties) for part in (F.col(name).isNull().alias(f"{name}_missing"), F.col(name))]
+    first = F.min_by(F.struct(*rest), F.struct(*ranks)).alias("_first")
     return df.groupBy(*keys, time).agg(first).select(*keys, time, "_first.*")
 
 

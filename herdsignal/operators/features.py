@@ -20,27 +20,13 @@ HEAT_FRAME = (-11, 0)
 SPIKE_FACTOR = 0.55
 MIN_GROUP_ANIMALS = 5
 
-USUAL_TEMPERATURE = 38.0
-
-
 def trailing_variance(frame: DataFrame, column: str, name: str, window: WindowSpec, rows: int) -> DataFrame:
     """Sample variance of the last ``rows`` rows; null below two values.
 
-    From running sums within the block and their values ``rows`` rows earlier, which costs the same for
-    any frame length. Values are taken relative to ``USUAL_TEMPERATURE``, so that the sums stay small and
-    the difference keeps its precision.
+    Each frame is added up anew: a difference of running sums would keep the rounding error of a value that has
+    left the frame, for one glitch of 1e9 on all rows behind it.
     """
-    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-    shifted = F.col(column) - F.lit(USUAL_TEMPERATURE)
-    sums = {"_n": F.count(shifted), "_s": F.sum(shifted), "_q": F.sum(shifted * shifted)}
-    running = frame.withColumns({key: F.coalesce(total.over(so_far), F.lit(0)) for key, total in sums.items()})
-    inside = {key: F.col(key) - F.coalesce(F.lag(key, rows).over(window), F.lit(0)) for key in sums}
-    spread = F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")
-    return (
-        running.withColumns(inside)
-        .withColumn(name, F.when(F.col("_n") > 1, F.greatest(spread, F.lit(0.0)) / (F.col("_n") - 1)))
-        .drop(*sums)
-    )
+    return frame.withColumn(name, F.var_samp(column).over(window.rowsBetween(1 - rows, 0)))
 
 
 def _medians(frame: tuple[int, int]):
@@ -61,22 +47,28 @@ def _medians(frame: tuple[int, int]):
     return medians
 
 
-def _temperature_statistics(part: DataFrame, window: WindowSpec, keys: Sequence[str], row: str) -> DataFrame:
-    """Median, mean and variance of the temperature.
+STATISTICS = ("temp_median", "temp_mean", "temp_var")
+
+
+def _temperature_statistics(
+    part: DataFrame, window: WindowSpec, keys: Sequence[str], row: str, wanted: Sequence[str] = STATISTICS
+) -> DataFrame:
+    """Median, mean and variance of the temperature, or some of them.
 
     Spark has no framed median. Sorting the collected values of every frame in SQL took twice to three
     times as long on 580,000 rows as one Arrow pass over the values of each block.
     """
-    blocks = packed(part, keys, row)
-    with_median = unpacked(blocks, keys, _medians(MEDIAN_FRAME)(F.col("_rows.temp")), "temp_median")
-    with_mean = with_median.withColumn("temp_mean", F.avg("temp").over(window.rowsBetween(*MEAN_FRAME)))
-    return trailing_variance(with_mean, "temp", "temp_var", window, -VARIANCE_FRAME[0] + 1)
+    if "temp_median" in wanted:
+        part = unpacked(packed(part, keys, row), keys, _medians(MEDIAN_FRAME)(F.col("_rows.temp")), "temp_median")
+    if "temp_mean" in wanted:
+        part = part.withColumn("temp_mean", F.avg("temp").over(window.rowsBetween(*MEAN_FRAME)))
+    return trailing_variance(part, "temp", "temp_var", window, -VARIANCE_FRAME[0] + 1) if "temp_var" in wanted else part
 
 
-def temperature_statistics(df: DataFrame, **series) -> DataFrame:
-    """Rolling median, sample variance and mean of the temperature."""
+def temperature_statistics(df: DataFrame, wanted: Sequence[str] = STATISTICS, **series) -> DataFrame:
+    """Rolling median, sample variance and mean of the temperature; only the wanted ones are computed."""
     keys, row = series.get("keys", ANIMAL), series.get("row") or "_row"
-    return rolling(df, lambda part, w: _temperature_statistics(part, w, keys, row), before=287, after=143, **series)
+    return rolling(df, lambda part, w: _temperature_statistics(part, w, keys, row, wanted), before=287, after=143, **series)
 
 
 def filter_temperature(
@@ -86,7 +78,8 @@ def filter_temperature(
 
     A reading below ``median - factor * variance`` is a spike. Spikes first take the rolling mean;
     then they take the rolling mean of the series repaired that way. Both passes run on the same
-    blocks, whose margins cover the two frames together.
+    blocks, whose margins cover the two frames together. Temperatures must be finite or null
+    (``clean.nulls_for_nan``).
     """
     keys, row = series.get("keys", ANIMAL), series.get("row") or "_row"
 

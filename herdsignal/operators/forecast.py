@@ -2,8 +2,8 @@
 
 The regressions need only sums of products, which Spark adds up per series before the shuffle; one
 small system per series is solved from them. The
-recursion ``e_t = u_t - theta * e_{t-1}`` forgets its start at the rate ``theta``: kept invertible by
-``MAX_THETA``, it has lost it to below double precision after ``MEMORY_ROWS`` rows. So blocks of a series
+recursion ``e_t = u_t - theta * e_{t-1}`` forgets its start at the rate ``theta``: with a theta of at most
+``MAX_THETA`` it has lost it to below double precision after ``MEMORY_ROWS`` rows. So blocks of a series
 that begin that many rows early give the residuals of the whole series.
 """
 
@@ -55,7 +55,7 @@ def _two_regressions(order: int):
         if np.linalg.matrix_rank(second) < 3:
             return None
         constant, phi, theta = np.linalg.solve(second, pick @ gram[:, -1])
-        return [constant, phi, min(max(theta, -MAX_THETA), MAX_THETA)]
+        return [constant, phi, theta]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,10 +76,11 @@ def arma11(
     block_rows: int = 16384,
     bucket_days: int = 7,
 ) -> DataFrame:
-    """Adds the coefficients ``constant, phi, theta`` and the in-sample one-step ``prediction``.
+    """Adds the coefficients ``constant, phi, theta``, ``invertible`` and the in-sample one-step ``prediction``.
 
     The first prediction of a series is its mean. Rows without a value are left out; series too short or
-    too regular to fit keep null coefficients and predictions.
+    too regular to fit keep null coefficients and predictions. ``invertible`` says whether theta is at most
+    ``MAX_THETA`` in size; where it is not, the estimate is returned as it is and predictions are null.
     """
     known = df.where(F.col(column).isNotNull())
     numbered = number_rows(known, keys, time, ties, "_t", "_t_total", bucket_days)
@@ -97,11 +98,12 @@ def arma11(
         F.col("_fit")[0].alias("constant"),
         F.col("_fit")[1].alias("phi"),
         F.col("_fit")[2].alias("theta"),
+        (F.abs(F.col("_fit")[2]) <= MAX_THETA).alias("invertible"),
     )
     expected = F.when(F.col("_t") == 0, F.col("_mean")).otherwise(F.col("constant") + F.col("phi") * F.col("_x1"))
     shocks = (
         lagged.join(fit, list(keys))
-        .withColumn("_u", F.when(F.col("theta").isNotNull(), F.col(column) - expected))
+        .withColumn("_u", F.when(F.col("invertible"), F.col(column) - expected))
         .drop("_mean", *lags)
     )
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.operators.series import ANIMAL
 
 
-def organisation_of(df: DataFrame, animals: DataFrame) -> DataFrame:
-    """Organisation of each animal, null when unknown. No hint: the planner broadcasts only what is small."""
-    lookup = animals.select("animal_id", "organisation_id").distinct()
+def organisation_of(df: DataFrame, animals: DataFrame, loaded_at: str | None = None) -> DataFrame:
+    """Organisation of each animal, null when unknown. No hint: the planner broadcasts only what is small.
+
+    An animal in several organisations counts in the one loaded last by ``loaded_at``, or without such a column
+    in the greatest id.
+    """
+    newest = F.max_by("organisation_id", F.struct(loaded_at, "organisation_id")) if loaded_at else F.max("organisation_id")
+    lookup = animals.groupBy("animal_id").agg(newest.alias("organisation_id"))
     return df.join(lookup, "animal_id", "left")
 
 

@@ -30,14 +30,13 @@ def locate_peaks(
     events: DataFrame,
     carry: Sequence[str] = (),
     hours: int = SEARCH_HOURS,
-    digits: int = 6,
 ) -> DataFrame:
     """For each event the time of the highest smoothed activity within ``hours`` before and after it.
 
     ``events`` has one row per animal and ``event_ts``; ``carry`` names further columns to keep. The
     interval becomes an equality on animal and calendar day, so a long series meets its events day by
-    day. Smoothing sees only the rows of the slice. The smoothed value is rounded, so that summation
-    order cannot decide a tie; ties go to the earliest time. Events without activity are dropped.
+    day. Smoothing sees only the rows of the slice, and adds them in the order of time, so that equal
+    neighbourhoods give equal values; ties go to the earliest time. Events without activity are dropped.
     """
     reach = hours * _HOUR
     at = to_micros(F.col("event_ts"))
@@ -46,8 +45,13 @@ def locate_peaks(
     values = readings.select(*ANIMAL, "datetime", "act", day(to_micros(F.col("datetime"))).alias("_day"))
     near = F.abs(to_micros(F.col("datetime")) - at) <= reach
     slices = values.join(sought, [*ANIMAL, "_day"]).where(near)
-    in_slice = Window.partitionBy(*ANIMAL, "event_ts").orderBy("datetime").rowsBetween(*PEAK_FRAME)
-    smooth = slices.withColumn("_smooth", F.round(F.avg("act").over(in_slice), digits))
+    in_slice = Window.partitionBy(*ANIMAL, "event_ts").orderBy("datetime")
+    total, known = F.lit(0.0), F.lit(0)
+    for step in range(PEAK_FRAME[0], PEAK_FRAME[1] + 1):
+        value = F.lead("act", step).over(in_slice) if step else F.col("act")
+        total = total + F.coalesce(value, F.lit(0.0))
+        known = known + value.isNotNull().cast("int")
+    smooth = slices.withColumn("_smooth", F.try_divide(total, known))
     best = F.max_by("datetime", F.struct("_smooth", (-to_micros(F.col("datetime"))).alias("_early")))
     kept = [F.first(name).alias(name) for name in carry]
     return (
@@ -66,10 +70,10 @@ def day_spans(peaks: DataFrame, labels: Sequence[str], hours: tuple[int, int] =
     at = to_micros(F.col("peak_ts"))
     distinct = peaks.groupBy(*ANIMAL, "peak_ts").agg(*[F.bool_or(name).alias(name) for name in labels])
     first, last = at + hours[0] * _HOUR, at + hours[1] * _HOUR
-    span = F.struct(from_micros(first).alias("first"), from_micros(last).alias("last"), *labels)
     days = F.explode(F.sequence(F.floor(first / _DAY), F.floor(last / _DAY)))
+    bounded = distinct.withColumns({"first": from_micros(first), "last": from_micros(last)})
     return (
-        distinct.select(*ANIMAL, days.alias(DAY), span.alias("_span"))
+        bounded.select(*ANIMAL, days.alias(DAY), F.struct("first", "last", *labels).alias("_span"))
         .groupBy(*ANIMAL, DAY)
         .agg(F.collect_list("_span").alias(SPANS))
     )

@@ -127,9 +127,11 @@ def plain_cross_entropy(df: DataFrame, truth: str = "y", probability: str = "pro
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Equal-width bins between the smallest and the largest value; the last one is closed.
 
-    The range enters as a scalar subquery. All bins are returned, empty ones with 0.
+    The range enters as a scalar subquery. All bins are returned, empty ones with 0. NaN and infinite
+    values count as missing.
     """
-    value = F.col(column).cast("double")
+    number = F.col(column).cast("double")
+    value = F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
     limits = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
     values = df.where(value.isNotNull()).select(value.alias("_value"), limits.alias("_limits"))
     low, width = F.col("_limits.low"), (F.col("_limits.high") - F.col("_limits.low")) / bins

@@ -24,9 +24,13 @@ def class_weight(df: DataFrame, label: str = "annotation", positive: float = POS
 
 
 def _fit(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
-    """Every iteration reads the rows again, so they are computed once and written out."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    rows = cut(assembler.transform(df).select("features", *_used(estimator)))
+    """Every iteration reads the rows again, so they are computed once and written out.
+
+    Rows that lack a feature or the label teach nothing; ``score`` returns them without a probability.
+    """
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    whole = df.na.drop(subset=[*features, *_used(estimator)])
+    rows = cut(assembler.transform(whole).select("features", *_used(estimator)))
     return PipelineModel([assembler, estimator.fit(rows)])
 
 
@@ -77,12 +81,17 @@ def train_weighted(
 
 
 def score(model: PipelineModel, df: DataFrame, label: str = "annotation", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows with truth ``y``, ``probability`` of heat and class ``y_pred``."""
-    scored = model.transform(df)
-    probability = vector_to_array("probability")[1]
-    return scored.select(
-        *keep, F.col(label).cast("int").alias("y"), probability.alias("probability")
-    ).withColumn("y_pred", class_tag(F.col("probability")))
+    """Every row with truth ``y``, ``probability`` of heat and class ``y_pred``; both null where a feature is missing."""
+    features = model.stages[0].getInputCols()
+    whole = F.lit(True)
+    for name in features:
+        value = F.col(name).cast("double")
+        whole = whole & value.isNotNull() & ~F.isnan(value)
+    kept = F.struct(*keep, F.col(label).cast("int").alias("y"), whole.alias("whole")).alias("_kept")
+    filled = df.select(kept, *[F.when(whole, F.col(name).cast("double")).otherwise(F.lit(0.0)).alias(name) for name in features])
+    probability = F.when(F.col("_kept.whole"), vector_to_array("probability")[1])
+    scored = model.transform(filled).select("_kept.*", probability.alias("probability")).drop("whole")
+    return scored.withColumn("y_pred", F.when(F.col("probability").isNotNull(), class_tag(F.col("probability"))))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

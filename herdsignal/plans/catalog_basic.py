@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from herdsignal import schemas
@@ -27,14 +29,16 @@ def _csv_drop(spark, sf, folder: str, first_half: bool | None = None) -> None:
     if first_half is not None:
         rows = rows.where(chunk == (0 if first_half else 1))
     name = F.concat("animal_id", F.lit("|"), chunk.cast("string"), F.lit(".csv"))
-    (
-        rows.select(name.alias("file"), F.unix_seconds(F.col("datetime").cast("timestamp")).alias("ts"), "act", "temp")
-        .repartition("file")
-        .write.mode("append")
-        .partitionBy("file")
-        .option("header", True)
-        .csv(folder)
-    )
+
+    def write(group):
+        system, root = fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", folder))
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{group['file'].iloc[0]}", compression=None) as out:
+            out.write(group[["ts", "act", "temp"]].to_csv(index=False).encode())
+        return group[["file"]].head(1)
+
+    files = rows.select(name.alias("file"), T.encode_epoch(F.col("datetime")).alias("ts"), "act", "temp")
+    files.groupBy("file").applyInPandas(write, "file string").count()
 
 
 _CSV_ROWS = """
@@ -89,13 +93,9 @@ def _stored(spark, sf) -> str:
     return path
 
 
-def _with_string_keys(df):
-    return df.withColumn("organisation_id", F.col("organisation_id").cast("string")).select(*ROWS)
-
-
 @query("a3_keyed_scan", sql("SELECT organisation_id, animal_id, datetime, act, temp FROM readings WHERE organisation_id = '1' AND animal_id = '7'"))
 def _(spark, sf):
-    return SR.series_of(_with_string_keys(tables.read_table(spark, _stored(spark, sf))), "1", "7")
+    return SR.series_of(tables.read_table(spark, _stored(spark, sf)).select(*ROWS), "1", "7")
 
 
 @query("a4_metric_range", sql("""
@@ -140,7 +140,24 @@ def _(spark, sf):
 
 @query("a8_write_readings", sql("SELECT organisation_id, animal_id, datetime, act, temp FROM readings"))
 def _(spark, sf):
-    return _with_string_keys(tables.read_table(spark, _stored(spark, sf)))
+    return tables.read_table(spark, _stored(spark, sf)).select(*ROWS)
+
+
+@query("a8_text_keys", sql("SELECT '00' || organisation_id AS organisation_id, animal_id, datetime, act FROM readings"))
+def _(spark, sf):
+    path = fresh_path(spark, "readings")
+    tables.write_readings(R.readings(spark, sf).select(*ROWS).withColumn("organisation_id", F.concat(F.lit("00"), "organisation_id")), path)
+    return tables.read_table(spark, path).select(*ANIMAL, "datetime", "act")
+
+
+@query("a1_consolidate", sql(f"""
+    SELECT organisation_id, animal_id, datetime, act, temp FROM (
+        SELECT c.*, h.organisation_id FROM ({_CSV_ROWS}) c LEFT JOIN herd h USING (animal_id))
+    QUALIFY row_number() OVER (PARTITION BY organisation_id, animal_id, datetime ORDER BY chunk, act, temp) = 1"""))
+def _(spark, sf):
+    folder = fresh_path(spark, "drop")
+    _csv_drop(spark, sf, folder)
+    return SR.consolidate(SR.read_sensor_csv(spark, folder), R.herd(spark, sf)).select(*ROWS)
 
 
 @query("a9_replace_partitions", sql("SELECT organisation_id, animal_id, datetime, CASE WHEN organisation_id = '1' THEN act + 1 ELSE act END AS act, temp FROM readings"))
@@ -148,7 +165,7 @@ def _(spark, sf):
     path = _stored(spark, sf)
     changed = R.readings(spark, sf).where("organisation_id = '1'").withColumn("act", F.col("act") + 1).select(*ROWS)
     tables.replace_partitions(changed, path)
-    return _with_string_keys(tables.read_table(spark, path))
+    return tables.read_table(spark, path).select(*ROWS)
 
 
 @query("a9_upsert_by_key", sql("""
@@ -170,12 +187,17 @@ def _(spark, sf):
 
 @query("a11_incomplete_animals", sql("""
     SELECT organisation_id, animal_id FROM herd WHERE (organisation_id, animal_id) NOT IN (
-        SELECT (CAST(user_id % 2 AS VARCHAR), CAST(user_id AS VARCHAR)) FROM events WHERE value > 40
-        GROUP BY user_id HAVING count(DISTINCT event_type) >= 5)"""))
+        SELECT (CAST(user_id % 2 AS VARCHAR), CAST(user_id AS VARCHAR)) FROM events
+        GROUP BY user_id HAVING count(DISTINCT day(ts)) >= 28)"""))
+def _(spark, sf):
+    parts = R.readings(spark, sf).withColumn("part", F.dayofmonth("datetime").cast("string"))
+    return tables.incomplete_animals(R.herd(spark, sf), parts, needed=28).select(*ANIMAL)
+
+
+@query("a11_only_new_update", sql("SELECT organisation_id, animal_id, c_mktsegment FROM animals"))
 def _(spark, sf):
-    high = R.table(spark, sf, "events").where("value > 40").select("event_id", F.col("event_type").alias("part"))
-    parts = R.readings(spark, sf).join(high, "event_id")
-    return tables.incomplete_animals(R.herd(spark, sf), parts, needed=5).select(*ANIMAL)
+    stored = R.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("organisation_id"))
+    return tables.only_new(R.animals(spark, sf), stored, ["organisation_id"], update=True).select(*ANIMAL, "c_mktsegment")
 
 
 @query("a11_ingest_stream", sql(_CSV_ROWS))
@@ -459,10 +481,9 @@ def _(spark, sf):
 
 @query("c1_organisation_lookup", sql("""
     SELECT r.event_id, r.animal_id, a.organisation_id FROM readings r LEFT JOIN
-        (SELECT animal_id, organisation_id FROM animals WHERE c_acctbal > 0) a USING (animal_id)"""))
+        (SELECT animal_id, organisation_id FROM animals) a USING (animal_id)"""))
 def _(spark, sf):
-    known = R.animals(spark, sf).where("c_acctbal > 0")
-    return joins.organisation_of(R.readings(spark, sf).select("event_id", "animal_id"), known)
+    return joins.organisation_of(R.readings(spark, sf).select("event_id", "animal_id"), R.animals(spark, sf))
 
 
 @query("c1_merge_lookup", sql("""
@@ -492,10 +513,9 @@ def _(spark, sf):
 
 @query("d1_animals_per_organisation", sql("""
     SELECT o.organisation_id, o.name, count(a.animal_id) AS animals
-    FROM organisations o LEFT JOIN (SELECT * FROM animals WHERE c_acctbal > 9000) a USING (organisation_id) GROUP BY ALL"""))
+    FROM organisations o LEFT JOIN animals a USING (organisation_id) GROUP BY ALL"""))
 def _(spark, sf):
-    rich = R.animals(spark, sf).where("c_acctbal > 9000")
-    return metrics.animals_per_organisation(R.organisations(spark, sf), rich).select("organisation_id", "name", "animals")
+    return metrics.animals_per_organisation(R.organisations(spark, sf), R.animals(spark, sf)).select("organisation_id", "name", "animals")
 
 
 @query("d2_group_mean", sql("""

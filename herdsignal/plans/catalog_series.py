@@ -37,27 +37,28 @@ _FILTERED = f"""
     SELECT *, CASE WHEN spike THEN avg(repaired) OVER ({A} ROWS BETWEEN 18 PRECEDING AND 17 FOLLOWING)
                    ELSE repaired END AS temp_filtered
     FROM pass1"""
-_TEMPERATURE = {"statistics": _STATISTICS, "pass1": _PASS1, "filtered": _FILTERED}
+# Two series of thousands of rows: frames and blocks are filled and crossed.
+_TEMPERATURE = {"statistics": _STATISTICS.replace("FROM grid", "FROM long_series"), "pass1": _PASS1, "filtered": _FILTERED}
 
 
 @query("e2_rolling_median", sql("SELECT organisation_id, animal_id, datetime, round(temp_median + 1e-9, 6) AS temp_median FROM statistics", **_TEMPERATURE))
 def _(spark, sf):
-    return _keyed(features.temperature_statistics(R.grid(spark, sf)), six("temp_median").alias("temp_median"))
+    return _keyed(features.temperature_statistics(R.long_series(spark, sf), ["temp_median"]), six("temp_median").alias("temp_median"))
 
 
 @query("e3_rolling_variance", sql("SELECT organisation_id, animal_id, datetime, round(temp_var + 1e-9, 6) AS temp_var FROM statistics", **_TEMPERATURE))
 def _(spark, sf):
-    return _keyed(features.temperature_statistics(R.grid(spark, sf)), six("temp_var").alias("temp_var"))
+    return _keyed(features.temperature_statistics(R.long_series(spark, sf), ["temp_var"]), six("temp_var").alias("temp_var"))
 
 
 @query("e4_rolling_mean", sql("SELECT organisation_id, animal_id, datetime, round(temp_mean + 1e-9, 6) AS temp_mean FROM statistics", **_TEMPERATURE))
 def _(spark, sf):
-    return _keyed(features.temperature_statistics(R.grid(spark, sf)), six("temp_mean").alias("temp_mean"))
+    return _keyed(features.temperature_statistics(R.long_series(spark, sf), ["temp_mean"]), six("temp_mean").alias("temp_mean"))
 
 
 @query("e5_spike_filter", sql("SELECT organisation_id, animal_id, datetime, spike, round(temp_filtered + 1e-9, 6) AS temp_filtered FROM filtered", **_TEMPERATURE))
 def _(spark, sf):
-    filtered = features.filter_temperature(R.grid(spark, sf), keep_statistics=True)
+    filtered = features.filter_temperature(R.long_series(spark, sf), keep_statistics=True)
     return _keyed(filtered, "spike", six("temp_filtered").alias("temp_filtered"))
 
 
@@ -112,10 +113,10 @@ def _(spark, sf):
 
 @query("e10_debounce", sql(f"""
     SELECT organisation_id, animal_id, datetime, raw,
-           CASE WHEN rn - max(CASE WHEN falling THEN rn END) OVER ({A}) < 12 THEN 0 ELSE raw END AS annotation
-    FROM (SELECT *, row_number() OVER ({A}) AS rn, raw = 0 AND lag(raw) OVER ({A}) = 1 AS falling FROM flagged)"""))
+           CASE WHEN rn - max(CASE WHEN falling THEN rn END) OVER ({A}) < 720 THEN 0 ELSE raw END AS annotation
+    FROM (SELECT *, row_number() OVER ({A}) AS rn, raw = 0 AND lag(raw) OVER ({A}) = 1 AS falling FROM long_flagged)"""))
 def _(spark, sf):
-    return _keyed(labels.debounce(R.flagged(spark, sf), hold_off=12), "raw", "annotation")
+    return _keyed(labels.debounce(R.long_flagged(spark, sf)), "raw", "annotation")
 
 
 _COUNTER = f"""
@@ -145,25 +146,25 @@ def _(spark, sf):
 
 def _lag_sql(names, n):
     parts = [f"lag({name}, {k}) OVER ({A}) AS {name}{k}" if k else f"{name} AS {name}0" for name in names for k in range(n)]
-    return "SELECT organisation_id, animal_id, datetime, " + ", ".join(parts) + " FROM grid"
+    return "SELECT organisation_id, animal_id, datetime, " + ", ".join(parts) + " FROM long_series"
 
 
-@query("e15_lag_embedding", sql(_lag_sql(["act", "temp"], 5)))
+@query("e15_lag_embedding", sql(_lag_sql(["act", "temp"], 144)))
 def _(spark, sf):
-    lagged = sequences.lag_embedding(R.grid(spark, sf), ["act", "temp"], 5)
-    return _keyed(lagged, *[f"{name}{k}" for name in ("act", "temp") for k in range(5)])
+    lagged = sequences.lag_embedding(R.long_series(spark, sf), ["act", "temp"], 144)
+    return _keyed(lagged, *[f"{name}{k}" for name in ("act", "temp") for k in range(144)])
 
 
 @query("e16_sequence_windows", sql(f"""
     SELECT * FROM (
         SELECT organisation_id, animal_id, datetime, row_number() OVER ({A}) - 1 AS seq_no, raw,
-               lead(raw, 4) OVER ({A}) AS last_raw, act AS act0, lead(act, 1) OVER ({A}) AS act1, lead(act, 4) OVER ({A}) AS act4
-        FROM flagged) WHERE act4 IS NOT NULL"""))
+               lead(raw, 287) OVER ({A}) AS last_raw, act AS act0, lead(act, 1) OVER ({A}) AS act1, lead(act, 287) OVER ({A}) AS act287
+        FROM long_flagged) WHERE act287 IS NOT NULL"""))
 def _(spark, sf):
-    windows = sequences.sequence_windows(R.flagged(spark, sf), ["raw", "act"], "raw", length=5)
+    windows = sequences.sequence_windows(R.long_flagged(spark, sf), ["raw", "act"], "raw", length=288)
     at = lambda i, name: F.col("sequence")[i][name]
     return _keyed(
-        windows, "seq_no", "raw", at(4, "raw").alias("last_raw"), *[at(i, "act").alias(f"act{i}") for i in (0, 1, 4)]
+        windows, "seq_no", "raw", at(287, "raw").alias("last_raw"), *[at(i, "act").alias(f"act{i}") for i in (0, 1, 287)]
     )
 
 
@@ -207,16 +208,18 @@ _SETS = {"cyclic": _CYCLIC, "inseminated": _INSEMINATED, "pregnant": _PREGNANT,
 
 
 def _peaks_sql(events: str, grid: str = "grid") -> str:
+    values = [f"lag(g.act, {-k}) OVER w" if k < 0 else f"lead(g.act, {k}) OVER w" if k else "g.act" for k in range(-3, 3)]
+    total = " + ".join(["CAST(0 AS DOUBLE)", *[f"coalesce({value}, 0)" for value in values]])
+    known = " + ".join(f"CAST({value} IS NOT NULL AS INTEGER)" for value in values)
     return f"""
         SELECT organisation_id, animal_id, event_ts, datetime AS peak_ts
-        FROM (SELECT e.organisation_id, e.animal_id, e.event_ts, g.datetime,
-                     avg(g.act) OVER (PARTITION BY e.organisation_id, e.animal_id, e.event_ts ORDER BY g.datetime
-                                      ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS smooth
+        FROM (SELECT e.organisation_id, e.animal_id, e.event_ts, g.datetime, ({total}) / nullif({known}, 0) AS smooth
               FROM (SELECT DISTINCT organisation_id, animal_id, event_ts FROM {events}) e
               JOIN {grid} g ON g.organisation_id = e.organisation_id AND g.animal_id = e.animal_id
-               AND g.datetime BETWEEN e.event_ts - INTERVAL 12 HOURS AND e.event_ts + INTERVAL 12 HOURS)
+               AND g.datetime BETWEEN e.event_ts - INTERVAL 12 HOURS AND e.event_ts + INTERVAL 12 HOURS
+              WINDOW w AS (PARTITION BY e.organisation_id, e.animal_id, e.event_ts ORDER BY g.datetime))
         WHERE smooth IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY organisation_id, animal_id, event_ts ORDER BY round(smooth, 6) DESC, datetime) = 1"""
+        QUALIFY row_number() OVER (PARTITION BY organisation_id, animal_id, event_ts ORDER BY smooth DESC, datetime) = 1"""
 
 
 def _marked_sql(label: str, grid: str = "grid") -> str:
@@ -266,12 +269,12 @@ def _(spark, sf):
 
 @query("c9_attach_by_key", sql(f"""
     SELECT organisation_id, animal_id, coalesce(g.datetime, f.datetime) AS datetime, g.act, f.change
-    FROM (SELECT * FROM grid WHERE act > 30) g FULL JOIN
+    FROM grid6h g FULL JOIN
          (SELECT organisation_id, animal_id, datetime, CAST(raw - lag(raw) OVER ({A}) AS DOUBLE) AS change FROM flagged) f
     USING (organisation_id, animal_id, datetime)"""))
 def _(spark, sf):
     change = _keyed(labels.difference(R.flagged(spark, sf), "raw", "change"), F.col("change").cast("double"))
-    values = _keyed(R.grid(spark, sf).where("act > 30"), "act")
+    values = _keyed(R.grid(spark, sf, 360), "act")  # ticks that the fine grid mostly lacks, and the other way round
     return values.join(change, [*ANIMAL, "datetime"], "full")
 
 
@@ -324,12 +327,9 @@ def _labelled(spark, sf):
 
 @query("b22_with_any_heat", sql("""
     SELECT organisation_id, animal_id, datetime FROM labelled
-    QUALIFY bool_or(cyclic AND inseminated AND act > 150) OVER (PARTITION BY organisation_id, animal_id)""", **_HEATED))
+    QUALIFY bool_or(pregnant OR cyclic OR inseminated) OVER (PARTITION BY organisation_id, animal_id)""", **_HEATED))
 def _(spark, sf):
-    # Only overlapping labels of very active ticks, so that some animals drop out.
-    both = F.col("cyclic") & F.col("inseminated") & (F.col("act") > 150)
-    narrowed = _labelled(spark, sf).withColumns({"cyclic": both, "inseminated": F.lit(False), "pregnant": F.lit(False)})
-    return _keyed(clean.with_any_heat(narrowed))
+    return _keyed(clean.with_any_heat(_labelled(spark, sf)))
 
 
 @query("b25_raw_annotation", sql("SELECT organisation_id, animal_id, datetime, CAST(pregnant OR cyclic OR inseminated AS INTEGER) AS raw FROM labelled", **_HEATED))
@@ -448,15 +448,19 @@ def _(spark, sf):
 
 @query("a13_row_slice", sql("""
     SELECT organisation_id, animal_id, datetime, row_id, CAST(act AS FLOAT) AS act FROM (
-        SELECT *, row_number() OVER (ORDER BY organisation_id, animal_id, datetime) - 1 AS row_id FROM flagged)
-    WHERE row_id >= 100 AND row_id < 2500"""))
+        SELECT *, row_number() OVER (PARTITION BY CAST(animal_id AS INTEGER) % 3 = 0 ORDER BY organisation_id, animal_id, datetime) - 1 AS row_id
+        FROM flagged)
+    WHERE CAST(animal_id AS INTEGER) % 3 <> 0 AND row_id >= 100 AND row_id < 2500"""))
 def _(spark, sf):
     path = fresh_path(spark, "training")
     rows = R.flagged(spark, sf).withColumns(
         {"annotation": F.col("raw"), "DIM": F.lit(1), "act_group_mean": F.col("act"), "temp_filtered": F.col("temp")}
     )
-    tables.export_training(rows, path)
-    return _keyed(tables.row_slice(tables.read_table(spark, path), 100, 2500), "row_id", "act")
+    third = F.col("animal_id").cast("int") % 3 == 0
+    sides = R.herd(spark, sf).select(*ANIMAL, F.when(third, "test").otherwise("train").alias("split"))
+    tables.export_training(rows, path, sides)
+    train = tables.read_table(spark, path).where("split = 'train'")
+    return _keyed(tables.row_slice(train, 100, 2500), "row_id", "act")
 
 
 @query("a10_split_export", sql("SELECT organisation_id, animal_id, count(*) AS n FROM flagged GROUP BY ALL"))
@@ -556,6 +560,19 @@ def _(spark, sf):
     return models.score(model, test, keep=[*ANIMAL, "datetime"])
 
 
+@query("h9_scores_every_row", sql("""
+    SELECT organisation_id, animal_id, datetime, raw AS y, (datetime IN (SELECT min(datetime) FROM flagged GROUP BY animal_id)) AS blank
+    FROM flagged"""))
+def _(spark, sf):
+    rows = R.flagged(spark, sf).withColumn("annotation", F.col("raw"))
+    model = models.train_weighted(rows, ["act", "temp"])
+    firsts = rows.groupBy("animal_id").agg(F.min("datetime").alias("datetime")).select("datetime").distinct()
+    gaps = rows.join(firsts.withColumn("gap", F.lit(True)), "datetime", "left")
+    gaps = gaps.withColumn("temp", F.when(F.col("gap").isNull(), F.col("temp")))
+    scored = models.score(model, gaps, keep=[*ANIMAL, "datetime"])
+    return _keyed(scored, "y", F.col("probability").isNull().alias("blank"))
+
+
 @query("h10_persist_model")
 def _(spark, sf):
     train, test = _parts(spark, sf)
@@ -570,4 +587,4 @@ def _(spark, sf):
 @query("h11_arma")
 def _(spark, sf):
     fitted = forecast.arma11(_keyed(R.grid(spark, sf), "act"))
-    return _keyed(fitted, "act", "constant", "phi", "theta", "prediction")
+    return _keyed(fitted, "act", "constant", "phi", "theta", "invertible", "prediction")

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from herdsignal.operators.clean import on_grid
+from herdsignal.operators.clean import dedup_first, on_grid
 
 Loader = tuple[SparkSession, str]
 
@@ -48,6 +48,17 @@ def flagged(spark: SparkSession, folder: str) -> DataFrame:
     return grid(spark, folder).withColumn("raw", (F.col("act") > 50).cast("int"))
 
 
+def long_series(spark: SparkSession, folder: str) -> DataFrame:
+    """All readings of an organisation as one animal's, off the grid: two long series."""
+    rows = readings(spark, folder).withColumn("animal_id", F.col("organisation_id")).drop("group_id")
+    return dedup_first(rows, ["event_id"]).drop("event_id")
+
+
+def long_flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Long series with a raw 0/1 label that is rarely set."""
+    return long_series(spark, folder).withColumn("raw", (F.col("act") > 180).cast("int"))
+
+
 def lifecycle_events(spark: SparkSession, folder: str) -> DataFrame:
     """Fixed renaming of event types; the days before an insemination come from the payload."""
     kind = F.col("event_type")
@@ -202,6 +213,10 @@ RELATIONS = {
               FROM readings)
         QUALIFY row_number() OVER (PARTITION BY organisation_id, animal_id, tick ORDER BY datetime, event_id) = 1""",
     "flagged": "SELECT *, CAST(act > 50 AS INTEGER) AS raw FROM grid",
+    "long_series": """
+        SELECT organisation_id, organisation_id AS animal_id, datetime, act, temp FROM readings
+        QUALIFY row_number() OVER (PARTITION BY organisation_id, datetime ORDER BY event_id) = 1""",
+    "long_flagged": "SELECT *, CAST(act > 180 AS INTEGER) AS raw FROM long_series",
     "lifecycle_events": r"""
         SELECT CAST(user_id % 2 AS VARCHAR) AS organisation_id, CAST(user_id AS VARCHAR) AS animal_id,
                user_id AS cycle_no, ts AS event_ts,

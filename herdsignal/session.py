@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,15 +51,47 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/herdsignal/{uuid.uuid4().hex}/{name}"
 
 
+class Scratch:
+    """The scratch tables that ``cut`` makes while a ``scratch`` block runs."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept += tables
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Deletes the scratch tables made in the block, all but those to keep, when it ends."""
+    block = Scratch()
+    _OPEN.append(block)
+    try:
+        yield block
+    finally:
+        _OPEN.remove(block)
+    kept = {id(table) for table in block.kept}
+    release(*(table for table in block.made if id(table) not in kept))
+    if _OPEN:
+        _OPEN[-1].made += block.kept
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a scratch table and read it back: later stages neither recompute nor lose it.
 
     The table stays in the shared folder, because the returned frame reads it; clear ``herdsignal/`` there
-    when the job's results are written, or hand the frame to ``release`` as soon as nothing reads it any more.
+    when the job's results are written, or use ``scratch`` or ``release`` as soon as nothing reads it any more.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].made.append(table)
+    return table
 
 
 def release(*tables: DataFrame) -> None:

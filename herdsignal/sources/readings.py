@@ -14,6 +14,8 @@ from herdsignal.operators.series import ANIMAL
 
 # Columns of a sensor file, keys of the feature table, segment lengths, default span.
 SENSOR_CSV = "ts BIGINT, act DOUBLE, temp DOUBLE"
+HEADER_LINE = r'(^|,)\s*"?ts"?\s*(,|$)'
+MOST_LAYOUTS = 100
 FEATURE_KEYS = ("organisation_id", "group_id", "animal_id", "datetime")
 SEGMENT_DAYS = 399
 SEGMENT_STEP_DAYS = 398
@@ -33,9 +35,29 @@ def sensor_columns(files: DataFrame) -> DataFrame:
 
 
 def read_sensor_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """All files ``{animal}|{chunk}.csv`` below a folder."""
-    files = spark.read.schema(SENSOR_CSV).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-    return sensor_columns(files.csv(folder, header=True))
+    """All files ``{animal}|{chunk}.csv`` below a folder; columns by the names in a file's header line.
+
+    Lines that name ``ts`` are headers. Usually there is one layout; with several (at most MOST_LAYOUTS) the files
+    of each are read by it. Missing columns are null, others are left out.
+    """
+    below = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
+    lines = spark.read.options(**below).text(folder).where(F.col("value").rlike(HEADER_LINE))
+    layouts = sorted(row["value"] for row in lines.select("value").distinct().limit(MOST_LAYOUTS + 1).collect())
+    if len(layouts) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} layouts of sensor files")
+    kinds = dict(part.split() for part in SENSOR_CSV.split(", "))
+    parts = None
+    for layout in layouts or [",".join(kinds)]:
+        names = [name.strip().strip('"') for name in layout.split(",")]
+        typed = [(name, kinds[name]) if name in kinds and name not in names[:i] else (f"_c{i}", "STRING") for i, name in enumerate(names)]
+        files = spark.read.schema(", ".join(f"`{n}` {k}" for n, k in typed)).options(**below).csv(folder, header=True)
+        if len(layouts) > 1:
+            mine = lines.where(F.col("value") == layout).select(F.col("_metadata.file_path").alias("_file")).distinct()
+            files = files.join(mine, F.col("_metadata.file_path") == F.col("_file"), "left_semi")
+        absent = {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in names}
+        part = sensor_columns(files.withColumns(absent) if absent else files)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 def consolidate(csv: DataFrame, animals: DataFrame) -> DataFrame:

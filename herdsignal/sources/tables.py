@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from herdsignal.operators.sequences import training_matrix
 from herdsignal.operators.series import ANIMAL, rank_all
 
+#: Columns that tables are laid out by in folders; all of them are text.
+FOLDER_KEYS = ("organisation_id", "split")
+
 
 def _laid_out(df: DataFrame) -> DataFrame:
     """Ranges of organisation, animal and time, sorted.
@@ -69,17 +72,21 @@ def stored_keys(new: DataFrame, old: DataFrame | None, keys: Sequence[str] = ANI
 
 
 def export_training(df: DataFrame, path: str, split: DataFrame | None = None) -> None:
-    """Write the training matrix with a global ``row_id``, by split where one is given.
+    """Write the training matrix with a ``row_id`` from 0, dense within each split where one is given.
 
     Rows come in the order of organisation, animal and time; Parquet keeps the range of ``row_id``
     of every row group, so a slice reads only the groups it needs.
     """
     matrix = training_matrix(df)
-    if split is not None:
-        matrix = matrix.join(split, list(ANIMAL))
-    ranked = rank_all(matrix, [*ANIMAL, "datetime"], "row_id")
-    writer = ranked.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy("split") if split is not None else writer).parquet(path)
+    order = [*ANIMAL, "datetime"]
+    if split is None:
+        rank_all(matrix, order, "row_id").write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return
+    # Ranked with the split in front; the first rank of each split (one row each) then makes its ids begin at 0.
+    ranked = rank_all(matrix.join(split, list(ANIMAL)), ["split", *order], "_rank")
+    firsts = ranked.groupBy("split").agg(F.min("_rank").alias("_first"))
+    numbered = ranked.join(F.broadcast(firsts), "split").withColumn("row_id", F.col("_rank") - F.col("_first"))
+    numbered.drop("_rank", "_first").write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(path)
 
 
 def row_slice(df: DataFrame, start: int, end: int, row: str = "row_id") -> DataFrame:
@@ -87,5 +94,9 @@ def row_slice(df: DataFrame, start: int, end: int, row: str = "row_id") -> DataF
     return df.where((F.col(row) >= start) & (F.col(row) < end))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stored table. Keys that are folder names are read as the text they are, never as numbers."""
+    if schema is None:
+        found = spark.read.parquet(path).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in FOLDER_KEYS else f for f in found])
+    return spark.read.schema(schema).parquet(path)
