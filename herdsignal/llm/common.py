@@ -30,6 +30,21 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is among the first column of ``ids``, all columns as they are."""
+    name = unused(df, "_among")
+    wanted = ids.toDF(name).distinct()
+    return df.join(wanted, df[id_col] == F.col(name), "left_semi")
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -90,7 +90,8 @@ def _cells(how: Plan):
                 x = np.frombuffer(b"".join(units[i] for i in rows), np.float64).reshape(len(rows), -1)
                 signs = x @ _directions(size // 8, how)[0] > 0
                 weights = C.mixed(np.arange(how.bits, dtype=np.uint64) + np.uint64(size << 8))
-                codes = (signs.reshape(len(rows), how.tables, how.bits) * weights).sum(2, dtype=np.uint64).view(np.int64)
+                codes = (signs.reshape(len(rows), how.tables, how.bits) * weights).sum(2, dtype=np.uint64)
+                codes = (codes + C.mixed(np.array([size], np.uint64))).view(np.int64)  # lengths do not meet, whatever the signs
                 take = pa.array(np.repeat(rows, how.tables))
                 data = [c.tobytes() for c in codes]
                 yield pa.RecordBatch.from_arrays(

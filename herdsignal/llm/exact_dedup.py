@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from herdsignal.llm.common import hot_join, lower_ascii, only
+from herdsignal.llm.common import hot_join, lower_ascii, only, with_ids
 from herdsignal.session import cut
 
 #: Distinct texts per bucket, and bits of the digest that the directory may use at most.
@@ -101,6 +101,4 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi")
-
+    return with_ids(docs, id_col, exact_dedup(docs, id_col, text_col).where("kept").select(id_col))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.llm import common as C
-from herdsignal.session import cut
+from herdsignal.session import cut, scratch
 
 #: Words per shingle and the least similarity in per cent.
 SHINGLE, PERCENT = 5, 80
@@ -339,6 +339,8 @@ def overlaps(queries: list[bytes], others: list[bytes], long: int = LONG) -> np.
 
 
 def _probe(mine: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    if not len(mine):
+        return np.zeros(len(shingles), np.float32)
     at = np.searchsorted(mine, shingles)
     return ((at < len(mine)) & (mine[np.minimum(at, len(mine) - 1)] == shingles)).astype(np.float32)
 
@@ -423,24 +425,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty and white texts have no shingles and link with nothing. Rows repeated with the same id are one
     document. Rows without an id come back with nulls. Empty tables give empty results; other columns are not read.
     """
-    texts = only(docs, id_col, text_col)
-    buckets = C.tasks(docs)
-    known = texts.where("id IS NOT NULL")
-    stats = _count_hits(known.mapInArrow(_post_texts(buckets, size, percent), _POSTINGS), buckets)
-    stats = cut(stats, "stats")
-    groups = cut(stats.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("hits").alias("hits"), F.max("n").alias("n")), "groups")
-    asked = groups.where(f"hits >= 1 + ((n * {percent} + 99) div 100) div 10").select(F.col("rep").alias("id"))
-    sets = cut(known.join(asked, "id", "left_semi").mapInArrow(_set_rows(size, LEADER_KEYS), "id long, n long, hashes binary, keys array<long>").dropDuplicates(["id"]), "sets")
-    links = links_of(leader_pairs(sets), sets, percent)
-    label = C.components(links)
-    more = occurrence_links(sets, label, percent, buckets)
-    if not more.isEmpty():
-        label = C.components(links.unionByName(more))
-    named = cut(groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
-    told = C.hot_join(stats.where("n > 0"), named, "sig", "copies").select("id", "n", "component_id")
-    alone = stats.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    nameless = texts.where("id IS NULL").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component_id"))
-    return told.unionByName(alone).unionByName(nameless).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    with scratch() as tables:
+        texts = only(docs, id_col, text_col)
+        buckets = C.tasks(docs)
+        known = texts.where("id IS NOT NULL")
+        stats = _count_hits(known.mapInArrow(_post_texts(buckets, size, percent), _POSTINGS), buckets)
+        stats = cut(stats, "stats")
+        groups = cut(stats.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("hits").alias("hits"), F.max("n").alias("n")), "groups")
+        asked = groups.where(f"hits >= 1 + ((n * {percent} + 99) div 100) div 10").select(F.col("rep").alias("id"))
+        sets = cut(known.join(asked, "id", "left_semi").mapInArrow(_set_rows(size, LEADER_KEYS), "id long, n long, hashes binary, keys array<long>").dropDuplicates(["id"]), "sets")
+        links = links_of(leader_pairs(sets), sets, percent)
+        label = C.components(links)
+        more = occurrence_links(sets, label, percent, buckets)
+        if not more.isEmpty():
+            label = C.components(links.unionByName(more))
+        named = cut(groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
+        told = C.hot_join(stats.where("n > 0"), named, "sig", "copies").select("id", "n", "component_id")
+        alone = stats.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+        nameless = texts.where("id IS NULL").select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component_id"))
+        result = cut(told.unionByName(alone).unionByName(nameless).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "result")
+        tables.keep(result)
+    return result
 
 
 def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -449,6 +454,5 @@ def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of ``docs`` that are the smallest of their component."""
-    kept = ngram_join(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi")
-
+    found = ngram_join(docs, id_col, text_col)
+    return C.with_ids(docs, id_col, found.where(F.col(id_col) == F.col("component_id")).select("component_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from herdsignal.llm import bpe, words as W
-from herdsignal.session import cut
+from herdsignal.session import cut, scratch
 
 CAPACITY = 4096
 #: Pieces per block that a worker numbers.
@@ -117,7 +117,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY,
     documents fill sequences of their own; repeated rows are packed each; ids may be null; only the two named columns
     are read; an empty table gives an empty result.
     """
-    placed = cut(fill(cut_documents(docs, path, end_id, capacity, id_col, text_col), capacity), "placed")
+    with scratch() as tables:
+        placed = cut(fill(cut_documents(docs, path, end_id, capacity, id_col, text_col), capacity), "placed")
+        tables.keep(placed)
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     sequence = F.shiftleft(F.col("class"), CLASS_SHIFT) + F.col("bin")
     offset = F.col("place") * F.floor(F.lit(capacity) / F.col("class"))

@@ -108,7 +108,7 @@ def _(spark, sf):
     """
     SELECT page_id, strlen(p) AS payload_bytes, digest AS payload_digest,
            CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
-           CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+           CAST(CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS DOUBLE) AS refers_to
     FROM (
         SELECT page_id, p, (
             SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.llm import common as C, words as W
-from herdsignal.session import cut
+from herdsignal.session import cut, scratch
 
 #: Words with outputs of their own, words per class, classes of the other words, size of the state.
 TOP, MEMBERS, TAILS, STATE = 1536, 32, 64, 24
@@ -93,34 +93,46 @@ def _totals(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     return hashes, values, total, tail_of([endings[i] for i in first.tolist()]), place
 
 
+_COUNTED = "tokens binary, types binary, top binary, counts binary, tails binary"
+
+
+def _counted(tokens, types, values, counts, tails) -> pa.Table:
+    """One row: sums by tail class, and the most frequent words, at most TOP."""
+    best = np.lexsort((values, -counts))[:TOP]
+    best = best[counts[best] > 0]
+    parts = (tokens, types, values[best], counts[best], tails[best])
+    return pa.table([C.binary([np.ascontiguousarray(x).tobytes()]) for x in parts], [c.split()[0] for c in _COUNTED.split(", ")])
+
+
 def vocabulary(chunks: DataFrame, buckets: int, train_docs: int) -> Vocabulary:
-    """Counts of all training words, and the most frequent ones (at most TOP, whatever the input)."""
+    """Counts of all training words, and the most frequent ones (at most TOP, whatever the input).
+
+    Each bucket gives one row of bounded size, and rows are put together FAN_IN at a time.
+    """
 
     def run(key, table):
         _, values, total, tail, _ = _totals(table.to_pylist())
-        seen = total > 0
-        best = np.lexsort((values, -total))[: TOP]
-        best = best[total[best] > 0]
-        types, tokens = np.bincount(tail[seen], minlength=TAILS), np.bincount(tail, total, TAILS).astype(np.int64)
-        kinds = np.r_[np.zeros(TAILS, np.int64), np.ones(len(best), np.int64)]
-        return pa.table(
-            [pa.array(kinds), pa.array(np.r_[np.arange(TAILS), tail[best]]), pa.array(np.r_[tokens, total[best]]), pa.array(np.r_[types, values[best].view(np.int64)])],
-            ["kind", "tail", "n", "what"],
-        )
+        types, tokens = np.bincount(tail[total > 0], minlength=TAILS), np.bincount(tail, total, TAILS).astype(np.int64)
+        return _counted(tokens, types, values, total, tail)
+
+    def join(key, table):
+        tokens, types, values, counts, tails = ([np.frombuffer(x, np.int64) for x in table.column(i).to_pylist()] for i in range(5))
+        return _counted(sum(tokens), sum(types), np.concatenate(values).view(np.uint64), np.concatenate(counts), np.concatenate(tails))
 
     asked = chunks.where(F.col("bucket") != W.DOCUMENTS).select("bucket", "a", "b", "c", "d").repartition(buckets, "bucket")
-    found = cut(asked.groupBy("bucket").applyInArrow(run, "kind long, tail long, n long, what long"), "counted")
-    tails = found.where("kind = 0").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("what").alias("types")).collect()
-    top = found.where("kind = 1").orderBy(F.desc("n"), "what").limit(TOP).collect()
-    tokens, types = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
-    for row in tails:
-        tokens[row["tail"]], types[row["tail"]] = row["n"], row["types"]
+    rows = cut(asked.groupBy("bucket").applyInArrow(run, _COUNTED), "counted")
+    many = rows.count()
+    while many > 1:
+        groups = -(-many // FAN_IN)
+        joined = rows.withColumn("group", F.expr(f"pmod(xxhash64(tokens, top), {groups})")).groupBy("group")
+        rows = cut(joined.applyInArrow(lambda key, table: join(key, table.drop(["group"])), _COUNTED), "counted")
+        many = rows.count() if groups > 1 else 1
+    found = rows.collect()  # one row of bounded size
+    tokens, types, top, counts, tails = [np.frombuffer(bytes(x), np.int64).copy() for x in found[0]] if found else [np.zeros(n, np.int64) for n in (TAILS, TAILS, 0, 0, 0)]
     total, distinct = int(tokens.sum()), int(types.sum())
-    for row in top:
-        tokens[row["tail"]] -= row["n"]
-        types[row["tail"]] -= 1
-    counts = np.array([r["n"] for r in top], np.int64)
-    return Vocabulary(total + train_docs, distinct + (train_docs > 0), train_docs, np.array([r["what"] for r in top], np.int64).view(np.uint64), counts, tokens, types)
+    np.subtract.at(tokens, tails, counts)
+    np.subtract.at(types, tails, 1)
+    return Vocabulary(total + train_docs, distinct + (train_docs > 0), train_docs, top.view(np.uint64), counts, tokens, types)
 
 
 def _teller(known: Vocabulary):
@@ -429,13 +441,15 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     kind = dict(rows.dtypes)["id"]
     # The id travels with its mark, so that both come back with the chunk.
     tagged = rows.select(F.to_json(F.struct("id", "mark")).alias("id"), "text", "mark")
-    chunks = W.split(tagged, splitter, buckets, marked=True)
-    known = vocabulary(chunks, buckets, rows.where("mark").count())
-    told = W.answer(chunks, _teller(known), buckets)
     schema = "id string, n_tokens long, n_known long, base_score double, tail_score double, codes binary"
-    coded = W.finish(chunks, told, _coded(known), schema)
-    coded = cut(coded.withColumn("tag", F.from_json("id", f"id {kind}, mark boolean")).select("tag.id", "tag.mark", *[c.split()[0] for c in schema.split(", ")[1:]]), "coded")
-    shared = spark.sparkContext.broadcast((known, train(coded.where("mark"), known)))
+    with scratch() as tables:
+        chunks = W.split(tagged, splitter, buckets, marked=True)
+        known = vocabulary(chunks, buckets, rows.where("mark").count())
+        told = W.answer(chunks, _teller(known), buckets)
+        coded = W.finish(chunks, told, _coded(known), schema)
+        coded = cut(coded.withColumn("tag", F.from_json("id", f"id {kind}, mark boolean")).select("tag.id", "tag.mark", *[c.split()[0] for c in schema.split(", ")[1:]]), "coded")
+        shared = spark.sparkContext.broadcast((known, train(coded.where("mark"), known)))
+        tables.keep(coded)
     dealt = coded.repartition(buckets, F.xxhash64("id")).sortWithinPartitions(F.desc("n_tokens"), "id")
     scored = dealt.mapInArrow(_scores(shared), f"id {kind}, mark boolean, n_tokens long, n_known long, base_score double, score double")
     columns = [F.col("id").alias(id_col), F.col("mark").alias("trained"), "n_tokens", "n_known"]

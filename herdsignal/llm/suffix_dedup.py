@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.llm import common as C
-from herdsignal.session import cut
+from herdsignal.session import cut, scratch
 
 LENGTH = 50
 #: Bits of an anchor's hash that are compared first; the rest of the number holds its place in the step.
@@ -448,17 +448,20 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     ``rep`` is the smallest id with the same text; rows with another rep lose everything, if they have ``length``
     bytes, and are not among the second. ``found`` lists spans of bytes.
     """
-    buckets = C.tasks(docs)
-    texts = C.only(docs, id=id_col, text=text_col).withColumns({"id": F.col("id").cast("long"), "text": F.coalesce("text", F.lit(""))})
-    posted = cut(texts.where("id IS NOT NULL").mapInArrow(_post(buckets, length), _POSTED), "posted")
-    home = posted.where("bucket = -1").select("id", "n_bytes", "sha", "label")
-    reps = cut(home.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label")), "reps")
-    rows = cut(C.hot_join(home, reps.select("sha", "rep", "n"), "sha", "n").select("id", "n_bytes", "sha", "rep"), "rows")
-    found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared(buckets), _FOUND)
-    asked = found.repartition(buckets, "bucket").mapInArrow(_by_text, "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
-    texts = cut(texts.join(asked, "id").select("id", "text", "found"), "asked")
-    contexts = texts.mapInArrow(_contexts(buckets, length), _CONTEXTS).repartition(buckets, "bucket")
-    spans = contexts.mapInArrow(_owner(length), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
+    with scratch() as tables:
+        buckets = C.tasks(docs)
+        texts = C.only(docs, id=id_col, text=text_col).withColumns({"id": F.col("id").cast("long"), "text": F.coalesce("text", F.lit(""))})
+        posted = cut(texts.where("id IS NOT NULL").mapInArrow(_post(buckets, length), _POSTED), "posted")
+        home = posted.where("bucket = -1").select("id", "n_bytes", "sha", "label")
+        reps = cut(home.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label")), "reps")
+        rows = cut(C.hot_join(home, reps.select("sha", "rep", "n"), "sha", "n").select("id", "n_bytes", "sha", "rep"), "rows")
+        found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared(buckets), _FOUND)
+        asked = found.repartition(buckets, "bucket").mapInArrow(_by_text, "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
+        texts = cut(texts.join(asked, "id").select("id", "text", "found"), "asked")
+        contexts = texts.mapInArrow(_contexts(buckets, length), _CONTEXTS).repartition(buckets, "bucket")
+        spans = contexts.mapInArrow(_owner(length), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
+        spans = cut(spans, "spans")
+        tables.keep(rows, texts, spans)
     return rows, texts.select("id", "text").dropDuplicates(["id"]).join(spans, "id")
 
 
@@ -495,7 +498,7 @@ def keep_rest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", tex
     rows, losing = removals(docs, length, id_col, text_col)
     lost = losing.mapInArrow(_removed, _LOST).where("n_removed > 0").select("id", F.col("text").alias("_kept"))
     copies = rows.where((F.col("id") != F.col("rep")) & (F.col("n_bytes") >= length)).select("id", F.lit("").alias("_kept"))
-    changed = lost.unionByName(copies).distinct().withColumnRenamed("id", "_id")
-    joined = docs.join(changed, docs[id_col] == F.col("_id"), "left")
-    return joined.select(*(F.coalesce("_kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
-
+    key, value = C.unused(docs, "_changed"), C.unused(docs, "_rest")
+    changed = lost.unionByName(copies).distinct().toDF(key, value)
+    joined = docs.join(changed, docs[id_col] == F.col(key), "left")
+    return joined.select(*(F.coalesce(F.col(value), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
