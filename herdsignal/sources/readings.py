@@ -22,9 +22,9 @@ SEGMENT_STEP_DAYS = 398
 SPAN = ("2018-04-01", "2020-04-01")
 
 
-def sensor_columns(files: DataFrame) -> DataFrame:
+def sensor_columns(files: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
     """Animal and chunk from the file name, time from epoch seconds, null for NaN."""
-    name = names.sensor_name(F.col("_metadata.file_path"))
+    name = names.sensor_name(F.col(path))
     return files.select(
         names.animal_of(name).alias("animal_id"),
         names.chunk_of(name).alias("chunk"),
@@ -51,11 +51,12 @@ def read_sensor_csv(spark: SparkSession, folder: str) -> DataFrame:
         names = [name.strip().strip('"') for name in layout.split(",")]
         typed = [(name, kinds[name]) if name in kinds and name not in names[:i] else (f"_c{i}", "STRING") for i, name in enumerate(names)]
         files = spark.read.schema(", ".join(f"`{n}` {k}" for n, k in typed)).options(**below).csv(folder, header=True)
+        files = files.select("*", F.col("_metadata.file_path").alias("_path"))
         if len(layouts) > 1:
             mine = lines.where(F.col("value") == layout).select(F.col("_metadata.file_path").alias("_file")).distinct()
-            files = files.join(mine, F.col("_metadata.file_path") == F.col("_file"), "left_semi")
+            files = files.join(mine, F.col("_path") == F.col("_file"), "left_semi")
         absent = {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in names}
-        part = sensor_columns(files.withColumns(absent) if absent else files)
+        part = sensor_columns(files.withColumns(absent) if absent else files, "_path")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

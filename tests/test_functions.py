@@ -65,7 +65,7 @@ def test_numbers(spark):
     [
         ("file:/x/cow%201%7C0.csv", "cow 1|0.csv"),
         ("file:/x/a+b%7C12.csv", "a+b|12.csv"),
-        ("file:/x/file=7%7C1.csv/part-0.csv", "7|1.csv"),
+        ("file:/x/7%7C1.csv/part-0.csv", "7|1.csv"),
         ("file:/x/other.csv", ""),
     ],
 )
