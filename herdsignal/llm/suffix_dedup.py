@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.llm import common as C
-from herdsignal.session import cut, scratch
+from herdsignal.session import cut, release, scratch
 
 LENGTH = 50
 #: Bits of an anchor's hash that are compared first; the rest of the number holds its place in the step.
@@ -458,6 +458,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared(buckets), _FOUND)
         asked = found.repartition(buckets, "bucket").mapInArrow(_by_text, "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
         texts = cut(texts.join(asked, "id").select("id", "text", "found"), "asked")
+        release(posted, reps)  # before the contexts need the room
         contexts = texts.mapInArrow(_contexts(buckets, length), _CONTEXTS).repartition(buckets, "bucket")
         spans = contexts.mapInArrow(_owner(length), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
         spans = cut(spans, "spans")
