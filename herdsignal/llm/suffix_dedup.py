@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from herdsignal.llm import common as C
+from herdsignal.llm import common as C, words as W
 from herdsignal.session import cut, release, scratch
 
 LENGTH = 50
@@ -190,6 +190,34 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["label", "found"])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text): texts compressed, to be joined twice."""
+    for batch in C.steps(batches, "text"):
+        data, offsets = C.raw(batch.column(1))
+        packed = [W.pack(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), C.binary(packed)], ["id", "text"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of (id, text, found) with their texts restored, about ``STEP_BYTES`` (one text at least) at a time."""
+    for batch in batches:
+        held, texts = 0, []
+        for i, packed in enumerate(batch.column(1)):
+            text = W.unpack(packed.as_py(), np.uint8).tobytes()
+            if texts and held + len(text) > C.STEP_BYTES:
+                yield _restored(batch, i, texts)
+                held, texts = 0, []
+            held += len(text)
+            texts.append(text)
+        if texts:
+            yield _restored(batch, batch.num_rows, texts)
+
+
+def _restored(batch: pa.RecordBatch, end: int, texts: list[bytes]) -> pa.RecordBatch:
+    part = batch.slice(end - len(texts), len(texts))
+    return pa.RecordBatch.from_arrays([part.column(0), C.binary(texts), part.column(2)], ["id", "text", "found"])
+
+
 _CONTEXTS = "bucket int, keys binary, sizes binary, context binary, ids binary, at binary, id long, found binary"
 
 
@@ -203,7 +231,7 @@ def _contexts(buckets: int, length: int):
     """Contexts of shared anchors, each once per step with its smallest document; the others' bytes are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.steps(batches, "text"):
+        for batch in _opened(batches):
             data, offsets = C.raw(batch.column(1))
             ids = np.asarray(batch.column(0), np.int64)
             out = _empty_columns(_CONTEXTS)
@@ -233,8 +261,8 @@ def _contexts(buckets: int, length: int):
             for a, n in zip(*C.runs(bucket), strict=True):
                 b = a + n
                 _put(
-                    out, bucket=int(bucket[a]), keys=key[a:b].tobytes(), sizes=size[a:b].astype(np.uint32).tobytes(), context=_gather(data, first[a:b], size[a:b]).tobytes(),
-                    ids=who[a:b].tobytes(), at=(first[a:b] - offsets[row[a:b]]).astype(np.uint32).tobytes(),
+                    out, bucket=int(bucket[a]), keys=W.pack(key[a:b]), sizes=W.pack(size[a:b].astype(np.uint32)), context=W.pack(_gather(data, first[a:b], size[a:b])),
+                    ids=W.pack(who[a:b]), at=W.pack((first[a:b] - offsets[row[a:b]]).astype(np.uint32)),
                 )
             yield _batch(out, _CONTEXTS)
 
@@ -389,7 +417,7 @@ def _owner(length: int):
                     _put(out, id=row["id"], found=row["found"])
                     continue
                 for part, (name, kind) in zip(parts, (("keys", np.uint64), ("sizes", np.uint32), ("context", np.uint8), ("ids", np.int64), ("at", np.uint32)), strict=True):
-                    part.append(np.frombuffer(row[name], kind))
+                    part.append(W.unpack(row[name], kind))
             yield _batch(out, schema)
         if not parts[0]:
             return
@@ -419,27 +447,26 @@ _LOST = "id long, n_removed long, n_spans long, kept binary, text string, spans
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in C.steps([whole], "text"):
-            data, offsets = C.raw(batch.column(1))
-            out: list[list] = [[], [], [], []]
-            for i, found in enumerate(batch.column(2).to_pylist()):
-                spans = np.concatenate([np.frombuffer(f, np.uint32).reshape(2, -1) for f in found], axis=1).astype(np.int64)
-                order = np.argsort(spans[0], kind="stable")
-                start, end = merged(spans[0][order], spans[1][order])
-                text = data[offsets[i] : offsets[i + 1]]
-                mark = np.zeros(len(text) + 1, np.int32)
-                mark[start] += 1
-                mark[end] -= 1
-                keep = np.cumsum(mark)[: len(text)] == 0
-                out[0].append(int((end - start).sum()))
-                out[1].append(len(start))
-                out[2].append(text[keep].tobytes())
-                out[3].append(np.stack([start, end]).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in out[2]], pa.string()), pa.array(out[3], pa.binary())],
-                ["id", "n_removed", "n_spans", "kept", "text", "spans"],
-            )
+    for batch in _opened(batches):
+        data, offsets = C.raw(batch.column(1))
+        out: list[list] = [[], [], [], []]
+        for i, found in enumerate(batch.column(2).to_pylist()):
+            spans = np.concatenate([np.frombuffer(f, np.uint32).reshape(2, -1) for f in found], axis=1).astype(np.int64)
+            order = np.argsort(spans[0], kind="stable")
+            start, end = merged(spans[0][order], spans[1][order])
+            text = data[offsets[i] : offsets[i + 1]]
+            mark = np.zeros(len(text) + 1, np.int32)
+            mark[start] += 1
+            mark[end] -= 1
+            keep = np.cumsum(mark)[: len(text)] == 0
+            out[0].append(int((end - start).sum()))
+            out[1].append(len(start))
+            out[2].append(text[keep].tobytes())
+            out[3].append(np.stack([start, end]).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in out[2]], pa.string()), pa.array(out[3], pa.binary())],
+            ["id", "n_removed", "n_spans", "kept", "text", "spans"],
+        )
 
 
 def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -457,7 +484,8 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         rows = cut(C.hot_join(home, reps.select("sha", "rep", "n"), "sha", "n").select("id", "n_bytes", "sha", "rep"), "rows")
         found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared(buckets), _FOUND)
         asked = found.repartition(buckets, "bucket").mapInArrow(_by_text, "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
-        texts = cut(texts.join(asked, "id").select("id", "text", "found"), "asked")
+        packed = texts.where("id IS NOT NULL").mapInArrow(_squeezed, "id long, text binary")
+        texts = cut(packed.join(asked, "id").select("id", "text", "found"), "asked")
         release(posted, reps)  # before the contexts need the room
         contexts = texts.mapInArrow(_contexts(buckets, length), _CONTEXTS).repartition(buckets, "bucket")
         spans = contexts.mapInArrow(_owner(length), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
