@@ -75,9 +75,10 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = C
 
 def fill(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds bin, place and full (whether its sequence gets its k pieces) to the pieces of every class."""
+    pieces = cut(pieces, "pieces")  # read for the totals, the counts and the numbers
     total = pieces.groupBy("class").agg(F.count("*").alias("in_class"))  # at most ``capacity`` classes
     block = F.expr(f"pmod(xxhash64(id, start, row), cast(ceil(in_class / {BLOCK_PIECES}) as bigint))")
-    placed = cut(pieces.join(F.broadcast(total), "class").withColumn("block", block), "blocks")
+    placed = pieces.join(F.broadcast(total), "class").withColumn("block", block)
     counts = placed.groupBy("class", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = counts.select("class", "block", before.alias("before"))
