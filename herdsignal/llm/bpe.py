@@ -191,9 +191,10 @@ def word_ids(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *(W.unpack(r["a"], np.uint32) for r in told)]).astype(np.int64), np.concatenate([none, *(W.unpack(r["b"], np.uint32) for r in told)])
 
 
-def text_ids(places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Ids of words one after the other."""
-    starts = np.cumsum(sizes) - sizes
+def text_ids(places: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Ids of words one after the other; ``starts``: where the ids of each different word begin, if known."""
+    if starts is None:
+        starts = np.cumsum(sizes) - sizes
     mine = sizes[places]
     ends = np.cumsum(mine)
     return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[places] - (ends - mine), mine)]

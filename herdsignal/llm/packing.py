@@ -48,11 +48,12 @@ def harmonic_cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int,
 def _pieces(end_id: int, capacity: int):
     def work(chunk: W.Chunk, told: list[dict]) -> pa.Table:
         sizes, ids = bpe.word_ids(told)
+        starts = np.cumsum(sizes) - sizes
         known: dict[int, list[tuple[int, int, int]]] = {}
         offsets = chunk.offsets
         out: list[list] = [[], [], [], [], [], []]
         for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            tokens = np.append(bpe.text_ids(chunk.places[a:b], sizes, ids), np.uint32(end_id)).astype("<u4")
+            tokens = np.append(bpe.text_ids(chunk.places[a:b], sizes, ids, starts), np.uint32(end_id)).astype("<u4")
             if len(tokens) not in known:
                 known[len(tokens)] = harmonic_cuts(len(tokens), capacity)
             view = memoryview(tokens).cast("B")
