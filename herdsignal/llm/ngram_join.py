@@ -13,7 +13,8 @@ narrows in three steps, each of them exact:
    are queries. DivideSkip merges the short inverted lists of the queries' shingles, probes the long ones by binary
    search in the sorted sets, and pairs that reach the required overlap are linked.
 
-Postings travel as packed arrays, one per task step and bucket of hashes.
+Postings travel as packed arrays, one per task step and bucket of hashes. A shingle that several documents of a step have
+is settled there and sent twice at most, so that one in a third of all documents is no hot key.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ LEADER_KEYS = 8
 LONG = 64
 #: Documents per block of a family.
 BLOCK = 512
+#: Bytes of text whose shingles a task holds at a time.
+STEP = 2 << 20
 
-_POSTINGS = "bucket int, ids binary, labels binary, counts binary, hashes binary, home binary, home_n binary, sig binary"
+_POSTINGS = "bucket int, ids binary, labels binary, counts binary, hashes binary, home binary, home_n binary, sig binary, home_hits binary"
 
 
 def lacking(n: np.ndarray | int, percent: int = PERCENT):
@@ -81,17 +84,37 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return hashes[new], np.bincount(rows[new], minlength=len(column))
 
 
-def _packed(ids, labels, hashes, sizes, take, buckets: int, home: tuple | None) -> pa.RecordBatch:
-    """The first ``take`` hashes of every document, dealt to buckets; ids of a bucket once with their counts."""
+def _settled(hashes: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Postings that need not be sent: others of the step have the hash, and two of different labels stand for it."""
+    order = np.lexsort((label, hashes))
+    starts, sizes = C.runs(hashes[order])
+    ends = starts + sizes - 1
+    inner = np.repeat(label[order[starts]] != label[order[ends]], sizes) if len(starts) else np.zeros(0, bool)
+    inner[starts] = False
+    inner[ends] = False
+    settled = np.zeros(len(hashes), bool)
+    settled[order[inner]] = True
+    return settled
+
+
+def _packed(ids, labels, hashes, sizes, take, buckets: int, sig: np.ndarray) -> pa.RecordBatch:
+    """The first ``take`` hashes of every document, dealt to buckets; ids of a bucket once with their counts.
+
+    Size, signature and settled postings of every document go to the bucket of its id, its home.
+    """
     first = np.cumsum(sizes) - sizes
     rank = np.arange(len(hashes)) - np.repeat(first, sizes)
     keep = rank < np.repeat(take, sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)[keep]
     hashes = hashes[keep]
+    settled = _settled(hashes, (ids if labels is None else labels)[doc])
+    home = (ids, sizes.astype(np.int64), sig, np.bincount(doc[settled], minlength=len(sizes)).astype(np.int64))
+    doc, hashes = doc[~settled], hashes[~settled]
     bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     bucket, doc, hashes = bucket[order], doc[order], hashes[order]
-    out = {k: [] for k in ("bucket", "ids", "labels", "counts", "hashes", "home", "home_n", "sig")}
+    out = {name.split()[0]: [] for name in _POSTINGS.split(", ")}
+    posting, at_home = list(out)[1:5], list(out)[5:]
     for at, size in zip(*C.runs(bucket), strict=True):
         mine = doc[at : at + size]
         starts, counts = C.runs(mine)
@@ -101,24 +124,23 @@ def _packed(ids, labels, hashes, sizes, take, buckets: int, home: tuple | None)
         out["labels"].append(None if labels is None else labels[who].tobytes())
         out["counts"].append(counts.astype(np.uint32).tobytes())
         out["hashes"].append(hashes[at : at + size].tobytes())
-        for k in ("home", "home_n", "sig"):
+        for k in at_home:
+            out[k].append(None)
+    where = ids % buckets
+    order = np.argsort(where, kind="stable")
+    for at, size in zip(*C.runs(where[order]), strict=True):
+        mine = order[at : at + size]
+        out["bucket"].append(int(where[mine[0]]))
+        for k in posting:
             out[k].append(None)
-    if home is not None:
-        where = home[0] % buckets
-        order = np.argsort(where, kind="stable")
-        for at, size in zip(*C.runs(where[order]), strict=True):
-            mine = order[at : at + size]
-            out["bucket"].append(int(where[mine[0]]))
-            for k in ("ids", "labels", "counts", "hashes"):
-                out[k].append(None)
-            for k, x in zip(("home", "home_n", "sig"), home, strict=True):
-                out[k].append(x[mine].tobytes())
+        for k, x in zip(at_home, home, strict=True):
+            out[k].append(x[mine].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:])], list(out))
 
 
 def _post_texts(buckets: int, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.steps(batches, "text"):
+        for batch in C.steps(batches, "text", STEP):
             ids = np.asarray(batch.column(0), np.int64)
             hashes, sizes = shingle_sets(batch.column(1), size)
             row = np.repeat(np.arange(len(sizes)), sizes)
@@ -128,7 +150,7 @@ def _post_texts(buckets: int, size: int, percent: int):
             if len(row):
                 sig[some, 0] = np.add.reduceat(hashes, at)
                 sig[some, 1] = np.bitwise_xor.reduceat(C.mixed(hashes + np.uint64(7)), at)
-            yield _packed(ids, None, hashes, sizes, posted(sizes, percent), buckets, (ids, sizes.astype(np.int64), sig))
+            yield _packed(ids, None, hashes, sizes, posted(sizes, percent), buckets, sig)
 
     return run
 
@@ -140,38 +162,46 @@ def _post_sets(buckets: int):
             ids, labels = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
             hashes = np.frombuffer(data.tobytes(), np.uint64)
             sizes = np.diff(offsets) // 8
-            yield _packed(ids, labels, hashes, sizes, sizes, buckets, None)
+            yield _packed(ids, labels, hashes, sizes, sizes, buckets, np.zeros((len(sizes), 2), np.uint64))
 
     return run
 
 
-_HITS = "bucket int, ids binary, hits binary, home binary, home_n binary, sig binary"
+_HITS = "bucket int, ids binary, hits binary, home binary, home_n binary, sig binary, home_hits binary"
 
 
 def _hits(buckets: int):
     """Per document the posted shingles that another label has posted, packed by home bucket; home rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "ids", "hits", "home", "home_n", "sig"]
+        names = [name.split()[0] for name in _HITS.split(", ")]
         ids, labels, hashes = [], [], []
         for batch in batches:
             home = batch.filter(pc.is_valid(batch.column(5)))
             if home.num_rows:
                 none = pa.nulls(home.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([home.column(0), none, none, *(home.column(i) for i in (5, 6, 7))], names)
+                yield pa.RecordBatch.from_arrays([home.column(0), none, none, *(home.column(i) for i in (5, 6, 7, 8))], names)
             for row in batch.filter(pc.is_null(batch.column(5))).to_pylist():
                 counts = np.frombuffer(row["counts"], np.uint32)
                 ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
-                labels.append(ids[-1] if row["labels"] is None else np.repeat(np.frombuffer(row["labels"], np.int64), counts))
+                if row["labels"] is not None:
+                    labels.append(np.repeat(np.frombuffer(row["labels"], np.int64), counts))
                 hashes.append(np.frombuffer(row["hashes"], np.uint64))
         if not ids:
             return
-        key, who, label = np.concatenate(hashes), np.concatenate(ids), np.concatenate(labels)
+        key = np.concatenate(hashes)
+        hashes.clear()
+        who = np.concatenate(ids)
+        ids.clear()
         order = np.argsort(key)
-        key, who, label = key[order], who[order], label[order]
+        key, who = key[order], who[order]
+        label = np.concatenate(labels)[order] if labels else who
+        labels.clear()
+        del order
         starts, sizes = C.runs(key)
         shared = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
         key, who = key[shared], who[shared]
+        del label, shared
         order = np.lexsort((key, who))
         key, who = key[order], who[order]
         new = np.ones(len(who), bool)
@@ -182,14 +212,14 @@ def _hits(buckets: int):
         found, hits, home = found[order], hits[order], home[order]
         out = [(int(home[a]), found[a : a + n].tobytes(), hits[a : a + n].tobytes()) for a, n in zip(*C.runs(home), strict=True)]
         none = pa.nulls(len(out), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(C.binary([o[i] for o in out]) for i in (1, 2)), none, none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(C.binary([o[i] for o in out]) for i in (1, 2)), none, none, none, none], names)
 
     return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, sig, hits): one row per document of a home bucket."""
-    ids, hits, home, home_n, sigs = [], [], [], [], []
+    ids, hits, home, home_n, sigs, settled = [], [], [], [], [], []
     for batch in batches:
         for row in batch.to_pylist():
             if row["home"] is None:
@@ -199,11 +229,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 home.append(np.frombuffer(row["home"], np.int64))
                 home_n.append(np.frombuffer(row["home_n"], np.int64))
                 sigs.append(np.frombuffer(row["sig"], np.uint64).reshape(-1, 2))
+                settled.append(np.frombuffer(row["home_hits"], np.int64))
     none = np.zeros(0, np.int64)
     who, at = np.unique(np.concatenate([none, *ids, *home]), return_inverse=True)
-    counted = len(np.concatenate([none, *ids]))
+    counted = sum(len(x) for x in ids)
     total = np.zeros(len(who), np.int64)
-    np.add.at(total, at[:counted], np.concatenate([none, *hits]))
+    np.add.at(total, at, np.concatenate([none, *hits, *settled]))
     n = np.zeros(len(who), np.int64)
     sig = np.zeros((len(who), 2), np.uint64)
     n[at[counted:]] = np.concatenate([none, *home_n])
@@ -219,7 +250,7 @@ def _count_hits(postings: DataFrame, buckets: int) -> DataFrame:
 
 def _set_rows(size: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.steps(batches, "text"):
+        for batch in C.steps(batches, "text", STEP):
             hashes, sizes = shingle_sets(batch.column(1), size)
             at = np.cumsum(sizes) - sizes
             some = sizes > 0

@@ -95,6 +95,22 @@ def test_overlaps_merge_and_probe():
         assert ngram_join.overlaps(raw[:10], raw, long).tolist() == want
 
 
+def test_settled_postings_change_no_answer():
+    rng = np.random.default_rng(2)
+    for many in (0, 1, 40, 400):
+        hashes, label, step = rng.integers(0, 20, many).astype(np.uint64), rng.integers(0, 8, many), rng.integers(0, 3, many)
+        settled = np.zeros(many, bool)
+        for s in range(3):
+            settled[step == s] = ngram_join._settled(hashes[step == s], label[step == s])
+        other = lambda h, x, among: bool(((hashes == h) & (label != x) & among).any())
+        for h, x, done in zip(hashes, label, settled, strict=True):
+            assert other(h, x, np.ones(many, bool)) == (True if done else other(h, x, ~settled))
+        sent = Counter(zip(step[~settled].tolist(), hashes[~settled].tolist(), strict=True))
+        for (s, h), n in sent.items():
+            mine = label[(step == s) & (hashes == h)]
+            assert n == (len(mine) if (mine == mine[0]).all() else 2)
+
+
 def test_exact_dedup(docs, empty):
     keys = [(t or "").translate(LOWER) for t in TEXTS]
     last = {k: i for i, k in enumerate(keys)}
