@@ -182,6 +182,22 @@ def _coded(known: Vocabulary):
     return work
 
 
+def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column by column: shares before division by their total (in place), the totals, log of the chosen row's share."""
+    logits -= logits.max(0)
+    score = logits[chosen, np.arange(len(chosen))]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    score -= np.log(total)
+    return logits, total, score
+
+
+def _error(shares: np.ndarray, total: np.ndarray, chosen: np.ndarray) -> None:
+    """Shares less one at the chosen row of each column, in place."""
+    shares /= total
+    shares[chosen, np.arange(len(chosen))] -= 1
+
+
 class Network:
     """Parameters and passes of the model; rows of ``inputs`` are codes, the last one begins a text."""
 
@@ -220,7 +236,7 @@ class Network:
 
     def forward(self, codes: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each row of codes (steps x lanes), from states ``h``; ``keep`` collects what backward needs."""
-        x = self.p["inputs"][codes] + self.p["bias"]
+        x = (self.p["inputs"] + self.p["bias"])[codes]
         out = np.empty((*codes.shape, STATE), np.float32)
         for t in range(len(codes)):
             u = h @ self.p["state"]
@@ -239,39 +255,35 @@ class Network:
 
     def loss(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each code after a state (rows); with ``grads`` also the gradient of its negative sum."""
-        rows = np.arange(len(codes))
         head = self.heads_of(codes)
-        logits = states @ self.p["heads"] + self.p["head_bias"]
-        logits -= logits.max(1, keepdims=True)
-        shares = np.exp(logits)
-        total = shares.sum(1, keepdims=True)
-        score = logits[rows, head] - np.log(total[:, 0])
+        shares, total, score = _softmax(self.p["heads"].T @ states.T + self.p["head_bias"][:, None], head)
         back = None
         if grads is not None:
-            shares /= total
-            shares[rows, head] -= 1
-            grads["heads"] = states.T @ shares
-            grads["head_bias"] = shares.sum(0)
-            back = shares @ self.p["heads"].T
+            _error(shares, total, head)
+            grads["heads"] = states.T @ shares.T
+            grads["head_bias"] = shares.sum(1)
+            back = shares.T @ self.p["heads"].T
             grads["members"], grads["member_bias"] = {}, {}
         own = np.flatnonzero((codes >= 0) & (codes < TOP))
         group = codes[own] // MEMBERS
         order = np.argsort(group, kind="stable")
         own, group = own[order], group[order]
-        for at, size in zip(*C.runs(group), strict=True):
-            mine, g = own[at : at + size], int(group[at])
-            member = states[mine] @ self.p["members"][g] + self.p["member_bias"][g]
-            member -= member.max(1, keepdims=True)
-            shares = np.exp(member)
-            total = shares.sum(1, keepdims=True)
-            place = codes[mine] % MEMBERS
-            score[mine] += member[np.arange(size), place] - np.log(total[:, 0])
-            if grads is not None:
-                shares /= total
-                shares[np.arange(size), place] -= 1
-                grads["members"][g] = states[mine].T @ shares
-                grads["member_bias"][g] = shares.sum(0)
-                back[mine] += shares @ self.p["members"][g].T
+        mine, place = states[own], codes[own] % MEMBERS
+        spans = [(int(group[at]), slice(at, at + size)) for at, size in zip(*(x.tolist() for x in C.runs(group)), strict=True)]
+        member = np.empty((MEMBERS, len(own)), np.float32)
+        for g, span in spans:
+            member[:, span] = self.p["members"][g].T @ mine[span].T
+            member[:, span] += self.p["member_bias"][g][:, None]
+        shares, total, within = _softmax(member, place)
+        score[own] += within
+        if grads is not None:
+            _error(shares, total, place)
+            errors = np.empty_like(mine)
+            for g, span in spans:
+                grads["members"][g] = mine[span].T @ shares[:, span].T
+                grads["member_bias"][g] = shares[:, span].sum(1)
+                errors[span] = shares[:, span].T @ self.p["members"][g].T
+            back[own] += errors
         return score, back
 
     def learn(self, before: np.ndarray, codes: np.ndarray, here: np.ndarray, h: np.ndarray, sums: dict) -> np.ndarray:
@@ -321,26 +333,29 @@ class Network:
 _BEGIN = TOP + TAILS
 
 
-def lanes(texts: list[np.ndarray], size: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+def lanes(texts: list[np.ndarray], wanted=None, size: int = WINDOW) -> Iterator[tuple[int, np.ndarray | None, np.ndarray | None, np.ndarray | None, int]]:
     """Windows of texts side by side, the longest first: (number, previous codes, codes, which places hold one, lanes).
 
-    A code of -1 is the end of a text. Lanes that have ended are left out of the windows that follow.
+    A code of -1 is the end of a text. Lanes that have ended are left out of the windows that follow. Windows whose
+    number is not ``wanted`` (None: all are) come without arrays.
     """
     lengths = np.array([len(t) + 1 for t in texts])
+    begins = np.cumsum(lengths) - lengths
+    flat = np.full(int(lengths.sum()), -1, np.int32)
+    for begin, text in zip(begins.tolist(), texts, strict=True):
+        flat[begin : begin + len(text)] = text
     for number in range(-(-int(lengths.max(initial=0)) // size)):
         at = number * size
         live = int((lengths > at).sum())
-        steps = min(size, int(lengths[0]) - at)
-        codes = np.full((steps, live), -2, np.int64)
-        before = np.full((steps, live), _BEGIN, np.int64)
-        for i in range(live):
-            mine = texts[i][at : at + steps]
-            codes[: len(mine), i] = mine
-            if len(mine) < steps:
-                codes[len(mine), i] = -1
-            behind = texts[i][max(0, at - 1) : at + steps - 1]
-            before[1 if at == 0 else 0 :, i][: len(behind)] = behind
-        yield number, before, codes, codes > -2, live
+        if wanted is not None and not wanted(number):
+            yield number, None, None, None, live
+            continue
+        place = np.arange(at, min(at + size, int(lengths[0])))[:, None]
+        here = place < lengths[:live]
+        where = begins[:live] + place
+        codes = np.where(here, flat[np.where(here, where, 0)], -2)
+        before = np.where(here & (place > 0), flat[np.where(here, where - 1, 0)], _BEGIN)
+        yield number, before, codes, here, live
 
 
 def _side_by_side(batches: Iterator[pa.RecordBatch], columns: list[str], many: int = LANES) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -350,10 +365,10 @@ def _side_by_side(batches: Iterator[pa.RecordBatch], columns: list[str], many: i
         for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             rows.append(row)
             if len(rows) == many:
-                yield rows, [W.unpack(r[-1], np.uint16).astype(np.int64) for r in rows]
+                yield rows, [W.unpack(r[-1], np.uint16) for r in rows]
                 rows = []
     if rows:
-        yield rows, [W.unpack(r[-1], np.uint16).astype(np.int64) for r in rows]
+        yield rows, [W.unpack(r[-1], np.uint16) for r in rows]
 
 
 def train(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
@@ -369,12 +384,13 @@ def train(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS, share: int
             net, sums, seen = Network(known).load(params), {}, 0
             for group, (_, texts) in enumerate(_side_by_side(batches, ["n_tokens", "codes"], LEARNERS)):
                 h = np.zeros((len(texts), STATE), np.float32)
-                for window, before, codes, here, live in lanes(texts):
+                learns = lambda window, group=group: (window + group) % share == turn % share
+                for window, before, codes, here, live in lanes(texts, lambda window: learns(window) or learns(window + 1)):
                     h = h[:live]
-                    if (window + group) % share == turn % share:
+                    if learns(window):
                         h = net.learn(before, codes, here, h, sums)
                         seen += int(here.sum())
-                    elif (window + 1 + group) % share == turn % share:
+                    elif learns(window + 1):
                         h = net.forward(before, h)[-1]  # a state to begin the next window with
                     else:
                         h = np.zeros_like(h)

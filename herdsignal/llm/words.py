@@ -22,6 +22,8 @@ from herdsignal.session import cut
 
 #: Bytes of text per chunk (one text at least).
 CHUNK_BYTES = 16 << 20
+#: Bytes of text that are split at a time.
+STEP = 2 << 20
 #: Rows of bucket DOCUMENTS hold a chunk's texts, the others its words.
 DOCUMENTS = -1
 
@@ -100,7 +102,7 @@ def split(docs: DataFrame, splitter: Splitter, buckets: int, marked: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, parts = TaskContext.get().partitionId() << 32, 0, ([], [], [], [], [])
-        for batch in C.steps(batches, "text"):
+        for batch in C.steps(batches, "text", STEP):
             size = batch.column(1).nbytes
             if held and held + size > CHUNK_BYTES:
                 yield from chunk(number, *parts)
