@@ -14,7 +14,8 @@ narrows in three steps, each of them exact:
    search in the sorted sets, and pairs that reach the required overlap are linked.
 
 Postings travel as packed arrays, one per task step and bucket of hashes. A shingle that several documents of a step have
-is settled there and sent twice at most, so that one in a third of all documents is no hot key.
+is settled there and sent twice at most, so that one in a third of all documents is no hot key. In step 3 that holds for
+shingles of several components; those that only one component has in a step are sent for each of its different sets.
 """
 
 from __future__ import annotations
