@@ -6,8 +6,8 @@
   end of a text is a class of one. So every word has a probability, and an unseen one that of its class's spare place.
 * The network predicts the class of the next word, and the word in it, from a gated recurrent state. It is trained by
   backpropagation through windows of ``WINDOW`` words, the state carried on from window to window; each task trains a
-  copy on one in ``SHARE`` windows of its training documents, copies are averaged by the words that they have seen,
-  and again for ``ROUNDS`` rounds. What is trained on and what is counted both grow with the input.
+  copy on every window of its training documents, copies are averaged by the words that they have seen, and again for
+  ``ROUNDS`` rounds.
 * Documents are scored whole. Those of a task are sorted by length and go side by side through the same windows, the
   state carried on, so a long document costs steps and not memory.
 """
@@ -27,9 +27,8 @@ from herdsignal.session import cut, scratch
 
 #: Words with outputs of their own, words per class, classes of the other words, size of the state.
 TOP, MEMBERS, TAILS, STATE = 1536, 32, 64, 24
-#: Words per window, documents side by side in scoring and in training, one in so many windows for training, rounds,
-#: step size.
-WINDOW, LANES, LEARNERS, SHARE, ROUNDS, STEP = 32, 256, 48, 8, 2, 0.08
+#: Words per window, documents side by side in scoring and in training, rounds, step size.
+WINDOW, LANES, LEARNERS, ROUNDS, STEP = 32, 256, 48, 2, 0.08
 #: Added to every count.
 ADDED = 0.1
 #: Parameters averaged by one task at a time.
@@ -333,11 +332,10 @@ class Network:
 _BEGIN = TOP + TAILS
 
 
-def lanes(texts: list[np.ndarray], wanted=None, size: int = WINDOW) -> Iterator[tuple[int, np.ndarray | None, np.ndarray | None, np.ndarray | None, int]]:
+def lanes(texts: list[np.ndarray], size: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
     """Windows of texts side by side, the longest first: (number, previous codes, codes, which places hold one, lanes).
 
-    A code of -1 is the end of a text. Lanes that have ended are left out of the windows that follow. Windows whose
-    number is not ``wanted`` (None: all are) come without arrays.
+    A code of -1 is the end of a text. Lanes that have ended are left out of the windows that follow.
     """
     lengths = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(lengths) - lengths
@@ -347,9 +345,6 @@ def lanes(texts: list[np.ndarray], wanted=None, size: int = WINDOW) -> Iterator[
     for number in range(-(-int(lengths.max(initial=0)) // size)):
         at = number * size
         live = int((lengths > at).sum())
-        if wanted is not None and not wanted(number):
-            yield number, None, None, None, live
-            continue
         place = np.arange(at, min(at + size, int(lengths[0])))[:, None]
         here = place < lengths[:live]
         where = begins[:live] + place
@@ -371,29 +366,22 @@ def _side_by_side(batches: Iterator[pa.RecordBatch], columns: list[str], many: i
         yield rows, [W.unpack(r[-1], np.uint16) for r in rows]
 
 
-def train(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
+def train(coded: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters of the model, learned from the rows (n_tokens, codes) of ``coded``."""
     spark = coded.sparkSession
     dealt = coded.select("n_tokens", "codes", "id")
     params = Network(known).flat()
-    for number in range(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((known, params))
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = number) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, params = shared.value
             net, sums, seen = Network(known).load(params), {}, 0
-            for group, (_, texts) in enumerate(_side_by_side(batches, ["n_tokens", "codes"], LEARNERS)):
+            for _, texts in _side_by_side(batches, ["n_tokens", "codes"], LEARNERS):
                 h = np.zeros((len(texts), STATE), np.float32)
-                learns = lambda window, group=group: (window + group) % share == turn % share
-                for window, before, codes, here, live in lanes(texts, lambda window: learns(window) or learns(window + 1)):
-                    h = h[:live]
-                    if learns(window):
-                        h = net.learn(before, codes, here, h, sums)
-                        seen += int(here.sum())
-                    elif learns(window + 1):
-                        h = net.forward(before, h)[-1]  # a state to begin the next window with
-                    else:
-                        h = np.zeros_like(h)
+                for _, before, codes, here, live in lanes(texts):
+                    h = net.learn(before, codes, here, h[:live], sums)
+                    seen += int(here.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), C.binary([net.flat().astype(np.float32).tobytes()])], ["seen", "params"])
 

@@ -306,6 +306,19 @@ def test_recurrent_lm(docs, empty):
     assert recurrent_lm.score(empty.selectExpr("*", "true AS train"), "train").count() == 0
 
 
+def test_recurrent_lm_learns_from_every_window(spark):
+    top = recurrent_lm.TOP
+    known = recurrent_lm.Vocabulary(5000, top, 101, np.arange(top, dtype=np.uint64), np.full(top, 3), np.full(recurrent_lm.TAILS, 5), np.full(recurrent_lm.TAILS, 2))
+    long = np.arange(1000, dtype=np.uint16)
+    short = [np.arange(1000 + 5 * i, 1005 + 5 * i, dtype=np.uint16) for i in range(107)]  # more than two groups of learners
+    rows = [(i, len(c) + 1, bytes(recurrent_lm.W.pack(c))) for i, c in enumerate([long, *short])]
+    coded = spark.createDataFrame(rows, "id long, n_tokens long, codes binary").coalesce(1)
+    began = recurrent_lm.Network(known)
+    learned = recurrent_lm.Network(known).load(recurrent_lm.train(coded, known))
+    changed = (learned.p["inputs"] != began.p["inputs"]).any(axis=1)
+    assert changed[: 1000 + 5 * len(short)].all() and changed[recurrent_lm._BEGIN]
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(0)
     top = 70
