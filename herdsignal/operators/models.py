@@ -83,12 +83,12 @@ def train_weighted(
 def score(model: PipelineModel, df: DataFrame, label: str = "annotation", keep: Sequence[str] = ()) -> DataFrame:
     """Every row with truth ``y``, ``probability`` of heat and class ``y_pred``; both null where a feature is missing."""
     features = model.stages[0].getInputCols()
-    whole = F.lit(True)
-    for name in features:
-        value = F.col(name).cast("double")
-        whole = whole & value.isNotNull() & ~F.isnan(value)
+    # A condition over an array stays flat, whatever the number of features, and is computed once for a row.
+    values = F.array(*[F.col(name).cast("double") for name in features])
+    whole = F.forall(values, lambda value: value.isNotNull() & ~F.isnan(value))
     kept = F.struct(*keep, F.col(label).cast("int").alias("y"), whole.alias("whole")).alias("_kept")
-    filled = df.select(kept, *[F.when(whole, F.col(name).cast("double")).otherwise(F.lit(0.0)).alias(name) for name in features])
+    placed = df.select(kept, values.alias("_values"))
+    filled = placed.select("_kept", *[F.when(F.col("_kept.whole"), F.get("_values", F.lit(i))).otherwise(F.lit(0.0)).alias(name) for i, name in enumerate(features)])
     probability = F.when(F.col("_kept.whole"), vector_to_array("probability")[1])
     scored = model.transform(filled).select("_kept.*", probability.alias("probability")).drop("whole")
     return scored.withColumn("y_pred", F.when(F.col("probability").isNotNull(), class_tag(F.col("probability"))))

@@ -25,9 +25,9 @@ def fit_scaler(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
 def scale(
     df: DataFrame, scaler: DataFrame, columns: Sequence[str] = NUMERIC, output: str = "float"
 ) -> DataFrame:
-    """``(x - mean) / std`` as float32; nulls stay null. The scaler row enters as one scalar subquery."""
+    """``(x - mean) / std`` as float32; nulls stay null. The scaler row is broadcast once."""
     fitted = [f"{name}_{part}" for name in columns for part in ("mean", "std")]
-    with_scaler = df.withColumn("_scaler", scaler.select(F.struct(*fitted)).scalar())
+    with_scaler = df.crossJoin(F.broadcast(scaler.select(F.struct(*fitted).alias("_scaler"))))  # one row
     scaled = {
         name: ((F.col(name) - F.col("_scaler")[f"{name}_mean"]) / F.col("_scaler")[f"{name}_std"]).cast(output)
         for name in columns

@@ -446,6 +446,21 @@ def _(spark, sf):
     return _keyed(back, *sequences.MATRIX)
 
 
+@query("a10_training_matrix_default", sql(f"""
+    SELECT organisation_id, animal_id, datetime, CAST(annotation AS FLOAT) AS annotation, CAST(day(datetime) AS FLOAT) AS DIM,
+           CAST(act AS FLOAT) AS act, CAST(act AS FLOAT) AS act_group_mean, CAST(temp AS FLOAT) AS temp_filtered
+    FROM (
+        SELECT *, CASE WHEN rn - max(CASE WHEN falling THEN rn END) OVER ({A}) < 720 THEN 0 ELSE raw END AS annotation
+        FROM (SELECT *, row_number() OVER ({A}) AS rn, raw = 0 AND lag(raw) OVER ({A}) = 1 AS falling FROM long_flagged))"""))
+def _(spark, sf):
+    path = fresh_path(spark, "training")
+    rows = R.long_flagged(spark, sf).withColumns(
+        {"DIM": F.dayofmonth("datetime"), "act_group_mean": F.col("act"), "temp_filtered": F.col("temp")}
+    )
+    tables.export_training(labels.debounce(rows), path)
+    return _keyed(tables.read_table(spark, path), *sequences.MATRIX)
+
+
 @query("a13_row_slice", sql("""
     SELECT organisation_id, animal_id, datetime, row_id, CAST(act AS FLOAT) AS act FROM (
         SELECT *, row_number() OVER (PARTITION BY CAST(animal_id AS INTEGER) % 3 = 0 ORDER BY organisation_id, animal_id, datetime) - 1 AS row_id
@@ -500,34 +515,40 @@ def _(spark, sf):
 LAGS = 6
 
 
-def _tree_rows(spark, sf):
-    rows = R.flagged(spark, sf).withColumns({"DIM": F.dayofmonth("datetime"), "act_group_mean": F.col("temp"), "annotation": F.col("raw")})
-    return sequences.tree_matrix(rows.select(*ANIMAL, "datetime", "annotation", "DIM", "act", "act_group_mean"), LAGS)
+def _tree_rows(flagged, lags=sequences.LAGS):
+    rows = flagged.withColumns({"DIM": F.dayofmonth("datetime"), "act_group_mean": F.col("temp"), "annotation": F.col("raw")})
+    return sequences.tree_matrix(rows.select(*ANIMAL, "datetime", "annotation", "DIM", "act", "act_group_mean"), lags)
 
 
-_FEATURES = ["DIM", *[f"{name}{k}" for name in ("act", "act_group_mean") for k in range(LAGS)]]
+_FEATURES = ["DIM", *[f"{name}{k}" for name in ("act", "act_group_mean") for k in range(sequences.LAGS)]]
 
 
-def _tree_sql() -> str:
+def _tree_sql(lags: int, flagged: str) -> str:
     parts = [
         f"lag(CAST(round_even({source}, 2) AS FLOAT), {k}) OVER ({A}) AS {name}{k}"
         for name, source in (("act", "act"), ("act_group_mean", "temp"))
-        for k in range(LAGS)
+        for k in range(lags)
     ]
     return sql(
         f"SELECT * FROM (SELECT organisation_id, animal_id, datetime, raw AS annotation, CAST(day(datetime) AS INTEGER) AS DIM, "
         + ", ".join(parts)
-        + f" FROM flagged) WHERE act{LAGS - 1} IS NOT NULL"
+        + f" FROM {flagged}) WHERE act{lags - 1} IS NOT NULL"
     )
 
 
-@query("h6_tree_matrix", _tree_sql())
+# Few lags of short series, whose SQL is fixed; the whole job is the next query.
+@query("h6_tree_matrix", _tree_sql(LAGS, "flagged"))
+def _(spark, sf):
+    return _tree_rows(R.flagged(spark, sf), LAGS)
+
+
+@query("h6_tree_matrix_default", _tree_sql(sequences.LAGS, "long_flagged"))
 def _(spark, sf):
-    return _tree_rows(spark, sf)
+    return _tree_rows(R.long_flagged(spark, sf))
 
 
 def _parts(spark, sf):
-    rows = cut(_tree_rows(spark, sf))
+    rows = cut(_tree_rows(R.long_flagged(spark, sf)))
     sides = rows.join(split.split_by_key(rows), list(ANIMAL))
     return sides.where("split = 'train'"), sides.where("split = 'test'")
 
@@ -535,15 +556,14 @@ def _parts(spark, sf):
 @query("h6_boosted_trees")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    model = models.train_trees(train, _FEATURES, depth=4)
-    return metrics.report(models.score(model, test))
+    return metrics.report(models.score(models.train_trees(train, _FEATURES), test))
 
 
 @query("h7_network")
 def _(spark, sf):
     train, test = _parts(spark, sf)
     scaler = cut(scaling.fit_scaler(train, _FEATURES))
-    model = models.train_network(scaling.scale(train, scaler, _FEATURES), _FEATURES, hidden=(8,), iterations=15)
+    model = models.train_network(scaling.scale(train, scaler, _FEATURES), _FEATURES)
     return metrics.report(models.score(model, scaling.scale(test, scaler, _FEATURES)))
 
 
@@ -556,8 +576,7 @@ def _(spark, sf):
 @query("h9_batch_scoring")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    model = models.train_trees(train, _FEATURES, depth=3, rounds=3)
-    return models.score(model, test, keep=[*ANIMAL, "datetime"])
+    return models.score(models.train_trees(train, _FEATURES), test, keep=[*ANIMAL, "datetime"])
 
 
 @query("h9_scores_every_row", sql("""

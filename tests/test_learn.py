@@ -7,6 +7,7 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from herdsignal.operators import forecast, metrics, models, scaling, sequences, split
+from herdsignal.plans import catalog_series
 
 
 def keyed(spark, animals, rows=1):
@@ -171,3 +172,14 @@ def test_arma_against_a_plain_loop(spark):
     fitted = found[found.animal_id == "long"].iloc[0]
     assert abs(fitted.phi - 0.6) < 0.05 and abs(fitted.theta - 0.4) < 0.07
     assert found[found.animal_id == "tiny"].prediction.isna().all()
+
+
+def test_model_queries_have_the_default_lags():
+    assert catalog_series._FEATURES == ["DIM", *[f"{name}{k}" for name in ("act", "act_group_mean") for k in range(sequences.LAGS)]]
+
+
+def test_scores_of_many_features(spark):
+    names = [f"f{i}" for i in range(289)]
+    rows = spark.range(40).selectExpr("cast(id % 2 as int) AS annotation", *[f"cast(if(id = 3 and {i} = 288, null, id * {i} % 7) as double) AS {n}" for i, n in enumerate(names)])
+    scored = models.score(models.train_weighted(rows, names), rows).collect()
+    assert len(scored) == 40 and sum(r.probability is None for r in scored) == 1
