@@ -95,17 +95,18 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the smallest id is a response and the others
     revisit it; rows with smaller payloads, and rows without an id, are responses. Null payloads are empty. Rows that
-    repeat the smallest id are all responses. Only the three named columns are read.
+    repeat the smallest id are all responses; rows that repeat an id with another payload are told apart by it. Only the three named columns are read.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     rows = C.only(pages, id=id_col, url=url_col, payload=payload_col).withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
     rows = rows.withColumn("id", F.col("id").cast("long"))
     # Two digests and the length stand for the payload.
     key = F.concat_ws(":", F.sha1("payload"), F.md5("payload"), F.length("payload").cast("string"))
-    keyed = cut(rows.where((F.length("payload") >= least) & F.col("id").isNotNull()).select("id", key.alias("key")), "payloads")
+    rows = rows.withColumn("key", F.when((F.length("payload") >= least) & F.col("id").isNotNull(), key))
+    keyed = cut(rows.where("key IS NOT NULL").select("id", "key"), "payloads")
     groups = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
-    revisits = C.hot_join(keyed, groups, "key", "n").where("first < id").select("id", "first").distinct()
-    joined = rows.join(revisits, "id", "left").select("id", "url", "payload", "first")
+    revisits = C.hot_join(keyed, groups, "key", "n").where("first < id").select("id", "key", "first").distinct()
+    joined = rows.join(revisits, ["id", "key"], "left").select("id", "url", "payload", "first")
     return cut(joined.mapInArrow(_write(folder, date), "path string, records long, bytes long"), "archives")
 
 

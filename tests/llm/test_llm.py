@@ -291,6 +291,13 @@ def test_tokens_across_boundaries():
     assert token_counts.attribute(first, behind, spans, "start")[0].tolist() == [0, 0, 1]
 
 
+def test_warc_repeated_id_with_two_payloads(spark):
+    rows = [(1, "u", "one"), (2, "u", "two"), (5, "u", "one"), (5, "u", "two"), (5, "u", "three")]
+    found = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    got = sorted((r.id, r.refers_to or 0, bytes(r.payload or b"").decode()) for r in found)
+    assert got == [(1, 0, "one"), (2, 0, "two"), (5, 0, "three"), (5, 1, ""), (5, 2, "")]
+
+
 def test_recurrent_lm(docs, empty):
     marked = docs.selectExpr("*", "doc_id % 10 <> 0 AS train")
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for t in TEXTS]
