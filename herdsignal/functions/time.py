@@ -12,33 +12,38 @@ ERROR_OUT_OF_RANGE = "invalid_date"
 
 ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss"
 MICROS_PER_DAY = 86_400_000_000
-
-
 MICROS_PER_SECOND = 1_000_000
 # The first and last second of the years 1 to 9999.
 FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _seconds(time: Column) -> Column:
+    """Seconds of a wall time since 1970, with six decimals; no time zone takes part.
+
+    The argument is named once here and in everything below: nested time functions would otherwise multiply the size
+    of the generated code.
+    """
+    return (time - _epoch()).cast("interval second").cast("decimal(20,6)")
+
+
 def to_micros(time: Column) -> Column:
-    """Microseconds of a wall time since 1970, by calendar arithmetic: no time zone takes part."""
-    of_day = (F.hour(time) * 60 + F.minute(time)).cast("long") * (60 * MICROS_PER_SECOND)
-    seconds = F.date_part(F.lit("SECONDS"), time) * MICROS_PER_SECOND
-    return F.unix_date(F.to_date(time)).cast("long") * MICROS_PER_DAY + of_day + seconds.cast("long")
+    """Microseconds of a wall time since 1970."""
+    return (_seconds(time) * MICROS_PER_SECOND).cast("long")
 
 
 def from_micros(micros: Column) -> Column:
     """The wall time of microseconds since 1970."""
-    whole = micros.cast("long")
-    rest = F.pmod(whole, F.lit(MICROS_PER_DAY))
-    days = ((whole - rest) / F.lit(MICROS_PER_DAY)).cast("int")
-    seconds = (rest.cast("decimal(18,0)") / F.lit(MICROS_PER_SECOND)).cast("decimal(18,6)")
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return epoch + F.make_dt_interval(days=days, secs=seconds)
+    seconds = (micros.cast("decimal(18,0)") / F.lit(MICROS_PER_SECOND)).cast("decimal(18,6)")
+    return _epoch() + F.make_dt_interval(secs=seconds)
 
 
 def day_number(time: Column, days: int = 1) -> Column:
     """Number of the ``days``-wide calendar bucket that holds ``time``."""
-    return F.floor(to_micros(time) / F.lit(days * MICROS_PER_DAY)).cast("long")
+    return F.floor(F.unix_date(F.to_date(time)) / F.lit(days)).cast("long")
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
@@ -55,15 +60,12 @@ def wall_time(time: Column) -> Column:
 def snap(time: Column, minutes: int = 10) -> Column:
     """Nearest grid tick; a time halfway between two ticks goes to the even one.
 
-    Integer arithmetic, so that no time is misplaced by floating point.
+    Decimal arithmetic, so that no time is misplaced by floating point.
     """
     step = minutes * 60_000_000
-    micros = to_micros(time)
-    rest = F.pmod(micros, F.lit(step))
-    tick = (micros - rest).cast("long")
-    odd = F.pmod(tick, F.lit(2 * step)) != 0
-    up = (rest * 2 > step) | ((rest * 2 == step) & odd)
-    return from_micros(F.when(up, tick + step).otherwise(tick))
+    # The quotient has one digit more than the step: a half is a half, and nothing else is rounded to one.
+    ticks = F.bround(to_micros(time).cast("decimal(18,0)") / F.lit(step).cast(f"decimal({len(str(step))},0)"), 0)
+    return from_micros(ticks.cast("long") * F.lit(step))
 
 
 def repaired_time(text: Column) -> Column:
@@ -71,8 +73,8 @@ def repaired_time(text: Column) -> Column:
     as_time = text.try_cast("timestamp_ntz")
     as_epoch = from_epoch_seconds(text.try_cast("bigint"))
     is_number = text.rlike(r"^\s*-?\d+\s*$")
-    micros = to_micros(F.when(is_number, as_epoch).otherwise(as_time))
-    return from_micros(micros - F.pmod(micros, F.lit(MICROS_PER_SECOND)))
+    seconds = F.floor(_seconds(F.when(is_number, as_epoch).otherwise(as_time)))
+    return from_micros(seconds.cast("long") * MICROS_PER_SECOND)
 
 
 def parse_iso(text: Column) -> Column:
@@ -114,7 +116,7 @@ def decode_epoch(value: Column) -> Column:
 
 
 def encode_epoch(time: Column) -> Column:
-    return F.floor(to_micros(time) / MICROS_PER_SECOND)
+    return F.floor(_seconds(time)).cast("long")
 
 
 def calendar_day(time: Column) -> Column:

@@ -25,14 +25,11 @@ def fit_scaler(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
 def scale(
     df: DataFrame, scaler: DataFrame, columns: Sequence[str] = NUMERIC, output: str = "float"
 ) -> DataFrame:
-    """``(x - mean) / std`` as float32; nulls stay null. The scaler row is broadcast once."""
-    fitted = [f"{name}_{part}" for name in columns for part in ("mean", "std")]
-    with_scaler = df.crossJoin(F.broadcast(scaler.select(F.struct(*fitted).alias("_scaler"))))  # one row
-    scaled = {
-        name: ((F.col(name) - F.col("_scaler")[f"{name}_mean"]) / F.col("_scaler")[f"{name}_std"]).cast(output)
-        for name in columns
-    }
-    return with_scaler.withColumns(scaled).drop("_scaler")
+    """``(x - mean) / std`` as float32; nulls stay null. The scaler's one row is read first and enters as literals."""
+    row = scaler.first()
+    at = lambda name: F.lit(row[name]).cast("double")
+    scaled = {name: ((F.col(name) - at(f"{name}_mean")) / at(f"{name}_std")).cast(output) for name in columns}
+    return df.withColumns(scaled)
 
 
 def save_scaler(scaler: DataFrame, path: str) -> None:

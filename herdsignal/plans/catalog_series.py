@@ -422,7 +422,7 @@ def _(spark, sf):
 @query("h1_scale", sql("SELECT organisation_id, animal_id, datetime, " + ", ".join(
     f"round((t.{c} - s.{c}_mean) / s.{c}_std + 1e-9, 4) AS {c}" for c in scaling.NUMERIC) + " FROM feature_table t CROSS JOIN scaler s", **_TABLE))
 def _(spark, sf):
-    table = feature_table(spark, sf)
+    table = cut(feature_table(spark, sf))
     scaled = scaling.scale(table, scaling.fit_scaler(table), output="double")
     return _keyed(scaled, *[F.round(F.col(c) + F.lit(1e-9), 4).alias(c) for c in scaling.NUMERIC])
 

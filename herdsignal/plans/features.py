@@ -82,6 +82,7 @@ def with_day_sheet(readings: DataFrame, sheet: DataFrame) -> DataFrame:
 
 def build_training(table: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scaled training matrix, train/test keys and the fitted scaler. Labels are debounced after scaling."""
+    table = cut(table)  # the scaler, the debounced series and the split read it
     scaler = cut(scaling.fit_scaler(table))
     scaled = scaling.scale(table, scaler)
     debounced = labels.debounce(labels.annotate(scaled), hold_off=settings.hold_off)
