@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from herdsignal.llm import common as C, words as W
+from herdsignal.session import cut
 
 #: Code points below this are in NFC already and have had the same classes in every Unicode version.
 SIMPLE = 0x300
@@ -55,12 +56,17 @@ def specials(path: str) -> list[str]:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower case, class (0 white, 1 letter, 2 number, 3 other) and a random code of the simple code points."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case and class (0 white, 1 letter, 2 number, 3 other) of the simple code points."""
     lower = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(SIMPLE)], np.uint32)
     kinds = {"L": 1, "N": 2}
     cls = np.array([0 if i in (32, 0x85, 0xA0) or 9 <= i <= 13 else kinds.get(unicodedata.category(chr(i))[0], 3) for i in range(SIMPLE)], np.uint8)
-    return lower, cls, C.mixed(np.arange(3, 3 + SIMPLE, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return lower, cls
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of spans of simple code points, which fit into two bytes each."""
+    return C.word_hashes(points.astype("<u2").view(np.uint8), 2 * starts, 2 * ends)
 
 
 def _spans(low: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +126,15 @@ def splitter(path: str) -> W.Splitter:
             points = points.copy()
             for i in odd.tolist():
                 points[ends[i - 1] + 1 if i else 0 : ends[i]] = 32
-        lower, classes, codes = _tables()
+        lower, classes = _tables()
         low = lower[points]
         start, end = _spans(low, classes[points])
-        hashes = C.span_hashes(codes[low], start, end)
+        hashes, checks = _hashes(low, start, end)
         row = np.searchsorted(ends, start, side="right")
         counts = np.bincount(row, minlength=len(texts)).astype(np.int64)
         small = low.tobytes().decode("utf-32-le")
         if not slow:
-            return hashes, counts, lambda at: [small[a:b].encode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            return (hashes, checks), counts, lambda at: [small[a:b].encode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         # Rows taken the slow way are put in between, word by word.
         extra: list[bytes] = []
         whose = []
@@ -136,9 +142,7 @@ def splitter(path: str) -> W.Splitter:
             mine = slow_words(texts[i], path)
             extra += mine
             whose += [i] * len(mine)
-        digests = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in extra], np.uint64)
-        plain = _spelled_hashes(extra, codes)
-        digests = np.where(plain != 0, plain, digests)
+        others = _spelled_hashes(extra)
         every = np.r_[row, np.array(whose, np.int64)]
         order = np.argsort(every, kind="stable")
         n = len(hashes)
@@ -146,19 +150,21 @@ def splitter(path: str) -> W.Splitter:
         def spelled(at: np.ndarray) -> list[bytes]:
             return [small[start[i] : end[i]].encode() if i < n else extra[i - n] for i in order[at].tolist()]
 
-        return np.r_[hashes, digests][order], np.bincount(every, minlength=len(texts)).astype(np.int64), spelled
+        both = (np.r_[hashes, others[0]][order], np.r_[checks, others[1]][order])
+        return both, np.bincount(every, minlength=len(texts)).astype(np.int64), spelled
 
     return run
 
 
-def _spelled_hashes(spelled: list[bytes], codes: np.ndarray) -> np.ndarray:
-    """Hashes of words as the fast splitter has them; 0 where it can't have the word."""
-    points = [np.frombuffer(w.decode().encode("utf-32-le"), np.uint32) for w in spelled]
-    fine = [bool((p < SIMPLE).all()) and w[:1] != SPECIAL for p, w in zip(points, spelled, strict=True)]
-    joined = np.concatenate([np.zeros(0, np.uint32), *(p if ok else p[:0] for p, ok in zip(points, fine, strict=True))])
-    ends = np.cumsum([len(p) if ok else 0 for p, ok in zip(points, fine, strict=True)]).astype(np.int64)
+def _spelled_hashes(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words as the fast splitter has them, and others where it can't have the word."""
+    points = [np.frombuffer(w.decode().encode("utf-32-le"), "<u4") for w in spelled]
+    wide = [bool((p >= SIMPLE).any()) or w[:1] == SPECIAL for p, w in zip(points, spelled, strict=True)]
+    # Words of other code points and special tokens keep four bytes for each, and end in one that no word has.
+    parts = [np.append(p, 0xFFFFFFFF).astype("<u4").view(np.uint8) if odd else p.astype("<u2").view(np.uint8) for p, odd in zip(points, wide, strict=True)]
+    ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
     starts = np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]
-    return np.where(fine, C.span_hashes(codes[joined], starts, ends), np.uint64(0)) if len(spelled) else np.zeros(0, np.uint64)
+    return C.word_hashes(np.concatenate([np.zeros(0, np.uint8), *parts]), starts, ends)
 
 
 def encode_words(spelled: list[bytes], path: str) -> list[np.ndarray]:
@@ -200,11 +206,19 @@ def text_ids(places: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.
     return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[places] - (ends - mine), mine)]
 
 
-def chunk_ids(docs: DataFrame, path: str, work, schema: str, id_col: str, text_col: str) -> DataFrame:
-    """``work`` on the ids of every chunk of texts."""
+def chunk_ids(docs: DataFrame, path: str, work, schema: str, id_col: str, text_col: str, twice: bool = False) -> DataFrame:
+    """``work`` on the ids of every chunk of texts.
+
+    ``twice``: texts are split once for their words and once more for their order, so that neither is written in
+    between; that takes less disk and more time, and ``docs`` whose rows come in the same order each time.
+    """
     buckets = C.tasks(docs)
-    chunks = W.split(C.only(docs, id=id_col, text=text_col), splitter(path), buckets)
-    return W.finish(chunks, W.answer(chunks, encoder(path), buckets), work, schema)
+    rows = C.only(docs, id=id_col, text=text_col)
+    if twice:
+        texts, asked = (W.split(rows, splitter(path), buckets, parts=(part,)) for part in (W.TEXTS, W.WORDS))
+    else:
+        texts = asked = cut(W.split(rows, splitter(path), buckets), "chunks")
+    return W.finish(texts, W.answer(asked, encoder(path), buckets), work, schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,9 +264,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return joined.groupBy("id").agg(text.alias("text")).withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", twice: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256 (decimal ids joined by blanks), decoded_sha256.
 
+    ``twice`` is for ``docs`` read from files (``chunk_ids``): half the disk.
     Words are encoded and decoded once each in the table of distinct words; the documents are put together from both.
     """
     kind = dict(docs.select(id_col).dtypes)[id_col]
@@ -279,4 +294,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         counts = np.diff(np.r_[0, np.cumsum(sizes[chunk.places])][offsets])
         return pa.table([chunk.ids, pa.array(counts), *(pa.array(h, pa.string()) for h in hashed)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return chunk_ids(docs, path, work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col).withColumnRenamed("id", id_col)
+    return chunk_ids(docs, path, work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, twice).withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from herdsignal.llm.common import hot_join, lower_ascii, only, with_ids
+from herdsignal.llm.common import hot_join, lower_ascii, only, unused
 from herdsignal.session import cut
 
 #: Distinct texts per bucket, and bits of the digest that the directory may use at most.
@@ -100,5 +100,12 @@ def exact_dedup(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return with_ids(docs, id_col, exact_dedup(docs, id_col, text_col).where("kept").select(id_col))
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of wholly repeated rows and of rows with equal id and equal text one stays, whichever; rows without an id go.
+    Two different texts under one id are judged each by itself.
+    """
+    name = unused(docs, "_sha")
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col), F.col("text_sha256").alias(name)).distinct()
+    named = docs.withColumn(name, digest_of(lower_ascii(F.coalesce(F.col(text_col), F.lit("")))))
+    return named.join(stay, [id_col, name], "left_semi").dropDuplicates([id_col, name]).select(*docs.columns)

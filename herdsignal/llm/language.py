@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from herdsignal.llm import common as C
 
@@ -122,35 +122,42 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
     return Model(labels, prior, np.log(shares / shares.sum(0)))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, lang_pred, score.
-
-    ``score`` is the posterior probability of the predicted label. Texts that are null or have no letter, and all texts
-    if nothing was learned, are ``und`` with score 0. Of labels with equal scores the first in order wins. Whole texts
-    are scored, repeated rows alike; ids may be null. Only the two named columns are read.
-    """
+def tag(docs: DataFrame, model: Model, text_col: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the predicted label of each row and its score (see ``predict``) as two more columns, in place: no
+    shuffle, all rows and columns kept. The two names must not be taken (``common.unused`` finds free ones)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, prior, weights = shared.value.labels, shared.value.prior, shared.value.weights
         step = max(1 << 14, STEP * 4 // max(4, len(labels)))
-        for batch in C.steps(batches, "text", step):
-            score = np.zeros((batch.num_rows, len(labels)))
+        for batch in C.steps(batches, text_col, step):
+            sums = np.zeros((batch.num_rows, len(labels)))
             seen = np.zeros(batch.num_rows, bool)
-            for bucket, row in _grams(batch.column(1)):
+            for bucket, row in _grams(batch.column(columns.index(text_col))):
                 if not len(row) or not labels:
                     continue
                 starts, _ = C.runs(row)
                 seen[row[starts]] = True
-                score[row[starts]] += np.add.reduceat(weights[bucket], starts, axis=0)
+                sums[row[starts]] += np.add.reduceat(weights[bucket], starts, axis=0)
             if labels:
-                score += prior
-                best = score.argmax(1)
-                share = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
+                sums += prior
+                best = sums.argmax(1)
+                share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
             names = [labels[best[i]] if seen[i] else UNDETERMINED for i in range(len(seen))]
             sure = np.where(seen, share, 0.0) if labels else np.zeros(len(seen))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure)], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure)], [*columns, label, score])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    rows = C.only(docs, id=id_col, text=text_col)
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, lang_pred, score.
+
+    ``score`` is the posterior probability of the predicted label. Texts that are null or have no letter, and all texts
+    if nothing was learned, are ``und`` with score 0. Of labels with equal scores the first in order wins. Whole texts
+    are scored, repeated rows alike; ids may be null. Only the two named columns are read.
+    """
+    found = tag(C.only(docs, id=id_col, text=text_col), model)
+    return found.select(F.col("id").alias(id_col), "lang_pred", "score")

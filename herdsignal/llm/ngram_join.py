@@ -61,7 +61,7 @@ def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text one after the other, and how many each text has."""
     data, offsets = C.raw(column)
-    word, row, _, _ = C.words(data, offsets)
+    (word, _), row, _, _ = C.words(data, offsets)
     factors = C.mixed(np.arange(101, 101 + size, dtype=np.uint64)) | np.uint64(1)
     per_row = np.bincount(row, minlength=len(column))
     full = np.flatnonzero(row[size - 1 :] == row[: len(row) - size + 1]) if len(row) >= size else np.zeros(0, np.int64)

@@ -447,7 +447,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     tagged = rows.select(F.to_json(F.struct("id", "mark")).alias("id"), "text", "mark")
     schema = "id string, n_tokens long, n_known long, base_score double, tail_score double, codes binary"
     with scratch() as tables:
-        chunks = W.split(tagged, splitter, buckets, marked=True)
+        chunks = cut(W.split(tagged, splitter, buckets, marked=True), "chunks")
         known = vocabulary(chunks, buckets, rows.where("mark").count())
         told = W.answer(chunks, _teller(known), buckets)
         coded = W.finish(chunks, told, _coded(known), schema)

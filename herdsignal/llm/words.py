@@ -8,17 +8,16 @@ places of the numbers. However frequent a word is, a chunk sends it once. All ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from herdsignal.llm import common as C
-from herdsignal.session import cut
 
 #: Bytes of text per chunk (one text at least).
 CHUNK_BYTES = 16 << 20
@@ -27,12 +26,12 @@ STEP = 2 << 20
 #: Rows of bucket DOCUMENTS hold a chunk's texts, the others its words.
 DOCUMENTS = -1
 
-_SCHEMA = "chunk long, bucket int, a binary, b binary, c binary, d binary"
-_NAMES = ["chunk", "bucket", "a", "b", "c", "d"]
+_SCHEMA = "chunk long, bucket int, a binary, b binary, c binary, d binary, sign binary"
+_NAMES = ["chunk", "bucket", "a", "b", "c", "d", "sign"]
 
-#: A splitter turns a column of texts into hashes of all words, words per text, and a function that gives the words at
-#: some positions as the bytes that stand for them.
-Splitter = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]
+#: A splitter turns a column of texts into two hashes of all words, words per text, and a function that gives the words
+#: at some positions as the bytes that stand for them.
+Splitter = Callable[[pa.Array], tuple[tuple[np.ndarray, np.ndarray], np.ndarray, Callable[[np.ndarray], list[bytes]]]]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -60,62 +59,81 @@ def unpack_strings(lengths: bytes, data: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def split(docs: DataFrame, splitter: Splitter, buckets: int, marked: bool = False) -> DataFrame:
-    """The chunks of ``docs`` (id, text and, if ``marked``, a boolean ``mark``), written to the shared folder.
+TEXTS, WORDS = "texts", "words"
+
+
+@dataclass
+class _Step:
+    """Some texts: ids, marks, their words as numbers of the different ones, hashes of these, words per text, spelling."""
+
+    ids: pa.Array
+    marks: np.ndarray | None
+    codes: np.ndarray
+    hashes: tuple[np.ndarray, np.ndarray]
+    sizes: np.ndarray
+    spelled: list[bytes]
+
+
+def split(docs: DataFrame, splitter: Splitter, buckets: int, marked: bool = False, parts: tuple[str, ...] = (TEXTS, WORDS)) -> DataFrame:
+    """The chunks of ``docs`` (id, text and, if ``marked``, a boolean ``mark``): rows of texts, rows of words or both.
 
     Word rows carry the words, and how often they are in the texts (``marked``: in those marked, which may be never).
+    Words are told apart by 128 bits of hashes. The frame is not written: two frames of the same ``docs`` agree only if
+    its rows come in the same order each time, as those of files do; ``finish`` ends the job if they don't.
     """
 
-    def chunk(number: int, ids: list, marks: list, hashes: list, sizes: list, firsts: list) -> Iterator[pa.RecordBatch]:
-        own = [pd.factorize(h) for h in hashes]
-        codes, values = pd.factorize(np.concatenate([u for _, u in own]))
-        shift = np.cumsum([0, *(len(u) for _, u in own)])
-        index = np.concatenate([codes[s : s + len(u)][c] for s, (c, u) in zip(shift[:-1], own, strict=True)])
-        spelled: list[bytes | None] = [None] * len(values)
-        for s, (c, u), get in zip(shift[:-1], own, firsts, strict=True):
-            first = np.zeros(len(u), np.int64)
-            first[c[::-1]] = np.arange(len(c) - 1, -1, -1)
-            mine = codes[s : s + len(u)]
-            new = np.flatnonzero([spelled[m] is None for m in mine.tolist()])
-            for m, word in zip(mine[new].tolist(), get(first[new]), strict=True):
-                spelled[m] = word
-        often = np.bincount(index, minlength=len(values))
+    def chunk(number: int, steps: list[_Step]) -> Iterator[pa.RecordBatch]:
+        keys, checks = (np.concatenate([step.hashes[i] for step in steps]) for i in (0, 1))
+        codes, first = C.distinct(keys, checks)
+        names = C.mixed(keys[first] ^ C.mixed(checks[first]))
+        shift = np.cumsum([0, *(len(step.hashes[0]) for step in steps)])[:-1]
+        index = np.concatenate([codes[s : s + len(step.hashes[0])][step.codes] for s, step in zip(shift.tolist(), steps, strict=True)])
+        often = np.bincount(index, minlength=len(names))
         order = np.argsort(-often, kind="stable")
-        rank = np.empty(len(values), np.int64)
-        rank[order] = np.arange(len(values))
-        bucket = ((values >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32) if len(values) else np.zeros(0, np.int32)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        bucket = ((names >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32) if len(names) else np.zeros(0, np.int32)
         by_bucket = np.argsort(bucket, kind="stable")
-        place = np.empty(len(values), np.int32)
-        place[by_bucket] = np.arange(len(values), dtype=np.int32)
-        counts = np.concatenate(sizes)
-        if marked:
-            often = np.bincount(index[np.repeat(np.concatenate(marks), counts)], minlength=len(values))
-        out = [[number], [DOCUMENTS], [pa.concat_arrays(ids)], [pack(counts.astype(np.int32))], [pack(rank[index].astype(np.int32))], [pack(place[order])]]
-        out[2] = [_ids(out[2][0])]
-        for at, size in zip(*C.runs(bucket[by_bucket]), strict=True):
-            mine = by_bucket[at : at + size]
-            lengths, data = pack_strings([spelled[m] for m in mine.tolist()])
-            for column, value in zip(out, (number, int(bucket[mine[0]]), lengths, data, pack(often[mine].astype(np.int64)), pack(values[mine])), strict=True):
+        counts = np.concatenate([step.sizes for step in steps])
+        sign = hashlib.blake2b(names.tobytes(), digest_size=8).digest()  # the same rows in the same order
+        out: list[list] = [[] for _ in _NAMES]
+        if TEXTS in parts:
+            place = np.empty(len(names), np.int32)
+            place[by_bucket] = np.arange(len(names), dtype=np.int32)
+            ids = _ids(pa.concat_arrays([step.ids for step in steps]))
+            row = (number, DOCUMENTS, ids, pack(counts.astype(np.int32)), pack(rank[index].astype(np.int32)), pack(place[order]), sign)
+            for column, value in zip(out, row, strict=True):
                 column.append(value)
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        if WORDS in parts:
+            spelled = [word for step in steps for word in step.spelled]
+            if marked:
+                often = np.bincount(index[np.repeat(np.concatenate([step.marks for step in steps]), counts)], minlength=len(names))
+            for at, size in zip(*C.runs(bucket[by_bucket]), strict=True):
+                mine = by_bucket[at : at + size]
+                lengths, data = pack_strings([spelled[i] for i in first[mine].tolist()])
+                row = (number, int(bucket[mine[0]]), lengths, data, pack(often[mine].astype(np.int64)), pack(names[mine]), sign)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, parts = TaskContext.get().partitionId() << 32, 0, ([], [], [], [], [])
+        number, held, steps = TaskContext.get().partitionId() << 32, 0, []
         for batch in C.steps(batches, "text", STEP):
             size = batch.column(1).nbytes
             if held and held + size > CHUNK_BYTES:
-                yield from chunk(number, *parts)
-                number, held, parts = number + 1, 0, ([], [], [], [], [])
-            hashes, sizes, get = splitter(batch.column(1))
+                yield from chunk(number, steps)
+                number, held, steps = number + 1, 0, []
+            both, sizes, get = splitter(batch.column(1))
+            codes, first = C.distinct(*both)
             marks = np.asarray(batch.column(2).fill_null(False)) if marked else None
-            for part, value in zip(parts, (batch.column(0), marks, hashes, sizes, get), strict=True):
-                part.append(value)
+            spelled = get(first) if WORDS in parts else []
+            steps.append(_Step(batch.column(0), marks, codes.astype(np.int32), (both[0][first], both[1][first]), sizes, spelled))
             held += size
-        if held or parts[0]:
-            yield from chunk(number, *parts)
+        if steps:
+            yield from chunk(number, steps)
 
-    return cut(docs.mapInArrow(run, _SCHEMA), "chunks")
+    return docs.mapInArrow(run, _SCHEMA)
 
 
 def _ids(ids: pa.Array) -> bytes:
@@ -144,8 +162,8 @@ def answer(chunks: DataFrame, owner: Callable[[list[dict]], Iterator[tuple[dict,
     """(chunk, bucket, a, b, c, d): what ``owner`` says to each row of words of a bucket; it gets all rows of the bucket."""
 
     def run(key, table):
-        out = [(row["chunk"], row["bucket"], *(told.get(k) for k in "abcd")) for row, told in owner(table.to_pylist())]
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        out = [(row["chunk"], row["bucket"], *(told.get(k) for k in "abcd"), row["sign"]) for row, told in owner(table.to_pylist())]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], _NAMES)
 
     asked = chunks.where(F.col("bucket") != DOCUMENTS).repartition(buckets, "bucket")
@@ -160,6 +178,8 @@ def finish(chunks: DataFrame, answers: DataFrame, work: Callable[[Chunk, list[di
         ids = pa.ipc.open_stream(row["a"]).read_all().column(0).combine_chunks()
         places = unpack(row["d"], np.int32)[unpack(row["c"], np.int32)]
         told = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        if any(r["sign"] != row["sign"] for r in told):
+            raise ValueError("the rows of the texts came in another order; write them to a table first")
         return work(Chunk(ids, unpack(row["b"], np.int32), places), told)
 
     texts = chunks.where(F.col("bucket") == DOCUMENTS)

@@ -361,3 +361,59 @@ def test_matches_sql(spark, name):
     for column in mine.columns:
         left, right = mine[column].astype(object).where(mine[column].notna(), None), sql[column].astype(object).where(sql[column].notna(), None)
         assert left.tolist() == right.tolist(), column
+
+
+def long_words():
+    """Words that sums of powers modulo 2**64 cannot tell apart, whatever the base, and long random ones."""
+    rng = random.Random(8)
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    return [one, two, one + two, two + one, *("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (8, 9, 16, 17, 1024, 1025, 5000) for _ in range(3))]
+
+
+def test_long_words_are_told_apart(spark):
+    found = long_words()
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").coalesce(1)
+    tok = Tokenizer.from_file(WORD_BPE)
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in found]
+    for twice in (False, True):
+        got = by_id(bpe.digests(docs, WORD_BPE, twice=twice))
+        assert [got[i]["ids_sha256"] for i in range(len(found))] == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+    pieces = packing.pack(docs, WORD_BPE).where("start = 0").collect()
+    for r in pieces:
+        want = np.array([*ids[r["doc_id"]], 2], "<u4")
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(want), zlib.crc32(want[: r["length"]].tobytes()))
+    assert all(r["component_id"] == r["doc_id"] for r in ngram_join.ngram_join(docs).collect())
+    train = docs.withColumn("t", queries.F.col("doc_id") != 1)
+    told = by_id(recurrent_lm.score(train, "t"))
+    assert told[1]["n_known"] == 1 and told[0]["n_known"] == 2 and told[0]["train_tokens"] == 2 * (len(found) - 1)
+
+
+def test_distinct_beyond_equal_hashes():
+    checks = np.array([5, 6, 5, 7, 6, 5], np.uint64)
+    codes, first = C.distinct(np.zeros(6, np.uint64), checks)
+    assert checks[first][codes].tolist() == checks.tolist() and sorted(first.tolist()) == [0, 1, 3]
+
+
+def test_other_row_order_is_noticed(spark):
+    from herdsignal.llm import words as W
+
+    rows = [spark.createDataFrame([(1, a), (2, b)], "id long, text string").coalesce(1) for a, b in (("x y", "z"), ("z", "x y"))]
+    texts, asked = (W.split(r, bpe.splitter(WORD_BPE), 2, parts=(p,)) for r, p in zip(rows, (W.TEXTS, W.WORDS), strict=True))
+    with pytest.raises(Exception, match="another order"):
+        W.finish(texts, W.answer(asked, bpe.encoder(WORD_BPE), 2), lambda c, t: None, "id long").collect()
+
+
+def test_pipeline_stages_edges(spark, empty):
+    base = [(i, t, ["en", "de"][i % 2], "s", None, 0) for i, t in enumerate(["hello good world today", "guten morgen liebe welt"] * 6)]
+    rows = [*base, base[0], (None, "hello good world", "en", "s", None, 0), (50, None, "en", "s", None, 0), (51, "", None, "s", None, 0), (1, "12 34", "de", "s", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one = corpus_pipeline.language_id(spark, docs, "")
+    assert one.columns == docs.columns
+    assert sorted(r["doc_id"] for r in one.collect()) == [0, 0, *range(1, 12)]
+    two = corpus_pipeline.drop_copies(spark, one, "")
+    assert [(r["doc_id"], r["text"]) for r in two.orderBy("doc_id").collect()] == [(10, base[0][1]), (11, base[1][1])]
+    twins = corpus_pipeline.drop_copies(spark, docs.where("doc_id = 0").unionByName(docs.where("doc_id = 0")), "")
+    assert twins.count() == 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.withColumnsRenamed({"keep_id": "k"}), "").count() == 0
