@@ -225,10 +225,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^ \\t-\\r]+`` of rows laid out one after the other, A-Z like a-z: hashes, row, start, end of each."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^ \\t-\\r]+`` of rows laid out one after the other, A-Z like a-z: hashes, row, start, end of each.
+
+    ``between`` marks other bytes that part words, none of which are part of a longer character.
+    """
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~between[data]
     begins = inside[1:] & ~inside[:-1]  # position i of data at index i
     stops = inside[:-1] & ~inside[1:]
     cuts = offsets[1:-1]

@@ -13,6 +13,7 @@ from herdsignal.llm import (
     embedding_dedup,
     exact_dedup,
     language,
+    lexical_search,
     ngram_join,
     packing,
     recurrent_lm,
@@ -139,3 +140,29 @@ def _(spark, sf):
     documents = table(spark, sf, "documents").withColumn("_train", remainder("doc_id", 10) != 0)
     scored = recurrent_lm.score(documents, "_train")
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH texts AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    words AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+    often AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL),
+    totals AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l_all FROM lengths),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    weighted AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM often GROUP BY ALL), totals),
+    scored AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // l_all)))) AS BIGINT) AS score
+        FROM asked JOIN often USING (term) JOIN weighted USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    WHERE rank <= 50
+    """,
+)
+def _(spark, sf):
+    return lexical_search.search(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
