@@ -52,7 +52,7 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
     """Join rows with ``groups`` (one row per key; ``size``: how many of the rows have it), whatever the skew.
 
     Keys with more than 1/HOT_KEYS of the rows number at most HOT_KEYS, so that part of ``groups`` is broadcast; the

@@ -14,8 +14,10 @@ from herdsignal.llm import (
     exact_dedup,
     language,
     lexical_search,
+    line_dedup,
     ngram_join,
     packing,
+    phrases,
     recurrent_lm,
     suffix_dedup,
     token_counts,
@@ -166,3 +168,58 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return lexical_search.search(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
+@query(
+    "op11_line_dedup",
+    r"""
+    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM split),
+    keyed AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    repeated AS (
+        SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    marked AS (SELECT k.*, coalesce(doc_id <> last, FALSE) AS dropped FROM keyed k LEFT JOIN repeated USING (key))
+    SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INTEGER)) AS BIGINT) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def _(spark, sf):
+    return line_dedup.line_dedup(table(spark, sf, "documents"))
+
+
+_PHRASES = r"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    pieces AS (SELECT t, lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS piece FROM texts),
+    numbered AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+    placed AS (SELECT p, lang, w, unnest(range(1, len(w) + 1)) AS i FROM numbered),
+    sizes AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY lang),
+    grams AS (
+        SELECT lang, w[i : i + k - 1] AS g, CAST(count(*) AS BIGINT) AS f FROM placed, range(1, 5) AS s(k)
+        WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (
+        SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, len(g))) AS k FROM grams WHERE len(g) > 1) c
+        JOIN grams l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN grams r ON r.lang = c.lang AND r.g = c.g[k + 1 : len(c.g)]),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    inner_parts AS (
+        SELECT lang, g[i : i + k - 1] AS g, max(f) AS longer
+        FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM grams WHERE len(g) > 2), range(2, 4) AS s(k)
+        WHERE k < len(g) AND i + k - 1 <= len(g) GROUP BY ALL)
+    SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM (
+        SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score,
+               row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.g, ' ')) AS rank
+        FROM best b JOIN sizes USING (lang) LEFT JOIN inner_parts c ON c.lang = b.lang AND c.g = b.g
+        WHERE longer IS NULL OR 100 * longer < 80 * a)
+    WHERE rank <= 2000
+    """
+
+
+@query("op12_phrases", _PHRASES)
+def _(spark, sf):
+    return phrases.mine(table(spark, sf, "documents"))
