@@ -89,18 +89,14 @@ class CuckooFilter:
             left = self._put(marks, bucket)
             if not left.any():
                 return True
-            marks, bucket = marks[left], self._other(marks[left], bucket[left])
-            if number:  # both buckets are full: one mark per bucket takes a place, and what was there moves on
-                left = self._put(marks, bucket)
-                if not left.any():
-                    return True
-                marks, bucket = marks[left], bucket[left]
+            marks, bucket = marks[left], bucket[left]
+            if number:  # one mark per full bucket takes a place, and what was there moves on
                 _, first = np.unique(bucket, return_index=True)
                 place = (bucket[first] + number) % PLACES
                 before = self.slots[bucket[first], place].copy()
                 self.slots[bucket[first], place] = marks[first]
                 marks[first] = before
-                bucket[first] = self._other(before, bucket[first])
+            bucket = self._other(marks, bucket)
         return False
 
     def remove(self, hashes: np.ndarray) -> None:
