@@ -7,9 +7,9 @@ task that owns it); everything else in a text is a barrier. Then, for phrases of
    shorter are frequent, by a bitmap of hashes of fixed size. Tasks bincount the hashes of such phrases, sums of these
    vectors tell which hashes are frequent enough, and phrases with such a hash are the candidates. Neither step loses
    a frequent phrase; what they let through besides is counted and dropped.
-2. Candidates go into double-array tries, shards of bounded size, which are broadcast one after the other. In numpy a
-   task moves the states of all positions of its texts at once, level by level, and bincounts the accepting states; the
-   vectors of all tasks are summed.
+2. Candidates go into double-array tries, a small one for each shard of their first two words, built by tasks. As many
+   as may be broadcast at a time are laid one behind the other. In numpy a task moves the states of all positions of its
+   texts at once, level by level, and bincounts the accepting states; the vectors of all tasks are summed.
 
 Scores, cuts and the ranking are joins and windows on the frequent phrases. What is broadcast is bounded by ``BITS`` and
 ``MOST``, however many phrases there are.
@@ -17,6 +17,7 @@ Scores, cuts and the ranking are joins and windows on the frequent phrases. What
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ from herdsignal.session import cut, release, scratch
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Score of a phrase whose parts never stand alone, and the per cent of occurrences that make a longer phrase cover it.
 SCALE, COVER = 2_000_000, 80
-#: Bits of a hash that number the places of a bitmap; candidates per trie.
-BITS, MOST = 22, 1 << 20
+#: Bits of a hash that number the places of a bitmap; candidates per trie on average, and in all tries of a broadcast.
+BITS, SHARD, MOST = 24, 1 << 14, 1 << 19
 #: Numbers per block of a summed vector, and vectors added up by one task.
 BLOCK, FAN_IN = 1 << 18, 32
 
@@ -150,16 +151,21 @@ def _coded(chunk: W.Chunk, told: list[dict]) -> pa.Table:
 
 @dataclass(frozen=True)
 class Bitmap:
-    """Hashes of frequent phrases of one length, as a set of places."""
+    """Hashes of frequent phrases of one length, as a set of places: eight to a byte."""
 
-    places: np.ndarray
+    bits: np.ndarray
 
     @staticmethod
-    def none(bits: int) -> Bitmap:
-        return Bitmap(np.zeros(1 << bits, bool))
+    def of(places: np.ndarray) -> Bitmap:
+        return Bitmap(np.packbits(places, bitorder="little"))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        return self.places[(hashes & np.uint64(len(self.places) - 1)).astype(np.int64)]
+        place = hashes & np.uint64(8 * len(self.bits) - 1)
+        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _next(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return C.mixed((hashes ^ codes) * np.uint64(0x9FB21C651E98DF25))
 
 
 def _chain(codes: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +174,7 @@ def _chain(codes: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
     wide = codes.astype(np.uint64)
     hashes, fine = np.zeros(size, np.uint64), np.ones(size, bool)
     for j in range(many):
-        hashes = C.mixed((hashes ^ wide[j : j + size]) * np.uint64(0x9FB21C651E98DF25))
+        hashes = _next(hashes, wide[j : j + size])
         fine &= codes[j : j + size] > 0
     return hashes, fine
 
@@ -222,7 +228,7 @@ def _summed(vectors: DataFrame, size: int, most: int | None = None) -> np.ndarra
         old, vectors = vectors, cut(grouped.groupBy("block", "part").applyInArrow(add, _VECTOR), "vectors")
         release(old)
     out = np.zeros(size, kind)
-    for row in vectors.toLocalIterator():  # ``size`` numbers in all
+    for row in vectors.collect():  # ``size`` numbers in all
         mine = W.unpack(row["counts"], kind)
         out[row["block"] * BLOCK : row["block"] * BLOCK + len(mine)] = mine
     release(vectors)
@@ -247,7 +253,7 @@ def _hash_counts(shared, many: int, bits: int, least: int):
 
 
 def _candidates(shared, many: int):
-    """Different safe phrases of each row whose hash is frequent."""
+    """Different safe phrases of each row whose hash is frequent, with a number made of their first two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shorter, often = shared.value
@@ -257,59 +263,92 @@ def _candidates(shared, many: int):
                 fine = often.has(hashes)
                 _, first = np.unique(hashes[fine], return_index=True)
                 at = at[fine][first]
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at + j]) for j in range(many)], [f"w{j}" for j in range(many)])
+                pair = _pair(codes)[at] if len(at) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), *(pa.array(codes[at + j]) for j in range(many))], ["pair", *(f"w{j}" for j in range(many))])
 
     return run
 
 
+def _pair(codes: np.ndarray) -> np.ndarray:
+    """Numbers above 0 of the two codes from each position on, by which shards are dealt."""
+    return (_chain(codes, 2)[0] >> np.uint64(1)).astype(np.int64)
+
+
 class DoubleArray:
-    """A trie of phrases of equal length in two arrays: the child of state s by word c is base[s] + c, if check says s."""
+    """Tries of phrases of equal length in two arrays: the child of state s by symbol c is base[s] + c, if check says s.
+
+    A word is two symbols, its code divided by ``radix`` and the rest, so that states need little room between them.
+    """
 
-    def __init__(self, phrases: np.ndarray):
-        """``phrases``: different rows of codes, sorted; accepting states are numbered like rows."""
+    def __init__(self, phrases: np.ndarray, radix: int):
+        """``phrases``: different rows of codes, sorted; accepting states are numbered like rows; the root is state 0."""
         n, many = phrases.shape
-        self.base = np.zeros(1, np.int64)
-        self.check = np.full(1, -1, np.int64)
-        self._room(int(phrases.max(initial=0)) + 2 * n * many + 2)
-        self.check[0] = 0  # the root; no child is placed there
+        self.radix, self.roots = radix, np.zeros(1, np.int64)
+        self.base, self.check = np.zeros(1, np.int64), np.full(1, -1, np.int64)
+        self._room(2 * radix + 2 * n)
+        self.check[0] = 0  # no child is placed there
         state = np.zeros(n, np.int64)  # of each row's prefix
-        for j in range(many):
-            new = np.ones(n, bool)
-            new[1:] = (phrases[1:, j] != phrases[:-1, j]) | (state[1:] != state[:-1])
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for j in range(2 * many):
+            symbol = (phrases[:, j // 2] % radix if j % 2 else phrases[:, j // 2] // radix).astype(np.int64)
+            new = new.copy()
+            new[1:] |= symbol[1:] != symbol[:-1]
             edges = np.flatnonzero(new)
-            state = self._place(state[edges], phrases[edges, j].astype(np.int64))[np.cumsum(new) - 1]
+            state = self._place(state[edges], symbol[edges])[np.cumsum(new) - 1]
         self.accept = np.full(len(self.base), -1, np.int64)
         self.accept[state] = np.arange(n)
 
+    def packed(self) -> list[bytes]:
+        size = 1 + int(np.flatnonzero(self.check >= 0)[-1])
+        return [W.pack(x[:size].astype(np.int32)) for x in (self.base, self.check, self.accept)]
+
+    @staticmethod
+    def joined(tries: list[list[bytes]], radix: int) -> DoubleArray:
+        """Packed tries one behind the other; a trie's accepting states are numbered on from the one before."""
+        out = DoubleArray.__new__(DoubleArray)
+        at, number, parts, roots = 0, 0, [], []
+        for base, check, accept in ([W.unpack(x, np.int32) for x in trie] for trie in tries):
+            roots.append(at)
+            last = check >= 0
+            last[0] = False
+            accepts = accept >= 0
+            parts.append((base + at, np.where(last, check + at, -1), np.where(accepts, accept + number, -1)))
+            at, number = at + len(base), number + int(accepts.sum())
+        out.radix, out.roots = radix, np.array(roots)
+        out.base, out.check, out.accept = (np.concatenate(x).astype(np.int32) for x in zip(*parts, strict=True))
+        return out
+
     def _room(self, size: int) -> None:
         more = size - len(self.base)
         if more > 0:
             self.base = np.r_[self.base, np.zeros(more, np.int64)]
             self.check = np.r_[self.check, np.full(more, -1, np.int64)]
 
-    def _place(self, parent: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Child states of edges (parent, code), sorted; nodes with many children find their places first."""
+    def _place(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Child states of edges (parent, symbol), sorted; nodes with many children find their places first."""
         starts, sizes = C.runs(parent)
         child = np.empty(len(parent), np.int64)
         many = np.flatnonzero(sizes > 1)
         low = 1
         for i in many[np.argsort(-sizes[many], kind="stable")].tolist():
             span = slice(starts[i], starts[i] + sizes[i])
-            steps = code[span] - code[starts[i]]
+            steps = symbol[span] - symbol[starts[i]]
             at, width = low, 64
             while True:
-                self._room(at + 8 * width + int(steps[-1]) + 1)
+                if at + 8 * width + int(steps[-1]) >= len(self.check):
+                    self._room(2 * len(self.check) + 8 * width + int(steps[-1]))
                 free = at + np.flatnonzero(self.check[at : at + 8 * width] < 0)[:width]
-                fits = np.flatnonzero((self.check[free[:, None] + steps] < 0).all(1)) if len(free) else free
+                fits = np.flatnonzero((self.check[free[:, None] + steps] < 0).all(1))
                 if len(fits):
                     break
-                at = int(free[-1]) + 1 if len(free) else at + 8 * width
+                at = int(free[-1]) + 1 if len(free) == width else at + 8 * width
             place = free[fits[0]] + steps
             self.check[place] = parent[starts[i]]
-            self.base[parent[starts[i]]] = place[0] - code[starts[i]]
+            self.base[parent[starts[i]]] = place[0] - symbol[starts[i]]
             child[span] = place
-            while low < len(self.check) and self.check[low] >= 0:
-                low += 1
+            if sizes[i] < 4:  # small families leave few gaps behind
+                low = max(low, at)
         one = np.flatnonzero(sizes == 1)
         free = np.flatnonzero(self.check < 0)
         if len(free) < len(one):
@@ -317,70 +356,123 @@ class DoubleArray:
             free = np.flatnonzero(self.check < 0)
         place, edge = free[: len(one)], starts[one]
         self.check[place] = parent[edge]
-        self.base[parent[edge]] = place - code[edge]
+        self.base[parent[edge]] = place - symbol[edge]
         child[edge] = place
         return child
 
-    def accepted(self, codes: np.ndarray, many: int) -> np.ndarray:
-        """Rows of the phrases that begin at the positions of a text; all positions move on together."""
-        at = np.flatnonzero(codes[: max(0, len(codes) - many + 1)] > 0)
-        state = np.zeros(len(at), np.int64)
-        for j in range(many):
-            code = codes[at + j]
-            to = self.base[state] + code
+    def accepted(self, codes: np.ndarray, many: int, root: np.ndarray | None = None) -> np.ndarray:
+        """Rows of the phrases that begin at the positions of a text; all positions move on together.
+
+        ``root``: number of the trie of each position, below 0 if it has none here.
+        """
+        begins = codes[: max(0, len(codes) - many + 1)] > 0
+        at = np.flatnonzero(begins if root is None else begins & (root[: len(begins)] >= 0))
+        state = self.roots[np.zeros(len(at), np.int64) if root is None else root[at]]
+        for j in range(2 * many):
+            code = codes[at + j // 2]
+            to = self.base[state] + (code % self.radix if j % 2 else code // self.radix)
             inside = (code > 0) & (to > 0) & (to < len(self.check))
             good = inside & (self.check[np.where(inside, to, 0)] == state)
             at, state = at[good], to[good]
         return self.accept[state]
 
 
-def _trie_counts(shared, many: int, size: int):
-    """Bincounts of the accepting states of all positions."""
+_TRIES = "shard long, size long, phrases binary, base binary, check binary, accept binary"
+
+
+def _built(many: int, radix: int):
+    """A shard's trie, and its phrases in the order of the accepting states."""
+
+    def run(key, rows):
+        phrases = np.stack([np.asarray(rows.column(f"w{j}")) for j in range(many)], 1)
+        phrases = phrases[np.lexsort(phrases.T[::-1])]
+        row = [[key[0].as_py()], [len(phrases)], *([x] for x in (W.pack(phrases.ravel().astype(np.int32)), *DoubleArray(phrases, radix).packed()))]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _TRIES.split(", ")])
+
+    return run
+
+
+def _trie_counts(shared, many: int):
+    """Bincounts of the accepting states of all positions; ``place``: where a shard's trie is among those broadcast."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        trie, place, size = shared.value
         total = np.zeros(size, np.int64)
         for batch in batches:
             for codes in _rows_of(batch):
-                total += np.bincount(trie.accepted(codes, many), minlength=size)
+                if len(codes) >= many:
+                    total += np.bincount(trie.accepted(codes, many, place[_pair(codes) % len(place)]), minlength=size)
+        yield _blocks(total, TaskContext.get().partitionId())
+
+    return run
+
+
+def _enough(many: int, least: int):
+    """The phrases of tries that have been counted often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                f = np.frombuffer(row["counts"], np.int64)
+                phrases = W.unpack(row["phrases"], np.int32).reshape(-1, many)[f >= least]
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(len(phrases) + 1) * many, pa.int32()), pa.array(phrases.ravel()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(f[f >= least])], ["ids", "f"])
+
+    return run
+
+
+def _places(many: int, bits: int):
+    """The places of the hashes of phrases."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            phrases = np.asarray(batch.column(0).flatten()).reshape(-1, many)
+            hashes = np.zeros(len(phrases), np.uint64)
+            for j in range(many):
+                hashes = _next(hashes, phrases[:, j].astype(np.uint64))
+            total[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = 1
         yield _blocks(total, TaskContext.get().partitionId())
 
     return run
 
 
-def frequent(texts: DataFrame, many: int, shorter: Bitmap | None, least: int = LEAST, bits: int = BITS, most: int = MOST) -> tuple[list[DataFrame], Bitmap]:
-    """Phrases of ``many`` words that occur ``least`` times or more, as frames (ids, f), and the bitmap of their hashes."""
+def frequent(
+    texts: DataFrame, many: int, radix: int, shorter: Bitmap | None, least: int = LEAST, bits: int = BITS, shard: int = SHARD, most: int = MOST
+) -> tuple[DataFrame, Bitmap]:
+    """Phrases of ``many`` words that occur ``least`` times or more (ids, f), and the bitmap of their hashes."""
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast(shorter)
-    counts = _summed(texts.mapInArrow(_hash_counts(known, many, bits, least), _VECTOR), 1 << bits, least)
-    known = spark.sparkContext.broadcast((shorter, Bitmap(counts >= least)))
+    often = Bitmap.of(_summed(texts.mapInArrow(_hash_counts(known, many, bits, least), _VECTOR), 1 << bits, least) >= least)
+    known = spark.sparkContext.broadcast((shorter, often))
     names = [f"w{j}" for j in range(many)]
-    found = cut(texts.mapInArrow(_candidates(known, many), ", ".join(f"{n} int" for n in names)).distinct(), "candidates")
-    shards = -(-found.count() // most)
-    out, bitmap = [], Bitmap.none(bits)
-    for shard in range(shards):
-        mine = found.where(F.expr(f"pmod(xxhash64({', '.join(names)}), {shards}) = {shard}"))
-        phrases = mine.toPandas().to_numpy(np.int32)  # about ``most`` rows
-        phrases = phrases[np.lexsort(phrases.T[::-1])]
-        trie = spark.sparkContext.broadcast(DoubleArray(phrases))
-        f = _summed(texts.mapInArrow(_trie_counts(trie, many, len(phrases)), _VECTOR), len(phrases))
-        trie.destroy()
-        phrases, f = phrases[f >= least], f[f >= least]
-        if len(phrases):
-            bitmap.places[(_hash_rows(phrases) & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-            table = pa.table([pa.array(list(phrases), pa.list_(pa.int32())), pa.array(f)], ["ids", "f"])
-            out.append(cut(spark.createDataFrame(table), "frequent"))
+    found = cut(texts.mapInArrow(_candidates(known, many), "pair long, " + ", ".join(f"{n} int" for n in names)).distinct(), "candidates")
+    shards = max(1, -(-found.count() // shard))
+    dealt = found.select(F.expr(f"pair % {shards}").alias("shard"), *names)
+    tries = cut(dealt.groupBy("shard").applyInArrow(_built(many, radix), _TRIES), "tries")
     release(found)
-    return out, bitmap
-
-
-def _hash_rows(phrases: np.ndarray) -> np.ndarray:
-    """Hash of each row, as ``_chain`` gives it."""
-    hashes = np.zeros(len(phrases), np.uint64)
-    for j in range(phrases.shape[1]):
-        hashes = C.mixed((hashes ^ phrases[:, j].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25))
-    return hashes
+    counts = spark.createDataFrame([], "shard long, counts binary")
+    step = max(1, most // shard)
+    for low in range(0, shards, step):
+        here = (F.col("shard") >= low) & (F.col("shard") < low + step)
+        rows = sorted(tries.where(here).select("shard", "size", "base", "check", "accept").collect())  # about ``most`` candidates
+        if not rows:
+            continue
+        place = np.full(shards, -1, np.int64)
+        place[[r["shard"] for r in rows]] = np.arange(len(rows))
+        size = sum(r["size"] for r in rows)
+        trie = spark.sparkContext.broadcast((DoubleArray.joined([[bytes(x) for x in r[2:]] for r in rows], radix), place, size))
+        f = _summed(texts.mapInArrow(_trie_counts(trie, many), _VECTOR), size)
+        trie.destroy()
+        ends = np.cumsum([r["size"] for r in rows])
+        told = [(r["shard"], bytearray(f[end - r["size"] : end].tobytes())) for r, end in zip(rows, ends.tolist(), strict=True)]
+        counts = counts.unionByName(cut(spark.createDataFrame(told, "shard long, counts binary"), "counts"))
+    kept = cut(tries.select("shard", "phrases").join(counts, "shard").select("phrases", "counts").mapInArrow(_enough(many, least), "ids array<int>, f long"), "frequent")
+    release(tries)
+    return kept, Bitmap.of(_summed(kept.select("ids").mapInArrow(_places(many, bits), _VECTOR), 1 << bits, 1) > 0)
 
 
 def _slices(shortest: int, whole: bool) -> str:
@@ -407,7 +499,7 @@ def scored(grams: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def mine(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = BITS, most: int = MOST
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = BITS, shard: int = SHARD, most: int = MOST
 ) -> DataFrame:
     """The ``top`` best phrases of each language: lang, rank (int, from 1), phrase, a, l, r, n, score (long).
 
@@ -428,16 +520,13 @@ def mine(
         named = cut(told.where(F.col("chunk") == NUMBERED).select("a", "b", "c", "d").mapInArrow(_numbered, _WORDS), "words")
         coded = cut(W.finish(chunks, told.where(F.col("chunk") != NUMBERED), _coded, "codes binary, langs array<int>, sums array<long>"), "coded")
         release(chunks, told)
-        texts, grams, shorter = coded.select("codes"), [], None
-        for many in range(2, LONGEST + 1):
-            found, shorter = frequent(texts, many, shorter, least, bits, most)
-            grams += found
-            if not found:
-                break
         words = named.where("code > 0")
+        texts, shorter = coded.select("codes"), None
+        radix = 1 + math.isqrt(words.agg(F.max("code")).first()[0] or 0)
         every = words.select(F.array("code").alias("ids"), "f").where("false")
-        for gram in grams:
-            every = every.unionByName(gram)
+        for many in range(2, LONGEST + 1):
+            found, shorter = frequent(texts, many, radix, shorter, least, bits, shard, most)
+            every = every.unionByName(found)
         kept = cut(scored(every, words.select("code", "f")), "scored")
         spelled = (
             kept.select("ids", F.posexplode("ids").alias("place", "code"))

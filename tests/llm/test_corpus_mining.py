@@ -143,13 +143,12 @@ def brute_phrases(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"bits": 4, "most": 7}])
+@pytest.mark.parametrize("how", [{"bits": 12}, {"bits": 4, "shard": 30, "most": 60}])
 def test_phrases(docs, empty, how):
     got = sorted(tuple(r) for r in phrases.mine(docs, least=3, top=40, **how).collect())
     assert got == brute_phrases(ROWS, 3, 40)
-    if not how:
-        assert phrases.mine(empty).count() == 0
-        assert phrases.mine(docs.where("doc_id < 2"), least=1000).count() == 0
+    if how["bits"] == 12:
+        assert phrases.mine(empty, bits=12).count() == 0
 
 
 def test_phrases_beyond_64_bits(spark):
@@ -163,11 +162,17 @@ def test_double_array():
     rng = np.random.default_rng(6)
     for many, codes in ((2, 5), (3, 40), (4, 3000)):
         rows = np.unique(rng.integers(1, codes, (400, many)).astype(np.int32), axis=0)
-        trie = phrases.DoubleArray(rows)
+        radix = 1 + int(codes**0.5)
         text = np.concatenate([rng.integers(0, codes, 300), rows[::7].ravel(), [0], rows[5]]).astype(np.int32)
         number = {tuple(r): i for i, r in enumerate(rows.tolist())}
-        want = [number[tuple(text[i : i + many].tolist())] for i in range(len(text) - many + 1) if tuple(text[i : i + many].tolist()) in number]
-        assert trie.accepted(text, many).tolist() == want
+        starts = [tuple(text[i : i + many].tolist()) for i in range(len(text) - many + 1)]
+        want = [number[s] for s in starts if s in number]
+        one = phrases.DoubleArray(rows, radix)
+        assert one.accepted(text, many).tolist() == want
+        half = len(rows) // 2
+        both = phrases.DoubleArray.joined([phrases.DoubleArray(part, radix).packed() for part in (rows[:half], rows[half:])], radix)
+        root = np.array([0 if number.get(s, 0) < half else 1 for s in starts])
+        assert both.accepted(text, many, root).tolist() == want
 
 
 def brute_search(items, rows, top):
