@@ -236,7 +236,7 @@ def _summed(vectors: DataFrame, size: int, most: int | None = None) -> np.ndarra
 
 
 def _hash_counts(shared, many: int, bits: int, least: int):
-    """Bincounts of the hashes of safe phrases, cut at ``least``."""
+    """Counts of the hashes of safe phrases by place, cut at ``least``."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +245,8 @@ def _hash_counts(shared, many: int, bits: int, least: int):
         for batch in batches:
             for codes in _rows_of(batch):
                 _, hashes = _safe(codes, many, shorter)
-                found = np.bincount((hashes & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-                total = np.minimum(found + total, least).astype(np.uint8)
+                place, n = np.unique((hashes & np.uint64((1 << bits) - 1)).astype(np.uint32), return_counts=True)
+                total[place] = np.minimum(total[place] + n, least)
         yield _blocks(total, TaskContext.get().partitionId())
 
     return run
