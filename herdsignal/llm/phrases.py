@@ -34,6 +34,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE, COVER = 2_000_000, 80
 #: Bits of a hash that number the places of a bitmap; candidates per trie on average, and in all tries of a broadcast.
 BITS, SHARD, MOST = 24, 1 << 14, 1 << 19
+#: Positions whose phrases a task looks at together.
+POSITIONS = 1 << 18
 #: Numbers per block of a summed vector, and vectors added up by one task.
 BLOCK, FAN_IN = 1 << 18, 32
 
@@ -190,9 +192,12 @@ def _safe(codes: np.ndarray, many: int, shorter: Bitmap | None) -> tuple[np.ndar
     return at, hashes[at]
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for row in batch.column(0).to_pylist():
-        yield W.unpack(row, np.int32)
+def _rows_of(batch: pa.RecordBatch, many: int) -> Iterator[np.ndarray]:
+    """Codes of POSITIONS positions at a time, and of the ``many - 1`` behind them, where phrases that begin there end."""
+    for row in batch.column(0):
+        codes = W.unpack(row.as_py(), np.int32)
+        for at in range(0, len(codes), POSITIONS):
+            yield codes[at : at + POSITIONS + many - 1]
 
 
 _VECTOR = "block int, part long, counts binary"
@@ -243,7 +248,7 @@ def _hash_counts(shared, many: int, bits: int, least: int):
         shorter = shared.value
         total = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            for codes in _rows_of(batch):
+            for codes in _rows_of(batch, many):
                 _, hashes = _safe(codes, many, shorter)
                 place, n = np.unique((hashes & np.uint64((1 << bits) - 1)).astype(np.uint32), return_counts=True)
                 total[place] = np.minimum(total[place] + n, least)
@@ -258,7 +263,7 @@ def _candidates(shared, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shorter, often = shared.value
         for batch in batches:
-            for codes in _rows_of(batch):
+            for codes in _rows_of(batch, many):
                 at, hashes = _safe(codes, many, shorter)
                 fine = often.has(hashes)
                 _, first = np.unique(hashes[fine], return_index=True)
@@ -401,7 +406,7 @@ def _trie_counts(shared, many: int):
         trie, place, size = shared.value
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for codes in _rows_of(batch):
+            for codes in _rows_of(batch, many):
                 if len(codes) >= many:
                     total += np.bincount(trie.accepted(codes, many, place[_pair(codes) % len(place)]), minlength=size)
         yield _blocks(total, TaskContext.get().partitionId())

@@ -144,7 +144,8 @@ def brute_phrases(rows, least, top):
 
 
 @pytest.mark.parametrize("how", [{"bits": 12}, {"bits": 4, "shard": 30, "most": 60}])
-def test_phrases(docs, empty, how):
+def test_phrases(docs, empty, how, monkeypatch):
+    monkeypatch.setattr(phrases, "POSITIONS", 100)
     got = sorted(tuple(r) for r in phrases.mine(docs, least=3, top=40, **how).collect())
     assert got == brute_phrases(ROWS, 3, 40)
     if how["bits"] == 12:
