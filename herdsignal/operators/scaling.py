@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The columns that are scaled.
 NUMERIC = ("act", "temp", "DIM", "temp_filtered", "act_group_mean", "heat_feature")
@@ -22,6 +22,52 @@ def fit_scaler(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     return df.agg(*parts)
 
 
+_STATE = ("n", "mean", "m2")
+
+
+def scaler_state(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
+    """What a scaler has to know of some rows: per column n, mean and m2, the sum of squared distances from the mean.
+
+    Nulls are ignored; a column without values has n 0 and nulls.
+    """
+    parts = []
+    for name in columns:
+        state = F.struct(F.lit(name).alias("column"), F.count(name).alias("n"), F.avg(name).alias("mean"), (F.var_pop(name) * F.count(name)).alias("m2"))
+        parts.append(state)
+    return df.agg(F.array(*parts).alias("_state")).select(F.inline("_state"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per column from the states of disjoint rows, whatever their number and order.
+
+    Squared distances are moved from each part's mean to the common one, so a large mean costs no digits.
+    """
+    common = states.groupBy("column").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    apart = (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean"))
+    merged = states.join(common, "column").groupBy("column").agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart).alias("m2")
+    )
+    return merged.select("column", *_STATE)
+
+
+def scaler_of(state: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
+    """The one-row scaler of a state, as ``fit_scaler`` gives it."""
+    mine = lambda name, value: F.max(F.when(F.col("column") == name, value))
+    deviation = F.sqrt(F.col("m2") / F.col("n"))
+    spread = F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
+    return state.agg(*[part for name in columns for part in (mine(name, F.col("mean")).alias(f"{name}_mean"), mine(name, spread).alias(f"{name}_std"))])
+
+
+def partial_fit(df: DataFrame, path: str, columns: Sequence[str] = NUMERIC) -> None:
+    """Add rows to a stored scaler: their state is kept beside those of earlier calls, which are not read."""
+    scaler_state(df, columns).write.mode("append").parquet(path)
+
+
+def fitted(spark: SparkSession, path: str, columns: Sequence[str] = NUMERIC) -> DataFrame:
+    """The scaler of all rows that ``partial_fit`` has added."""
+    return scaler_of(merge_states(spark.read.parquet(path)), columns)
+
+
 def scale(
     df: DataFrame, scaler: DataFrame, columns: Sequence[str] = NUMERIC, output: str = "float"
 ) -> DataFrame:

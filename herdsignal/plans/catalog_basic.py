@@ -127,6 +127,28 @@ def _(spark, sf):
     return clean.dedup_first(parts, ["event_id", "segment"]).select(*ANIMAL, "datetime", "act")
 
 
+_INTERVALS = r"""
+    SELECT event_id AS segment, CAST(user_id % 2 AS VARCHAR) AS organisation_id, CAST(user_id AS VARCHAR) AS animal_id,
+           ts - to_hours(CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER)) AS first,
+           ts - to_hours(CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER)) + to_hours(1 << CAST(event_id % 15 AS INTEGER)) AS last
+    FROM events WHERE event_type = 'signup'"""
+
+
+@query("a5_irregular_segments", sql("""
+    SELECT r.organisation_id, r.animal_id, r.datetime, r.event_id, i.segment
+    FROM readings r JOIN intervals i ON r.organisation_id = i.organisation_id AND r.animal_id = i.animal_id
+     AND r.datetime BETWEEN i.first AND i.last""", intervals=_INTERVALS))
+def _(spark, sf):
+    events = R.table(spark, sf, "events").where("event_type = 'signup'")
+    begin = F.col("ts") - F.make_dt_interval(hours=F.get_json_object("props", "$.k").cast("int"))
+    hours = F.expr("shiftleft(1, cast(event_id % 15 as int))")
+    intervals = events.select(
+        F.col("event_id").alias("segment"), (F.col("user_id") % 2).cast("string").alias("organisation_id"), F.col("user_id").cast("string").alias("animal_id"),
+        begin.alias("first"), (begin + F.make_dt_interval(hours=hours)).alias("last"),
+    )
+    return SR.in_intervals(R.readings(spark, sf), intervals).select(*ANIMAL, "datetime", "event_id", "segment")
+
+
 @query("a6_predicate_scan", sql("SELECT datetime, act FROM readings WHERE animal_id = '3'"))
 def _(spark, sf):
     return SR.metric_of(R.readings(spark, sf), "3")
@@ -176,6 +198,20 @@ def _(spark, sf):
     return tables.upsert_by_key(old, new).select(*ANIMAL, "datetime", "act")
 
 
+@query("a9_replace_keys", sql("""
+    SELECT CASE WHEN group_id = '2' AND CAST(animal_id AS INTEGER) % 8 = 2 THEN '9' ELSE organisation_id END AS organisation_id,
+           animal_id, datetime, CASE WHEN group_id = '2' THEN -act ELSE act END AS act, temp
+    FROM readings"""))
+def _(spark, sf):
+    path = _stored(spark, sf)
+    moved = (F.col("group_id") == "2") & (F.col("animal_id").cast("int") % 8 == 2)
+    new = R.readings(spark, sf).where("group_id = '2'").withColumns(
+        {"act": -F.col("act"), "organisation_id": F.when(moved, F.lit("9")).otherwise(F.col("organisation_id"))}
+    )
+    tables.replace_keys(new.select(*ROWS), path)
+    return tables.read_table(spark, path).select(*ROWS)
+
+
 @query("a11_only_new", sql("""
     SELECT organisation_id, animal_id, c_mktsegment FROM animals
     WHERE organisation_id NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_acctbal > 5000)"""))

@@ -11,6 +11,7 @@ from herdsignal.plans.registry import query, six
 from herdsignal.plans.relations import sql
 from herdsignal.session import cut, fresh_path
 from herdsignal.sources import tables
+from herdsignal.streaming import refresh
 
 A = "PARTITION BY organisation_id, animal_id ORDER BY datetime"
 
@@ -62,6 +63,31 @@ def _(spark, sf):
     return _keyed(filtered, "spike", six("temp_filtered").alias("temp_filtered"))
 
 
+_REFRESHED = f"""
+    SELECT f.organisation_id, f.animal_id, f.datetime, spike, round(temp_filtered + 1e-9, 6) AS temp_filtered, annotation
+    FROM filtered f JOIN (
+        SELECT organisation_id, animal_id, datetime,
+               CASE WHEN rn - max(CASE WHEN falling THEN rn END) OVER ({A}) < 720 THEN 0 ELSE raw END AS annotation
+        FROM (SELECT *, row_number() OVER ({A}) AS rn, raw = 0 AND lag(raw) OVER ({A}) = 1 AS falling FROM long_flagged)) d
+    USING (organisation_id, animal_id, datetime)"""
+
+
+def refreshed(part):
+    """The temperature filter and the debounced label of series."""
+    return labels.debounce(features.filter_temperature(part, keep_statistics=True).withColumn("raw", (F.col("act") > 180).cast("int")))
+
+
+@query("a11_refresh_features", sql(_REFRESHED, **_TEMPERATURE))
+def _(spark, sf):
+    rows = R.readings(spark, sf).withColumn("animal_id", F.col("organisation_id")).drop("group_id")
+    # Late readings of the 5th and 6th, and those from the 21st on, come after the others.
+    late = F.dayofmonth("datetime").isin(5, 6) | (F.dayofmonth("datetime") > 20)
+    store = refresh.SeriesStore(spark, fresh_path(spark, "store"), refreshed, before=720, after=160, order=["event_id"], days=1)
+    store.refresh(rows.where(~late))
+    store.refresh(rows.where(late))
+    return _keyed(store.table(), "spike", six("temp_filtered").alias("temp_filtered"), "annotation")
+
+
 _HEAT = f"""
     SELECT organisation_id, animal_id, datetime, act, act_group_mean,
            sum(act - act_group_mean) OVER ({A} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS heat_feature
@@ -419,6 +445,17 @@ def _(spark, sf):
     return scaler.select(*[six(name).alias(name) for name in scaler.columns])
 
 
+@query("d4_partial_fit", sql("SELECT " + ", ".join(
+    f"round({f}({c}) + 1e-9, 6) AS {c}_{m}" for c in ("act", "temp") for m, f in (("mean", "avg"), ("std", "stddev_pop"))) + " FROM readings"))
+def _(spark, sf):
+    path = fresh_path(spark, "scaler")
+    rows = R.readings(spark, sf)
+    for organisation in ("0", "1"):
+        scaling.partial_fit(rows.where(F.col("organisation_id") == organisation), path, ("act", "temp"))
+    scaler = scaling.fitted(spark, path, ("act", "temp"))
+    return scaler.select(*[six(name).alias(name) for name in scaler.columns])
+
+
 @query("h1_scale", sql("SELECT organisation_id, animal_id, datetime, " + ", ".join(
     f"round((t.{c} - s.{c}_mean) / s.{c}_std + 1e-9, 4) AS {c}" for c in scaling.NUMERIC) + " FROM feature_table t CROSS JOIN scaler s", **_TABLE))
 def _(spark, sf):

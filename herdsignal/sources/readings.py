@@ -150,3 +150,44 @@ def in_segments(
     return readings.where(inside).withColumn(
         "segment", F.explode(F.sequence(F.least(lowest, count - 1), highest))
     )
+
+
+#: Levels of the cells that cover intervals are a multiple of this apart, so that a reading lies in few of them.
+LEVEL_STEP = 2
+#: Cells longer than this many days are dealt to as many parts, so that a long series is no single task.
+LONG_CELL_DAYS, CELL_PARTS = 32, 8
+
+
+def in_intervals(
+    readings: DataFrame,
+    intervals: DataFrame,
+    keys: Sequence[str] = ANIMAL,
+    first: str = "first",
+    last: str = "last",
+    time: str = "datetime",
+) -> DataFrame:
+    """Each reading once per interval of its key that holds it, both ends included, with the interval's columns.
+
+    Intervals of a key may be of any length and overlap as they like. An interval is covered by at most ten cells of
+    the calendar whose length is a power of two of microseconds, four to eight times shorter than itself (sixteen
+    with ``LEVEL_STEP``); a reading lies in one cell of each level that occurs, and both meet by an equality join on
+    key, level and cell. Readings and intervals without times, and intervals that end before they begin, give nothing.
+    Columns of the intervals other than keys must have names of their own.
+    """
+    begin, end = T.to_micros(F.col(first)), T.to_micros(F.col(last))
+    sized = intervals.withColumns({"_begin": begin, "_end": end}).where(F.col("_end") >= F.col("_begin"))
+    # The length's bits, less two, rounded down to a level.
+    bits = F.length(F.bin(F.col("_end") - F.col("_begin")))
+    level = F.greatest(F.floor((bits - 2) / LEVEL_STEP) * LEVEL_STEP, F.lit(0)).cast("int")
+    placed = sized.withColumn("_level", level)
+    levels = sorted(row["_level"] for row in placed.select("_level").distinct().collect())  # at most 32
+    cell = lambda micros: F.expr(f"shiftright({micros}, _level)")
+    long = F.col("_level") >= (LONG_CELL_DAYS * MICROS_PER_DAY).bit_length() - 1
+    cells = placed.withColumn("_cell", F.explode(F.sequence(cell("_begin"), cell("_end"))))
+    parts = F.when(long, F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    cells = cells.withColumn("_part", F.explode(parts))
+    asked = readings.withColumn("_at", T.to_micros(F.col(time))).where(F.col("_at").isNotNull())
+    asked = asked.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    asked = asked.withColumn("_cell", cell("_at")).withColumn("_part", F.when(long, F.pmod(F.xxhash64("_at"), F.lit(CELL_PARTS))).otherwise(0).cast("int"))
+    joined = asked.join(cells, [*keys, "_level", "_cell", "_part"])
+    return joined.where((F.col("_at") >= F.col("_begin")) & (F.col("_at") <= F.col("_end"))).drop("_level", "_cell", "_part", "_at", "_begin", "_end")
