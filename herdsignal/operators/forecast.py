@@ -1,10 +1,10 @@
 """ARMA(1,1) with constant for every series, by two regressions (Hannan and Rissanen, 1982).
 
-The regressions need only sums of products, which Spark adds up per series before the shuffle; one
-small system per series is solved from them. The
-recursion ``e_t = u_t - theta * e_{t-1}`` forgets its start at the rate ``theta``: with a theta of at most
-``MAX_THETA`` it has lost it to below double precision after ``MEMORY_ROWS`` rows. So blocks of a series
-that begin that many rows early give the residuals of the whole series.
+The regressions need only sums of products, which Spark adds up per series before the shuffle; one small system per
+series is solved from them. The recursion ``e_t = u_t - theta * e_{t-1}`` is a scan of affine maps: a block of rows is
+one map of the residual before it, the maps of a series' blocks are put together in order (one row per block), and the
+residual before a block then reaches its rows by a power of theta. So no block needs the rows of another one, whatever
+theta is, and predictions are exact for any theta of at most 1 in size.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F, types as T
 
 from herdsignal.operators.series import ANIMAL, BLOCK, number_rows, rolling
+from herdsignal.session import cut
 
 LONG_ORDER = 4
-MAX_THETA = 0.99
-MEMORY_ROWS = 4096
+MAX_THETA = 1.0
 
 
 def _gram(names: Sequence[str], complete: Column) -> Column:
@@ -100,25 +100,67 @@ def arma11(
         F.col("_fit")[2].alias("theta"),
         (F.abs(F.col("_fit")[2]) <= MAX_THETA).alias("invertible"),
     )
-    expected = F.when(F.col("_t") == 0, F.col("_mean")).otherwise(F.col("constant") + F.col("phi") * F.col("_x1"))
-    shocks = (
-        lagged.join(fit, list(keys))
-        .withColumn("_u", F.when(F.col("invertible"), F.col(column) - expected))
-        .drop("_mean", *lags)
-    )
+    rows = lagged.select(*df.columns, "_t", "_x1").join(fit, list(keys))
+    return _predicted(rows, column, keys, block_rows)
 
-    def predict(part: DataFrame, window: WindowSpec) -> DataFrame:
-        schema = T.StructType([*part.schema.fields, T.StructField("prediction", T.DoubleType())])
 
-        def run(block: pd.DataFrame) -> pd.DataFrame:
-            block = block.sort_values("_t")
-            residuals = _residuals(block["_u"].to_numpy(dtype=float), -block["theta"].iloc[0])
-            return block.assign(prediction=block[column].to_numpy(dtype=float) - residuals)
+def predict(
+    df: DataFrame,
+    coefficients: DataFrame,
+    column: str = "act",
+    keys: Sequence[str] = ANIMAL,
+    time: str = "datetime",
+    ties: Sequence[str] = (),
+    block_rows: int = 16384,
+    bucket_days: int = 7,
+) -> DataFrame:
+    """``arma11`` with given ``coefficients`` (keys, constant, phi, theta); series without any are left out."""
+    known = df.where(F.col(column).isNotNull())
+    numbered = number_rows(known, keys, time, ties, "_t", "_t_total", bucket_days)
 
-        return part.groupBy(*keys, BLOCK).applyInPandas(run, schema)
+    def add_lag(part: DataFrame, window: WindowSpec) -> DataFrame:
+        return part.withColumn("_x1", F.lag(column).over(window))
 
-    fitted = rolling(shocks, predict, MEMORY_ROWS, 0, keys, time, row="_t", block_rows=block_rows)
-    return fitted.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double"))).drop("_u", "_t", "_t_total")
+    lagged = rolling(numbered, add_lag, 1, 0, keys, time, row="_t", block_rows=block_rows)
+    means = known.groupBy(*keys).agg(F.avg(column).alias("_mean"))
+    fit = coefficients.select(*keys, "constant", "phi", "theta", (F.abs("theta") <= MAX_THETA).alias("invertible"))
+    return _predicted(lagged.drop("_t_total").join(fit.join(means, list(keys)), list(keys)), column, keys, block_rows)
+
+
+def _predicted(rows: DataFrame, column: str, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Predictions from rows with ``_t``, ``_x1``, ``_mean`` and coefficients."""
+    expected = F.when(F.col("_t") == 0, F.col("_mean")).otherwise(F.col("constant") + F.col("phi") * F.col("_x1"))
+    shocks = rows.withColumn("_u", F.when(F.col("invertible"), F.col(column) - expected)).drop("_mean", "_x1")
+    blocks = shocks.withColumn(BLOCK, F.floor(F.col("_t") / block_rows))
+    schema = T.StructType([*blocks.schema.fields, T.StructField("_e", T.DoubleType())])
+
+    def within(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_t")
+        return block.assign(_e=_residuals(block["_u"].to_numpy(dtype=float), -block["theta"].iloc[0]))
+
+    local = cut(blocks.groupBy(*keys, BLOCK).applyInPandas(within, schema), "residuals")
+    # A block's map: the residual before it times (-theta) ** rows, plus its own last residual. One row per block.
+    last = local.groupBy(*keys, BLOCK).agg(
+        F.pow(-F.first("theta"), F.count(F.lit(1)).cast("double")).alias("a"), F.max_by("_e", "_t").alias("b")
+    )
+    ordered = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(BLOCK, "a", "b"))).alias("_maps"))
+    carried = ordered.select(*keys, F.inline(F.arrays_zip(F.col(f"_maps.{BLOCK}").alias(BLOCK), _carried("_maps.a", "_maps.b").alias("_in"))))
+    reached = F.col("_e") + F.pow(-F.col("theta"), (F.col("_t") % block_rows + 1).cast("double")) * F.col("_in")
+    fitted = local.join(carried, [*keys, BLOCK]).withColumn("prediction", F.col(column) - reached)
+    return fitted.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double"))).drop("_u", "_t", "_t_total", "_e", "_in", BLOCK)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _carried(a: pd.Series, b: pd.Series) -> pd.Series:
+    """What each block of a series begins with, from the maps of those before it."""
+    out = []
+    for factors, rests in zip(a, b, strict=True):
+        value, before = 0.0, []
+        for factor, rest in zip(factors, rests, strict=True):
+            before.append(value)
+            value = np.nan if factor is None or rest is None else factor * value + rest
+        out.append(before)
+    return pd.Series(out, dtype=object)
 
 
 def _residuals(shocks: np.ndarray, factor: float) -> np.ndarray:

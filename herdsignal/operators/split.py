@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from herdsignal.functions.time import to_micros
 from herdsignal.operators.series import ANIMAL
 
 # Test share and seed.
 TEST_SHARE = 0.33
 SEED = 42
 
-_BUCKETS = 4096
+
+
+def key_hash(keys: Sequence[str], seed: int, times: Sequence[str] = ()) -> Column:
+    """60 bits of the MD5 of the seed and the keys as text, parted by ``|``; ``times`` count in microseconds."""
+    parts = [to_micros(F.col(k)).cast("string") if k in times else F.col(k).cast("string") for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def split_by_key(
@@ -20,12 +27,12 @@ def split_by_key(
 ) -> DataFrame:
     """Distinct keys with ``train`` or ``test``: exactly ``ceil(share * n)`` keys are for testing.
 
-    Keys are ranked by a seeded hash. The rank comes from the sizes of a fixed number of hash buckets
+    Keys are ranked by a seeded hash that other engines have too. The rank comes from the sizes of a fixed number of hash buckets
     and the rank within a bucket, so no task sees all keys.
     """
     unique = df.select(*keys).distinct()
-    hashed = unique.withColumn("_hash", F.xxhash64(F.lit(seed), *keys))
-    bucketed = hashed.withColumn("_bucket", F.shiftright(F.col("_hash"), 52))
+    hashed = unique.withColumn("_hash", key_hash(keys, seed))
+    bucketed = hashed.withColumn("_bucket", F.shiftright(F.col("_hash"), 48))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -50,5 +57,6 @@ def split_rows(
     name: str = "split",
 ) -> DataFrame:
     """Assign each row by a seeded hash of its key; the same row always falls on the same side."""
-    place = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000))
+    times = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
+    place = key_hash(keys, seed, times) % 1_000_000
     return df.withColumn(name, F.when(place < int(share * 1_000_000), "test").otherwise("train"))

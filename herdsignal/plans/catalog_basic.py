@@ -214,11 +214,10 @@ def _(spark, sf):
 
 @query("a11_only_new", sql("""
     SELECT organisation_id, animal_id, c_mktsegment FROM animals
-    WHERE organisation_id NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_acctbal > 5000)"""))
+    WHERE animal_id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)"""))
 def _(spark, sf):
-    stored = R.table(spark, sf, "supplier").where("s_acctbal > 5000")
-    stored = stored.select(F.col("s_nationkey").cast("string").alias("organisation_id"))
-    return tables.only_new(R.animals(spark, sf), stored, ["organisation_id"]).select(*ANIMAL, "c_mktsegment")
+    stored = R.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("animal_id"))
+    return tables.only_new(R.animals(spark, sf), stored, ["animal_id"]).select(*ANIMAL, "c_mktsegment")
 
 
 @query("a11_incomplete_animals", sql("""
@@ -681,7 +680,11 @@ def _(spark, sf):
     return R.animals(spark, sf).select("animal_id").subtract(R.herd(spark, sf).select("animal_id"))
 
 
-@query("h3_row_split")
+@query("h3_row_split", sql("""
+    SELECT organisation_id, animal_id, datetime, act,
+           CASE WHEN CAST('0x' || substr(md5('42|' || organisation_id || '|' || animal_id || '|' || epoch_us(datetime)), 1, 15) AS BIGINT) % 1000000 < 330000
+                THEN 'test' ELSE 'train' END AS split
+    FROM readings"""))
 def _(spark, sf):
     return split.split_rows(R.readings(spark, sf).select(*ANIMAL, "datetime", "act"))
 

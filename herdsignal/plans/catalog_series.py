@@ -129,7 +129,7 @@ def _(spark, sf):
 
 @query("e9_pairwise_cycle_gaps", sql("""
     SELECT DISTINCT a.organisation_id, a.animal_id, a.cycle_no, a.event_ts
-    FROM lifecycle_events a JOIN lifecycle_events b ON a.cycle_no = b.cycle_no
+    FROM lifecycle_events a JOIN lifecycle_events b ON a.organisation_id = b.organisation_id AND a.animal_id = b.animal_id AND a.cycle_no = b.cycle_no
      AND b.event_ts BETWEEN a.event_ts + INTERVAL 18 DAYS AND a.event_ts + INTERVAL 24 DAYS
     WHERE a.event_type IN ('heat', 'insemination') AND b.event_type IN ('heat', 'insemination')"""))
 def _(spark, sf):
@@ -207,17 +207,16 @@ def _(spark, sf):
 @query("c4_days_in_milk", sql("""
     SELECT g.organisation_id, g.animal_id, g.datetime, CAST(date_diff('day', c.day, CAST(g.datetime AS DATE)) AS DOUBLE) AS DIM
     FROM grid g ASOF LEFT JOIN (
-        SELECT DISTINCT organisation_id, animal_id, CAST(event_ts AS DATE) AS day
-        FROM lifecycle_events WHERE event_type = 'calving_confirmation') c
+        SELECT DISTINCT organisation_id, animal_id, CAST(event_ts AS DATE) AS day FROM births) c
       ON g.organisation_id = c.organisation_id AND g.animal_id = c.animal_id AND CAST(g.datetime AS DATE) >= c.day"""))
 def _(spark, sf):
-    births = ev.calvings(R.lifecycle_events(spark, sf))
+    births = ev.calvings(R.lifecycle_events(spark, sf), R.cycles(spark, sf))
     return _keyed(features.days_in_milk(R.grid(spark, sf), births), F.col("DIM").cast("double"))
 
 
 _CYCLIC = """
     SELECT DISTINCT a.organisation_id, a.animal_id, a.event_ts
-    FROM lifecycle_events a JOIN lifecycle_events b ON a.cycle_no = b.cycle_no
+    FROM lifecycle_events a JOIN lifecycle_events b ON a.organisation_id = b.organisation_id AND a.animal_id = b.animal_id AND a.cycle_no = b.cycle_no
      AND (b.event_ts BETWEEN a.event_ts + INTERVAL 18 DAYS AND a.event_ts + INTERVAL 24 DAYS
           OR a.event_ts BETWEEN b.event_ts + INTERVAL 18 DAYS AND b.event_ts + INTERVAL 24 DAYS)
     WHERE a.event_type IN ('heat', 'insemination') AND b.event_type IN ('heat', 'insemination')"""
@@ -226,9 +225,9 @@ _PREGNANT = """
     SELECT DISTINCT organisation_id, animal_id, insemination_date AS event_ts FROM lifecycle_events
     WHERE event_type = 'pregnancy_result' AND insemination_date IS NOT NULL
     UNION
-    SELECT a.organisation_id, a.animal_id, a.event_ts FROM lifecycle_events a JOIN lifecycle_events b ON a.cycle_no = b.cycle_no
+    SELECT a.organisation_id, a.animal_id, a.event_ts FROM lifecycle_events a JOIN births b ON a.organisation_id = b.organisation_id AND a.animal_id = b.animal_id AND a.cycle_no = b.cycle_no
        AND b.event_ts BETWEEN a.event_ts + INTERVAL 270 DAYS AND a.event_ts + INTERVAL 290 DAYS
-    WHERE a.event_type IN ('heat', 'insemination') AND b.event_type = 'calving_confirmation'"""
+    WHERE a.event_type IN ('heat', 'insemination')"""
 _DELETED = "SELECT organisation_id, animal_id, event_ts FROM detections EXCEPT ALL SELECT organisation_id, animal_id, event_ts FROM daily_heats"
 _SETS = {"cyclic": _CYCLIC, "inseminated": _INSEMINATED, "pregnant": _PREGNANT, "deleted": _DELETED}
 
@@ -286,13 +285,18 @@ def _(spark, sf):
 
 @query("c8_pregnant_events", sql("""
     SELECT DISTINCT a.organisation_id, a.animal_id, a.event_ts
-    FROM order_events a JOIN order_events b ON a.cycle_no = b.cycle_no
+    FROM order_events a JOIN order_events b ON a.organisation_id = b.organisation_id AND a.animal_id = b.animal_id AND a.cycle_no = b.cycle_no
      AND b.event_ts BETWEEN a.event_ts + INTERVAL 270 DAYS AND a.event_ts + INTERVAL 290 DAYS
     WHERE a.event_type IN ('heat', 'insemination') AND b.event_type = 'calving_confirmation'"""))
 def _(spark, sf):
     return ev.pregnant_events(R.order_events(spark, sf))
 
 
+@query("c8_pregnant_by_cycles", sql("SELECT * FROM pregnant_events", pregnant_events=_PREGNANT))
+def _(spark, sf):
+    return ev.pregnant_events(R.lifecycle_events(spark, sf), R.cycles(spark, sf))
+
+
 @query("c9_attach_by_key", sql(f"""
     SELECT organisation_id, animal_id, coalesce(g.datetime, f.datetime) AS datetime, g.act, f.change
     FROM grid6h g FULL JOIN
@@ -323,7 +327,7 @@ def _sets(spark, sf):
     return {
         "cyclic": ev.cyclic_events(events),
         "inseminated": ev.inseminations(events),
-        "pregnant": ev.pregnant_events(events),
+        "pregnant": ev.pregnant_events(events, R.cycles(spark, sf)),
         "deleted": ev.deleted_events(R.detections(spark, sf), R.daily_heats(spark, sf)),
     }
 
@@ -389,8 +393,7 @@ _TABLE = {
     "dated": """
         SELECT g.*, CAST(date_diff('day', c.day, CAST(g.datetime AS DATE)) AS DOUBLE) AS DIM
         FROM labelled g ASOF LEFT JOIN (
-            SELECT DISTINCT organisation_id, animal_id, CAST(event_ts AS DATE) AS day
-            FROM lifecycle_events WHERE event_type = 'calving_confirmation') c
+            SELECT DISTINCT organisation_id, animal_id, CAST(event_ts AS DATE) AS day FROM births) c
           ON g.organisation_id = c.organisation_id AND g.animal_id = c.animal_id AND CAST(g.datetime AS DATE) >= c.day""",
     "statistics": _STATISTICS.replace("FROM grid", "FROM dated"),
     "pass1": _PASS1,
@@ -422,6 +425,7 @@ def feature_table(spark, sf, settings=SETTINGS):
         R.herd(spark, sf),
         R.lifecycle_events(spark, sf),
         still_detected,
+        R.cycles(spark, sf),
         settings=settings,
     )
 
@@ -533,6 +537,15 @@ def _(spark, sf):
     return split.split_by_key(R.herd(spark, sf)).groupBy("split").agg(F.count(F.lit(1)).alias("animals"))
 
 
+@query("h2_split_members", sql("""
+    SELECT organisation_id, animal_id, CASE WHEN place <= ceil(CAST(0.33 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM (
+        SELECT organisation_id, animal_id, count(*) OVER () AS n,
+               row_number() OVER (ORDER BY CAST('0x' || substr(md5('42|' || organisation_id || '|' || animal_id), 1, 15) AS BIGINT), organisation_id, animal_id) AS place
+        FROM herd)"""))
+def _(spark, sf):
+    return split.split_by_key(R.herd(spark, sf))
+
+
 @query("h4_pad_sequences", sql(f"""
     SELECT CAST(batch AS BIGINT) AS batch, organisation_id, animal_id, length, max(length) OVER (PARTITION BY batch) AS padded_length,
            CAST(max(length) OVER (PARTITION BY batch) - length AS BIGINT) AS padding, round(total + 1e-9, 3) AS act_sum
@@ -644,3 +657,29 @@ def _(spark, sf):
 def _(spark, sf):
     fitted = forecast.arma11(_keyed(R.grid(spark, sf), "act"))
     return _keyed(fitted, "act", "constant", "phi", "theta", "invertible", "prediction")
+
+
+# Coefficients of the animals by turns: the recursion forgets fast, not at all, or changes its sign for ever.
+_THETAS = (0.4, 1.0, -1.0)
+
+
+@query("h11_arma_predict", f"""
+    WITH RECURSIVE {sql("SELECT 1 FROM grid").removeprefix("WITH ").removesuffix("SELECT 1 FROM grid").rstrip()},
+    known AS (
+        SELECT organisation_id, animal_id, datetime, act, row_number() OVER ({A}) AS t,
+               avg(act) OVER (PARTITION BY organisation_id, animal_id) AS mean,
+               [{", ".join(f"CAST({v} AS DOUBLE)" for v in _THETAS)}][CAST(animal_id AS INTEGER) % 3 + 1] AS theta
+        FROM grid WHERE act IS NOT NULL),
+    run AS (
+        SELECT organisation_id, animal_id, datetime, act, t, mean AS prediction, act - mean AS e FROM known WHERE t = 1
+        UNION ALL
+        SELECT k.organisation_id, k.animal_id, k.datetime, k.act, k.t, CAST(2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * r.act + k.theta * r.e,
+               k.act - (CAST(2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * r.act + k.theta * r.e)
+        FROM run r JOIN known k ON k.organisation_id = r.organisation_id AND k.animal_id = r.animal_id AND k.t = r.t + 1)
+    SELECT organisation_id, animal_id, datetime, round(prediction + 1e-9, 5) AS prediction FROM run""")
+def _(spark, sf):
+    rows = _keyed(R.grid(spark, sf), "act")
+    theta = F.element_at(F.array(*[F.lit(v) for v in _THETAS]), F.col("animal_id").cast("int") % 3 + 1)
+    given = rows.select(*ANIMAL).distinct().select(*ANIMAL, F.lit(2.0).alias("constant"), F.lit(0.5).alias("phi"), theta.alias("theta"))
+    predicted = forecast.predict(rows, given, block_rows=16)
+    return _keyed(predicted, F.round(F.col("prediction") + F.lit(1e-9), 5).alias("prediction"))

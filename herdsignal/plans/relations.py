@@ -72,7 +72,7 @@ def lifecycle_events(spark: SparkSession, folder: str) -> DataFrame:
     inseminated_at = F.col("ts") - F.make_dt_interval(hours=_k())
     return events.select(
         *_animal(),
-        F.col("user_id").alias("cycle_no"),
+        (_k() % 2).alias("cycle_no"),
         F.col("ts").alias("event_ts"),
         renamed.alias("event_type"),
         F.when(kind == "click", inseminated_at).alias("insemination_date"),
@@ -80,6 +80,16 @@ def lifecycle_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Two cycles per animal: the first begins with a calving near its events, the second one's comes long after them."""
+    events = lifecycle_events(spark, folder)
+    days = F.when(F.col("cycle_no") == 0, 2).otherwise(280)
+    began = events.groupBy("organisation_id", "animal_id", "cycle_no").agg(F.min("event_ts").alias("began"))
+    return began.select(
+        "organisation_id", "animal_id", "cycle_no", (F.col("began") + F.make_dt_interval(days=days)).alias("last_calving_date")
+    )
+
+
 def detections(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").where(F.col("event_type") == "error")
     return events.select(
@@ -105,7 +115,7 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         (F.col("o_custkey") % 2).cast("string").alias("organisation_id"),
         F.col("o_custkey").cast("string").alias("animal_id"),
-        F.col("o_custkey").alias("cycle_no"),
+        (F.col("o_orderkey") % 2).cast("int").alias("cycle_no"),
         F.col("o_orderdate").alias("event_ts"),
         kind.alias("event_type"),
     )
@@ -219,12 +229,18 @@ RELATIONS = {
     "long_flagged": "SELECT *, CAST(act > 180 AS INTEGER) AS raw FROM long_series",
     "lifecycle_events": r"""
         SELECT CAST(user_id % 2 AS VARCHAR) AS organisation_id, CAST(user_id AS VARCHAR) AS animal_id,
-               user_id AS cycle_no, ts AS event_ts,
+               CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) % 2 AS cycle_no, ts AS event_ts,
                CASE event_type WHEN 'purchase' THEN 'heat' WHEN 'signup' THEN 'insemination'
                     WHEN 'click' THEN 'pregnancy_result' ELSE 'calving_confirmation' END AS event_type,
                CASE WHEN event_type = 'click'
                     THEN ts - to_hours(CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER)) END AS insemination_date
         FROM events WHERE event_type <> 'error'""",
+    "cycles": """
+        SELECT organisation_id, animal_id, cycle_no, min(event_ts) + to_days(CASE WHEN cycle_no = 0 THEN 2 ELSE 280 END) AS last_calving_date
+        FROM lifecycle_events GROUP BY organisation_id, animal_id, cycle_no""",
+    "births": """
+        SELECT organisation_id, animal_id, cycle_no, event_ts FROM lifecycle_events WHERE event_type = 'calving_confirmation'
+        UNION ALL SELECT organisation_id, animal_id, cycle_no, last_calving_date FROM cycles""",
     "detections": """
         SELECT CAST(user_id % 2 AS VARCHAR) AS organisation_id, CAST(user_id AS VARCHAR) AS animal_id,
                CAST(date_trunc('day', ts) AS TIMESTAMP) AS event_ts
@@ -235,7 +251,7 @@ RELATIONS = {
         FROM events WHERE event_type = 'purchase'""",
     "order_events": """
         SELECT CAST(o_custkey % 2 AS VARCHAR) AS organisation_id, CAST(o_custkey AS VARCHAR) AS animal_id,
-               o_custkey AS cycle_no, o_orderdate AS event_ts,
+               CAST(o_orderkey % 2 AS INTEGER) AS cycle_no, o_orderdate AS event_ts,
                CASE o_orderstatus WHEN 'F' THEN 'calving_confirmation' WHEN 'O' THEN 'insemination'
                     ELSE 'heat' END AS event_type
         FROM orders""",
