@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from herdsignal.operators.series import ANIMAL, BLOCK, number_rows, packed, rank_all, rolling
 
@@ -157,3 +159,39 @@ def training_matrix(df: DataFrame, keys: Sequence[str] = ANIMAL, time: str = "da
     """Label and features as float32 in their fixed order, without incomplete rows."""
     complete = df.na.drop(subset=list(MATRIX))
     return complete.select(*keys, time, *[F.col(name).cast("float").alias(name) for name in MATRIX])
+
+
+#: Steps of the permutation of an epoch, and the most walks back into the range of the rows.
+STEPS, WALKS = 8, 64
+
+
+def epoch_keys(seed: int, epoch: int) -> list[int]:
+    """A number below a million for each step of the permutation, odd and even steps told apart by their last bit."""
+    drawn = [int(hashlib.md5(f"{seed}|{epoch}|{i}".encode()).hexdigest()[:8], 16) % 500_000 for i in range(STEPS)]
+    return [2 * k + i % 2 for i, k in enumerate(drawn)]
+
+
+def epoch_place(row: str, rows: int, seed: int = 42, epoch: int = 0) -> Column:
+    """The place of row number ``row`` (0 to ``rows`` - 1) in the shuffled order of an epoch: a bijection, without a sort.
+
+    A Feistel network over pairs (number div width, number mod width): in turns one half is moved by a function of the
+    other, within its own range, which can be undone whatever the function. The pairs are hardly more than the rows;
+    a place beyond the last row goes through the network again. Any partitioning gives the same places.
+    """
+    height = math.isqrt(max(rows - 1, 0)) + 1
+    width = -(-rows // height)
+    keys = "array(" + ", ".join(f"{k}L" for k in epoch_keys(seed, epoch)) + ")"
+    mix = lambda x: f"((({x} % 1000003 + k) * ({x} % 1000003 + k)) % 999983 * 31 + {x} div 7)"
+    high, low = f"(v div {width}L)", f"(v % {width}L)"
+    moved_high = f"(({high} + {mix(low)}) % {height}L) * {width}L + {low}"
+    moved_low = f"{high} * {width}L + ({low} + {mix(high)}) % {width}L"
+    step = f"if(k % 2 = 0, {moved_high}, {moved_low})"
+    network = lambda x: f"aggregate({keys}, {x}, (v, k) -> {step})"
+    walk = f"aggregate(sequence(1, {WALKS}), {network(f'cast(`{row}` as bigint)')}, (p, i) -> if(p < {rows}L, p, {network('p')}))"
+    return F.expr(walk)
+
+
+def epoch_batches(df: DataFrame, rows: int, batch_rows: int, seed: int = 42, epoch: int = 0, row: str = "row_id") -> DataFrame:
+    """``df``, whose ``row`` counts from 0 to ``rows`` - 1, with the batch and the place in it of each row in an epoch."""
+    placed = df.withColumn("_place", epoch_place(row, rows, seed, epoch))
+    return placed.withColumns({"batch": F.expr(f"_place div {batch_rows}"), "place": F.expr(f"_place % {batch_rows}")}).drop("_place")

@@ -214,9 +214,9 @@ def _(spark, sf):
 
 @query("a11_only_new", sql("""
     SELECT organisation_id, animal_id, c_mktsegment FROM animals
-    WHERE animal_id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)"""))
+    WHERE animal_id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)"""))
 def _(spark, sf):
-    stored = R.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("animal_id"))
+    stored = R.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("animal_id"))
     return tables.only_new(R.animals(spark, sf), stored, ["animal_id"]).select(*ANIMAL, "c_mktsegment")
 
 

@@ -562,6 +562,32 @@ def _(spark, sf):
     )
 
 
+def _epoch_sql(seed: int, epoch: int) -> str:
+    """The places of an epoch by DuckDB's integer arithmetic; height and width follow from the number of rows."""
+    keys = "[" + ", ".join(f"CAST({k} AS BIGINT)" for k in sequences.epoch_keys(seed, epoch)) + "]"
+    mix = lambda x: f"((({x} % 1000003 + k) * ({x} % 1000003 + k)) % 999983 * 31 + {x} // 7)"
+    step = f"CASE WHEN k % 2 = 0 THEN ((v // w + {mix('(v % w)')}) % h) * w + v % w ELSE (v // w) * w + (v % w + {mix('(v // w)')}) % w END"
+    once = lambda x: f"list_reduce([{x}] || {keys}, lambda v, k: {step})"
+    return f"""
+        WITH RECURSIVE walked AS (
+            SELECT row_id, h, w, n, {once("row_id")} AS p FROM sized
+            UNION ALL SELECT row_id, h, w, n, {once("p")} FROM walked WHERE p >= n)
+        SELECT row_id, p FROM walked WHERE p < n"""
+
+
+@query("h4_epoch_batches", sql("""
+    SELECT r.organisation_id, r.animal_id, r.datetime, p // 256 AS batch, p % 256 AS place
+    FROM numbered r JOIN epoch USING (row_id)""",
+    numbered="SELECT *, row_number() OVER (ORDER BY organisation_id, animal_id, datetime) - 1 AS row_id FROM flagged",
+    heights="SELECT *, count(*) OVER () AS n, CAST(floor(sqrt(count(*) OVER () - 1)) AS BIGINT) + 1 AS h FROM numbered",
+    sized="SELECT row_id, n, h, (n + h - 1) // h AS w FROM heights",
+    epoch=_epoch_sql(42, 3)))
+def _(spark, sf):
+    numbered = cut(series.rank_all(R.flagged(spark, sf).select(*ANIMAL, "datetime"), [*ANIMAL, "datetime"], "row_id"))
+    shuffled = sequences.epoch_batches(numbered, numbered.count(), 256, seed=42, epoch=3)
+    return _keyed(shuffled, "batch", "place")
+
+
 LAGS = 6
 
 

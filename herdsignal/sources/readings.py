@@ -10,6 +10,7 @@ from herdsignal.functions import names, time as T
 from herdsignal.functions.numbers import no_nan
 from herdsignal.functions.time import MICROS_PER_DAY
 from herdsignal.operators.clean import dedup_first
+from herdsignal.operators.joins import organisation_of
 from herdsignal.operators.series import ANIMAL
 
 # Columns of a sensor file, keys of the feature table, segment lengths, default span.
@@ -62,9 +63,8 @@ def read_sensor_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def consolidate(csv: DataFrame, animals: DataFrame) -> DataFrame:
-    """Attach the organisation, merge the chunks and keep the first reading of each time."""
-    placed = csv.join(animals.select("animal_id", "organisation_id"), "animal_id", "left")
-    return dedup_first(placed, ["chunk", "act", "temp"]).drop("chunk")
+    """Attach the organisation (one per animal), merge the chunks and keep the first reading of each time."""
+    return dedup_first(organisation_of(csv, animals), ["chunk", "act", "temp"]).drop("chunk")
 
 
 def readings_between(

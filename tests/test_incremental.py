@@ -206,3 +206,16 @@ def test_scaler_states_merge(spark):
     for name in ("act_mean", "act_std", "temp_mean", "temp_std"):
         assert got[name] == pytest.approx(want[name], rel=1e-12, abs=0) or name == "act_std" and abs(got[name] - np.std(values)) < 1e-9
     assert got["none_mean"] is None and got["none_std"] is None
+
+
+def test_epoch_order_is_a_bijection(spark):
+    from herdsignal.operators import sequences
+
+    for rows in (1, 2, 3, 7, 10, 97, 4097):
+        ids = spark.range(rows, numPartitions=3).withColumnRenamed("id", "row_id")
+        places = [[r[0] for r in ids.orderBy("row_id").select(sequences.epoch_place("row_id", rows, epoch=e)).collect()] for e in (0, 1)]
+        assert all(sorted(p) == list(range(rows)) for p in places)
+        if rows > 90:
+            assert places[0] != places[1] and sum(p == i for i, p in enumerate(places[0])) < 10
+            moves = {(b - a) % rows for a, b in zip(places[0], places[0][1:], strict=False)}
+            assert len(moves) > rows // 4  # neighbours do not stay at a fixed distance
