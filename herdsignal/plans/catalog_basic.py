@@ -16,7 +16,7 @@ from herdsignal.plans import relations as R
 from herdsignal.plans.registry import query, six
 from herdsignal.plans.relations import sql
 from herdsignal.session import fresh_path
-from herdsignal.sources import documents, readings as SR, tables
+from herdsignal.sources import documents, quarantine, readings as SR, tables
 from herdsignal.streaming.ingest import ingest_new_files
 
 ROWS = ["organisation_id", "animal_id", "datetime", "act", "temp"]
@@ -283,6 +283,47 @@ def _(spark, sf):
     return clean.split_unreadable(clean.repair_time(_time_texts(spark, sf)))[1].select("event_id", "ts")
 
 
+def _with_broken_files(spark, sf) -> str:
+    """Stored readings; beside the first file of each organisation lie a copy cut in half and one with a hole of zeros."""
+    path = _stored(spark, sf)
+    listed = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup=True).load(path)
+    firsts = listed.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(F.min("path").alias("path"))
+
+    def spoil(parts):
+        for part in parts:
+            for folder, file in zip(part["folder"], part["path"]):
+                for name in ("cut", "damaged"):
+                    system, source = quarantine.open_at(file)
+                    _, target = quarantine.open_at(f"{folder}/{name}.parquet")
+                    size = system.get_file_info(source).size
+                    with system.open_input_stream(source, compression=None) as whole, system.open_output_stream(target, compression=None) as out:
+                        out.write(whole.read(size // 4))
+                        if name == "damaged":
+                            out.write(bytes(len(whole.read(size // 4))))
+                            while piece := whole.read(1 << 20):
+                                out.write(piece)
+            yield part[["path"]]
+
+    firsts.mapInPandas(spoil, "path string").count()
+    return path
+
+
+_STORED = "organisation_id string, animal_id string, datetime timestamp_ntz, act double, temp double"
+
+
+@query("b3_intact_files", sql("SELECT organisation_id, animal_id, datetime, act, temp FROM readings"))
+def _(spark, sf):
+    return quarantine.read_parquet(spark, _with_broken_files(spark, sf), _STORED)[0].select(*ROWS)
+
+
+@query("b3_unreadable_files", sql("""
+    SELECT DISTINCT 'organisation_id=' || organisation_id || '/' || name AS file
+    FROM readings, (VALUES ('cut.parquet'), ('damaged.parquet')) AS broken(name)"""))
+def _(spark, sf):
+    failures = quarantine.read_parquet(spark, _with_broken_files(spark, sf), _STORED)[1]
+    return failures.select(F.regexp_extract("path", "([^/]*/[^/]*)$", 1).alias("file"))
+
+
 @query("b4_drop_series", sql("SELECT organisation_id, animal_id, datetime, act FROM readings WHERE CAST(animal_id AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier)"))
 def _(spark, sf):
     supplier = R.table(spark, sf, "supplier")

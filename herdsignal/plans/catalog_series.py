@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from herdsignal.operators import clean, events as ev, features, forecast, labels, metrics, models, scaling, sequences, series, split
+from herdsignal.operators import clean, events as ev, features, forecast, labels, metrics, models, network, scaling, sequences, series, split
 from herdsignal.operators.series import ANIMAL
 from herdsignal.plans import features as plan, relations as R
 from herdsignal.plans.registry import query, six
@@ -649,6 +650,51 @@ def _(spark, sf):
     return metrics.confusion(models.score(models.train_weighted(train, _FEATURES), test))
 
 
+# A network of two inputs and two hidden units; its weights are eighths, which both engines hold exactly.
+_EIGHTHS = (3, -5, 2, 4, -1, 1, 6, -7, 2)
+_NETWORK_ROWS = {
+    "inputs": "SELECT organisation_id, animal_id, datetime, act / CAST(100 AS DOUBLE) AS a, temp / CAST(30 AS DOUBLE) AS t, raw AS y FROM flagged",
+    "hidden": "SELECT *, 1 / (1 + exp(-({} * a + {} * t + {}))) AS h0, 1 / (1 + exp(-({} * a + {} * t + {}))) AS h1 FROM inputs".format(
+        *[f"CAST({_EIGHTHS[i] / 8} AS DOUBLE)" for i in (0, 2, 4, 1, 3, 5)]
+    ),
+    "logits": "SELECT *, {} * h0 + {} * h1 + {} AS z FROM hidden".format(*[f"CAST({v / 8} AS DOUBLE)" for v in _EIGHTHS[6:]]),
+    "errors": f"""
+        SELECT *, d * CAST({_EIGHTHS[6] / 8} AS DOUBLE) * h0 * (1 - h0) AS d0, d * CAST({_EIGHTHS[7] / 8} AS DOUBLE) * h1 * (1 - h1) AS d1
+        FROM (SELECT *, (1 + 249 * y) / (1 + exp(-z)) - 250 * y AS d FROM logits WHERE z IS NOT NULL)""",
+}
+
+
+def _network_rows(spark, sf):
+    a, t = (F.col("act") / 100.0).alias("a"), (F.col("temp") / 30.0).alias("t")
+    return _keyed(R.flagged(spark, sf), F.col("raw").alias("annotation"), a, t)
+
+
+def _small_network():
+    return network.shaped(np.array(_EIGHTHS) / 8, [2, 2, 1])
+
+
+@query("h8_network_gradient", sql("""
+    SELECT CAST(place AS INTEGER) AS place, round(value + 1e-9, 6) AS value FROM (
+        SELECT unnest(range(10)) AS place,
+               unnest([avg(d0 * a), avg(d1 * a), avg(d0 * t), avg(d1 * t), avg(d0), avg(d1), avg(d * h0), avg(d * h1), avg(d),
+                       avg(250 * y * ln(1 + exp(-z)) + (1 - y) * ln(1 + exp(z)))]) AS value
+        FROM errors)""", **_NETWORK_ROWS))
+def _(spark, sf):
+    step = network.gradient(network.blocks_of(_network_rows(spark, sf), ["a", "t"]), _small_network())
+    values = [(i, float(v)) for i, v in enumerate([*step.gradient, step.loss])]
+    return spark.createDataFrame(values, "place int, value double").select("place", six("value").alias("value"))
+
+
+@query("h9_external_network", sql("""
+    SELECT organisation_id, animal_id, datetime, y, round(1 / (1 + exp(-z)) + 1e-9, 6) AS probability, CAST(z > 0 AS INTEGER) AS y_pred
+    FROM logits""", **_NETWORK_ROWS))
+def _(spark, sf):
+    path = fresh_path(spark, "network")
+    network.save(spark, _small_network(), path)
+    scored = network.score(network.load(spark, path), _network_rows(spark, sf), ["a", "t"], keep=[*ANIMAL, "datetime"])
+    return _keyed(scored, "y", six("probability").alias("probability"), "y_pred")
+
+
 @query("h9_batch_scoring")
 def _(spark, sf):
     train, test = _parts(spark, sf)

@@ -35,14 +35,17 @@ def sensor_columns(files: DataFrame, path: str = "_metadata.file_path") -> DataF
     )
 
 
-def read_sensor_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """All files ``{animal}|{chunk}.csv`` below a folder; columns by the names in a file's header line.
+def read_sensor_csv(spark: SparkSession, folder: str, without: DataFrame | None = None) -> DataFrame:
+    """All files ``{animal}|{chunk}.csv`` below a folder, but for those whose ``file`` is in ``without``; columns by
+    the names in a file's header line.
 
     Lines that name ``ts`` are headers. Usually there is one layout; with several (at most MOST_LAYOUTS) the files
     of each are read by it. Missing columns are null, others are left out.
     """
     below = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
+    left = lambda files, path: files if without is None else files.join(without, F.col(path) == without["file"], "left_anti")
     lines = spark.read.options(**below).text(folder).where(F.col("value").rlike(HEADER_LINE))
+    lines = left(lines.select("value", F.col("_metadata.file_path").alias("_file")), "_file")
     layouts = sorted(row["value"] for row in lines.select("value").distinct().limit(MOST_LAYOUTS + 1).collect())
     if len(layouts) > MOST_LAYOUTS:
         raise ValueError(f"more than {MOST_LAYOUTS} layouts of sensor files")
@@ -52,9 +55,9 @@ def read_sensor_csv(spark: SparkSession, folder: str) -> DataFrame:
         names = [name.strip().strip('"') for name in layout.split(",")]
         typed = [(name, kinds[name]) if name in kinds and name not in names[:i] else (f"_c{i}", "STRING") for i, name in enumerate(names)]
         files = spark.read.schema(", ".join(f"`{n}` {k}" for n, k in typed)).options(**below).csv(folder, header=True)
-        files = files.select("*", F.col("_metadata.file_path").alias("_path"))
+        files = left(files.select("*", F.col("_metadata.file_path").alias("_path")), "_path")
         if len(layouts) > 1:
-            mine = lines.where(F.col("value") == layout).select(F.col("_metadata.file_path").alias("_file")).distinct()
+            mine = lines.where(F.col("value") == layout).select("_file").distinct()
             files = files.join(mine, F.col("_path") == F.col("_file"), "left_semi")
         absent = {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in names}
         part = sensor_columns(files.withColumns(absent) if absent else files, "_path")
