@@ -28,7 +28,7 @@ from herdsignal.session import cut, scratch
 #: Words with outputs of their own, words per class, classes of the other words, size of the state.
 TOP, MEMBERS, TAILS, STATE = 1536, 32, 64, 24
 #: Words per window, documents side by side in scoring and in training, rounds, step size.
-WINDOW, LANES, LEARNERS, ROUNDS, STEP = 32, 256, 48, 2, 0.08
+WINDOW, LANES, LEARNERS, ROUNDS, STEP = 32, 256, 256, 2, 0.08
 #: Added to every count.
 ADDED = 0.1
 #: Parameters averaged by one task at a time.
@@ -262,7 +262,6 @@ class Network:
             grads["heads"] = states.T @ shares.T
             grads["head_bias"] = shares.sum(1)
             back = shares.T @ self.p["heads"].T
-            grads["members"], grads["member_bias"] = {}, {}
         own = np.flatnonzero((codes >= 0) & (codes < TOP))
         group = codes[own] // MEMBERS
         order = np.argsort(group, kind="stable")
@@ -278,10 +277,14 @@ class Network:
         if grads is not None:
             _error(shares, total, place)
             errors = np.empty_like(mine)
-            for g, span in spans:
-                grads["members"][g] = mine[span].T @ shares[:, span].T
-                grads["member_bias"][g] = shares[:, span].sum(1)
-                errors[span] = shares[:, span].T @ self.p["members"][g].T
+            grads["groups"] = np.array([g for g, _ in spans], np.int64)
+            grads["members"] = np.empty((len(spans), STATE, MEMBERS), np.float32)
+            grads["member_bias"] = np.empty((len(spans), MEMBERS), np.float32)
+            for i, (g, span) in enumerate(spans):
+                wrong = shares[:, span].T
+                np.matmul(mine[span].T, wrong, out=grads["members"][i])
+                wrong.sum(0, out=grads["member_bias"][i])
+                np.matmul(wrong, self.p["members"][g].T, out=errors[span])
             back[own] += errors
         return score, back
 
@@ -296,28 +299,31 @@ class Network:
         full = np.zeros((here.size, STATE), np.float32)
         full[flat] = back
         full = full.reshape(states.shape)
-        grads["state"], wide = np.zeros_like(self.p["state"]), np.empty((*here.shape, 3 * STATE), np.float32)
+        wide = np.empty((*here.shape, 3 * STATE), np.float32)
+        within = np.empty_like(wide)
+        weights = np.ascontiguousarray(self.p["state"].T)
         carried = np.zeros_like(h)
         for t in range(len(before) - 1, -1, -1):
             old, z, r, new, u = keep[t]
             d = full[t] + carried
-            dz = d * (old - new) * z * (1 - z)
             dn = d * (1 - z) * (1 - new * new)
-            dr = dn * u * r * (1 - r)
-            wide[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            grads["state"] += old.T @ du
-            carried = d * z + du @ self.p["state"].T
+            wide[t, :, :STATE] = d * (old - new) * z * (1 - z)
+            wide[t, :, STATE : 2 * STATE] = dn * u * r * (1 - r)
+            wide[t, :, 2 * STATE :] = dn
+            within[t, :, : 2 * STATE] = wide[t, :, : 2 * STATE]
+            within[t, :, 2 * STATE :] = dn * r
+            carried = d * z + within[t] @ weights
+        grads["state"] = np.concatenate([k[0] for k in keep]).T @ within.reshape(-1, 3 * STATE)
         grads["bias"] = wide.sum((0, 1))
-        touched, place = np.unique(before, return_inverse=True)
-        rows = np.zeros((len(touched), 3 * STATE), np.float32)
-        np.add.at(rows, place.ravel(), wide.reshape(-1, 3 * STATE))
-        self._step("inputs", touched, rows * scale, sums)
+        order = np.argsort(before, axis=None, kind="stable")
+        codes_read = before.ravel()[order]
+        first = np.flatnonzero(np.r_[True, codes_read[1:] != codes_read[:-1]])
+        rows = np.add.reduceat(wide.reshape(-1, 3 * STATE)[order], first, axis=0)
+        self._step("inputs", codes_read[first], rows * scale, sums)
         for name in ("state", "bias", "heads", "head_bias"):
             self._step(name, ..., grads[name] * scale, sums)
-        for g in grads["members"]:
-            self._step("members", g, grads["members"][g] * scale, sums)
-            self._step("member_bias", g, grads["member_bias"][g] * scale, sums)
+        for name in ("members", "member_bias"):
+            self._step(name, grads["groups"], grads[name] * scale, sums)
         return states[-1]
 
     def _step(self, name: str, where, grad: np.ndarray, sums: dict) -> None:
