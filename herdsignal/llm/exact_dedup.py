@@ -1,18 +1,18 @@
 """Exact duplicates by an extendible-hash index on shared files, in DataFrame operations only.
 
-* Insert: every text goes to the index under its digest. Copies meet in a grouping by (digest, text), so texts are
-  compared byte by byte; the grouping has a map side, so a text with a third of all rows leaves each task once.
-  Different texts under one digest form a chain, numbered by their smallest kept row.
-* Directory: entries are counted by the first bits of the digest. A bucket with more entries than ``capacity``
-  doubles the directory and splits, until every bucket fits or the bits of the directory are used up (then the bucket
-  grows: entries with one digest are a chain and cannot be told apart by more bits).
-* Files: entries are written ordered by bucket, so owner tasks hold ranges of keys.
-* Probe: each row finds its bucket and digest; chained digests are probed by text as well.
+* Directory: different digests are counted by their first bits. A bucket with more of them than ``capacity`` doubles
+  the directory and splits, until every bucket fits or the bits of the directory are used up (then the bucket grows:
+  one digest cannot be told apart by more bits).
+* Insert: the directory gives every row its bucket, and copies meet within the bucket, where digests and then whole
+  texts are compared. Tasks combine their own rows first, so a text with a third of all rows leaves each task once.
+* Chain: different texts under one digest are numbered within their bucket by the rows that they keep.
+* Files: entries are written ordered by bucket and digest, so owner tasks hold ranges of keys.
+* Probe: each row is looked up in its bucket by digest; chained digests are probed by text as well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from herdsignal.llm.common import hot_join, lower_ascii, only, unused
 from herdsignal.session import cut
@@ -30,13 +30,13 @@ def prefix(digest: Column, bits: int) -> Column:
     return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - bits)
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def directory(digests: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(cell, bucket, depth): for each used cell of the full directory, its bucket (first bits) and local depth.
 
-    Doubling from depth 0 on stops at the first depth at which the bucket fits. Counts by cell come from one grouping;
-    the levels above are sums of them.
+    ``digests`` has one row per different digest. Doubling from depth 0 on stops at the first depth at which the
+    bucket fits. Counts by cell come from one grouping; the levels above are sums of them.
     """
-    cells = entries.groupBy(prefix(F.col("digest"), max_depth).alias("cell")).agg(F.count("*").alias("n"))
+    cells = digests.groupBy(prefix(F.col("digest"), max_depth).alias("cell")).agg(F.count("*").alias("n"))
     levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
     levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {max_depth} - depth)"))
     sizes = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("n"))
@@ -46,32 +46,31 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     return found.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
 
 
-def build_index(texts: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Index of ``texts`` (id, digest, text): one entry per different text, written in order of buckets.
+def route(rows: DataFrame, cells: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``rows`` (with a digest) with their bucket and its depth; the directory has at most 2 ** max_depth cells."""
+    return rows.withColumn("cell", prefix(F.col("digest"), max_depth)).join(F.broadcast(cells), "cell").drop("cell")
 
-    Columns: bucket, depth, digest, chain (0, 1, ... within a digest), chains, keep_id (largest id), group_size, and
-    the text itself where a digest has several texts (else null).
+
+def build_index(texts: DataFrame, cells: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Index of ``texts`` (id, digest, text) under the directory ``cells``: one entry per different text, in files
+    ordered by bucket.
+
+    Columns: bucket, depth, digest, chain (0, 1, ... within a digest, by keep_id, then text), chains, keep_id (largest
+    id), group_size, and the text itself where a digest has several texts (else null).
     """
-    entries = texts.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    # Texts of one digest: nearly always one, so what collides is found by counts, not by sorting the texts.
-    entries = cut(entries.select("digest", "keep_id", "group_size"), "entries")
-    chained = cut(entries.groupBy("digest").agg(F.count("*").alias("chains")).where("chains > 1"), "chained")
-    if chained.isEmpty():
-        placed = entries.withColumns({"chain": F.lit(0), "chains": F.lit(1).cast("long"), "text": F.lit(None).cast("string")})
-    else:
-        first = texts.join(entries.join(chained, "digest").select("digest", F.col("keep_id").alias("id"), "chains"), ["digest", "id"])
-        first = first.select("digest", F.col("id").alias("keep_id"), "text", "chains").distinct()
-        held = entries.join(first, ["digest", "keep_id"], "left").withColumn("chains", F.coalesce("chains", F.lit(1)))
-        earlier = held.where("chains > 1").select("digest", F.col("keep_id").alias("other"))
-        rank = held.where("chains > 1").select("digest", "keep_id").join(earlier, "digest").groupBy("keep_id").agg(F.sum((F.col("other") < F.col("keep_id")).cast("int")).cast("int").alias("chain"))
-        placed = held.join(rank, "keep_id", "left").withColumn("chain", F.coalesce("chain", F.lit(0)))
-    cells = directory(entries, capacity, max_depth)
-    return cut(
-        placed.withColumn("cell", prefix(F.col("digest"), max_depth)).join(cells, "cell")
-        .select("bucket", "depth", "digest", "chain", "chains", "keep_id", "group_size", "text")
-        .repartitionByRange("bucket", "digest").sortWithinPartitions("bucket", "digest"),
-        "index",
-    )
+    routed = route(texts, cells, max_depth)
+    place, kept = ["bucket", "depth", "digest"], [F.max("id").alias("keep_id"), F.count("*").alias("group_size")]
+    entries = cut(routed.groupBy(*place, "text").agg(*kept).select(*place, "keep_id", "group_size"), "entries")
+    # Texts of one digest: nearly always one, so what collides is found by counts, and only its texts are written.
+    crowded = cut(entries.groupBy("bucket", "digest").agg(F.count("*").alias("chains")).where("chains > 1"), "chained")
+    single = entries.withColumns({"chain": F.lit(0), "chains": F.lit(1).cast("long"), "text": F.lit(None).cast("string")})
+    if not crowded.isEmpty():
+        single = single.join(crowded.select("bucket", "digest"), ["bucket", "digest"], "left_anti")
+        several = routed.join(crowded, ["bucket", "digest"]).groupBy(*place, "chains", "text").agg(*kept)
+        in_chain = Window.partitionBy("bucket", "digest").orderBy("keep_id", "text")
+        single = single.unionByName(several.withColumn("chain", F.row_number().over(in_chain) - 1))
+    index = single.select(*place, "chain", "chains", "keep_id", "group_size", "text")
+    return cut(index.repartitionByRange("bucket", "digest").sortWithinPartitions("bucket", "digest", "chain"), "index")
 
 
 def exact_dedup(
@@ -81,18 +80,20 @@ def exact_dedup(
 
     Texts are equal when they are identical after lower-casing A-Z; null counts as the empty text. Of equal texts the
     largest id stays; of rows with equal text and id (repeated rows) all are marked as kept. Ids must not be null:
-    rows with a null id are their own copies only and are returned unkept. Very long texts take part whole. An empty
+    rows with a null id count in their group and are returned unkept. Very long texts take part whole. An empty
     table gives an empty result; other columns of ``docs`` are neither read nor returned. ``digest`` is a function of
     the normalised text to hexadecimal digits; a weak one only makes chains longer.
     """
     texts = only(docs, id=id_col, text=text_col).withColumn("text", lower_ascii(F.coalesce("text", F.lit(""))))
     texts = texts.withColumn("digest", digest(F.col("text")))
     rows = cut(texts.select("id", "digest", digest_of(F.col("text")).alias("text_sha256")), "rows")
-    index = build_index(texts, capacity, max_depth)
-    entry = ["digest", "bucket", "chain", "keep_id", "group_size"]
-    found = hot_join(rows, index.where("chains = 1").select(*entry), "digest", "group_size")
-    if not index.where("chains > 1").isEmpty():
-        chained = texts.join(index.where("chains > 1").select("bucket", "chain", "keep_id", "group_size", "digest", "text"), ["digest", "text"])
+    cells = cut(directory(rows.select("digest").distinct(), capacity, max_depth), "directory")
+    index = build_index(texts, cells, max_depth)
+    entry, bucket = ["bucket", "digest", "chain", "keep_id", "group_size"], ["bucket", "digest"]
+    found = hot_join(route(rows, cells, max_depth).drop("depth"), index.where("chains = 1").select(*entry), bucket, "group_size")
+    crowded = index.where("chains > 1").select(*entry, "text")
+    if not crowded.isEmpty():
+        chained = route(texts, cells, max_depth).join(crowded, [*bucket, "text"])
         found = found.unionByName(chained.select(*entry, "id", digest_of(F.col("text")).alias("text_sha256")))
     return found.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", "bucket", "chain"

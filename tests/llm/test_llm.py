@@ -127,10 +127,32 @@ def test_exact_dedup(docs, empty):
 
 def test_directory_splits_overfull_buckets(docs):
     texts = docs.selectExpr("doc_id AS id", "coalesce(text, '') AS text").withColumn("digest", exact_dedup.digest_of(exact_dedup.F.col("text")))
-    index = exact_dedup.build_index(texts, capacity=4, max_depth=8)
+    cells = exact_dedup.directory(texts.select("digest").distinct(), capacity=4, max_depth=8)
+    index = exact_dedup.build_index(texts, cells, max_depth=8)
     sizes = {(r["bucket"], r["depth"]): r["count"] for r in index.groupBy("bucket", "depth").count().collect()}
     assert all(n <= 4 or depth == 8 for (_, depth), n in sizes.items())
     assert len(sizes) > 5
+    routed = exact_dedup.route(texts, cells, max_depth=8)
+    assert routed.count() == len(TEXTS)
+    assert routed.join(index.select("digest", index["bucket"].alias("owner")), "digest").where("bucket <> owner").count() == 0
+
+
+def test_one_digest_for_all(spark):
+    """Chains of every length, two texts under one id, repeated rows, null ids."""
+    rows = [(1, "a"), (1, "b"), (2, "A"), (2, "A"), (3, None), (4, ""), (None, "c"), (5, "d"), (5, "e"), (6, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs, digest=lambda text: exact_dedup.F.lit("00000000")).collect()
+    told = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"], r["text_sha256"]) for r in got)
+    want = []
+    for i, t in rows:
+        key = (t or "").translate(LOWER)
+        same = [j for j, u in rows if (u or "").translate(LOWER) == key]
+        keep = max((j for j in same if j is not None), default=None)
+        want.append((i or 0, keep or 0, len(same), i is not None and i == keep, hashlib.sha256(key.encode()).hexdigest()))
+    assert told == sorted(want)
+    assert {r["chain"] for r in got} == set(range(6))
+    kept = exact_dedup.keep_one(docs).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(2, "A"), (4, ""), (5, "d"), (5, "e"), (6, "b")]
 
 
 def test_bpe(docs, empty):
