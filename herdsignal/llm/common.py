@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -125,6 +125,26 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
             at = to
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are used again, and what one operator's arrays have taken would
+    otherwise count against the executor while the next one runs."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; freed memory is given back at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column one after the other, and where each row starts (one more than rows)."""
     if column.null_count:
@@ -151,7 +171,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: int) -> np.ndarray:
         x = np.full(size, base, np.uint64)
@@ -161,11 +180,17 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return of(_BASE), of(_INVERSE)
 
 
+#: The powers that a task keeps from step to step, if any.
+_kept: list[np.ndarray] = []
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, kept by the worker for usual sizes."""
-    n = 1 << max(16, (size - 1).bit_length()) if size > 1 else 1 << 16
-    a, b = _powers(n) if n <= 2 * STEP_BYTES else _powers.__wrapped__(n)
-    return a[:size], b[:size]
+    """Powers of an odd base and of its inverse modulo 2**64; those of usual sizes are kept until the task ends."""
+    if size > 2 * STEP_BYTES:
+        return _powers(size)
+    if not _kept or len(_kept[0]) < size:
+        _kept[:] = _powers(-(-size // (1 << 18)) << 18)
+    return _kept[0][:size], _kept[1][:size]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

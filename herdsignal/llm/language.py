@@ -20,7 +20,7 @@ from herdsignal.llm import common as C
 #: n-gram lengths, hash buckets, added count, and the most labels a model may have (it is broadcast).
 ORDERS, BUCKETS, ADDED, MOST_LABELS = (1, 2, 3), 1 << 16, 0.1, 1000
 #: Bytes of text scored at a time.
-STEP = 1 << 20
+STEP = 1 << 19
 UNDETERMINED = "und"
 
 
@@ -110,7 +110,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
     """The model of all rows with a text and a label; rows that lack one teach nothing."""
     rows = C.only(docs, text=text_col, label=label_col).where("text IS NOT NULL AND label IS NOT NULL")
-    counts = rows.mapInArrow(_counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(C.tidy(_counts), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     labels = sorted(r["label"] for r in rows.select("label").distinct().limit(MOST_LABELS + 1).collect())
     if len(labels) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
@@ -149,7 +149,7 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", label: str = "lan
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure)], [*columns, label, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.tidy(run), schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

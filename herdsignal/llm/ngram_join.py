@@ -245,8 +245,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_hits(postings: DataFrame, buckets: int) -> DataFrame:
-    found = postings.repartition(buckets, "bucket").mapInArrow(_hits(buckets), _HITS)
-    return found.repartition(buckets, "bucket").mapInArrow(_sums, "id long, n long, sig string, hits long")
+    found = postings.repartition(buckets, "bucket").mapInArrow(C.tidy(_hits(buckets)), _HITS)
+    return found.repartition(buckets, "bucket").mapInArrow(C.tidy(_sums), "id long, n long, sig string, hits long")
 
 
 def _set_rows(size: int, keys: int):
@@ -319,7 +319,7 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
         return pairs
     both = _with_set(pairs, sets, "b")
     joined = both.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
-    return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_checked(percent), "a long, b long"), "links")
+    return cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(C.tidy(_checked(percent)), "a long, b long"), "links")
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def occurrence_links(sets: DataFrame, label: DataFrame, percent: int = PERCENT,
     comps = sets.select("id").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     comps = cut(comps.select("id", F.coalesce("component", "id").alias("comp")), "comps")
     labelled = sets.select("id", "n", "hashes").join(comps, "id")
-    hits = _count_hits(labelled.select("id", "comp", "hashes").mapInArrow(_post_sets(buckets), _POSTINGS), buckets).select("id", "hits")
+    hits = _count_hits(labelled.select("id", "comp", "hashes").mapInArrow(C.tidy(_post_sets(buckets)), _POSTINGS), buckets).select("id", "hits")
     left = cut(labelled.join(hits, "id").where(f"hits >= (n * {percent} + 99) div 100").drop("hits"), "left")
     links = left.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     if left.isEmpty():
@@ -428,7 +428,7 @@ def occurrence_links(sets: DataFrame, label: DataFrame, percent: int = PERCENT,
             need = pa.array(np.repeat((percent * sizes + 99) // 100, sizes))
             yield pa.RecordBatch.from_arrays([*take, need, pa.array(np.frombuffer(data.tobytes(), np.int64))], ["id", "comp", "need", "h"])
 
-    posts = cut(left.select("id", "comp", "hashes").mapInArrow(entries, "id long, comp long, need long, h long"), "posts")
+    posts = cut(left.select("id", "comp", "hashes").mapInArrow(C.tidy(entries), "id long, comp long, need long, h long"), "posts")
     lists = posts.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     sized = C.hot_join(posts, cut(lists.select("h", "df"), "lists"), "h", "df")
     ranked = sized.groupBy("id", "need").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))  # a document's own shingles
@@ -461,11 +461,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = only(docs, id_col, text_col)
         buckets = C.tasks(docs)
         known = texts.where("id IS NOT NULL")
-        stats = _count_hits(known.mapInArrow(_post_texts(buckets, size, percent), _POSTINGS), buckets)
+        stats = _count_hits(known.mapInArrow(C.tidy(_post_texts(buckets, size, percent)), _POSTINGS), buckets)
         stats = cut(stats, "stats")
         groups = cut(stats.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("hits").alias("hits"), F.max("n").alias("n")), "groups")
         asked = groups.where(f"hits >= 1 + ((n * {percent} + 99) div 100) div 10").select(F.col("rep").alias("id"))
-        sets = cut(known.join(asked, "id", "left_semi").mapInArrow(_set_rows(size, LEADER_KEYS), "id long, n long, hashes binary, keys array<long>").dropDuplicates(["id"]), "sets")
+        sets = cut(known.join(asked, "id", "left_semi").mapInArrow(C.tidy(_set_rows(size, LEADER_KEYS)), "id long, n long, hashes binary, keys array<long>").dropDuplicates(["id"]), "sets")
         links = links_of(leader_pairs(sets), sets, percent)
         label = C.components(links)
         more = occurrence_links(sets, label, percent, buckets)

@@ -478,17 +478,17 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     with scratch() as tables:
         buckets = C.tasks(docs)
         texts = C.only(docs, id=id_col, text=text_col).withColumns({"id": F.col("id").cast("long"), "text": F.coalesce("text", F.lit(""))})
-        posted = cut(texts.where("id IS NOT NULL").mapInArrow(_post(buckets, length), _POSTED), "posted")
+        posted = cut(texts.where("id IS NOT NULL").mapInArrow(C.tidy(_post(buckets, length)), _POSTED), "posted")
         home = posted.where("bucket = -1").select("id", "n_bytes", "sha", "label")
         reps = cut(home.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label")), "reps")
         rows = cut(C.hot_join(home, reps.select("sha", "rep", "n"), "sha", "n").select("id", "n_bytes", "sha", "rep"), "rows")
-        found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared(buckets), _FOUND)
-        asked = found.repartition(buckets, "bucket").mapInArrow(_by_text, "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
-        packed = texts.where("id IS NOT NULL").mapInArrow(_squeezed, "id long, text binary")
+        found = posted.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(C.tidy(_shared(buckets)), _FOUND)
+        asked = found.repartition(buckets, "bucket").mapInArrow(C.tidy(_by_text), "label long, found binary").join(reps.select("label", F.col("rep").alias("id")), "label").select("id", "found")
+        packed = texts.where("id IS NOT NULL").mapInArrow(C.tidy(_squeezed), "id long, text binary")
         texts = cut(packed.join(asked, "id").select("id", "text", "found"), "asked")
         release(posted, reps)  # before the contexts need the room
-        contexts = texts.mapInArrow(_contexts(buckets, length), _CONTEXTS).repartition(buckets, "bucket")
-        spans = contexts.mapInArrow(_owner(length), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
+        contexts = texts.mapInArrow(C.tidy(_contexts(buckets, length)), _CONTEXTS).repartition(buckets, "bucket")
+        spans = contexts.mapInArrow(C.tidy(_owner(length)), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
         spans = cut(spans, "spans")
         tables.keep(rows, texts, spans)
     return rows, texts.select("id", "text").dropDuplicates(["id"]).join(spans, "id")
@@ -507,7 +507,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     come back with their size and hash. Other columns are not read; an empty table gives an empty result.
     """
     rows, losing = removals(docs, length, id_col, text_col)
-    lost = losing.mapInArrow(_removed, _LOST).select("id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
+    lost = losing.mapInArrow(C.tidy(_removed), _LOST).select("id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
     copy = (F.col("id") != F.col("rep")) & (F.col("n_bytes") >= length)
     told = rows.join(lost, "id", "left").select(
         "id", "n_bytes",
@@ -525,7 +525,7 @@ def keep_rest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", tex
     """``docs`` with the removed bytes cut out of the text; copies keep an empty text, and bytes that a cut leaves of a
     broken character are dropped. All other columns stay as they are."""
     rows, losing = removals(docs, length, id_col, text_col)
-    lost = losing.mapInArrow(_removed, _LOST).where("n_removed > 0").select("id", F.col("text").alias("_kept"))
+    lost = losing.mapInArrow(C.tidy(_removed), _LOST).where("n_removed > 0").select("id", F.col("text").alias("_kept"))
     copies = rows.where((F.col("id") != F.col("rep")) & (F.col("n_bytes") >= length)).select("id", F.lit("").alias("_kept"))
     key, value = C.unused(docs, "_changed"), C.unused(docs, "_rest")
     changed = lost.unionByName(copies).distinct().toDF(key, value)

@@ -133,7 +133,7 @@ def split(docs: DataFrame, splitter: Splitter, buckets: int, marked: bool = Fals
         if steps:
             yield from chunk(number, steps)
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(C.tidy(run), _SCHEMA)
 
 
 def _ids(ids: pa.Array) -> bytes:
@@ -164,6 +164,7 @@ def answer(chunks: DataFrame, owner: Callable[[list[dict]], Iterator[tuple[dict,
     def run(key, table):
         out = [(row["chunk"], row["bucket"], *(told.get(k) for k in "abcd"), row["sign"]) for row, told in owner(table.to_pylist())]
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        C.give_back()
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], _NAMES)
 
     asked = chunks.where(F.col("bucket") != DOCUMENTS).repartition(buckets, "bucket")
@@ -180,7 +181,9 @@ def finish(chunks: DataFrame, answers: DataFrame, work: Callable[[Chunk, list[di
         told = sorted(right.to_pylist(), key=lambda r: r["bucket"])
         if any(r["sign"] != row["sign"] for r in told):
             raise ValueError("the rows of the texts came in another order; write them to a table first")
-        return work(Chunk(ids, unpack(row["b"], np.int32), places), told)
+        done = work(Chunk(ids, unpack(row["b"], np.int32), places), told)
+        C.give_back()
+        return done
 
     texts = chunks.where(F.col("bucket") == DOCUMENTS)
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
