@@ -32,6 +32,8 @@ LENGTH = 50
 _PLACE = np.uint64((1 << 31) - 1)
 #: Letters that are sorted at a time.
 SORT_BYTES = 1 << 20
+#: Bytes of text whose anchors are found at a time.
+ANCHOR_BYTES = 1 << 19
 
 
 def gram_size(length: int) -> int:
@@ -45,7 +47,21 @@ def _codes() -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all strings of ``length`` bytes within rows: hash, row, place, first and last start of its strings."""
+    """Anchors of all strings of ``length`` bytes within rows: hash, row, place, first and last start of its strings.
+
+    Rows are looked at about ``ANCHOR_BYTES`` (one row at least) at a time: each byte takes some twenty words of memory.
+    """
+    parts, row = [], 0
+    while row < len(offsets) - 1:
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + ANCHOR_BYTES, side="right")) - 1)
+        begin = offsets[row]
+        found, rows, *places = _anchors(data[begin : offsets[to]], offsets[row : to + 1] - begin, length)
+        parts.append((found, rows + row, *(x + begin for x in places)))
+        row = to
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _anchors(data, offsets, length)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     k = gram_size(length)
     window = length - k + 1
     none = np.zeros(0, np.int64)

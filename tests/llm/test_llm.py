@@ -224,6 +224,17 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert rest.columns == docs.columns and rest.count() == docs.count()
 
 
+def test_anchors_by_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.r_[0, 0, 400, 49, 50, 0, rng.integers(0, 300, 40), 0]
+    data, offsets = rng.integers(97, 100, sizes.sum()).astype(np.uint8), np.r_[0, np.cumsum(sizes)]
+    whole = suffix_dedup._anchors(data, offsets, 50)
+    for most in (1, 50, 333, 1 << 19):
+        monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", most)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(suffix_dedup.anchors(data, offsets, 50), whole, strict=True))
+    assert [len(x) for x in suffix_dedup.anchors(data[:0], offsets[:1], 50)] == [0] * 5
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for turn in range(150):
