@@ -32,27 +32,62 @@ def lag_embedding(
 
     Lags are looked up in the arrays of a block's values, instead of one window expression per lag.
     """
+    windows = lag_windows(df, columns, lags, keys, time, ties, block_rows, bucket_days)
+    return windows.withColumns(_lag_columns(columns, lags)).drop(*map(_window_of, columns))
+
+
+def _window_of(name: str) -> str:
+    return f"_lags_{name}"
+
+
+def _lag_columns(columns: Sequence[str], lags: int) -> dict[str, Column]:
+    return {f"{name}{k}": F.get(_window_of(name), F.lit(k)) for name in columns for k in range(lags)}
+
+
+def lag_windows(
+    df: DataFrame,
+    columns: Sequence[str],
+    lags: int = LAGS,
+    keys: Sequence[str] = ANIMAL,
+    time: str = "datetime",
+    ties: Sequence[str] = (),
+    block_rows: int = 4096,
+    bucket_days: int = 7,
+) -> DataFrame:
+    """Arrays ``_lags_{name}`` of a row's last ``lags`` values, its own first; shorter at the start of a series.
+
+    The blocks are small and their windows are ``lags`` times as large, so they are dealt to as many tasks as a
+    shuffle may have, whatever their size suggests.
+    """
     numbered = number_rows(df, keys, time, ties, "_row", "_row_total", bucket_days)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def look_up(part: DataFrame, window: WindowSpec) -> DataFrame:
         values = {f"_values_{name}": F.col(f"_rows.{name}") for name in columns}
-        rows = packed(part, keys, "_row").withColumns(values)
+        rows = packed(part.repartition(tasks, *keys, BLOCK), keys, "_row").withColumns(values)
         placed = rows.select(*keys, BLOCK, *values, F.posexplode("_rows").alias("_pos", "_this"))
-        shifted = [
-            F.get(f"_values_{name}", F.col("_pos") - k).alias(f"{name}{k}") for name in columns for k in range(lags)
-        ]
-        return placed.select(*keys, BLOCK, "_this.*", *shifted)
+        first, length = F.greatest(F.col("_pos") - lags + 1, F.lit(0)), F.least(F.col("_pos") + 1, F.lit(lags))
+        windows = [F.reverse(F.slice(f"_values_{name}", first + 1, length)).alias(_window_of(name)) for name in columns]
+        return placed.select(*keys, BLOCK, "_this.*", *windows)
 
-    embedded = rolling(numbered, look_up, lags - 1, 0, keys, time, row="_row", block_rows=block_rows)
-    return embedded.drop("_row", "_row_total")
+    return rolling(numbered, look_up, lags - 1, 0, keys, time, row="_row", block_rows=block_rows).drop("_row", "_row_total")
 
 
 def tree_matrix(df: DataFrame, lags: int = LAGS, **series) -> DataFrame:
-    """Boosted-tree rows: rounded lags of activity and group mean, whole days in milk, no nulls."""
+    """Boosted-tree rows: rounded lags of activity and group mean, whole days in milk, no nulls.
+
+    Whether a lag is missing (null or NaN) is asked of the two arrays, not of every lag's column: a condition over
+    hundreds of columns becomes one method that the JVM runs uncompiled.
+    """
     names = ["act", "act_group_mean"]
-    rounded = df.withColumns({name: F.bround(name, 2).cast("float") for name in names})
-    embedded = lag_embedding(rounded, names, lags, **series).drop(*names)
-    return embedded.na.drop().withColumn("DIM", F.col("DIM").cast("int"))
+    known = lambda value: F.when(~F.isnan(value), value)
+    rounded = df.withColumns({name: known(F.bround(name, 2).cast("float")) for name in names})
+    rest = [name for name in df.columns if name not in names]
+    windows = lag_windows(rounded, names, lags, **series)
+    for name in names:
+        windows = windows.where(F.size(F.array_compact(_window_of(name))) == lags)
+    embedded = windows.na.drop(subset=rest).withColumns(_lag_columns(names, lags)).drop(*names, *map(_window_of, names))
+    return embedded.withColumn("DIM", F.col("DIM").cast("int"))
 
 
 def sequence_windows(

@@ -110,6 +110,18 @@ def test_tree_matrix(spark):
     assert [round(v, 2) for v in (rows[0].act0, rows[0].act1, rows[0].act2)] == [2.12, 1.12, 0.12]
 
 
+def test_tree_matrix_with_gaps_in_many_tasks(spark):
+    lost, nan = {5}, {17}
+    value = F.when(F.col("act") == 17, F.lit(float("nan"))).when(F.col("act") != 5, F.col("act"))
+    given = keyed(spark, 1, 400).withColumns({"act_group_mean": F.lit(1.0), "annotation": F.lit(0), "DIM": F.lit(1), "act": value})
+    matrix = sequences.tree_matrix(given, lags=4, block_rows=40)
+    assert matrix.columns == ["organisation_id", "animal_id", "datetime", "annotation", "DIM", *[f"{n}{k}" for n in ("act", "act_group_mean") for k in range(4)]]
+    whole = [i for i in range(3, 400) if not (lost | nan) & set(range(i - 3, i + 1))]
+    assert sorted((r.act0, r.act1, r.act2, r.act3) for r in matrix.collect()) == [(i, i - 1, i - 2, i - 3) for i in whole]
+    # A few kilobytes of rows become hundreds of columns, so their size must not decide on the number of tasks.
+    assert matrix.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_models_learn_and_persist(spark, tmp_path):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"x": rng.random(600), "z": rng.random(600)})
