@@ -38,7 +38,9 @@ def _csv_drop(spark, sf, folder: str, first_half: bool | None = None) -> None:
         return group[["file"]].head(1)
 
     files = rows.select(name.alias("file"), T.encode_epoch(F.col("datetime")).alias("ts"), "act", "temp")
-    files.groupBy("file").applyInPandas(write, "file string").count()
+    # Small rows, but a file to write for each animal: dealt to as many tasks as a shuffle may have.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files.repartition(tasks, "file").groupBy("file").applyInPandas(write, "file string").count()
 
 
 _CSV_ROWS = """

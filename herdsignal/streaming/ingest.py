@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from herdsignal.sources.readings import SENSOR_CSV, sensor_columns
 
 
-def sensor_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+#: Files of a batch. Sensor files are small; a batch costs a listing of its files and its share of the stream's logs.
+FILES_PER_TRIGGER = 100_000
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def sensor_stream(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     files = (
         spark.readStream.schema(SENSOR_CSV)
         .option("header", True)
@@ -21,13 +26,21 @@ def sensor_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100
 
 
 def ingest_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str) -> None:
-    """Append the readings of the files not seen before, then stop. The checkpoint knows the seen files."""
-    query = (
-        sensor_stream(spark, folder)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Append the readings of the files not seen before, then stop. The checkpoint knows the seen files.
+
+    The stream looks up each file of a batch again, by default in a task of its own; here a task looks up many.
+    """
+    usual = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, min(int(usual), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        query = (
+            sensor_stream(spark, folder)
+            .writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_LISTING, usual)

@@ -68,6 +68,19 @@ def test_stream_reads_every_file_once(spark, tmp_path):
     assert sorted(r.act for r in spark.read.parquet(str(target)).collect()) == [1.0, 2.0, 3.0]
 
 
+def test_stream_takes_many_small_files_at_once(spark, tmp_path):
+    drop, target, seen = (tmp_path / n for n in ("drop", "target", "seen"))
+    drop.mkdir()
+    for i in range(1200):
+        write_csv(drop, f"a{i}|0.csv", f"1577836800,{i},38")
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    ingest_new_files(spark, str(drop), str(target), str(seen))
+    assert spark.read.parquet(str(target)).agg(F.count("*"), F.sum("act")).first() == (1200, sum(range(1200)))
+    assert [f.name for f in (seen / "commits").iterdir() if f.name.isdigit()] == ["0"]
+    assert spark.conf.get(listing) == before
+
+
 def test_feature_table_load(spark):
     rows = [("aa", "bb", "ca", at("2020-01-01 00:00"), 1), ("aa", "ba", "cb", at("2020-01-01 00:10"), 2), ("ab", "bd", "cc", at("2020-01-01 00:20"), 3), ("ac", "bc", "cd", at("2020-01-01 00:30"), 4)]
     table = spark.createDataFrame(rows, "organisation_id string, group_id string, animal_id string, datetime timestamp_ntz, temp int")
