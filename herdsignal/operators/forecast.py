@@ -133,12 +133,10 @@ def _predicted(rows: DataFrame, column: str, keys: Sequence[str], block_rows: in
     shocks = rows.withColumn("_u", F.when(F.col("invertible"), F.col(column) - expected)).drop("_mean", "_x1")
     blocks = shocks.withColumn(BLOCK, F.floor(F.col("_t") / block_rows))
     schema = T.StructType([*blocks.schema.fields, T.StructField("_e", T.DoubleType())])
-
-    def within(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_t")
-        return block.assign(_e=_residuals(block["_u"].to_numpy(dtype=float), -block["theta"].iloc[0]))
-
-    local = cut(blocks.groupBy(*keys, BLOCK).applyInPandas(within, schema), "residuals")
+    # Rows of a block lie together and in order, so a task goes through its blocks in batches, however small they are.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = blocks.repartition(tasks, *keys, BLOCK).sortWithinPartitions(*keys, BLOCK, "_t")
+    local = cut(ordered.mapInPandas(_within_blocks([*keys, BLOCK]), schema), "residuals")
     # A block's map: the residual before it times (-theta) ** rows, plus its own last residual. One row per block.
     last = local.groupBy(*keys, BLOCK).agg(
         F.pow(-F.first("theta"), F.count(F.lit(1)).cast("double")).alias("a"), F.max_by("_e", "_t").alias("b")
@@ -150,6 +148,35 @@ def _predicted(rows: DataFrame, column: str, keys: Sequence[str], block_rows: in
     return fitted.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double"))).drop("_u", "_t", "_t_total", "_e", "_in", BLOCK)
 
 
+def _within_blocks(keys: Sequence[str]):
+    """Adds ``_e`` to rows sorted by ``keys`` and ``_t``, for every block as if no residual came before it.
+
+    The last block of a batch may go on in the next one and waits for it: never more than a batch and a block are held.
+    """
+
+    def finished(rows: pd.DataFrame, starts: Sequence[int]) -> pd.DataFrame:
+        shocks, thetas = rows["_u"].to_numpy(dtype=float), rows["theta"].to_numpy(dtype=float)
+        found = [_residuals(shocks[a:b], -thetas[a]) for a, b in zip(starts, [*starts[1:], len(rows)])]
+        return rows.assign(_e=np.concatenate(found))
+
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for part in parts:
+            rows = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
+            if rows.empty:
+                continue
+            begins = np.ones(len(rows), dtype=bool)
+            begins[1:] = np.logical_or.reduce([rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1] for key in keys])
+            starts = np.flatnonzero(begins)
+            waiting = rows.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield finished(rows.iloc[: starts[-1]], starts[:-1].tolist())
+        if waiting is not None:
+            yield finished(waiting, [0])
+
+    return within
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _carried(a: pd.Series, b: pd.Series) -> pd.Series:
     """What each block of a series begins with, from the maps of those before it."""
