@@ -119,7 +119,7 @@ def test_tree_matrix_with_gaps_in_many_tasks(spark):
     whole = [i for i in range(3, 400) if not (lost | nan) & set(range(i - 3, i + 1))]
     assert sorted((r.act0, r.act1, r.act2, r.act3) for r in matrix.collect()) == [(i, i - 1, i - 2, i - 3) for i in whole]
     # A few kilobytes of rows become hundreds of columns, so their size must not decide on the number of tasks.
-    assert matrix.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert "REPARTITION_BY_NUM" in matrix._jdf.queryExecution().executedPlan().toString()
 
 
 def test_models_learn_and_persist(spark, tmp_path):
@@ -186,6 +186,27 @@ def test_arma_against_a_plain_loop(spark):
     assert found[found.animal_id == "tiny"].prediction.isna().all()
 
 
+def test_blocks_across_batches():
+    rng = np.random.default_rng(5)
+    sizes = [("a", 0, 16), ("a", 1, 16), ("a", 2, 1), ("b", 2, 40), ("c", 2, 3)]
+    blocks = [pd.DataFrame({"k": k, "_block": b, "_t": range(b * 16, b * 16 + n), "_u": rng.normal(size=n), "theta": 0.1 * (i + 1)}) for i, (k, b, n) in enumerate(sizes)]
+    rows = pd.concat(blocks, ignore_index=True)
+    want = np.concatenate([forecast._residuals(b["_u"].to_numpy(), -b["theta"].iloc[0]) for b in blocks])
+    for size in (1, 5, 16, 100):
+        parts = [rows.iloc[:0], *[rows.iloc[i : i + size] for i in range(0, len(rows), size)]]
+        found = pd.concat(forecast._within_blocks(["k", "_block"])(iter(parts)))
+        assert found["_e"].tolist() == want.tolist() and found["_t"].tolist() == rows["_t"].tolist()
+
+
+def test_small_blocks_are_no_groups_of_their_own(spark, monkeypatch):
+    plans = []
+    written = forecast.cut
+    monkeypatch.setattr(forecast, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    coefficients = spark.createDataFrame([("o", "0", 2.0, 0.5, 0.4)], "organisation_id string, animal_id string, constant double, phi double, theta double")
+    assert forecast.predict(keyed(spark, 1, 50), coefficients, block_rows=16).count() == 50
+    assert "REPARTITION_BY_NUM" in plans[0] and "FlatMapGroupsInPandas" not in plans[0]
+
+
 def test_model_queries_have_the_default_lags():
     assert catalog_series._FEATURES == ["DIM", *[f"{name}{k}" for name in ("act", "act_group_mean") for k in range(sequences.LAGS)]]
 
