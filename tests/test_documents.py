@@ -103,6 +103,15 @@ def test_flatten(spark):
     assert direct.columns == typed.columns and direct.orderBy("event_type").collect() == rows
 
 
+def test_flatten_decodes_once(spark):
+    holed = {"_id": "a4", "lifecycle": {"cycles": [None, {"events": [None, {"event_type": "heat"}]}, {"events": []}]}}
+    texts = spark.createDataFrame([(json.dumps(holed),), ("{}",)], "json string").repartition(3, "json")
+    rows = documents.flatten_events(schemas.decode(texts, "json", "animal").select("document.*"))
+    assert sorted((r.animal_id, r.cycle_no, r.event_type or "") for r in rows.collect()) == [("a4", 1, ""), ("a4", 1, "heat")]
+    # Not a second time in a condition below the shuffle, where the table may be a single file.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_anonymise(spark):
     organisations = spark.createDataFrame([("o", "n", "acc", "p", 3)], "_id string, name string, account string, partner_id string, size int")
     assert documents.anonymise(organisations).columns == ["_id", "size"]
