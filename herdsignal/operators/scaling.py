@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The columns that are scaled.
 NUMERIC = ("act", "temp", "DIM", "temp_filtered", "act_group_mean", "heat_feature")
 
 
+def _moments(name: str, prefix: str) -> list[Column]:
+    deviation = F.stddev_pop(name)
+    return [F.avg(name).alias(f"{prefix}mean"), F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias(f"{prefix}std")]
+
+
 def fit_scaler(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
-    """One row with ``{column}_mean`` and ``{column}_std``; nulls are ignored, a zero deviation becomes 1."""
-    parts = []
-    for name in columns:
-        deviation = F.stddev_pop(name)
-        parts += [
-            F.avg(name).alias(f"{name}_mean"),
-            F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias(f"{name}_std"),
-        ]
-    return df.agg(*parts)
+    """One row with ``{column}_mean`` and ``{column}_std``; nulls are ignored, a zero deviation becomes 1.
+
+    An array column, whose arrays are all of one length, gets arrays with a mean and a deviation for each place.
+    """
+    arrays = [name for name in columns if _is_array(df, name)]
+    scaler = df.agg(*[part for name in columns if name not in arrays for part in _moments(name, f"{name}_")]) if len(arrays) < len(columns) else None
+    for name in arrays:
+        places = df.select(F.posexplode(name).alias("_place", "_value")).groupBy("_place").agg(*_moments("_value", ""))
+        row = places.agg(F.array_sort(F.collect_list(F.struct("_place", "mean", "std"))).alias("_all"))
+        row = row.select(F.col("_all.mean").alias(f"{name}_mean"), F.col("_all.std").alias(f"{name}_std"))
+        scaler = row if scaler is None else scaler.crossJoin(row)
+    return scaler.select(*[f"{name}_{part}" for name in columns for part in ("mean", "std")])
+
+
+def _is_array(df: DataFrame, name: str) -> bool:
+    return name in df.columns and isinstance(df.schema[name].dataType, T.ArrayType)
 
 
 _STATE = ("n", "mean", "m2")
@@ -73,9 +85,16 @@ def scale(
 ) -> DataFrame:
     """``(x - mean) / std`` as float32; nulls stay null. The scaler's one row is read first and enters as literals."""
     row = scaler.first()
-    at = lambda name: F.lit(row[name]).cast("double")
-    scaled = {name: ((F.col(name) - at(f"{name}_mean")) / at(f"{name}_std")).cast(output) for name in columns}
-    return df.withColumns(scaled)
+    number = lambda value: F.lit(value).cast("double")
+
+    def scaled(name: str) -> Column:
+        mean, std = row[f"{name}_mean"], row[f"{name}_std"]
+        if not _is_array(df, name):
+            return ((F.col(name) - number(mean)) / number(std)).cast(output)
+        means, stds = (F.array(*map(number, x)).cast("array<double>") for x in (mean, std))
+        return F.transform(name, lambda x, i: ((x - F.get(means, i)) / F.get(stds, i)).cast(output))
+
+    return df.withColumns({name: scaled(name) for name in columns})
 
 
 def save_scaler(scaler: DataFrame, path: str) -> None:

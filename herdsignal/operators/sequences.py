@@ -16,6 +16,7 @@ SEQUENCE_ROWS = 288
 PAD_VALUE = -1.0
 BATCH_SIZE = 10
 MATRIX = ("annotation", "DIM", "act", "act_group_mean", "temp_filtered")
+TREE_LAGS = ("act", "act_group_mean")
 
 
 def lag_embedding(
@@ -73,23 +74,39 @@ def lag_windows(
     return rolling(numbered, look_up, lags - 1, 0, keys, time, row="_row", block_rows=block_rows).drop("_row", "_row_total")
 
 
-def tree_matrix(df: DataFrame, lags: int = LAGS, **series) -> DataFrame:
-    """Boosted-tree rows: rounded lags of activity and group mean, whole days in milk, no nulls.
+def _tree_windows(df: DataFrame, lags: int, **series) -> DataFrame:
+    """Arrays of the rounded lags of activity and group mean beside the other columns of ``df``; no nulls.
 
-    Whether a lag is missing (null or NaN) is asked of the two arrays, not of every lag's column: a condition over
-    hundreds of columns becomes one method that the JVM runs uncompiled.
+    Whether a lag is missing is asked of the two arrays, not of every lag's column: a condition over hundreds of columns
+    becomes one method that the JVM runs uncompiled. What is missing is NaN there, which ``array_contains`` finds in
+    compiled code; a filter by a lambda is interpreted and makes Spark copy the block's arrays for each of its rows.
     """
-    names = ["act", "act_group_mean"]
-    known = lambda value: F.when(~F.isnan(value), value)
-    rounded = df.withColumns({name: known(F.bround(name, 2).cast("float")) for name in names})
-    rest = [name for name in df.columns if name not in names]
-    windows = lag_windows(rounded, names, lags, **series)
-    for name in names:
-        windows = windows.where(F.size(F.array_compact(_window_of(name))) == lags)
-    embedded = windows.na.drop(subset=rest).withColumns(_lag_columns(names, lags)).drop(*names, *map(_window_of, names))
+    missing = F.lit(float("nan")).cast("float")
+    rounded = df.withColumns({name: F.coalesce(F.bround(name, 2).cast("float"), missing) for name in TREE_LAGS})
+    rest = [name for name in df.columns if name not in TREE_LAGS]
+    windows = lag_windows(rounded, TREE_LAGS, lags, **series)
+    for name in TREE_LAGS:
+        windows = windows.where((F.size(_window_of(name)) == lags) & ~F.array_contains(_window_of(name), missing))
+    return windows.na.drop(subset=rest)
+
+
+def tree_matrix(df: DataFrame, lags: int = LAGS, **series) -> DataFrame:
+    """Boosted-tree rows: rounded lags of activity and group mean, whole days in milk, no nulls."""
+    windows = _tree_windows(df, lags, **series)
+    embedded = windows.withColumns(_lag_columns(TREE_LAGS, lags)).drop(*TREE_LAGS, *map(_window_of, TREE_LAGS))
     return embedded.withColumn("DIM", F.col("DIM").cast("int"))
 
 
+def tree_arrays(df: DataFrame, lags: int = LAGS, name: str = "inputs", **series) -> DataFrame:
+    """The rows of ``tree_matrix`` with its features in one array of floats: days in milk, lags of activity, of group mean.
+
+    One column instead of hundreds, which Spark neither compiles nor reads in batches; learners and scaler take it whole.
+    """
+    windows = _tree_windows(df, lags, **series)
+    inputs = F.concat(F.array(F.col("DIM").cast("int").cast("float")), *map(_window_of, TREE_LAGS))
+    return windows.withColumn(name, inputs).drop("DIM", *TREE_LAGS, *map(_window_of, TREE_LAGS))
+
+
 def sequence_windows(
     df: DataFrame,
     columns: Sequence[str],

@@ -592,12 +592,14 @@ def _(spark, sf):
 LAGS = 6
 
 
-def _tree_rows(flagged, lags=sequences.LAGS):
+def _tree_rows(flagged, lags=sequences.LAGS, build=sequences.tree_matrix):
     rows = flagged.withColumns({"DIM": F.dayofmonth("datetime"), "act_group_mean": F.col("temp"), "annotation": F.col("raw")})
-    return sequences.tree_matrix(rows.select(*ANIMAL, "datetime", "annotation", "DIM", "act", "act_group_mean"), lags)
+    return build(rows.select(*ANIMAL, "datetime", "annotation", "DIM", "act", "act_group_mean"), lags)
 
 
 _FEATURES = ["DIM", *[f"{name}{k}" for name in ("act", "act_group_mean") for k in range(sequences.LAGS)]]
+#: All of these in their order, in one array column.
+_INPUTS = "inputs"
 
 
 def _tree_sql(lags: int, flagged: str) -> str:
@@ -625,29 +627,30 @@ def _(spark, sf):
 
 
 def _parts(spark, sf):
-    rows = cut(_tree_rows(R.long_flagged(spark, sf)))
-    sides = rows.join(split.split_by_key(rows), list(ANIMAL))
+    rows = cut(_tree_rows(R.long_flagged(spark, sf), build=sequences.tree_arrays))
+    # Written out, the sides have a known size: few animals are broadcast, and their long series stay in many tasks.
+    sides = rows.join(cut(split.split_by_key(rows)), list(ANIMAL))
     return sides.where("split = 'train'"), sides.where("split = 'test'")
 
 
 @query("h6_boosted_trees")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    return metrics.report(models.score(models.train_trees(train, _FEATURES), test))
+    return metrics.report(models.score(models.train_trees(train, _INPUTS), test))
 
 
 @query("h7_network")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    scaler = cut(scaling.fit_scaler(train, _FEATURES))
-    model = models.train_network(scaling.scale(train, scaler, _FEATURES), _FEATURES)
-    return metrics.report(models.score(model, scaling.scale(test, scaler, _FEATURES)))
+    scaler = cut(scaling.fit_scaler(train, [_INPUTS]))
+    model = models.train_network(scaling.scale(train, scaler, [_INPUTS]), _INPUTS)
+    return metrics.report(models.score(model, scaling.scale(test, scaler, [_INPUTS])))
 
 
 @query("h8_weighted_training")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    return metrics.confusion(models.score(models.train_weighted(train, _FEATURES), test))
+    return metrics.confusion(models.score(models.train_weighted(train, _INPUTS), test))
 
 
 # A network of two inputs and two hidden units; its weights are eighths, which both engines hold exactly.
@@ -698,7 +701,7 @@ def _(spark, sf):
 @query("h9_batch_scoring")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    return models.score(models.train_trees(train, _FEATURES), test, keep=[*ANIMAL, "datetime"])
+    return models.score(models.train_trees(train, _INPUTS), test, keep=[*ANIMAL, "datetime"])
 
 
 @query("h9_scores_every_row", sql("""
@@ -718,10 +721,10 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = _parts(spark, sf)
     model_path, scaler_path = fresh_path(spark, "model"), fresh_path(spark, "scaler")
-    scaling.save_scaler(scaling.fit_scaler(train, _FEATURES), scaler_path)
+    scaling.save_scaler(scaling.fit_scaler(train, [_INPUTS]), scaler_path)
     scaler = scaling.load_scaler(spark, scaler_path)
-    models.save_model(models.train_weighted(scaling.scale(train, scaler, _FEATURES), _FEATURES), model_path)
-    scored = models.score(models.load_model(model_path), scaling.scale(test, scaler, _FEATURES))
+    models.save_model(models.train_weighted(scaling.scale(train, scaler, [_INPUTS]), _INPUTS), model_path)
+    scored = models.score(models.load_model(model_path), scaling.scale(test, scaler, [_INPUTS]))
     return metrics.accuracy(scored)
 
 

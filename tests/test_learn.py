@@ -216,3 +216,36 @@ def test_scores_of_many_features(spark):
     rows = spark.range(40).selectExpr("cast(id % 2 as int) AS annotation", *[f"cast(if(id = 3 and {i} = 288, null, id * {i} % 7) as double) AS {n}" for i, n in enumerate(names)])
     scored = models.score(models.train_weighted(rows, names), rows).collect()
     assert len(scored) == 40 and sum(r.probability is None for r in scored) == 1
+
+
+def test_tree_arrays_hold_the_matrix(spark):
+    value = F.when(F.col("act") == 17, F.lit(float("nan"))).when(F.col("act") != 5, F.col("act") + 0.125)
+    given = keyed(spark, 2, 100).withColumns({"act_group_mean": F.col("act") % 7, "annotation": F.lit(0), "DIM": F.lit(2.9), "act": value})
+    matrix, arrays = sequences.tree_matrix(given, lags=4, block_rows=40), sequences.tree_arrays(given, lags=4, block_rows=40)
+    names = ["DIM", *[f"{n}{k}" for n in ("act", "act_group_mean") for k in range(4)]]
+    want = {(r.animal_id, r.datetime): [r[n] for n in names] for r in matrix.collect()}
+    assert {(r.animal_id, r.datetime): r.inputs for r in arrays.collect()} == want and len(want) == arrays.count() > 100
+
+
+def test_learners_and_scaler_take_one_array(spark, tmp_path):
+    rows = [(i % 2, [float(i % 2) + i * 0.001, float(i % 5)] if i else [None, 1.0], *([i % 2 + i * 0.001, float(i % 5)] if i else [None, 1.0])) for i in range(200)]
+    given = spark.createDataFrame(rows, "annotation int, v array<double>, x double, z double")
+    one, two = scaling.fit_scaler(given, ["v"]), scaling.fit_scaler(given, ["x", "z"]).first()
+    assert np.allclose([*one.first().v_mean, *one.first().v_std], [two.x_mean, two.z_mean, two.x_std, two.z_std])
+    flat = scaling.scale(scaling.scale(given, scaling.fit_scaler(given, ["x", "z"]), ["x", "z"]), one, ["v"]).collect()
+    assert np.allclose([r.v for r in flat[1:]], [(r.x, r.z) for r in flat[1:]], atol=1e-6) and flat[0].v[0] is None
+    for train in (models.train_weighted, models.train_network, lambda df, names: models.train_trees(df, names, rounds=2, depth=2)):
+        model = train(given, "v")
+        models.save_model(model, str(tmp_path / "m"))
+        got = models.score(models.load_model(str(tmp_path / "m")), given).collect()
+        want = models.score(train(given, ["x", "z"]), given).collect()
+        assert [r.probability is None for r in got] == [i == 0 for i in range(200)]
+        assert [r.probability for r in got[1:]] == pytest.approx([r.probability for r in want[1:]], abs=1e-6)
+
+
+def test_few_long_series_are_learned_from_in_many_tasks(spark, monkeypatch):
+    value = (F.col("act") * 7 % 100).cast("double")
+    flagged = keyed(spark, 2, 1200).select("organisation_id", "animal_id", "datetime", value.alias("act"), value.alias("temp"), (value > 90).cast("int").alias("raw"))
+    monkeypatch.setattr(catalog_series.R, "long_flagged", lambda spark, folder: flagged)
+    train, test = catalog_series._parts(spark, "")
+    assert train.count() == test.count() == 1200 - 143 and "SortMergeJoin" not in train._jdf.queryExecution().executedPlan().toString()
