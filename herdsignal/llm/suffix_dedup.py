@@ -485,11 +485,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, n_bytes, sha, rep) of all rows, and (id, text, found) of those that lose some of their bytes.
+def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n_bytes, sha, rep) of all rows, (id, text, found) of texts with anchors that others share, and (id, found) of
+    those that lose some of their bytes, a row for each id.
 
     ``rep`` is the smallest id with the same text; rows with another rep lose everything, if they have ``length``
-    bytes, and are not among the second. ``found`` lists spans of bytes.
+    bytes, and are not among the last. ``found`` lists spans of bytes.
     """
     with scratch() as tables:
         buckets = C.tasks(docs)
@@ -507,7 +508,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         spans = contexts.mapInArrow(C.tidy(_owner(length)), "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
         spans = cut(spans, "spans")
         tables.keep(rows, texts, spans)
-    return rows, texts.select("id", "text").dropDuplicates(["id"]).join(spans, "id")
+    return rows, texts, spans
 
 
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -522,7 +523,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     do not remove each other; an id must not stand for two texts. Rows without an id remove nothing, lose nothing and
     come back with their size and hash. Other columns are not read; an empty table gives an empty result.
     """
-    rows, losing = removals(docs, length, id_col, text_col)
+    rows, texts, spans = removals(docs, length, id_col, text_col)
+    losing = texts.select("id", "text").dropDuplicates(["id"]).join(spans, "id")
     lost = losing.mapInArrow(C.tidy(_removed), _LOST).select("id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
     copy = (F.col("id") != F.col("rep")) & (F.col("n_bytes") >= length)
     told = rows.join(lost, "id", "left").select(
@@ -540,10 +542,39 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 def keep_rest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed bytes cut out of the text; copies keep an empty text, and bytes that a cut leaves of a
     broken character are dropped. All other columns stay as they are."""
-    rows, losing = removals(docs, length, id_col, text_col)
-    lost = losing.mapInArrow(C.tidy(_removed), _LOST).where("n_removed > 0").select("id", F.col("text").alias("_kept"))
-    copies = rows.where((F.col("id") != F.col("rep")) & (F.col("n_bytes") >= length)).select("id", F.lit("").alias("_kept"))
-    key, value = C.unused(docs, "_changed"), C.unused(docs, "_rest")
-    changed = lost.unionByName(copies).distinct().toDF(key, value)
-    joined = docs.join(changed, docs[id_col] == F.col(key), "left")
-    return joined.select(*(F.coalesce(F.col(value), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    rows, texts, spans = removals(docs, length, id_col, text_col)
+    release(texts)  # the texts of ``docs`` are cut, so that only spans are shuffled beside them
+    copies = rows.where((F.col("id") != F.col("rep")) & (F.col("n_bytes") >= length)).select("id").distinct()
+    key, value, gone = C.unused(docs, "_changed"), C.unused(docs, "_spans"), C.unused(docs, "_copy")
+    changed = spans.join(copies.withColumn("copy", F.lit(True)), "id", "full").toDF(key, value, gone)
+    joined = docs.join(changed, docs[id_col] == F.col(key), "left").select(*docs.columns, value, gone)
+    return joined.mapInArrow(C.tidy(_left(text_col, value, gone)), docs.schema)
+
+
+def _left(text_col: str, value: str, gone: str):
+    """The rows without their last two columns, the spans and whether the row is a copy; the text is what they leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.steps(batches, text_col):
+            place = batch.schema.get_field_index(text_col)
+            spans, copies = batch.column(batch.schema.get_field_index(value)), batch.column(batch.schema.get_field_index(gone))
+            texts = batch.column(place)
+            if spans.null_count < len(spans) or copies.null_count < len(copies):
+                texts = pa.array([_rest_of(*row) for row in zip(texts.to_pylist(), spans.to_pylist(), copies.to_pylist(), strict=True)], texts.type)
+            columns = [texts if i == place else column for i, column in enumerate(batch.columns[:-2])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
+
+    return run
+
+
+def _rest_of(text: str | None, found: list[bytes] | None, copy: bool | None) -> str | None:
+    if copy:
+        return ""
+    if not found or not text:
+        return text
+    data = np.frombuffer(text.encode(), np.uint8)
+    keep = np.ones(len(data), bool)
+    for part in found:
+        for start, end in np.frombuffer(part, np.uint32).reshape(2, -1).T.tolist():
+            keep[start:end] = False
+    return text if keep.all() else data[keep].tobytes().decode("utf-8", "ignore")

@@ -224,6 +224,17 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert rest.columns == docs.columns and rest.count() == docs.count()
 
 
+def test_rest_is_cut_without_a_second_copy_of_the_texts(spark):
+    passage, other = "the quick brown fox jumps over the lazy dog " * 2, "x" * 20
+    rows = [(1, passage, "a"), (2, "é" * 30 + passage + other, "b"), (3, passage, "c"), (3, passage, "c"), (4, None, "d"), (None, passage, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string")
+    rest = suffix_dedup.keep_rest(docs)
+    got = sorted(((r[0] or 0, r[1], r[2]) for r in rest.collect()), key=str)
+    assert got == sorted([(0, passage, "e"), (1, passage, "a"), (2, "é" * 30 + other, "b"), (3, "", "c"), (3, "", "c"), (4, None, "d")], key=str)
+    # Spans are joined to the rows; no aggregate or join carries another copy of a text.
+    assert "_kept" not in rest._jdf.queryExecution().analyzed().toString() and rest.schema == docs.schema
+
+
 def test_anchors_by_parts(monkeypatch):
     rng = np.random.default_rng(5)
     sizes = np.r_[0, 0, 400, 49, 50, 0, rng.integers(0, 300, 40), 0]
