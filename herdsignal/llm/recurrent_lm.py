@@ -33,22 +33,31 @@ WINDOW, LANES, LEARNERS, ROUNDS, STEP = 32, 256, 256, 2, 0.08
 ADDED = 0.1
 #: Parameters averaged by one task at a time.
 FAN_IN = 32
+#: Rows whose class shares are held at a time; how far states may move a logit before its row's largest is taken off.
+BLOCK, REACH = 256, 80
 
 
 def splitter(column: pa.Array):
     """Words with their last two bytes, A-Z in lower case, as what stands for them."""
     data, offsets = C.raw(column)
     hashes, row, start, end = C.words(data, offsets)
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
     def spelled(at: np.ndarray) -> list[bytes]:
-        return [lower[max(a, b - 2) : b].tobytes() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        last, many = end[at], end[at] - start[at] > 1
+        pair = np.stack([data[last - 1 - many], data[last - 1]], axis=1)  # the last byte twice, if it is the only one
+        value = np.where((pair >= 65) & (pair <= 90), pair + 32, pair) @ np.array([1 << 9, 1 << 1]) + many
+        values, place = np.unique(value, return_inverse=True)
+        known = [(v >> 1).to_bytes(2, "big")[1 - (v & 1) :] for v in values.tolist()]
+        return [known[i] for i in place.tolist()]
 
     return hashes, np.bincount(row, minlength=len(column)).astype(np.int64), spelled
 
 
-def tail_of(endings: list[bytes]) -> np.ndarray:
-    value = np.array([int.from_bytes(e, "big") for e in endings], np.uint64)
+def tail_of(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Tail classes of endings of at most two bytes, laid out one after the other."""
+    ends = np.cumsum(lengths.astype(np.int64))
+    wide = np.concatenate([np.zeros(2, np.uint64), data.astype(np.uint64)])
+    value = np.where(lengths > 1, wide[ends] << np.uint64(8), np.uint64(0)) + np.where(lengths > 0, wide[ends + 1], np.uint64(0))
     return (C.mixed(value + np.uint64(17)) % np.uint64(TAILS)).astype(np.int64)
 
 
@@ -88,8 +97,8 @@ def _totals(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     values, first, place = np.unique(every, return_index=True, return_inverse=True)
     total = np.zeros(len(values), np.int64)
     np.add.at(total, place, counts)
-    endings = [e for row in rows for e in W.unpack_strings(row["a"], row["b"])]
-    return hashes, values, total, tail_of([endings[i] for i in first.tolist()]), place
+    lengths, data = (np.concatenate([W.unpack(row[k], kind) for row in rows]) for k, kind in (("a", np.uint32), ("b", np.uint8)))
+    return hashes, values, total, tail_of(lengths, data)[first], place
 
 
 _COUNTED = "tokens binary, types binary, top binary, counts binary, tails binary"
@@ -181,20 +190,47 @@ def _coded(known: Vocabulary):
     return work
 
 
-def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Column by column: shares before division by their total (in place), the totals, log of the chosen row's share."""
-    logits -= logits.max(0)
-    score = logits[chosen, np.arange(len(chosen))]
+def _softmax(logits: np.ndarray, at: np.ndarray, bounded: bool, learning: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """Row by row: the chosen logit (places ``at`` of all logits), and the sum of the powers that take the logits' place;
+    if ``learning``, no logit, and the powers less that sum at the chosen place. ``bounded``: no logit is so far from its
+    row's largest that powers could leave the range of the numbers."""
+    if not bounded:
+        logits -= logits.max(1, keepdims=True)
+    flat = logits.reshape(-1)
+    chosen = None if learning else flat[at]
     np.exp(logits, out=logits)
-    total = logits.sum(0)
-    score -= np.log(total)
-    return logits, total, score
+    total = logits @ _ONES[: logits.shape[1]]
+    if learning:
+        flat[at] -= total
+    return chosen, total
 
 
-def _error(shares: np.ndarray, total: np.ndarray, chosen: np.ndarray) -> None:
-    """Shares less one at the chosen row of each column, in place."""
-    shares /= total
-    shares[chosen, np.arange(len(chosen))] -= 1
+_ONES = np.ones(1 << 16, np.float32)
+
+
+def _sums(codes: np.ndarray, rows: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, and for each the sum of its rows; ``space`` takes the rows in order of codes."""
+    codes = codes.astype(np.uint16)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first, _ = C.runs(codes)
+    rows = rows.take(order, axis=0, out=space, mode="clip")
+    return codes[first], np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)  # pairs of columns at a time
+
+
+@dataclass
+class _Made:
+    """Parameters as the passes read them: inputs with the bias and weights of the state, both negated for the gates;
+    the weights by which errors go back; outputs with their biases, less the largest, as a last row; the most that a state
+    within 1 can move a logit of the heads and of the members."""
+
+    inputs: np.ndarray
+    state: np.ndarray
+    state_back: np.ndarray
+    heads: np.ndarray
+    heads_back: np.ndarray
+    members: np.ndarray
+    reach: tuple[float, float]
 
 
 class Network:
@@ -204,6 +240,9 @@ class Network:
         rng = np.random.default_rng(11)
         self.known = known
         self.groups = known.first_tail - 1
+        self.made: _Made | None = None
+        self.space: dict[str, np.ndarray] = {}
+        self.head_of = self._heads()
         codes = TOP + TAILS + 1
         small = lambda *shape: (rng.standard_normal(shape) * 0.08).astype(np.float32)
         heads = np.zeros(known.classes)
@@ -228,111 +267,195 @@ class Network:
         for name, value in self.p.items():
             self.p[name] = flat[at : at + value.size].reshape(value.shape).astype(np.float32)
             at += value.size
+        self.made = None
         return self
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
+    def ready(self) -> _Made:
+        """The parameters as the passes read them, made anew after each step of descent."""
+        if self.made is None:
+            p, gates = self.p, 2 * STATE
+            state, inputs = p["state"].copy(), p["inputs"] + p["bias"]
+            for both in (state, inputs):
+                np.negative(both[:, :gates], out=both[:, :gates])
+            heads = np.concatenate([p["heads"], p["head_bias"][None] - p["head_bias"].max()])
+            member_bias = p["member_bias"] - p["member_bias"].max(1, keepdims=True)
+            self.made = _Made(
+                inputs,
+                state,
+                np.ascontiguousarray(p["state"].T),
+                heads,
+                np.ascontiguousarray(p["heads"].T),
+                np.concatenate([p["members"], member_bias[:, None]], axis=1),
+                (float(np.abs(p["heads"]).sum(0).max()), float(np.abs(p["members"]).sum(1).max())),
+            )
+        return self.made
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array whose memory the next window uses again: what it holds lasts until then."""
+        size = math.prod(shape)
+        if name not in self.space or self.space[name].size < size:
+            self.space[name] = np.empty(size, np.float32)
+        return self.space[name][:size].reshape(shape)
+
     def forward(self, codes: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each row of codes (steps x lanes), from states ``h``; ``keep`` collects what backward needs."""
-        x = (self.p["inputs"] + self.p["bias"])[codes]
-        out = np.empty((*codes.shape, STATE), np.float32)
-        for t in range(len(codes)):
-            u = h @ self.p["state"]
-            gates = 1 / (1 + np.exp(-(x[t, :, : 2 * STATE] + u[:, : 2 * STATE])))
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            new = np.tanh(x[t, :, 2 * STATE :] + r * u[:, 2 * STATE :])
-            if keep is not None:
-                keep.append((h, z, r, new, u[:, 2 * STATE :]))
-            h = new + z * (h - new)
-            out[t] = h
-        return out
-
-    def heads_of(self, codes: np.ndarray) -> np.ndarray:
-        """Class of each code; the end is -1."""
-        return np.where(codes < 0, 0, np.where(codes >= TOP, self.known.first_tail + codes - TOP, 1 + codes // MEMBERS))
-
-    def loss(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each code after a state (rows); with ``grads`` also the gradient of its negative sum."""
-        head = self.heads_of(codes)
-        shares, total, score = _softmax(self.p["heads"].T @ states.T + self.p["head_bias"][:, None], head)
-        back = None
-        if grads is not None:
-            _error(shares, total, head)
-            grads["heads"] = states.T @ shares.T
-            grads["head_bias"] = shares.sum(1)
-            back = shares.T @ self.p["heads"].T
+        """States after each row of codes (steps x lanes), from states ``h``; ``keep`` collects what backward needs. Both
+        last until the next call."""
+        made = self.ready()
+        steps, many = codes.shape
+        kept = steps if keep is not None else 1
+        states, gates = self.room("states", steps + 1, many, STATE), self.room("gates", kept, 2, many, STATE)
+        recalled, news = self.room("recalled", kept, many, STATE), self.room("news", kept, many, STATE)
+        both, given = self.room("both", many, 3, STATE), self.room("given", many, 3, STATE)
+        states[0] = h
+        with np.errstate(over="ignore"):  # a power beyond the numbers closes its gate
+            for t, place in enumerate(codes):
+                h, out, u, gate, new = states[t], states[t + 1], recalled[t % kept], gates[t % kept], news[t % kept]
+                made.inputs.take(place, axis=0, out=given.reshape(many, -1), mode="clip")
+                np.matmul(h, made.state, out=both.reshape(many, -1))
+                np.add(both[:, :2].transpose(1, 0, 2), given[:, :2].transpose(1, 0, 2), out=gate)
+                np.exp(gate, out=gate)
+                gate += _ONES[0]
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[1], both[:, 2], out=u)
+                np.add(u, given[:, 2], out=new)
+                np.tanh(new, out=new)
+                np.subtract(h, new, out=out)
+                out *= gate[0]
+                out += new
+        if keep is not None:
+            keep += [states[:-1], gates, news, recalled]
+        return states[1:]
+
+    def _heads(self) -> np.ndarray:
+        """Class of each code; the end is -1, at the end."""
+        codes = np.arange(TOP + TAILS)
+        return np.r_[np.where(codes >= TOP, self.known.first_tail + codes - TOP, 1 + codes // MEMBERS), 0]
+
+    def loss(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Natural log-probability of each code after a state (rows); with ``grads`` instead the gradient of its negative sum."""
+        made = self.ready()
+        learning = grads is not None
+        size = max(float(states.max(initial=0)), -float(states.min(initial=0)))
+        in_heads, in_members = (r * size < REACH for r in made.reach)
+        head = self.head_of[codes]
+        score = None if learning else np.empty(len(states), np.float32)
+        back = self.room("back", len(states), STATE) if learning else None
+        of_heads = np.zeros((STATE + 1, self.known.classes), np.float32)
+        places = np.arange(0, BLOCK * self.known.classes, self.known.classes)
+        space, wide = self.room("logits", BLOCK, self.known.classes), self.room("wide", BLOCK, STATE + 1)
+        wide[:, STATE] = 1
+        for at in range(0, len(states), BLOCK):
+            span = slice(at, at + BLOCK)
+            rows = wide[: len(head[span])]
+            rows[:, :STATE] = states[span]
+            logits = np.matmul(rows, made.heads, out=space[: len(rows)])
+            chosen, total = _softmax(logits, places[: len(rows)] + head[span], in_heads, learning)
+            if not learning:
+                score[span] = chosen - np.log(total)
+            else:
+                scale = np.reciprocal(total)[:, None]
+                of_heads += (rows * scale).T @ logits
+                np.multiply(logits @ made.heads_back, scale, out=back[span])
         own = np.flatnonzero((codes >= 0) & (codes < TOP))
-        group = codes[own] // MEMBERS
+        group = (codes[own] // MEMBERS).astype(np.uint16)
         order = np.argsort(group, kind="stable")
         own, group = own[order], group[order]
-        mine, place = states[own], codes[own] % MEMBERS
-        spans = [(int(group[at]), slice(at, at + size)) for at, size in zip(*(x.tolist() for x in C.runs(group)), strict=True)]
-        member = np.empty((MEMBERS, len(own)), np.float32)
+        mine, place = self.room("mine", len(own), STATE + 1), codes[own] % MEMBERS
+        mine[:, :STATE] = states[own]
+        mine[:, STATE] = 1
+        spans = [(int(group[at]), slice(at, at + many)) for at, many in zip(*(x.tolist() for x in C.runs(group)), strict=True)]
+        member = self.room("member", len(own), MEMBERS)
         for g, span in spans:
-            member[:, span] = self.p["members"][g].T @ mine[span].T
-            member[:, span] += self.p["member_bias"][g][:, None]
-        shares, total, within = _softmax(member, place)
-        score[own] += within
-        if grads is not None:
-            _error(shares, total, place)
-            errors = np.empty_like(mine)
-            grads["groups"] = np.array([g for g, _ in spans], np.int64)
-            grads["members"] = np.empty((len(spans), STATE, MEMBERS), np.float32)
-            grads["member_bias"] = np.empty((len(spans), MEMBERS), np.float32)
+            np.matmul(mine[span], made.members[g], out=member[span])
+        chosen, total = _softmax(member, np.arange(0, member.size, MEMBERS) + place, in_members, learning)
+        if not learning:
+            score[own] += chosen - np.log(total)
+        else:
+            scale = np.reciprocal(total)[:, None]
+            mine *= scale
+            errors = self.room("errors", len(own), STATE)
+            of_members = self.room("of_members", len(spans), STATE + 1, MEMBERS)
             for i, (g, span) in enumerate(spans):
-                wrong = shares[:, span].T
-                np.matmul(mine[span].T, wrong, out=grads["members"][i])
-                wrong.sum(0, out=grads["member_bias"][i])
-                np.matmul(wrong, self.p["members"][g].T, out=errors[span])
+                wrong = member[span]
+                np.matmul(mine[span].T, wrong, out=of_members[i])
+                np.matmul(wrong, made.members[g, :STATE].T, out=errors[span])
+            errors *= scale
             back[own] += errors
+            grads["heads"], grads["head_bias"] = of_heads[:STATE], of_heads[STATE]
+            grads["groups"] = np.array([g for g, _ in spans], np.int64)
+            grads["members"], grads["member_bias"] = of_members[:, :STATE], of_members[:, STATE]
         return score, back
 
     def learn(self, before: np.ndarray, codes: np.ndarray, here: np.ndarray, h: np.ndarray, sums: dict) -> np.ndarray:
         """One step of descent on a window; ``here`` marks the places that hold a word. Returns the last states."""
+        made = self.ready()
         keep: list = []
         states = self.forward(before, h, keep)
-        flat = np.flatnonzero(here.ravel())
+        last = states[-1].copy()
         grads: dict = {}
-        _, back = self.loss(states.reshape(-1, STATE)[flat], codes.ravel()[flat], grads)
-        scale = np.float32(1 / max(1, here.shape[1]))
-        full = np.zeros((here.size, STATE), np.float32)
-        full[flat] = back
+        if here.all():
+            _, full = self.loss(states.reshape(-1, STATE), codes.ravel(), grads)
+        else:
+            flat = np.flatnonzero(here)
+            _, back = self.loss(states.reshape(-1, STATE)[flat], codes.ravel()[flat], grads)
+            full = self.room("full", here.size, STATE)
+            full[:] = 0
+            full[flat] = back
         full = full.reshape(states.shape)
-        wide = np.empty((*here.shape, 3 * STATE), np.float32)
-        within = np.empty_like(wide)
-        weights = np.ascontiguousarray(self.p["state"].T)
-        carried = np.zeros_like(h)
-        for t in range(len(before) - 1, -1, -1):
-            old, z, r, new, u = keep[t]
-            d = full[t] + carried
-            dn = d * (1 - z) * (1 - new * new)
-            wide[t, :, :STATE] = d * (old - new) * z * (1 - z)
-            wide[t, :, STATE : 2 * STATE] = dn * u * r * (1 - r)
-            wide[t, :, 2 * STATE :] = dn
-            within[t, :, : 2 * STATE] = wide[t, :, : 2 * STATE]
-            within[t, :, 2 * STATE :] = dn * r
-            carried = d * z + within[t] @ weights
-        grads["state"] = np.concatenate([k[0] for k in keep]).T @ within.reshape(-1, 3 * STATE)
-        grads["bias"] = wide.sum((0, 1))
-        order = np.argsort(before, axis=None, kind="stable")
-        codes_read = before.ravel()[order]
-        first = np.flatnonzero(np.r_[True, codes_read[1:] != codes_read[:-1]])
-        rows = np.add.reduceat(wide.reshape(-1, 3 * STATE)[order], first, axis=0)
-        self._step("inputs", codes_read[first], rows * scale, sums)
-        for name in ("state", "bias", "heads", "head_bias"):
+        scale = np.float32(1 / max(1, here.shape[1]))
+        old, gates, news, u = keep
+        error = self.room("error", *before.shape, 3, STATE)
+        grads["state"] = np.zeros((STATE, 3 * STATE), np.float32)
+        carried, through = np.zeros_like(h), np.empty_like(h)
+        some = max(1, 4 * BLOCK // max(1, len(h)))
+        for at in range((len(before) - 1) // some * some, -1, -some):
+            part = slice(at, at + some)
+            gate, new, d, wrong = gates[part], news[part], full[part], error[part]
+            # What the error of a state is multiplied by to give those of the gates and of what the reset gate lets
+            # through (``slope``), and that of the candidate (``lets``).
+            slope = self.room("slope", len(gate), 3, *h.shape)
+            shut = np.subtract(_ONES[0], gate, out=self.room("shut", *gate.shape))
+            lets = np.multiply(new, new, out=self.room("lets", *new.shape))
+            np.subtract(_ONES[0], lets, out=lets)
+            lets *= shut[:, 0]
+            np.subtract(states[part], new, out=slope[:, 0])
+            np.multiply(lets, u[part], out=slope[:, 1])
+            slope[:, :2] *= shut
+            np.multiply(lets, gate[:, 1], out=slope[:, 2])
+            for t in range(len(gate) - 1, -1, -1):
+                d[t] += carried
+                np.multiply(slope[t], d[t], out=wrong[t].transpose(1, 0, 2))
+                np.matmul(wrong[t].reshape(-1, 3 * STATE), made.state_back, out=carried)
+                carried += np.multiply(d[t], gate[t, 0], out=through)
+            grads["state"] += np.matmul(old[part].transpose(0, 2, 1), wrong.reshape(len(gate), -1, 3 * STATE)).sum(0)
+            np.multiply(lets, d, out=wrong[:, :, 2])
+        error = error.reshape(-1, 3 * STATE)
+        codes_read, rows = _sums(before.ravel(), error, self.room("by_code", *error.shape))
+        rows *= scale
+        bias = _ONES[: len(rows)] @ rows
+        self._step("inputs", codes_read, rows, sums)
+        self._step("bias", ..., bias, sums)
+        for name in ("state", "heads", "head_bias"):
             self._step(name, ..., grads[name] * scale, sums)
         for name in ("members", "member_bias"):
             self._step(name, grads["groups"], grads[name] * scale, sums)
-        return states[-1]
+        self.made = None
+        return last
 
     def _step(self, name: str, where, grad: np.ndarray, sums: dict) -> None:
         """Descent scaled by the squares seen so far."""
-        grad = np.clip(grad, -5, 5)
+        grad.clip(-5, 5, out=grad)
         if name not in sums:
             sums[name] = np.full(self.p[name].shape, 0.05, np.float32)
-        sums[name][where] += grad * grad
-        self.p[name][where] -= STEP * grad / np.sqrt(sums[name][where])
+        seen = sums[name][where] + grad * grad
+        sums[name][where] = seen
+        np.sqrt(seen, out=seen)
+        grad *= np.float32(STEP)
+        grad /= seen
+        self.p[name][where] -= grad
 
 
 _BEGIN = TOP + TAILS
@@ -353,9 +476,13 @@ def lanes(texts: list[np.ndarray], size: int = WINDOW) -> Iterator[tuple[int, np
         live = int((lengths > at).sum())
         place = np.arange(at, min(at + size, int(lengths[0])))[:, None]
         here = place < lengths[:live]
-        where = begins[:live] + place
-        codes = np.where(here, flat[np.where(here, where, 0)], -2)
-        before = np.where(here & (place > 0), flat[np.where(here, where - 1, 0)], _BEGIN)
+        codes = flat.take(begins[:live] + place, mode="clip").astype(np.intp)
+        before = np.empty_like(codes)
+        before[1:] = codes[:-1]
+        before[0] = flat[begins[:live] + at - 1] if number else _BEGIN
+        if lengths[live - 1] < at + len(place):  # the shortest ends within the window
+            codes[~here] = -2
+            before[~here] = _BEGIN
         yield number, before, codes, here, live
 
 
@@ -425,9 +552,13 @@ def _scores(shared):
             for _, before, codes, here, live in lanes(texts):
                 states = net.forward(before, h[:live])
                 h = states[-1]
-                flat = np.flatnonzero(here.ravel())
-                score, _ = net.loss(states.reshape(-1, STATE)[flat], codes.ravel()[flat])
-                total[:live] += np.bincount(flat % live, score, live)
+                if here.all():
+                    score, _ = net.loss(states.reshape(-1, STATE), codes.ravel())
+                    total[:live] += score.reshape(here.shape).sum(0, dtype=np.float64)
+                else:
+                    flat = np.flatnonzero(here)
+                    score, _ = net.loss(states.reshape(-1, STATE)[flat], codes.ravel()[flat])
+                    total[:live] += np.bincount(flat % live, score, live)
             score = total / math.log(10) + np.array([r[5] for r in rows])
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((None, pa.bool_(), pa.int64(), pa.int64(), pa.float64()))), pa.array(score)], [*names[:5], "score"]
