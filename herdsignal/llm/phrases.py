@@ -6,13 +6,16 @@ task that owns it); everything else in a text is a barrier. Then, for phrases of
 1. Candidates are Apriori-safe: a phrase is looked at only where it stands in the text and both phrases that are a word
    shorter are frequent, by a bitmap of hashes of fixed size. Tasks bincount the hashes of such phrases, sums of these
    vectors tell which hashes are frequent enough, and phrases with such a hash are the candidates. Neither step loses
-   a frequent phrase; what they let through besides is counted and dropped.
-2. Candidates go into double-array tries, a small one for each shard of their first two words, built by tasks. As many
-   as may be broadcast at a time are laid one behind the other. In numpy a task moves the states of all positions of its
-   texts at once, level by level, and bincounts the accepting states; the vectors of all tasks are summed.
-
-Scores, cuts and the ranking are joins and windows on the frequent phrases. What is broadcast is bounded by ``BITS`` and
-``MOST``, however many phrases there are.
+   a frequent phrase; what they let through besides is counted and dropped, however much that is: in large tables
+   most places of the bitmap are frequent.
+2. Each task counts the different candidates of its texts and deals these counts, packed, to groups by the phrases'
+   hashes. The task of a group leaves out the phrases whose 64-bit hash is too rare, lays the others into double-array
+   tries, small ones for shards of their first two words, one behind the other, moves the states of all its phrases at
+   once in numpy, level by level, and sums the counts by accepting state. So the texts are read twice for each length,
+   however many candidates there are.
+
+Scores, cuts and the ranking are joins and windows on the frequent phrases. What is broadcast is bounded by ``BITS``,
+what a task holds by ``HELD`` and ``MOST``.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from herdsignal.session import cut, release, scratch
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Score of a phrase whose parts never stand alone, and the per cent of occurrences that make a longer phrase cover it.
 SCALE, COVER = 2_000_000, 80
-#: Bits of a hash that number the places of a bitmap; candidates per trie on average, and in all tries of a broadcast.
-BITS, SHARD, MOST = 24, 1 << 14, 1 << 19
-#: Positions whose phrases a task looks at together.
-POSITIONS = 1 << 18
+#: Bits of a hash that number the places of a bitmap; candidates per trie, and positions of the texts per group, on average.
+BITS, SHARD, MOST = 24, 1 << 14, 1 << 21
+#: Positions whose phrases a task looks at together, and counts that it holds before it deals them out.
+POSITIONS, HELD = 1 << 18, 1 << 20
 #: Numbers per block of a summed vector, and vectors added up by one task.
 BLOCK, FAN_IN = 1 << 18, 32
 
@@ -170,6 +173,14 @@ def _next(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return C.mixed((hashes ^ codes) * np.uint64(0x9FB21C651E98DF25))
 
 
+def _hashes(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases, the same as ``_chain`` gives them."""
+    hashes = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        hashes = _next(hashes, w.astype(np.uint64))
+    return hashes
+
+
 def _chain(codes: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``many`` codes from each position on, and whether all are frequent words."""
     size = max(0, len(codes) - many + 1)
@@ -257,21 +268,71 @@ def _hash_counts(shared, many: int, bits: int, least: int):
     return run
 
 
-def _candidates(shared, many: int):
-    """Different safe phrases of each row whose hash is frequent, with a number made of their first two words."""
+_DEALT = "dealt long, phrases binary, counts binary"
+
+
+@dataclass
+class Counts:
+    """Different phrases, a column of codes for each word, their hashes, and how often they occur."""
+
+    hashes: np.ndarray
+    words: list[np.ndarray]
+    n: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> Counts:
+        """Sums of equal phrases, told apart by 128 bits."""
+        place, first = C.distinct(hashes, _check(words))
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, place, n)
+        return Counts(hashes[first], [w[first] for w in words], total)
+
+    @staticmethod
+    def joined(parts: list[Counts]) -> Counts:
+        words = [np.concatenate(w) for w in zip(*(p.words for p in parts), strict=True)]
+        return Counts.of(np.concatenate([p.hashes for p in parts]), words, np.concatenate([p.n for p in parts]))
+
+    def dealt(self, groups: int) -> pa.RecordBatch:
+        """Packed rows, one for each group of hashes."""
+        group = (self.hashes >> np.uint64(32)) % np.uint64(groups)
+        order = np.argsort(group, kind="stable")
+        rows = []
+        for at, size in zip(*C.runs(group[order]), strict=True):
+            mine = order[at : at + size]
+            rows.append((int(group[mine[0]]), W.pack(np.concatenate([w[mine] for w in self.words]).astype(np.int32)), W.pack(self.n[mine])))
+        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["dealt", "phrases", "counts"])
+
+
+def _check(words: list[np.ndarray]) -> np.ndarray:
+    """A second hash of phrases."""
+    out = np.full(len(words[0]), 0x5851F42D4C957F2D, np.uint64)
+    for w in words:
+        out = C.mixed((out + w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def _candidates(shared, many: int, groups: int, held: int):
+    """Counts of the different safe phrases of a task's texts whose hash is frequent, dealt to groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shorter, often = shared.value
+        parts: list[Counts] = []
         for batch in batches:
             for codes in _rows_of(batch, many):
                 at, hashes = _safe(codes, many, shorter)
                 fine = often.has(hashes)
-                _, first = np.unique(hashes[fine], return_index=True)
-                at = at[fine][first]
-                pair = _pair(codes)[at] if len(at) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), *(pa.array(codes[at + j]) for j in range(many))], ["pair", *(f"w{j}" for j in range(many))])
+                at, hashes = at[fine], hashes[fine]
+                parts.append(Counts.of(hashes, [codes[at + j] for j in range(many)], np.ones(len(at), np.int64)))
+                if sum(len(p.n) for p in parts) > held:
+                    parts = [Counts.joined(parts)]
+                    if 2 * len(parts[0].n) > held:
+                        yield parts.pop().dealt(groups)
+        if parts:
+            yield Counts.joined(parts).dealt(groups)
 
-    return run
+    return C.tidy(run)
 
 
 def _pair(codes: np.ndarray) -> np.ndarray:
@@ -370,6 +431,10 @@ class DoubleArray:
 
         ``root``: number of the trie of each position, below 0 if it has none here.
         """
+        return self.accept[self.ends(codes, many, root)[1]]
+
+    def ends(self, codes: np.ndarray, many: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions where phrases begin, and the accepting states that these lead to."""
         begins = codes[: max(0, len(codes) - many + 1)] > 0
         at = np.flatnonzero(begins if root is None else begins & (root[: len(begins)] >= 0))
         state = self.roots[np.zeros(len(at), np.int64) if root is None else root[at]]
@@ -379,51 +444,49 @@ class DoubleArray:
             inside = (code > 0) & (to > 0) & (to < len(self.check))
             good = inside & (self.check[np.where(inside, to, 0)] == state)
             at, state = at[good], to[good]
-        return self.accept[state]
-
-
-_TRIES = "shard long, size long, phrases binary, base binary, check binary, accept binary"
-
-
-def _built(many: int, radix: int):
-    """A shard's trie, and its phrases in the order of the accepting states."""
-
-    def run(key, rows):
-        phrases = np.stack([np.asarray(rows.column(f"w{j}")) for j in range(many)], 1)
-        phrases = phrases[np.lexsort(phrases.T[::-1])]
-        row = [[key[0].as_py()], [len(phrases)], *([x] for x in (W.pack(phrases.ravel().astype(np.int32)), *DoubleArray(phrases, radix).packed()))]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _TRIES.split(", ")])
-
-    return run
-
-
-def _trie_counts(shared, many: int):
-    """Bincounts of the accepting states of all positions; ``place``: where a shard's trie is among those broadcast."""
-    from pyspark import TaskContext
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, place, size = shared.value
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for codes in _rows_of(batch, many):
-                if len(codes) >= many:
-                    total += np.bincount(trie.accepted(codes, many, place[_pair(codes) % len(place)]), minlength=size)
-        yield _blocks(total, TaskContext.get().partitionId())
-
-    return run
-
-
-def _enough(many: int, least: int):
-    """The phrases of tries that have been counted often enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                f = np.frombuffer(row["counts"], np.int64)
-                phrases = W.unpack(row["phrases"], np.int32).reshape(-1, many)[f >= least]
-                ids = pa.ListArray.from_arrays(pa.array(np.arange(len(phrases) + 1) * many, pa.int32()), pa.array(phrases.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(f[f >= least])], ["ids", "f"])
+        return at, state
+
+
+def _tries(phrases: np.ndarray, radix: int, shard: int) -> tuple[DoubleArray, np.ndarray, np.ndarray]:
+    """Tries of different phrases, the order of these among the accepting states, and the number of each shard's trie."""
+    shards = max(1, -(-len(phrases) // shard))
+    mine = _pair(phrases[:, :2].ravel())[::2] % shards
+    order = np.lexsort((*phrases.T[::-1], mine))
+    starts, sizes = C.runs(mine[order])
+    packed = [DoubleArray(phrases[order[at : at + size]], radix).packed() for at, size in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    roots = np.full(shards, -1, np.int64)
+    roots[mine[order[starts]]] = np.arange(len(starts))
+    return DoubleArray.joined(packed, radix), order, roots
+
+
+def _enough(many: int, radix: int, least: int, shard: int):
+    """The phrases of a group that occur often enough, by bincounts of accepting states."""
+
+    def run(key, table):
+        counts = [W.unpack(x, np.int64) for x in table.column("counts").to_pylist()]
+        parts = [W.unpack(x, np.int32).reshape(many, -1) for x in table.column("phrases").to_pylist()]
+        n, words = np.concatenate(counts), list(np.concatenate(parts, 1))
+        hashes = _hashes(words)
+        place, first = C.distinct(hashes, hashes)  # by one hash, which may join phrases but loses none
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, place, n)
+        live = sums[place] >= least
+        n, words, hashes = n[live], [w[live] for w in words], hashes[live]
+        ids, f = np.zeros((0, many), np.int32), np.zeros(0, np.int64)
+        if len(n):
+            phrases = np.stack(Counts.of(hashes, words, n).words, 1)
+            trie, order, roots = _tries(phrases, radix, shard)
+            ids, f = phrases[order], np.zeros(len(phrases), np.int64)
+            for low in range(0, len(n), POSITIONS):
+                codes = np.stack([w[low : low + POSITIONS] for w in words], 1).ravel()
+                root = np.full(len(codes), -1, np.int64)
+                root[::many] = roots[_pair(codes)[::many] % len(roots)]
+                at, state = trie.ends(codes, many, root)
+                np.add.at(f, trie.accept[state], n[low + at // many])
+            ids, f = ids[f >= least], f[f >= least]
+        C.give_back()
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * many, pa.int32()), pa.array(ids.ravel()))
+        return pa.table([flat, pa.array(f)], ["ids", "f"])
 
     return run
 
@@ -435,10 +498,7 @@ def _places(many: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            phrases = np.asarray(batch.column(0).flatten()).reshape(-1, many)
-            hashes = np.zeros(len(phrases), np.uint64)
-            for j in range(many):
-                hashes = _next(hashes, phrases[:, j].astype(np.uint64))
+            hashes = _hashes(list(np.asarray(batch.column(0).flatten()).reshape(-1, many).T))
             total[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = 1
         yield _blocks(total, TaskContext.get().partitionId())
 
@@ -446,37 +506,15 @@ def _places(many: int, bits: int):
 
 
 def frequent(
-    texts: DataFrame, many: int, radix: int, shorter: Bitmap | None, least: int = LEAST, bits: int = BITS, shard: int = SHARD, most: int = MOST
+    texts: DataFrame, many: int, radix: int, shorter: Bitmap | None, groups: int, least: int = LEAST, bits: int = BITS, shard: int = SHARD
 ) -> tuple[DataFrame, Bitmap]:
     """Phrases of ``many`` words that occur ``least`` times or more (ids, f), and the bitmap of their hashes."""
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast(shorter)
     often = Bitmap.of(_summed(texts.mapInArrow(_hash_counts(known, many, bits, least), _VECTOR), 1 << bits, least) >= least)
     known = spark.sparkContext.broadcast((shorter, often))
-    names = [f"w{j}" for j in range(many)]
-    found = cut(texts.mapInArrow(_candidates(known, many), "pair long, " + ", ".join(f"{n} int" for n in names)).distinct(), "candidates")
-    shards = max(1, -(-found.count() // shard))
-    dealt = found.select(F.expr(f"pair % {shards}").alias("shard"), *names)
-    tries = cut(dealt.groupBy("shard").applyInArrow(_built(many, radix), _TRIES), "tries")
-    release(found)
-    counts = spark.createDataFrame([], "shard long, counts binary")
-    step = max(1, most // shard)
-    for low in range(0, shards, step):
-        here = (F.col("shard") >= low) & (F.col("shard") < low + step)
-        rows = sorted(tries.where(here).select("shard", "size", "base", "check", "accept").collect())  # about ``most`` candidates
-        if not rows:
-            continue
-        place = np.full(shards, -1, np.int64)
-        place[[r["shard"] for r in rows]] = np.arange(len(rows))
-        size = sum(r["size"] for r in rows)
-        trie = spark.sparkContext.broadcast((DoubleArray.joined([[bytes(x) for x in r[2:]] for r in rows], radix), place, size))
-        f = _summed(texts.mapInArrow(_trie_counts(trie, many), _VECTOR), size)
-        trie.destroy()
-        ends = np.cumsum([r["size"] for r in rows])
-        told = [(r["shard"], bytearray(f[end - r["size"] : end].tobytes())) for r, end in zip(rows, ends.tolist(), strict=True)]
-        counts = counts.unionByName(cut(spark.createDataFrame(told, "shard long, counts binary"), "counts"))
-    kept = cut(tries.select("shard", "phrases").join(counts, "shard").select("phrases", "counts").mapInArrow(_enough(many, least), "ids array<int>, f long"), "frequent")
-    release(tries)
+    dealt = texts.mapInArrow(_candidates(known, many, groups, HELD), _DEALT)
+    kept = cut(dealt.groupBy("dealt").applyInArrow(_enough(many, radix, least, shard), "ids array<int>, f long"), "frequent")
     return kept, Bitmap.of(_summed(kept.select("ids").mapInArrow(_places(many, bits), _VECTOR), 1 << bits, 1) > 0)
 
 
@@ -528,9 +566,11 @@ def mine(
         words = named.where("code > 0")
         texts, shorter = coded.select("codes"), None
         radix = 1 + math.isqrt(words.agg(F.max("code")).first()[0] or 0)
+        positions = coded.select(F.explode("sums").alias("n")).agg(F.sum("n")).first()[0] or 0
+        groups = max(1, -(-positions // most))
         every = words.select(F.array("code").alias("ids"), "f").where("false")
         for many in range(2, LONGEST + 1):
-            found, shorter = frequent(texts, many, radix, shorter, least, bits, shard, most)
+            found, shorter = frequent(texts, many, radix, shorter, groups, least, bits, shard)
             every = every.unionByName(found)
         kept = cut(scored(every, words.select("code", "f")), "scored")
         spelled = (

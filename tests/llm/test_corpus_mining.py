@@ -152,6 +152,30 @@ def test_phrases(docs, empty, how, monkeypatch):
         assert phrases.mine(empty, bits=12).count() == 0
 
 
+def test_phrases_with_a_full_bitmap(docs, monkeypatch):
+    """As many tables are written, and so texts read, however many candidates the bitmap lets through."""
+    made = []
+    monkeypatch.setattr(phrases, "cut", lambda df, name, cut=phrases.cut: made.append(name) or cut(df, name))
+    monkeypatch.setattr(phrases, "POSITIONS", 100)
+    monkeypatch.setattr(phrases, "HELD", 50, raising=False)  # counts are dealt out many times a task
+    want = brute_phrases(ROWS, 3, 40)
+    runs = []
+    for how in ({"bits": 12}, {"bits": 3, "shard": 5, "most": 2000}):
+        assert sorted(tuple(r) for r in phrases.mine(docs, least=3, top=40, **how).collect()) == want
+        runs.append(sorted(made))
+        made.clear()
+    assert runs[0] == runs[1]
+
+
+def test_counts_of_phrases():
+    words = [np.array([5, 5, 1, 5], np.int32), np.array([6, 7, 2, 6], np.int32)]
+    once = phrases.Counts.of(phrases._hashes(words), words, np.array([1, 2, 3, 4]))
+    twice = phrases.Counts.joined([once, once])
+    assert {(a, b): n for a, b, n in zip(*(w.tolist() for w in twice.words), twice.n.tolist(), strict=True)} == {(5, 6): 10, (5, 7): 4, (1, 2): 6}
+    # A hash that two phrases share does not join them.
+    assert len(phrases.Counts.of(np.zeros(4, np.uint64), words, np.ones(4, np.int64)).n) == 3
+
+
 def test_phrases_beyond_64_bits(spark):
     big = 2**45
     grams = spark.createDataFrame([([1, 2], big)], "ids array<int>, f long")
