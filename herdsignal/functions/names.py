@@ -8,13 +8,14 @@ SEPARATOR = "|"
 SUFFIX = ".csv"
 
 
-def sensor_name(file_path: Column) -> Column:
-    """The path element ``{animal_id}|{chunk}.csv``, be it a file or a folder of part files.
+def plain(file_path: Column) -> Column:
+    """A path without percent codes. Spark's file metadata is percent encoded; a plus sign is literal there."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+
 
-    Spark's file metadata is percent encoded; a plus sign is literal there.
-    """
-    plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_extract(plain, r"([^/]*\|[^/|]*\.csv)(/|$)", 1)
+def sensor_name(file_path: Column) -> Column:
+    """The path element ``{animal_id}|{chunk}.csv``, be it a file or a folder of part files."""
+    return F.regexp_extract(plain(file_path), r"([^/]*\|[^/|]*\.csv)(/|$)", 1)
 
 
 def is_sensor_file(name: Column) -> Column:

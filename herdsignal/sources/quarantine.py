@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,20 +11,12 @@ from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from herdsignal.session import cut
+from herdsignal.sources.files import open_at
 from herdsignal.sources.readings import read_sensor_csv
 
 PIECE = 1 << 20
 
 
-def open_at(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and plain path of ``scheme://authority/path`` or ``file:/path``; special characters stay as they are."""
-    parts = re.fullmatch(r"([a-zA-Z0-9+.-]+):(?://([^/]*))?(/.*)", path)
-    if parts is None or parts[1] == "file":
-        return fs.LocalFileSystem(), parts[3] if parts else path
-    system, root = fs.FileSystem.from_uri(f"{parts[1]}://{parts[2] or ''}/")
-    return system, root.rstrip("/") + parts[3]
-
-
 def _try_parquet(system: fs.FileSystem, path: str) -> str | None:
     """Footer and every page, a batch of rows at a time."""
     with system.open_input_file(path) as source:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +12,7 @@ from herdsignal.functions.time import MICROS_PER_DAY
 from herdsignal.operators.clean import dedup_first
 from herdsignal.operators.joins import organisation_of
 from herdsignal.operators.series import ANIMAL
+from herdsignal.sources import files
 
 # Columns of a sensor file, keys of the feature table, segment lengths, default span.
 SENSOR_CSV = "ts BIGINT, act DOUBLE, temp DOUBLE"
@@ -23,10 +24,10 @@ SEGMENT_STEP_DAYS = 398
 SPAN = ("2018-04-01", "2020-04-01")
 
 
-def sensor_columns(files: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
+def sensor_columns(rows: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
     """Animal and chunk from the file name, time from epoch seconds, null for NaN."""
     name = names.sensor_name(F.col(path))
-    return files.select(
+    return rows.select(
         names.animal_of(name).alias("animal_id"),
         names.chunk_of(name).alias("chunk"),
         T.from_epoch_seconds(F.col("ts")).alias("datetime"),
@@ -40,31 +41,61 @@ def read_sensor_csv(spark: SparkSession, folder: str, without: DataFrame | None
     the names in a file's header line.
 
     Lines that name ``ts`` are headers. Usually there is one layout; with several (at most MOST_LAYOUTS) the files
-    of each are read by it. Missing columns are null, others are left out.
+    of each are read by it. Missing columns are null, others are left out. Tasks list and read the files where they can
+    (``files.listed``); otherwise Spark's readers do, whose driver holds the list of all files.
     """
-    below = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
-    left = lambda files, path: files if without is None else files.join(without, F.col(path) == without["file"], "left_anti")
-    lines = spark.read.options(**below).text(folder).where(F.col("value").rlike(HEADER_LINE))
-    lines = left(lines.select("value", F.col("_metadata.file_path").alias("_file")), "_file")
+    found = files.listed(spark, folder, names.SUFFIX)
+    lines, rows = _by_readers(spark, folder, without) if found is None else _by_tasks(found, without)
     layouts = sorted(row["value"] for row in lines.select("value").distinct().limit(MOST_LAYOUTS + 1).collect())
     if len(layouts) > MOST_LAYOUTS:
         raise ValueError(f"more than {MOST_LAYOUTS} layouts of sensor files")
     kinds = dict(part.split() for part in SENSOR_CSV.split(", "))
     parts = None
     for layout in layouts or [",".join(kinds)]:
-        names = [name.strip().strip('"') for name in layout.split(",")]
-        typed = [(name, kinds[name]) if name in kinds and name not in names[:i] else (f"_c{i}", "STRING") for i, name in enumerate(names)]
-        files = spark.read.schema(", ".join(f"`{n}` {k}" for n, k in typed)).options(**below).csv(folder, header=True)
-        files = left(files.select("*", F.col("_metadata.file_path").alias("_path")), "_path")
+        given = [name.strip().strip('"') for name in layout.split(",")]
+        typed = [(name, kinds[name]) if name in kinds and name not in given[:i] else (f"_c{i}", "STRING") for i, name in enumerate(given)]
+        read = rows(", ".join(f"`{n}` {k}" for n, k in typed))
         if len(layouts) > 1:
             mine = lines.where(F.col("value") == layout).select("_file").distinct()
-            files = files.join(mine, F.col("_path") == F.col("_file"), "left_semi")
-        absent = {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in names}
-        part = sensor_columns(files.withColumns(absent) if absent else files, "_path")
+            read = read.join(mine, F.col("_path") == F.col("_file"), "left_semi")
+        absent = {name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in given}
+        part = sensor_columns(read.withColumns(absent) if absent else read, "_path")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+#: Header lines (value, _file), and the rows below the files' first lines, with ``_path``, by a schema.
+_Read = tuple[DataFrame, Callable[[str], DataFrame]]
+
+
+def _by_tasks(found: DataFrame, without: DataFrame | None) -> _Read:
+    if without is not None:
+        path = F.regexp_replace(names.plain(F.col("file")), "^file:/+", "file:/")
+        found = found.join(without.select(path.alias("path")), "path", "left_anti")
+    blocks = files.lines(files.spread(found))
+    lines = blocks.select(F.explode(F.concat(F.array("head"), "lines")).alias("value"), F.col("file").alias("_file"))
+    return lines.where(F.col("value").rlike(HEADER_LINE)), lambda schema: sensor_rows(blocks, schema)
+
+
+def sensor_rows(blocks: DataFrame, schema: str) -> DataFrame:
+    """The lines of blocks (``files.lines``) by a schema, with the file as ``_path``."""
+    lines = blocks.select(F.col("file").alias("_path"), F.explode("lines").alias("_line"))
+    return lines.select(F.from_csv("_line", schema).alias("_row"), "_path").select("_row.*", "_path")
+
+
+def _by_readers(spark: SparkSession, folder: str, without: DataFrame | None) -> _Read:
+    below = {"pathGlobFilter": f"*{names.SUFFIX}", "recursiveFileLookup": True}
+    left = lambda rows, path: rows if without is None else rows.join(without, F.col(path) == without["file"], "left_anti")
+    lines = spark.read.options(**below).text(folder).where(F.col("value").rlike(HEADER_LINE))
+    lines = left(lines.select("value", F.col("_metadata.file_path").alias("_file")), "_file")
+
+    def rows(schema: str) -> DataFrame:
+        read = spark.read.schema(schema).options(**below).csv(folder, header=True)
+        return left(read.select("*", F.col("_metadata.file_path").alias("_path")), "_path")
+
+    return lines, rows
+
+
 def consolidate(csv: DataFrame, animals: DataFrame) -> DataFrame:
     """Attach the organisation (one per animal), merge the chunks and keep the first reading of each time."""
     return dedup_first(organisation_of(csv, animals), ["chunk", "act", "temp"]).drop("chunk")
