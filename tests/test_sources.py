@@ -1,11 +1,14 @@
 from datetime import timedelta
 from pathlib import Path
 
+import pytest
 from conftest import at
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from herdsignal.operators import joins
-from herdsignal.sources import readings as SR, tables
+from herdsignal.sources import files, readings as SR, tables
+from herdsignal.streaming import ingest
 from herdsignal.streaming.ingest import ingest_new_files
 
 
@@ -81,6 +84,44 @@ def test_stream_takes_many_small_files_at_once(spark, tmp_path):
     assert spark.conf.get(listing) == before
 
 
+def test_stream_lists_files_in_tasks(spark, tmp_path, monkeypatch):
+    """The stream's log names lists of files, a bounded number of files each, and none of the files."""
+    drop, target, seen = (tmp_path / n for n in ("drop", "target", "seen"))
+    (drop / "below").mkdir(parents=True)
+    monkeypatch.setattr(ingest, "FILES_PER_LIST", 3, raising=False)
+    for i in range(10):
+        write_csv(drop / ("below" if i % 2 else "."), f"a {i}|0.csv", f"1577836800,{i},38")
+    ingest_new_files(spark, str(drop), str(target), str(seen))
+    write_csv(drop, "b|1.csv", "1577836800,10,38")
+    ingest_new_files(spark, str(drop), str(target), str(seen))
+    ingest_new_files(spark, str(drop), str(target), str(seen))
+    rows = spark.read.parquet(str(target)).collect()
+    assert sorted(r.act for r in rows) == list(range(11))
+    assert {r.animal_id for r in rows} == {*(f"a {i}" for i in range(10)), "b"} and {r.chunk for r in rows} == {0, 1}
+    logs = "".join(f.read_text() for f in (seen / "sources" / "0").iterdir() if f.name.isdigit())
+    assert ".csv" not in logs and logs.count("parquet") == 5
+    # Columns in another order end the stream; nothing of the file is kept.
+    (drop / "c|0.csv").write_text("ts,temp,act\n1577836800,1,2\n")
+    with pytest.raises(StreamingQueryException):
+        ingest_new_files(spark, str(drop), str(target), str(seen))
+    assert spark.read.parquet(str(target)).count() == 11
+    write_csv(drop, "c|0.csv", "1577836800,11,38")
+    ingest_new_files(spark, str(drop), str(target), str(seen))
+    assert spark.read.parquet(str(target)).count() == 12
+
+
+def test_stream_goes_on_with_a_checkpoint_of_files(spark, tmp_path, monkeypatch):
+    drop, target, seen = (tmp_path / n for n in ("drop", "target", "seen"))
+    drop.mkdir()
+    write_csv(drop, "a|0.csv", "1577836800,1,38")
+    with monkeypatch.context() as m:
+        m.setattr(files, "listed", lambda *_: None)
+        ingest_new_files(spark, str(drop), str(target), str(seen))
+    write_csv(drop, "b|0.csv", "1577836800,2,38")
+    ingest_new_files(spark, str(drop), str(target), str(seen))
+    assert sorted(r.act for r in spark.read.parquet(str(target)).collect()) == [1.0, 2.0]
+
+
 def test_feature_table_load(spark):
     rows = [("aa", "bb", "ca", at("2020-01-01 00:00"), 1), ("aa", "ba", "cb", at("2020-01-01 00:10"), 2), ("ab", "bd", "cc", at("2020-01-01 00:20"), 3), ("ac", "bc", "cd", at("2020-01-01 00:30"), 4)]
     table = spark.createDataFrame(rows, "organisation_id string, group_id string, animal_id string, datetime timestamp_ntz, temp int")
